@@ -14,6 +14,13 @@ QUERIES = {
     "detect_dob": Q.detect_dob,
     "detect_address": Q.detect_address,
     "context_persons": Q.context_persons,
+    "mobile_number": Q.mobile_number,
+    "normalize_key": Q.normalize_key,
+    "resolve_overlaps": Q.resolve_overlaps,
+    "redact_documents": Q.redact_documents,
+    "mapping_new_keys": Q.mapping_new_keys,
+    "surrogate_uniqueness": Q.surrogate_uniqueness,
+    "category_counts": Q.category_counts,
 }
 
 ORACLE = {
@@ -25,6 +32,13 @@ ORACLE = {
     "detect_dob": O.detect_query("DATE"),
     "detect_address": O.detect_query("ADDRESS"),
     "context_persons": O.detect_query("PERSON"),
+    "mobile_number": O.mobile_number_sql(),
+    "normalize_key": O.normalize_key_sql(),
+    "resolve_overlaps": O.resolve_overlaps_sql(),
+    "redact_documents": O.redact_documents_sql(),
+    "mapping_new_keys": O.mapping_new_keys_sql(),
+    "surrogate_uniqueness": O.surrogate_uniqueness_sql(),
+    "category_counts": O.category_counts_sql(),
 }
 
 

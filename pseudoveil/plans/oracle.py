@@ -241,3 +241,179 @@ def detect_query(kind: str) -> str:
     name = {"EMAIL": "d_email", "PHONE": "d_phone", "SSN": "d_ssn", "IP_ADDRESS": "d_ip",
             "CREDIT_CARD": "d_card", "DATE": "d_dob", "ADDRESS": "d_addr", "PERSON": "d_ctx"}[kind]
     return with_corpus(*ctes) + f"\nSELECT {KEY}, value, start_pos, end_pos FROM {name}"
+
+
+# --------------------------------------------------------------------------
+# pipeline: overlaps, mapping, surrogates, splice
+# --------------------------------------------------------------------------
+
+CONF_RANK_SQL = ("CASE confidence " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in V.CONFIDENCE_RANK.items())
+                 + f" ELSE {V.UNKNOWN_CONFIDENCE_RANK} END")
+
+
+def resolve_ctes(name: str, findings: str) -> list[str]:
+    """Greedy overlap resolution per unit as a recursive walk in sort order."""
+    return [
+        f"""{name}_ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY {KEY}
+           ORDER BY start_pos, {CONF_RANK_SQL}, start_pos - end_pos, seq) AS rn
+  FROM {findings})""",
+        f"""{name}_walk AS (
+  SELECT {KEY}, rn, end_pos AS occupied, true AS kept FROM {name}_ranked WHERE rn = 1
+  UNION ALL
+  SELECT r.doc_id, r.unit_kind, r.unit_no, r.rn,
+         CASE WHEN r.start_pos >= w.occupied THEN r.end_pos ELSE w.occupied END,
+         r.start_pos >= w.occupied
+  FROM {name}_walk w JOIN {name}_ranked r
+    ON r.doc_id = w.doc_id AND r.unit_kind = w.unit_kind AND r.unit_no = w.unit_no AND r.rn = w.rn + 1)""",
+        f"""{name} AS (
+  SELECT r.* EXCLUDE (rn) FROM {name}_ranked r JOIN {name}_walk w USING ({KEY}, rn) WHERE w.kept)""",
+    ]
+
+
+def _pick(values, idx: str) -> str:
+    return f"{str_list(values)}[({idx}) + 1]"
+
+
+def surrogate_sql(t: str, i: str) -> str:
+    from ..operators import surrogates as S
+    first = lambda x: f"({_pick(S.NAME_HEADS, f'({x}) % 20')} || {_pick(S.NAME_TAILS, f'(({x}) // 20) % 20')})"
+    sur = lambda x: f"({_pick(S.SURNAME_HEADS, f'({x}) % 20')} || {_pick(S.SURNAME_TAILS, f'(({x}) // 20) % 20')})"
+    person = (f"{first(f'{i} % 400')} || ' ' || {_pick(S.INITIALS, f'({i} // 400) % 26')} || '. ' || "
+              f"{sur(f'({i} // 10400) % 400')}")
+    email = (f"lower({first(f'{i} % 400')}) || '.' || lower({sur(f'({i} // 400) % 400')}) || "
+             f"({i} // 160000)::VARCHAR || '@example.net'")
+    phone = f"'+91 9' || lpad((({i} * {S.PHONE_MULT} + 12345) % 1000000000)::VARCHAR, 9, '0')"
+    word = (f"{_pick(S.SURNAME_HEADS, f'{i} % 20')} || lower({_pick(S.NAME_HEADS, f'({i} // 20) % 20')}) || "
+            f"{_pick(S.NAME_TAILS, f'({i} // 400) % 20')}")
+    org = (f"{word} || ' ' || {_pick(S.SECTORS, f'({i} // 8000) % {len(S.SECTORS)}')} || ' ' || "
+           f"{_pick(S.ORG_SUFFIXES, f'(({i} // 8000) // {len(S.SECTORS)}) % {len(S.ORG_SUFFIXES)}')}")
+    r1, r2 = f"({i} // 999)", f"(({i} // 999) // 400)"
+    r3 = f"({r2} // {len(S.STREET_KINDS)})"
+    address = (f"({i} % 999 + 1)::VARCHAR || ', ' || {sur(f'{r1} % 400')} || ' ' || "
+               f"{_pick(S.STREET_KINDS, f'{r2} % {len(S.STREET_KINDS)}')} || ', ' || "
+               f"{_pick(S.CITIES, f'{r3} % {len(S.CITIES)}')} || ' - ' || "
+               f"(400001 + ({r3} // {len(S.CITIES)}) % 99999)::VARCHAR")
+    date = f"strftime(DATE '{S.DATE_ORIGIN}' + ({i})::INTEGER, '%d %B %Y')"
+    ssn = (f"(900 + {i} % 100)::VARCHAR || '-' || lpad((1 + ({i} // 100) % 99)::VARCHAR, 2, '0') || '-' || "
+           f"lpad((1 + ({i} // 9900) % 9999)::VARCHAR, 4, '0')")
+    body = f"('{S.CARD_BIN}' || lpad((({i} * {S.CARD_MULT} + 777) % 1000000000)::VARCHAR, 9, '0'))"
+    dig = lambda k: f"substr(reverse({body}), {k + 1}, 1)::INTEGER"
+    terms = " + ".join(
+        (f"(CASE WHEN {dig(k)} * 2 > 9 THEN {dig(k)} * 2 - 9 ELSE {dig(k)} * 2 END)" if k % 2 == 0 else dig(k))
+        for k in range(15))
+    card = f"{body} || ((10 - ({terms}) % 10) % 10)::VARCHAR"
+    ip = f"'10.' || (({i} // 65536) % 256)::VARCHAR || '.' || (({i} // 256) % 256)::VARCHAR || '.' || ({i} % 256)::VARCHAR"
+    cases = {"PERSON": person, "EMAIL": email, "PHONE": phone, "ORGANIZATION": org, "ADDRESS": address,
+             "DATE": date, "SSN": ssn, "CREDIT_CARD": card, "IP_ADDRESS": ip}
+    return "CASE " + " ".join(f"WHEN {t} = '{k}' THEN {v}" for k, v in cases.items()) + f" ELSE '{V.REDACTED}' END"
+
+
+def bucket_sql(t: str, key: str, buckets: int = 1024) -> str:
+    return f"((('0x' || substr(md5({t} || chr(1) || {key}), 1, 8))::BIGINT) % {buckets})::INTEGER"
+
+
+CORPUS_DOCS = f"""
+cdocs AS (SELECT doc_id::BIGINT AS doc_id, text FROM documents
+          UNION ALL SELECT doc_id, text FROM pii_units),
+cunits AS (
+  SELECT doc_id::BIGINT AS doc_id, 'paragraph' AS unit_kind, unit_no::INTEGER AS unit_no, text,
+         (coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY unit_no
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INTEGER AS unit_offset
+  FROM (SELECT doc_id, unnest(parts) AS text, unnest(generate_series(0, len(parts) - 1)) AS unit_no
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM cdocs))
+)"""
+
+
+def pipeline_ctes(mapping_cte: str | None = None) -> list[str]:
+    """First-run redaction of ``cdocs`` (documents + pii documents), no NER.
+
+    Produces ``kept`` (findings after overlaps), ``keys``, ``newmap`` and
+    ``mapped`` (kept findings with replacement)."""
+    det, all_name = detector_ctes("cunits", "p")
+    ctes = [CORPUS_DOCS] + det
+    ctes += resolve_ctes("kept", all_name)
+    ctes += [
+        f"""keys AS (
+  SELECT pii_type, norm_key, arg_min(surface, ord) AS surface FROM (
+    SELECT pii_type, {normalize_key('value')} AS norm_key, {collapse_ws('value')} AS surface,
+           (doc_id, CASE unit_kind WHEN 'paragraph' THEN 0 WHEN 'cell' THEN 1 ELSE 2 END, unit_no, -start_pos) AS ord
+    FROM kept) WHERE length(norm_key) > 0 GROUP BY pii_type, norm_key)""",
+        f"""newmap AS (
+  SELECT pii_type, norm_key, surface, slot, bucket,
+         {surrogate_sql('pii_type', '(slot * 1024 + bucket)')} AS replacement
+  FROM (SELECT *, (row_number() OVER (PARTITION BY pii_type, bucket ORDER BY norm_key) - 1)::BIGINT AS slot
+        FROM (SELECT *, {bucket_sql('pii_type', 'norm_key')} AS bucket FROM keys)))""",
+        f"""mapped AS (
+  SELECT k.*, m.replacement FROM (SELECT *, {normalize_key('value')} AS norm_key FROM kept) k
+  LEFT JOIN newmap m USING (pii_type, norm_key))""",
+    ]
+    return ctes
+
+
+def with_corpus_rec(*ctes: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join([CORPUS.strip()] + [c.strip() for c in ctes])
+
+
+def redact_documents_sql() -> str:
+    ctes = pipeline_ctes()
+    ctes.append(f"""edits AS (
+  SELECT m.doc_id, (m.start_pos + u.unit_offset) AS s, (m.end_pos + u.unit_offset) AS e, m.replacement
+  FROM mapped m JOIN cunits u USING ({KEY}))""")
+    ctes.append("""pieces AS (
+  SELECT doc_id, s, e, replacement, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS prev_e
+  FROM edits)""")
+    ctes.append("""spliced AS (
+  SELECT p.doc_id,
+         string_agg(substr(d.text, p.prev_e + 1, p.s - p.prev_e) || p.replacement, '' ORDER BY p.s)
+           || substr(d.text, max(p.e) + 1) AS text
+  FROM pieces p JOIN cdocs d USING (doc_id) GROUP BY p.doc_id, d.text)""")
+    return with_corpus_rec(*ctes) + """
+SELECT d.doc_id, coalesce(s.text, d.text) AS text FROM cdocs d LEFT JOIN spliced s USING (doc_id)"""
+
+
+def resolve_overlaps_sql() -> str:
+    det, all_name = detector_ctes("corpus", "p")
+    return with_corpus_rec(*(det + resolve_ctes("kept", all_name))) + f"""
+SELECT {KEY}, pii_type, value, start_pos, end_pos, source FROM kept"""
+
+
+def mapping_new_keys_sql() -> str:
+    return with_corpus_rec(*pipeline_ctes()) + """
+SELECT pii_type, norm_key, surface, replacement, slot, bucket FROM newmap"""
+
+
+def surrogate_uniqueness_sql() -> str:
+    return with_corpus_rec(*pipeline_ctes()) + """
+SELECT pii_type, count(*)::BIGINT AS n_keys, count(DISTINCT replacement)::BIGINT AS n_replacements,
+       count(DISTINCT surface)::BIGINT AS n_surfaces
+FROM newmap GROUP BY pii_type"""
+
+
+def category_counts_sql() -> str:
+    cats = " UNION ALL ".join(f"SELECT '{c}' AS category, {i}::INTEGER AS rank" for i, c in enumerate(V.CATEGORIES))
+    return with_corpus_rec(*pipeline_ctes(), f"cats AS ({cats})") + f"""
+SELECT c.category, c.rank, count(DISTINCT k.key)::BIGINT AS distinct_values
+FROM cats c LEFT JOIN (SELECT pii_type, {summary_key('value')} AS key FROM kept
+                       WHERE length({summary_key('value')}) > 0) k ON k.pii_type = c.category
+GROUP BY c.category, c.rank"""
+
+
+def normalize_key_sql() -> str:
+    det, all_name = detector_ctes("corpus", "p")
+    return with_corpus(*det) + f"""
+SELECT DISTINCT pii_type, value, {normalize_key('value')} AS norm_key, {summary_key('value')} AS summary_key
+FROM {all_name}"""
+
+
+def mobile_number_sql() -> str:
+    det, _ = detector_ctes("corpus", "p")
+    digits = "regexp_replace(value, '\\P{Nd}', '', 'g')"
+    mobile = (f"CASE WHEN starts_with({digits}, '91') AND length({digits}) = 12 THEN substr({digits}, 3, 10) "
+              f"WHEN starts_with({digits}, '0091') AND length({digits}) = 14 THEN substr({digits}, 5, 10) "
+              f"WHEN starts_with({digits}, '0') AND length({digits}) = 11 THEN substr({digits}, 2, 10) "
+              f"ELSE {digits} END")
+    return with_corpus(*det) + f"""
+SELECT {KEY}, value, start_pos, end_pos,
+       CASE WHEN length({mobile}) = 10 AND substr({mobile}, 1, 1) IN ('6', '7', '8', '9') THEN {mobile} END AS mobile
+FROM p_phone"""

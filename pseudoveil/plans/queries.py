@@ -35,3 +35,63 @@ detect_credit_card = _detector(D.card_spans)
 detect_dob = _detector(D.dob_spans)
 detect_address = _detector(D.address_spans)
 context_persons = _detector(D.context_person_spans)
+
+
+# --------------------------------------------------------------------------
+# pipeline queries (regex + label-context detectors; no NER model here)
+# --------------------------------------------------------------------------
+
+from ..functions import vocab as V  # noqa: E402
+from ..functions.checks import mobile_number as _mobile  # noqa: E402
+from ..functions.text import normalize_key as _norm, summary_key as _summary  # noqa: E402
+from ..operators.findings import resolve_overlaps as _resolve  # noqa: E402
+from ..operators.redact import Config, redact_documents as _redact_documents  # noqa: E402
+from .fixtures import corpus_documents  # noqa: E402
+
+PIPELINE = Config(ner="off")
+
+
+def _first_run(spark: SparkSession, sf_dir: str):
+    return _redact_documents(corpus_documents(spark, sf_dir), config=PIPELINE)
+
+
+def resolve_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = corpus(spark, sf_dir)
+    found = F.concat(D.detect_regex(F.col("text")), D.context_person_spans(F.col("text")))
+    return (u.select(*KEY, F.explode(_resolve(found)).alias("f"))
+            .select(*KEY, "f.pii_type", "f.value", F.col("f.start").alias("start_pos"),
+                    F.col("f.end").alias("end_pos"), "f.source"))
+
+
+def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _first_run(spark, sf_dir).output.select("doc_id", "text")
+
+
+def mapping_new_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _first_run(spark, sf_dir).new_mapping.select(
+        "pii_type", "norm_key", "surface", "replacement", "slot", "bucket")
+
+
+def surrogate_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _first_run(spark, sf_dir).new_mapping
+    return m.groupBy("pii_type").agg(
+        F.count("*").alias("n_keys"), F.countDistinct("replacement").alias("n_replacements"),
+        F.countDistinct("surface").alias("n_surfaces"))
+
+
+def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.audit import category_counts as _cc
+    return _cc(_first_run(spark, sf_dir).findings)
+
+
+def normalize_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = corpus(spark, sf_dir)
+    found = F.concat(D.detect_regex(F.col("text")), D.context_person_spans(F.col("text")))
+    f = u.select(F.explode(found).alias("f")).select("f.pii_type", "f.value")
+    return f.select("pii_type", "value", _norm(F.col("value")).alias("norm_key"),
+                    _summary(F.col("value")).alias("summary_key")).distinct()
+
+
+def mobile_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = corpus(spark, sf_dir)
+    return spans_out(u, D.phone_spans(F.col("text"))).withColumn("mobile", _mobile(F.col("value")))
