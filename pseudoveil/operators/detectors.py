@@ -71,7 +71,7 @@ def ip_spans(text: Column) -> Column:
 
 def card_spans(text: Column) -> Column:
     found = F.filter(spans(text, V.CARD_PATTERN), lambda s: luhn_valid(s["value"]))
-    return _gated(text.rlike(r"(?U)\d{4}"), as_findings(found, "CREDIT_CARD", V.SEQ_CARD))
+    return _gated(text.rlike(r"(?U)\d(?:[ -]?\d){12}"), as_findings(found, "CREDIT_CARD", V.SEQ_CARD))
 
 
 def dob_spans(text: Column) -> Column:
@@ -96,12 +96,12 @@ def labelled_address_spans(text: Column) -> Column:
 
 
 def person_label_pattern(ignore_case: bool = False) -> str:
+    """``(label prefix)(name)``; labels match lower case only unless ``ignore_case``."""
     labels = "|".join(lbl.replace(r"\s", V.WS) for lbl in V.PERSON_LABELS)
-    flags = "(?U)" if not ignore_case else "(?U)(?i:"
+    lab = f"(?i:{labels})" if ignore_case else f"(?:{labels})"
     word = V.PERSON_NAME_WORD
-    prefix = f"(?:{labels})" if not ignore_case else f"(?:{labels}))"
     return (
-        f"{flags}({prefix}{V.WS}*[:\\-]{V.WS}*(?:\\n{V.WS}*)?)"
+        f"(?U)({lab}{V.WS}*[:\\-]{V.WS}*(?:\\n{V.WS}*)?)"
         f"({word}(?:{V.WS}+{word}){{1,4}})"
     )
 

@@ -57,15 +57,17 @@ def _grams(col: Column, n: int) -> Column:
     """All length-``n`` substrings with their 1-based position."""
     return F.transform(
         F.sequence(F.lit(1), F.greatest(F.length(col) - n + 1, F.lit(1))),
-        lambda i: F.substring(col, i, n),
+        lambda i: F.substring(col, i, F.lit(n)),
     )
 
 
 def _short_subs(col: Column, max_len: int) -> Column:
     """All distinct substrings of length 1..max_len."""
+    def cut(k: int):
+        return lambda i: F.substring(col, i, F.lit(k))
+
     parts = [
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length(col) - k + 1, F.lit(1))),
-                    lambda i, k=k: F.substring(col, i, k))
+        F.transform(F.sequence(F.lit(1), F.greatest(F.length(col) - k + 1, F.lit(1))), cut(k))
         for k in range(1, max_len + 1)
     ]
     return F.array_distinct(F.filter(F.concat(*parts), lambda s: F.length(s) > 0))

@@ -73,8 +73,10 @@ def mapping_json(mapping: DataFrame) -> DataFrame:
     """One-row DataFrame ``json`` holding ``{type: {surface: replacement}}``."""
     per_type = mapping.groupBy("pii_type").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("surface", "replacement")))).alias("entries"))
-    return per_type.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(
-        F.struct("pii_type", "entries"))))).alias("json"))
+    by_type = F.array_sort(
+        F.collect_list(F.struct("pii_type", "entries")),
+        lambda a, b: F.when(a["pii_type"] < b["pii_type"], -1).when(a["pii_type"] > b["pii_type"], 1).otherwise(0))
+    return per_type.agg(F.to_json(F.map_from_entries(by_type)).alias("json"))
 
 
 def save_mapping(mapping: DataFrame, path: str, fmt: str = "parquet") -> None:
