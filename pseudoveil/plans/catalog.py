@@ -21,6 +21,14 @@ QUERIES = {
     "mapping_new_keys": Q.mapping_new_keys,
     "surrogate_uniqueness": Q.surrogate_uniqueness,
     "category_counts": Q.category_counts,
+    "detect_address_labelled": Q.detect_address_labelled,
+    "unique_persons": Q.unique_persons,
+    "person_sources": Q.person_sources,
+    "person_sample": Q.person_sample,
+    "mapping_json_roundtrip": Q.mapping_json_roundtrip,
+    "suppress_generated": Q.suppress_generated,
+    "mapping_lookup": Q.mapping_lookup,
+    "redact_table_cells": Q.redact_table_cells,
 }
 
 ORACLE = {
@@ -39,6 +47,14 @@ ORACLE = {
     "mapping_new_keys": O.mapping_new_keys_sql(),
     "surrogate_uniqueness": O.surrogate_uniqueness_sql(),
     "category_counts": O.category_counts_sql(),
+    "detect_address_labelled": O.detect_address_labelled_sql(),
+    "unique_persons": O.unique_persons_sql(),
+    "person_sources": O.person_sources_sql(),
+    "person_sample": O.person_sample_sql(),
+    "mapping_json_roundtrip": O.mapping_json_roundtrip_sql(),
+    "suppress_generated": O.suppress_generated_sql(),
+    "mapping_lookup": O.mapping_lookup_sql(),
+    "redact_table_cells": O.redact_table_cells_sql(),
 }
 
 

@@ -325,13 +325,13 @@ cunits AS (
 )"""
 
 
-def pipeline_ctes(mapping_cte: str | None = None) -> list[str]:
-    """First-run redaction of ``cdocs`` (documents + pii documents), no NER.
+def pipeline_ctes(src: str = "cunits", base: list[str] | None = None) -> list[str]:
+    """First-run redaction of ``src`` units, no NER.
 
     Produces ``kept`` (findings after overlaps), ``keys``, ``newmap`` and
     ``mapped`` (kept findings with replacement)."""
-    det, all_name = detector_ctes("cunits", "p")
-    ctes = [CORPUS_DOCS] + det
+    det, all_name = detector_ctes(src, "p")
+    ctes = ([CORPUS_DOCS] if base is None else base) + det
     ctes += resolve_ctes("kept", all_name)
     ctes += [
         f"""keys AS (
@@ -417,3 +417,158 @@ def mobile_number_sql() -> str:
 SELECT {KEY}, value, start_pos, end_pos,
        CASE WHEN length({mobile}) = 10 AND substr({mobile}, 1, 1) IN ('6', '7', '8', '9') THEN {mobile} END AS mobile
 FROM p_phone"""
+
+
+# --------------------------------------------------------------------------
+# audits over persons
+# --------------------------------------------------------------------------
+
+POS = "(doc_id, CASE unit_kind WHEN 'paragraph' THEN 0 WHEN 'cell' THEN 1 ELSE 2 END, unit_no, start_pos)"
+
+
+def _unique_persons_cte() -> str:
+    return f"""up AS (
+  SELECT person_key, arg_min(value, pos) AS value, arg_min(source, pos) AS source,
+         arg_min(confidence, pos) AS confidence, min(pos) AS pos
+  FROM (SELECT {summary_key('value')} AS person_key, {collapse_ws('value')} AS value, source, confidence,
+               {POS} AS pos FROM kept WHERE pii_type = 'PERSON')
+  WHERE length(person_key) > 0 GROUP BY person_key)"""
+
+
+def unique_persons_sql() -> str:
+    return with_corpus_rec(*pipeline_ctes(), _unique_persons_cte()) + """
+SELECT person_key, value, source, confidence, pos[1] AS first_doc_id, pos[3] AS first_unit_no,
+       pos[4] AS first_start FROM up"""
+
+
+def person_sources_sql() -> str:
+    return with_corpus_rec(*pipeline_ctes(), _unique_persons_cte()) + """
+SELECT source, count(*)::BIGINT AS persons FROM up GROUP BY source"""
+
+
+def person_sample_sql(n: int = V.SAMPLE_SIZE) -> str:
+    return with_corpus_rec(*pipeline_ctes(), _unique_persons_cte()) + f"""
+SELECT position, value, source, remaining FROM (
+  SELECT row_number() OVER (ORDER BY pos[1], pos[3], pos[4], person_key)::INTEGER AS position, value, source,
+         greatest(count(*) OVER () - {n}, 0)::BIGINT AS remaining FROM up) WHERE position <= {n}"""
+
+
+# --------------------------------------------------------------------------
+# mapping edge, second run (suppression + lookup), table cells
+# --------------------------------------------------------------------------
+
+def mapping_json_roundtrip_sql() -> str:
+    return with_corpus_rec(*pipeline_ctes()) + "\nSELECT pii_type, surface, replacement FROM newmap"
+
+
+def _second_run_ctes() -> list[str]:
+    ctes = pipeline_ctes()
+    ctes += [
+        "fakes AS (SELECT DISTINCT " + normalize_key("replacement") + " AS fake FROM newmap)",
+        f"""raw2 AS (SELECT *, {normalize_key('value')} AS norm FROM p_all)""",
+        """supp AS (SELECT r.* FROM raw2 r WHERE length(r.norm) > 0 AND EXISTS (
+            SELECT 1 FROM fakes g WHERE length(g.fake) > 0
+              AND (contains(g.fake, r.norm) OR contains(r.norm, g.fake))))""",
+        f"""left2 AS (SELECT r.* EXCLUDE (norm) FROM raw2 r
+            WHERE NOT EXISTS (SELECT 1 FROM supp s WHERE s.doc_id = r.doc_id AND s.unit_kind = r.unit_kind
+              AND s.unit_no = r.unit_no AND s.seq = r.seq AND s.start_pos = r.start_pos))""",
+    ]
+    ctes += resolve_ctes("kept2", "left2")
+    ctes += [
+        f"""keys2 AS (
+  SELECT pii_type, norm_key, arg_min(surface, ord) AS surface FROM (
+    SELECT pii_type, {normalize_key('value')} AS norm_key, {collapse_ws('value')} AS surface,
+           (doc_id, CASE unit_kind WHEN 'paragraph' THEN 0 WHEN 'cell' THEN 1 ELSE 2 END, unit_no, -start_pos) AS ord
+    FROM kept2) WHERE length(norm_key) > 0 GROUP BY pii_type, norm_key)""",
+        f"""new2 AS (
+  SELECT n.pii_type, n.norm_key, n.surface, n.bucket,
+         (coalesce(b.base, 0) + row_number() OVER (PARTITION BY n.pii_type, n.bucket ORDER BY n.norm_key) - 1)::BIGINT AS slot
+  FROM (SELECT k.*, {bucket_sql('k.pii_type', 'k.norm_key')} AS bucket FROM keys2 k
+        WHERE NOT EXISTS (SELECT 1 FROM newmap m WHERE m.pii_type = k.pii_type AND m.norm_key = k.norm_key)) n
+  LEFT JOIN (SELECT pii_type, bucket, max(slot) + 1 AS base FROM newmap GROUP BY pii_type, bucket) b
+    USING (pii_type, bucket))""",
+        f"""map2 AS (SELECT pii_type, norm_key, replacement FROM newmap UNION ALL
+             SELECT pii_type, norm_key, {surrogate_sql('pii_type', '(slot * 1024 + bucket)')} FROM new2)""",
+        f"""mapped2 AS (SELECT k.*, m.replacement FROM (SELECT *, {normalize_key('value')} AS norm_key FROM kept2) k
+             LEFT JOIN map2 m USING (pii_type, norm_key))""",
+    ]
+    return ctes
+
+
+def _redacted_docs_ctes() -> list[str]:
+    """First run, then its redacted documents as units ``runits``."""
+    body = redact_documents_sql()
+    ctes = pipeline_ctes()
+    ctes.append(f"""edits AS (
+  SELECT m.doc_id, (m.start_pos + u.unit_offset) AS s, (m.end_pos + u.unit_offset) AS e, m.replacement
+  FROM mapped m JOIN cunits u USING ({KEY}))""")
+    ctes.append("""pieces AS (
+  SELECT doc_id, s, e, replacement, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS prev_e
+  FROM edits)""")
+    ctes.append("""spliced AS (
+  SELECT p.doc_id,
+         string_agg(substr(d.text, p.prev_e + 1, p.s - p.prev_e) || p.replacement, '' ORDER BY p.s)
+           || substr(d.text, max(p.e) + 1) AS text
+  FROM pieces p JOIN cdocs d USING (doc_id) GROUP BY p.doc_id, d.text)""")
+    ctes.append("""rdocs AS (SELECT d.doc_id, coalesce(s.text, d.text) AS text FROM cdocs d LEFT JOIN spliced s USING (doc_id))""")
+    ctes.append("""runits AS (
+  SELECT doc_id::BIGINT AS doc_id, 'paragraph' AS unit_kind, unit_no::INTEGER AS unit_no, text
+  FROM (SELECT doc_id, unnest(parts) AS text, unnest(generate_series(0, len(parts) - 1)) AS unit_no
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM rdocs)))""")
+    del body
+    det, _ = detector_ctes("runits", "r")
+    return ctes + det
+
+
+def suppress_generated_sql() -> str:
+    ctes = _redacted_docs_ctes() + [
+        "fakes AS (SELECT DISTINCT " + normalize_key("replacement") + " AS fake FROM newmap)",
+        f"""rraw AS (SELECT *, {normalize_key('value')} AS norm FROM r_all)""",
+    ]
+    return with_corpus_rec(*ctes) + f"""
+SELECT {KEY}, pii_type, value, start_pos, end_pos FROM rraw r WHERE length(r.norm) > 0 AND EXISTS (
+  SELECT 1 FROM fakes g WHERE length(g.fake) > 0 AND (contains(g.fake, r.norm) OR contains(r.norm, g.fake)))"""
+
+
+def mapping_lookup_sql() -> str:
+    return with_corpus_rec(*_second_run_ctes()) + f"""
+SELECT {KEY}, pii_type, value, start_pos, end_pos, replacement FROM mapped2"""
+
+
+TABLE_UNITS = f"""
+ctable AS (SELECT k AS c_custkey, 'Customer#' || lpad(k::VARCHAR, 9, '0') AS c_name, text AS note
+           FROM (SELECT doc_id - {PII_DOC_BASE} AS k, text FROM pii_units)),
+tunits AS (SELECT c_custkey::BIGINT AS doc_id, 'cell' AS unit_kind, 0::INTEGER AS unit_no, c_name AS text FROM ctable
+           UNION ALL SELECT c_custkey::BIGINT, 'cell', 1::INTEGER, note FROM ctable)"""
+
+
+def redact_table_cells_sql() -> str:
+    ctes = pipeline_ctes("tunits", base=[TABLE_UNITS])
+    ctes.append(f"""tpieces AS (
+  SELECT {KEY}, start_pos AS s, end_pos AS e, replacement,
+         coalesce(lag(end_pos) OVER (PARTITION BY {KEY} ORDER BY start_pos), 0) AS prev_e FROM mapped)""")
+    ctes.append(f"""tspliced AS (
+  SELECT p.doc_id, p.unit_no, string_agg(substr(u.text, p.prev_e + 1, p.s - p.prev_e) || p.replacement, ''
+           ORDER BY p.s) || substr(u.text, max(p.e) + 1) AS text
+  FROM tpieces p JOIN tunits u USING ({KEY}) GROUP BY p.doc_id, p.unit_no, u.text)""")
+    return with_corpus_rec(*ctes) + """
+SELECT t.c_custkey, coalesce(a.text, t.c_name) AS c_name, coalesce(b.text, t.note) AS note
+FROM ctable t LEFT JOIN tspliced a ON a.doc_id = t.c_custkey AND a.unit_no = 0
+LEFT JOIN tspliced b ON b.doc_id = t.c_custkey AND b.unit_no = 1"""
+
+
+LABELLED_LABEL_RE = (
+    f"(?i)((?:registered{WS}+office|corporate{WS}+office|registered{WS}+address|office{WS}+address"
+    f"|residential{WS}+address|permanent{WS}+address|correspondence{WS}+address|mailing{WS}+address"
+    f"|communication{WS}+address|address){WS}*(?:of|is)?{WS}*[:,\\-]?{WS}*)"
+    f"([^.\\n;]{{5,250}}?(?:\\b{D}{{6}}\\b|\\b(?:Maharashtra|India)\\b))"
+)
+LABELLED_AHEAD_RE = ("(?i)^[^.\\n;]{0,250}\\b(?:village|taluka|district|road|marg|lane|nagar|colony|apartment|"
+                     "tower|building|floor|sector|pune|mumbai|maharashtra|india|pincode|pin)")
+
+
+def detect_address_labelled_sql() -> str:
+    cte = spans_cte("la", "corpus", LABELLED_LABEL_RE, group=True)
+    return with_corpus(cte) + f"""
+SELECT l.{KEY.replace(', ', ', l.')}, l.value, l.start_pos, l.end_pos FROM la l JOIN corpus u USING ({KEY})
+WHERE regexp_matches(substr(u.text, l.start_pos + 1), {q(LABELLED_AHEAD_RE)})"""

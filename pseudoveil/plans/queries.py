@@ -95,3 +95,66 @@ def normalize_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mobile_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = corpus(spark, sf_dir)
     return spans_out(u, D.phone_spans(F.col("text"))).withColumn("mobile", _mobile(F.col("value")))
+
+
+# --------------------------------------------------------------------------
+# audits, mapping edge, second run, table cells
+# --------------------------------------------------------------------------
+
+from ..operators import audit as _audit  # noqa: E402
+from ..operators.findings import suppressed_values as _suppressed  # noqa: E402
+from ..operators.redact import redact_table as _redact_table  # noqa: E402
+from ..sources.mapping_io import mapping_from_json_text, mapping_json  # noqa: E402
+from .fixtures import PII_DOC_BASE, pii_units  # noqa: E402
+
+detect_address_labelled = _detector(D.labelled_address_spans)
+
+
+def unique_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _audit.unique_persons(_first_run(spark, sf_dir).findings)
+
+
+def person_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _audit.person_sources(_first_run(spark, sf_dir).findings)
+
+
+def person_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _audit.person_sample(_first_run(spark, sf_dir).findings)
+
+
+def mapping_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc = mapping_json(_first_run(spark, sf_dir).new_mapping).withColumnRenamed("json", "value")
+    return mapping_from_json_text(doc).select("pii_type", "surface", "replacement")
+
+
+def _second_run(spark: SparkSession, sf_dir: str):
+    first = _first_run(spark, sf_dir)
+    return _redact_documents(corpus_documents(spark, sf_dir), mapping=first.mapping, config=PIPELINE), first
+
+
+def suppress_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings in already-redacted documents that are (part of) a generated fake."""
+    first = _first_run(spark, sf_dir)
+    from ..sources.units import paragraph_units
+    u = paragraph_units(first.output.select("doc_id", "text"))
+    found = F.concat(D.detect_regex(F.col("text")), D.context_person_spans(F.col("text")))
+    fd = (u.select(*KEY, F.explode(found).alias("f"))
+          .select(*KEY, "f.pii_type", "f.value", F.col("f.start").alias("start_pos"), F.col("f.end").alias("end_pos"))
+          .withColumn("norm", _norm(F.col("value"))))
+    fakes = first.new_mapping.select(_norm(F.col("replacement")).alias("fake"))
+    bad = _suppressed(fd.select("norm"), fakes)
+    return fd.join(bad, "norm", "left_semi").drop("norm")
+
+
+def mapping_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    second, _ = _second_run(spark, sf_dir)
+    return second.findings.select(*KEY, "pii_type", "value", F.col("start").alias("start_pos"),
+                                  F.col("end").alias("end_pos"), "replacement")
+
+
+def redact_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = pii_units(spark, sf_dir).select(
+        (F.col("doc_id") - PII_DOC_BASE).alias("c_custkey"),
+        F.concat(F.lit("Customer#"), F.lpad((F.col("doc_id") - PII_DOC_BASE).cast("string"), 9, "0")).alias("c_name"),
+        F.col("text").alias("note"))
+    return _redact_table(t, "c_custkey", ["c_name", "note"], config=PIPELINE).output
