@@ -224,10 +224,8 @@ def looks_like_organization(value: Column) -> Column:
 # --------------------------------------------------------------------------
 
 _CAP_WORD = r"(?:\p{Lu}\.|(?:Ltd|Inc|Corp|Pvt|Co)\.|\p{Lu}[\p{L}'’-]+)"
-CAPITALISED_RUN = (
-    r"(?U)(?<![\p{L}\p{N}])" + _CAP_WORD
-    + r"(?:[ ]+(?:(?:of|and|&)[ ]+)?" + _CAP_WORD + r"){1,5}(?![\p{L}\p{N}])"
-)
+# No lookarounds: the same leftmost-first matches in any backtracking or RE2 engine.
+CAPITALISED_RUN = _CAP_WORD + r"(?:[ ]+(?:(?:of|and|&)[ ]+)?" + _CAP_WORD + r"){1,5}"
 
 
 def _org_marked(value: Column) -> Column:

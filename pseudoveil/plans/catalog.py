@@ -29,6 +29,12 @@ QUERIES = {
     "suppress_generated": Q.suppress_generated,
     "mapping_lookup": Q.mapping_lookup,
     "redact_table_cells": Q.redact_table_cells,
+    "ner_first_mention": Q.ner_first_mention,
+    "ner_person_score": Q.ner_person_score,
+    "ner_organizations": Q.ner_organizations,
+    "ner_totals": Q.ner_totals,
+    "ner_rejection_reasons": Q.ner_rejection_reasons,
+    "ner_samples": Q.ner_samples,
 }
 
 ORACLE = {
@@ -55,6 +61,12 @@ ORACLE = {
     "suppress_generated": O.suppress_generated_sql(),
     "mapping_lookup": O.mapping_lookup_sql(),
     "redact_table_cells": O.redact_table_cells_sql(),
+    "ner_first_mention": O.ner_first_mention_sql(),
+    "ner_person_score": O.ner_person_score_sql(),
+    "ner_organizations": O.ner_organizations_sql(),
+    "ner_totals": O.ner_totals_sql(),
+    "ner_rejection_reasons": O.ner_rejection_reasons_sql(),
+    "ner_samples": O.ner_samples_sql(),
 }
 
 

@@ -50,7 +50,8 @@ def pii_units(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 8 == 6, F.concat(F.lit("Server 10."), s(k % 256), F.lit("."), s(F.expr("(c_custkey div 256) % 256")),
                                    F.lit(".7 mail user"), s(k), F.lit("@example.org, copy user"), s(k),
                                    F.lit("@example.org")))
-        .otherwise(F.concat(F.lit("Card 4111 1111 1111 1111 paid; other 4111 1111 1111 1112 no; bill "), s(k)))
+        .otherwise(F.concat(F.lit("Card 4111 1111 1111 1111 paid; other 4111 1111 1111 1112 no; bill "), s(k),
+                            F.lit(" to "), ln, F.lit(" Industries Limited via Bank of "), fn))
     )
     return cust.join(nat, cust.c_nationkey == nat.n_nationkey).select(
         (k + PII_DOC_BASE).cast("long").alias("doc_id"), F.lit("paragraph").alias("unit_kind"),

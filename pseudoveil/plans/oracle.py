@@ -56,6 +56,7 @@ pii_units AS (
       WHEN 6 THEN 'Server 10.' || (k % 256) || '.' || ((k // 256) % 256) || '.7 mail user' || k
                   || '@example.org, copy user' || k || '@example.org'
       ELSE 'Card 4111 1111 1111 1111 paid; other 4111 1111 1111 1112 no; bill ' || k
+           || ' to ' || ln || ' Industries Limited via Bank of ' || fn
     END AS text
   FROM (SELECT c_custkey AS k, n_name, (9000000000 + 7919 * c_custkey)::VARCHAR AS p,
                {str_list(FIRST_NAMES)}[((c_custkey // 64) % 8) + 1] AS fn,
@@ -572,3 +573,173 @@ def detect_address_labelled_sql() -> str:
     return with_corpus(cte) + f"""
 SELECT l.{KEY.replace(', ', ', l.')}, l.value, l.start_pos, l.end_pos FROM la l JOIN corpus u USING ({KEY})
 WHERE regexp_matches(substr(u.text, l.start_pos + 1), {q(LABELLED_AHEAD_RE)})"""
+
+
+# --------------------------------------------------------------------------
+# NER: stand-in tagger candidates, validation and audits
+# --------------------------------------------------------------------------
+
+WORDCH = r"[\p{L}\p{Mn}\p{Mc}\p{Nd}\p{Pc}]"
+NOTW = r"[^\p{L}\p{Mn}\p{Mc}\p{Nd}\p{Pc}]"
+
+
+def uword_re(terms: list[str], flags: str = "(?i)") -> str:
+    """``\\b(?:terms)\\b`` with a Unicode word boundary, as an existence test."""
+    return f"{flags}(?:^|{NOTW})(?:" + "|".join(terms) + f")(?:{NOTW}|$)"
+
+
+def _strip_chars(x: str) -> str:
+    return f"regexp_replace({x}, '^[.,''’-]+|[.,''’-]+$', '', 'g')"
+
+
+def _words(x: str) -> str:
+    return f"(CASE WHEN {x} = '' THEN []::VARCHAR[] ELSE string_split({x}, ' ') END)"
+
+
+def person_gate_sql(value: str) -> str:
+    from ..operators.ner import PY_DIGIT
+    v = f"regexp_replace(regexp_replace({py_strip(value)}, '[*^&§†‡]+$', ''), '{WS}+', ' ', 'g')"
+    lower = casefold(v)
+    w = _words(py_strip(v))
+    stripped = f"list_transform({w}, lambda x: {_strip_chars(casefold('x'))})"
+    caps = (f"len(list_filter(list_transform({w}, lambda x: {_strip_chars('x')}), "
+            f"lambda x: regexp_matches(x, '^\\p{{Lu}}')))")
+    non_person = str_list(dict.fromkeys(V.PERSON_NON_NAME_WORDS + V.PERSON_GATE_EXTRA_WORDS))
+    alpha = f"length(regexp_replace({v}, '[^\\p{{L}}]', '', 'g'))"
+    return f"""(length({v}) BETWEEN {V.PERSON_MIN_CHARS} AND {V.PERSON_MAX_CHARS}
+      AND len({w}) BETWEEN {V.PERSON_MIN_WORDS} AND {V.PERSON_MAX_WORDS}
+      AND NOT regexp_matches({v}, {q(PY_DIGIT)}) AND strpos({v}, '@') = 0 AND strpos({lower}, 'www.') = 0
+      AND NOT regexp_matches({v}, '[/:\\t\\n]') AND {lower} NOT IN ({", ".join(q(x) for x in V.PERSON_BLOCKLIST)})
+      AND NOT coalesce(regexp_full_match({w}[1], '[A-Za-z]\\.?'), false)
+      AND NOT list_has_any({stripped}, {non_person})
+      AND NOT regexp_matches({lower}, {q(uword_re(V.LOCATION_COMPOUND_WORDS, ''))})
+      AND length({v}) > 0 AND {alpha} / length({v}) >= {V.ALPHA_RATIO}
+      AND {caps} >= 2)"""
+
+
+def shape_sql(value: str) -> tuple[str, str]:
+    """(score, reasons list) of the name-shape score."""
+    from ..operators.ner import PY_DIGIT
+    v = collapse_ws(value)
+    lower = casefold(v)
+    w = _words(v)
+    lw = _words(lower)
+    n = f"length({v})"
+    bad = f"list_sort(list_distinct(list_intersect({lw}, {str_list(V.PERSON_NON_NAME_WORDS)})))"
+    alpha_ok = f"(length(regexp_replace({v}, '[^\\p{{L}}]', '', 'g')) / {n} >= {V.ALPHA_RATIO})"
+    caps = (f"len(list_filter(list_transform({w}, lambda x: regexp_replace(x, {q(V.SHAPE_LETTERS)}, '', 'g')), "
+            f"lambda x: regexp_matches(x, '^\\p{{Lu}}')))")
+    conds = [
+        (f"{n} < {V.PERSON_MIN_CHARS} OR {n} > {V.PERSON_MAX_CHARS}", "0", "[]::VARCHAR[]"),
+        (f"len({w}) < {V.PERSON_MIN_WORDS} OR len({w}) > {V.PERSON_MAX_WORDS}", "1", "['reasonable length']"),
+        (f"regexp_matches({v}, {q(PY_DIGIT)})", "-5", "['contains number']"),
+        (f"strpos({v}, '@') > 0", "-5", "['email']"),
+        (f"strpos({lower}, 'www.') > 0", "-5", "['website']"),
+        (f"regexp_matches({v}, '[/:\\t\\n]')", "-4", "['contains separator']"),
+        (f"{lower} IN ({', '.join(q(x) for x in V.PERSON_BLOCKLIST)})", "-5", "['blocked phrase']"),
+        (f"len({bad}) > 0", "-4", f"['non-person words: ' || array_to_string({bad}, ', ')]"),
+    ]
+    cap_pts = f"(CASE WHEN {caps} = len({w}) THEN 1 WHEN {caps} >= 2 THEN 0 ELSE -1 END)"
+    cap_reason = (f"(CASE WHEN {caps} = len({w}) THEN 'proper capitalization' WHEN {caps} >= 2 "
+                  f"THEN 'partially capitalized' ELSE 'poor capitalization' END)")
+    score = "CASE " + " ".join(f"WHEN {c} THEN {s}" for c, s, _ in conds) + \
+        f" ELSE 3 + (CASE WHEN {alpha_ok} THEN 1 ELSE -2 END) + {cap_pts} END"
+    reasons = "CASE " + " ".join(f"WHEN {c} THEN {r}" for c, _, r in conds) + \
+        (f" ELSE ['reasonable length', '2-5 words', CASE WHEN {alpha_ok} THEN 'mostly alphabetic' "
+         f"ELSE 'not mostly alphabetic' END, {cap_reason}] END")
+    return score, reasons
+
+
+def org_gate_sql(value: str) -> str:
+    v = collapse_ws(value)
+    lower = casefold(v)
+    ends = " OR ".join(f"ends_with({lower}, {q(e)})" for e in V.ORG_TRUNCATED_ENDINGS)
+    terms = " OR ".join(f"contains({lower}, {q(t)})" for t in V.ORG_DOCUMENT_TERMS)
+    suffix = " OR ".join(f"ends_with({lower}, {q(t)})" for t in V.ORG_STRONG_SUFFIXES)
+    ind = " OR ".join(f"contains({lower}, {q(t)})" for t in V.ORG_SPECIAL_INDICATORS)
+    return f"""(length({v}) BETWEEN {V.ORG_MIN_CHARS} AND {V.ORG_MAX_CHARS}
+      AND NOT regexp_matches({lower}, '^the{WS}+offer(?:{NOTW}|$)')
+      AND NOT regexp_matches({lower}, '^the{WS}+issue(?:{NOTW}|$)')
+      AND NOT ({ends}) AND {lower} NOT IN ({", ".join(q(x) for x in V.ORG_BLOCKLIST)})
+      AND NOT ({terms}) AND {lower} NOT IN ({", ".join(q(x) for x in V.ORG_GENERIC_NAMES)})
+      AND (({suffix}) OR ({ind})))"""
+
+
+def ner_ctes() -> list[str]:
+    from ..operators.ner import CAPITALISED_RUN
+    lowerv = casefold("value")
+    org = " OR ".join([f"ends_with({lowerv}, {q(t)})" for t in V.ORG_STRONG_SUFFIXES]
+                      + [f"contains({lowerv}, {q(t)})" for t in V.ORG_SPECIAL_INDICATORS])
+    shape_score, shape_reasons = shape_sql("c.value")
+    ctx = ("substr(u.text, greatest(c.start_pos - 100, 0) + 1, "
+           "least(length(u.text), c.end_pos + 100) - greatest(c.start_pos - 100, 0))")
+    pc = f"regexp_matches({ctx}, {q(uword_re(V.PERSON_CONTEXT_TERMS))})"
+    npc = f"regexp_matches({ctx}, {q(uword_re(V.NON_PERSON_CONTEXT_TERMS))})"
+    overlap = (f"list_sort(list_intersect(list_distinct(list_transform(regexp_extract_all(c.value, '([A-Za-z]+)', 1), "
+               f"lambda x: lower(x))), {str_list(V.SENTENCE_WORDS)}))")
+    return [
+        f"nblank AS (SELECT * FROM corpus WHERE regexp_matches(text, '[^{PYWS}]'))",
+        spans_cte("runs", "nblank", CAPITALISED_RUN),
+        f"""cands AS (SELECT *, CASE WHEN {org} THEN 'ORG' ELSE 'PERSON' END AS label,
+              regexp_replace({casefold('value')}, '{WS}+', ' ', 'g') AS pnorm FROM runs)""",
+        f"""first AS (SELECT * EXCLUDE (rn) FROM (
+              SELECT *, row_number() OVER (PARTITION BY {KEY}, label, pnorm ORDER BY start_pos) AS rn FROM cands)
+            WHERE label = 'ORG' OR rn = 1)""",
+        f"""scored AS (
+  SELECT c.{KEY.replace(', ', ', c.')}, c.value, c.label, c.start_pos, c.end_pos,
+         {person_gate_sql('c.value')} AS gate,
+         (2 + ({shape_score}) + CASE WHEN {pc} THEN 3 ELSE 0 END - CASE WHEN {npc} THEN 3 ELSE 0 END
+            - CASE WHEN len({overlap}) > 0 THEN 4 ELSE 0 END)::INTEGER AS conf_score,
+         list_concat(['ner PERSON'], {shape_reasons},
+            CASE WHEN {pc} THEN ['person context'] ELSE []::VARCHAR[] END,
+            CASE WHEN {npc} THEN ['non-person context'] ELSE []::VARCHAR[] END,
+            CASE WHEN len({overlap}) > 0 THEN ['sentence-like words: ' || array_to_string({overlap}, ', ')]
+                 ELSE []::VARCHAR[] END) AS conf_reasons,
+         {org_gate_sql('c.value')} AS org_ok
+  FROM first c JOIN nblank u USING ({KEY}))""",
+        f"""ner AS (
+  SELECT {KEY}, value, label, start_pos, end_pos,
+         CASE WHEN label = 'PERSON' THEN gate AND conf_score >= {V.ACCEPT_SCORE} ELSE org_ok END AS accepted,
+         CASE WHEN label = 'PERSON' THEN CASE WHEN gate THEN conf_score ELSE {V.SHAPE_REJECT_SCORE} END END AS score,
+         CASE WHEN label = 'PERSON' THEN CASE WHEN gate THEN conf_reasons
+              ELSE [{q(V.SHAPE_REJECT_REASON)}] END END AS reasons
+  FROM scored)""",
+    ]
+
+
+def ner_first_mention_sql() -> str:
+    return with_corpus(*ner_ctes()) + f"\nSELECT {KEY}, label, value, start_pos, end_pos FROM first"
+
+
+def ner_person_score_sql() -> str:
+    return with_corpus(*ner_ctes()) + f"""
+SELECT {KEY}, value, start_pos, end_pos, accepted, score, array_to_string(reasons, ' | ') AS reasons
+FROM ner WHERE label = 'PERSON'"""
+
+
+def ner_organizations_sql() -> str:
+    return with_corpus(*ner_ctes()) + f"""
+SELECT {KEY}, value, start_pos, end_pos FROM ner WHERE label = 'ORG' AND accepted"""
+
+
+def ner_totals_sql() -> str:
+    return with_corpus(*ner_ctes()) + """
+SELECT doc_id, unit_no, count(*)::BIGINT AS candidates, count_if(accepted)::BIGINT AS accepted,
+       count_if(NOT accepted)::BIGINT AS rejected
+FROM ner WHERE label = 'PERSON' GROUP BY ROLLUP (doc_id, unit_no)"""
+
+
+def ner_rejection_reasons_sql() -> str:
+    return with_corpus(*ner_ctes()) + f"""
+SELECT reason, count(*)::BIGINT AS count, min(pos)[1] AS first_doc_id, min(pos)[3] AS first_unit_no,
+       min(pos)[4] AS first_start
+FROM (SELECT reasons[-1] AS reason, {POS} AS pos FROM ner WHERE label = 'PERSON' AND NOT accepted)
+GROUP BY reason"""
+
+
+def ner_samples_sql(n: int = V.SAMPLE_SIZE) -> str:
+    return with_corpus(*ner_ctes()) + f"""
+SELECT {KEY}, accepted, position, value, score, remaining FROM (
+  SELECT *, row_number() OVER (PARTITION BY {KEY}, accepted ORDER BY start_pos)::INTEGER AS position,
+         greatest(count(*) OVER (PARTITION BY {KEY}, accepted) - {n}, 0)::BIGINT AS remaining
+  FROM ner WHERE label = 'PERSON') WHERE position <= {n}"""

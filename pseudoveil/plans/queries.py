@@ -158,3 +158,50 @@ def redact_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Customer#"), F.lpad((F.col("doc_id") - PII_DOC_BASE).cast("string"), 9, "0")).alias("c_name"),
         F.col("text").alias("note"))
     return _redact_table(t, "c_custkey", ["c_name", "note"], config=PIPELINE).output
+
+
+# --------------------------------------------------------------------------
+# NER over the corpus with the stand-in tagger
+# --------------------------------------------------------------------------
+
+from ..operators import ner as _N  # noqa: E402
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = corpus(spark, sf_dir).where(~D.is_blank(F.col("text")))
+    c = u.select(*KEY, "text", _N.capitalised_run_candidates(F.col("text")).alias("cands"))
+    s = c.select(*KEY, _N.score_candidates(F.col("text"), F.col("cands")).alias("s"))
+    return s.select(*KEY, F.explode("s").alias("x")).select(
+        *KEY, "x.value", "x.label", F.col("x.start").alias("start_pos"), F.col("x.end").alias("end_pos"),
+        "x.accepted", "x.score", "x.reasons")
+
+
+def ner_first_mention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).select(*KEY, "label", "value", "start_pos", "end_pos")
+
+
+def ner_person_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).where(F.col("label") == "PERSON").select(
+        *KEY, "value", "start_pos", "end_pos", "accepted", "score",
+        F.array_join("reasons", " | ").alias("reasons"))
+
+
+def ner_organizations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).where((F.col("label") == "ORG") & F.col("accepted")).select(
+        *KEY, "value", "start_pos", "end_pos")
+
+
+def _audit_frame(spark, sf_dir):
+    return _scored(spark, sf_dir).withColumnRenamed("start_pos", "start")
+
+
+def ner_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _audit.ner_totals(_audit_frame(spark, sf_dir))
+
+
+def ner_rejection_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _audit.rejection_reasons(_audit_frame(spark, sf_dir))
+
+
+def ner_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _audit.ner_samples(_audit_frame(spark, sf_dir))
