@@ -59,18 +59,16 @@ def _alpha_ratio_ok(v: Column) -> Column:
 # C3 + C4: person gate
 # --------------------------------------------------------------------------
 
-def looks_like_person_name(value: Column, propn_count: Column | None = None,
-                           initial_count: Column | None = None) -> Column:
-    """Person shape gate followed by the proper-noun gate.
-
-    With ``propn_count`` null (no part-of-speech analysis) the gate falls back
-    to ">= 2 capitalised words", which the shape gate already requires.
-    """
+def gate_value(value: Column) -> Column:
+    """The value the person gate looks at: stripped, trailing symbols removed,
+    whitespace runs collapsed (no final strip)."""
     symbols = "".join("\\" + c if c in "^" else c for c in V.TRAILING_SYMBOLS)
-    v = F.regexp_replace(F.regexp_replace(py_strip(value), f"[{symbols}]+$", ""),
-                         rf"(?U){V.WS}+", " ")
-    lower = casefold(v)
-    w = words(py_strip(v))
+    return F.regexp_replace(F.regexp_replace(py_strip(value), f"[{symbols}]+$", ""),
+                            rf"(?U){V.WS}+", " ")
+
+
+def _person_gate_parts(v: Column, lower: Column, w: Column, propn_count: Column | None,
+                       initial_count: Column | None) -> Column:
     n = F.length(v)
     stripped = F.transform(w, lambda x: strip_chars(casefold(x), V.WORD_STRIP_CHARS))
     non_person = _lit_list(dict.fromkeys(V.PERSON_NON_NAME_WORDS + V.PERSON_GATE_EXTRA_WORDS))
@@ -102,6 +100,17 @@ def looks_like_person_name(value: Column, propn_count: Column | None = None,
     return shape_ok & F.coalesce(pos_ok, F.lit(False))
 
 
+def looks_like_person_name(value: Column, propn_count: Column | None = None,
+                           initial_count: Column | None = None) -> Column:
+    """Person shape gate followed by the proper-noun gate.
+
+    With ``propn_count`` null (no part-of-speech analysis) the gate falls back
+    to ">= 2 capitalised words", which the shape gate already requires.
+    """
+    v = gate_value(value)
+    return _person_gate_parts(v, casefold(v), words(py_strip(v)), propn_count, initial_count)
+
+
 # --------------------------------------------------------------------------
 # C5: name shape score
 # --------------------------------------------------------------------------
@@ -117,8 +126,10 @@ def name_shape_score(value: Column) -> Column:
     """``struct<score:int, reasons:array<string>>`` for how name-like a value is."""
     v = F.regexp_replace(py_strip(value), rf"(?U){V.WS}+", " ")
     lower = casefold(v)
-    w = words(v)
-    lw = words(lower)
+    return _shape_parts(v, lower, words(v), words(lower))
+
+
+def _shape_parts(v: Column, lower: Column, w: Column, lw: Column) -> Column:
     n = F.length(v)
     bad = F.array_sort(F.array_distinct(F.array_intersect(lw, _lit_list(V.PERSON_NON_NAME_WORDS))))
     alpha_ok = _alpha_ratio_ok(v)
@@ -163,8 +174,10 @@ def context_window(text: Column, start: Column, end: Column) -> Column:
 
 def person_confidence(text: Column, start: Column, end: Column, value: Column) -> Column:
     """Base 2 + shape score, +3 person context, -3 non-person context, -4 sentence words."""
-    shape = name_shape_score(value)
-    ctx = context_window(text, start, end)
+    return _confidence_parts(context_window(text, start, end), name_shape_score(value), value)
+
+
+def _confidence_parts(ctx: Column, shape: Column, value: Column) -> Column:
     person_ctx = ctx.rlike(PERSON_CONTEXT_RE)
     non_person_ctx = ctx.rlike(NON_PERSON_CONTEXT_RE)
     cand_words = F.array_distinct(F.transform(
@@ -193,7 +206,10 @@ def person_confidence(text: Column, start: Column, end: Column, value: Column) -
 
 def looks_like_organization(value: Column) -> Column:
     v = F.regexp_replace(py_strip(value), rf"(?U){V.WS}+", " ")
-    lower = casefold(v)
+    return _org_parts(v, casefold(v))
+
+
+def _org_parts(v: Column, lower: Column) -> Column:
     n = F.length(v)
     truncated = F.lit(False)
     for e in V.ORG_TRUNCATED_ENDINGS:
@@ -259,12 +275,38 @@ def person_norm(value: Column) -> Column:
     return F.regexp_replace(casefold(value), rf"(?U){V.WS}+", " ")
 
 
-def _score_one(text: Column, c: Column) -> Column:
-    gate = looks_like_person_name(c["value"], c["propn_count"], c["initial_count"])
-    conf = person_confidence(text, c["start"], c["end"], c["value"])
+def _prepare(text: Column, c: Column) -> Column:
+    """Stage 1: every cleaned form of a candidate, computed once."""
+    gv = gate_value(c["value"])
+    sv = F.regexp_replace(py_strip(c["value"]), rf"(?U){V.WS}+", " ")
+    return F.struct(c.alias("c"), gv.alias("gv"), sv.alias("sv"),
+                    context_window(text, c["start"], c["end"]).alias("ctx"))
+
+
+def _prepare2(p: Column) -> Column:
+    """Stage 2: lower-case forms and word lists of the stage-1 values."""
+    g_lower = casefold(p["gv"])
+    s_lower = casefold(p["sv"])
+    return F.struct(p["c"].alias("c"), p["gv"].alias("gv"), p["sv"].alias("sv"), p["ctx"].alias("ctx"),
+                    g_lower.alias("g_lower"), words(py_strip(p["gv"])).alias("g_words"),
+                    s_lower.alias("s_lower"), words(p["sv"]).alias("s_words"))
+
+
+def _prepare3(p: Column) -> Column:
+    """Stage 3: the shape score (used by the confidence score) once."""
+    return F.struct(p["c"].alias("c"), p["gv"].alias("gv"), p["sv"].alias("sv"), p["ctx"].alias("ctx"),
+                    p["g_lower"].alias("g_lower"), p["g_words"].alias("g_words"),
+                    p["s_lower"].alias("s_lower"), p["s_words"].alias("s_words"),
+                    _shape_parts(p["sv"], p["s_lower"], p["s_words"], words(p["s_lower"])).alias("shape"))
+
+
+def _score_one(p: Column) -> Column:
+    c = p["c"]
+    gate = _person_gate_parts(p["gv"], p["g_lower"], p["g_words"], c["propn_count"], c["initial_count"])
+    conf = _confidence_parts(p["ctx"], p["shape"], c["value"])
     is_person = c["label"] == "PERSON"
     accepted = F.when(is_person, gate & (conf["score"] >= V.ACCEPT_SCORE)).otherwise(
-        looks_like_organization(c["value"]))
+        _org_parts(p["sv"], p["s_lower"]))
     score = F.when(is_person, F.when(gate, conf["score"]).otherwise(V.SHAPE_REJECT_SCORE))
     reasons = F.when(is_person, F.when(gate, conf["reasons"]).otherwise(
         F.array(F.lit(V.SHAPE_REJECT_REASON))))
@@ -280,7 +322,8 @@ def score_candidates(text: Column, cands: Column, propagate_names: bool = False)
 
     PERSON candidates are deduplicated to their first mention (by casefolded,
     whitespace-collapsed value) before validation unless ``propagate_names``.
-    Other labels are dropped.
+    Other labels are dropped.  For DataFrames prefer :func:`score_units`,
+    which materialises the normalised values once per unit.
     """
     cands = F.filter(cands, lambda c: c["label"].isin("PERSON", "ORG"))
     if not propagate_names:
@@ -288,7 +331,34 @@ def score_candidates(text: Column, cands: Column, propagate_names: bool = False)
             F.slice(cands, 1, i),
             lambda p: (p["label"] == "PERSON") & (person_norm(p["value"]) == person_norm(c["value"])),
         ))
-    return F.transform(cands, lambda c: _score_one(text, c)).cast(f"array<{SCORED_TYPE}>")
+    return _score_array(text, cands)
+
+
+def _score_array(text: Column, cands: Column) -> Column:
+    staged = F.transform(F.transform(F.transform(cands, lambda c: _prepare(text, c)), _prepare2), _prepare3)
+    return F.transform(staged, _score_one).cast(f"array<{SCORED_TYPE}>")
+
+
+def score_units(df: DataFrame, keep: list[str], cands_col: str = "cands", text_col: str = "text",
+                propagate_names: bool = False, out_col: str = "scored") -> DataFrame:
+    """Add ``scored`` to a DataFrame holding ``text`` and a candidate array.
+
+    Each stage is its own projection so an array is never re-derived inside
+    another element's lambda: normalised values are computed once per
+    candidate, then the first-mention filter compares stored values.
+    """
+    normed = df.select(*keep, text_col, F.transform(
+        F.filter(F.col(cands_col), lambda c: c["label"].isin("PERSON", "ORG")),
+        lambda c: F.struct(c.alias("c"), person_norm(c["value"]).alias("n"))).alias("_cn"))
+    cn = F.col("_cn")
+    if propagate_names:
+        firsts = F.transform(cn, lambda x: x["c"])
+    else:
+        firsts = F.transform(F.filter(cn, lambda x, i: (x["c"]["label"] != "PERSON") | ~F.exists(
+            F.slice(cn, 1, i), lambda p: (p["c"]["label"] == "PERSON") & (p["n"] == x["n"]))),
+            lambda x: x["c"])
+    firsts_df = normed.select(*keep, text_col, firsts.alias("_first"))
+    return firsts_df.select(*keep, text_col, _score_array(F.col(text_col), F.col("_first")).alias(out_col))
 
 
 def ner_findings(scored: Column) -> Column:

@@ -92,8 +92,7 @@ def detect_units(units: DataFrame, key: list[str], config: Config = Config(),
     else:
         stage = units.select(*key, *carry, "text", F.when(blank, F.array().cast(
             f"array<{N.CANDIDATE_TYPE}>")).otherwise(cands).alias("cands"))
-        stage = stage.select(*key, *carry, "text", N.score_candidates(
-            text, F.col("cands"), config.propagate_names).alias("scored"))
+        stage = N.score_units(stage, key + carry, propagate_names=config.propagate_names)
     findings = F.when(blank, no_findings()).otherwise(F.concat(
         detect_regex(text, config.labelled_address),
         N.ner_findings(F.col("scored")),

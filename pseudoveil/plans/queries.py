@@ -170,7 +170,7 @@ from ..operators import ner as _N  # noqa: E402
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = corpus(spark, sf_dir).where(~D.is_blank(F.col("text")))
     c = u.select(*KEY, "text", _N.capitalised_run_candidates(F.col("text")).alias("cands"))
-    s = c.select(*KEY, _N.score_candidates(F.col("text"), F.col("cands")).alias("s"))
+    s = _N.score_units(c, KEY, out_col="s")
     return s.select(*KEY, F.explode("s").alias("x")).select(
         *KEY, "x.value", "x.label", F.col("x.start").alias("start_pos"), F.col("x.end").alias("end_pos"),
         "x.accepted", "x.score", "x.reasons")
