@@ -160,3 +160,18 @@ def test_category_counts_all_zero(spark):
     rows = category_counts(empty).collect()
     assert [r["category"] for r in rows][:3] == ["PERSON", "ORGANIZATION", "EMAIL"]
     assert all(r["distinct_values"] == 0 for r in rows) and len(rows) == 9
+
+
+def test_hot_value_on_a_third_of_rows(spark):
+    """One value on ~1/3 of all documents: one key, one fake, every copy replaced."""
+    docs = spark.range(3000).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") % 3 == 0, F.lit("write to hot@x.org today"))
+        .otherwise(F.concat(F.lit("user"), F.col("id").cast("string"), F.lit("@y.org"))).alias("text"))
+    res = redact_documents(docs, config=Config(ner="off"))
+    m = res.new_mapping
+    assert m.count() == 1 + 2000
+    hot = m.where("norm_key = 'hot@x.org'").first()["replacement"]
+    out = res.output
+    assert out.where(F.col("text") == f"write to {hot} today").count() == 1000
+    assert out.where(F.col("text").contains("@y.org") | F.col("text").contains("hot@x.org")).count() == 0
