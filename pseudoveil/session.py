@@ -26,11 +26,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: the cluster's ``spark.checkpoint.dir`` if
-    set, else (tests, local runs) a fresh scratch folder."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="pseudoveil-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+    """The shared folder for written intermediates: the cluster's
+    ``spark.checkpoint.dir`` if set, else (tests, local runs) a scratch folder
+    that is kept for the life of the session."""
+    sc = spark.sparkContext
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if given:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(given)
+        return given
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="pseudoveil-ckpt-"))
+    return sc.getCheckpointDir()
