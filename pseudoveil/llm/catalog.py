@@ -5,18 +5,24 @@ from __future__ import annotations
 from .decontaminate import op8_decontaminate
 from .langid import op5_langid
 from .linededup import op7_linededup
+from .ngram import op3_ngram
 from .packing import op10_packing
+from .pagetext import op9_pagetext
 from .repetition import op6_quality
 from .secrets import op1_secrets
 from .simhash import op2_simhash
+from .substrings import op4_substrings
 
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_simhash": op2_simhash,
+    "op3_ngram": op3_ngram,
+    "op4_substrings": op4_substrings,
     "op5_langid": op5_langid,
     "op6_quality": op6_quality,
     "op7_linededup": op7_linededup,
     "op8_decontaminate": op8_decontaminate,
+    "op9_pagetext": op9_pagetext,
     "op10_packing": op10_packing,
 }
 

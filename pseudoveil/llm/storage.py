@@ -63,3 +63,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("connected components did not settle")
     nodes = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.union(e.select("b", "b")).distinct()
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of tables that have been
+    written and are no longer referenced (it acts on the driver's garbage)."""
+    import gc
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
