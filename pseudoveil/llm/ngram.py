@@ -167,39 +167,47 @@ def answered(asks: DataFrame) -> DataFrame:
     return asks.groupBy("range").applyInArrow(task, ANSWER)
 
 
-def met(block: pa.Table, answers: pa.Table):
-    """(Block, token and context and bigram counts of its tokens) of a block and its answers."""
-    b = Block(block.to_pylist()[0])
+def counts(answers: pa.Table, *names: str) -> dict:
+    """The counts of a block's words (kind 1) and bigrams (kind 2), in the order it asked."""
     got = sorted(answers.to_pylist(), key=lambda r: (r["kind"], r["range"]))
-    count = {}
-    for kind in (1, 2):
-        for c in ("train", "deleted"):
-            count[kind, c] = np.concatenate([wide(r[c]) for r in got if r["kind"] == kind])
-    return b, count
+    return {(k, c): np.concatenate([wide(r[c]) for r in got if r["kind"] == k]) for k in (1, 2) for c in names}
 
 
-def estimates(b: Block, uni: np.ndarray, bi: np.ndarray, pair_at: np.ndarray, docs: int, total: int, pick: np.ndarray):
-    """(bucket, bigram estimate, unigram estimate) of the picked tokens."""
-    u, v = b.before[pick], b.tokens[pick]
+def estimates(u, v, pair, uni: np.ndarray, bi: np.ndarray, docs: int, total: int):
+    """(bucket, bigram estimate, unigram estimate) of tokens ``v`` after contexts ``u`` (-1: start of a document)."""
     cu = np.where(u >= 0, uni[u], docs).astype(np.float64)
-    p2 = np.divide(bi[pair_at[pick]], cu, out=np.zeros(len(cu)), where=cu > 0)
-    p1 = uni[v] / max(total, 1)
+    p2 = np.divide(bi[pair], cu, out=np.zeros(len(cu)), where=cu > 0)
     bucket = np.zeros(len(cu), np.int64)
     bucket[cu > 0] = 1 + np.floor(np.log2(cu[cu > 0])).astype(np.int64)
-    return bucket, p2, p1
+    return bucket, p2, uni[v] / max(total, 1)
+
+
+def deleted_tokens(table: DataFrame) -> DataFrame:
+    """Per block the tokens of deleted documents: context, token and bigram as numbers of the block."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                b = Block(r)
+                pick = np.flatnonzero(b.part == DELETED)
+                cols = (b.before[pick], b.tokens[pick], dense(b.pairs())[1][pick])
+                yield pa.RecordBatch.from_arrays([pa.array([r["block"]])] + [pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in cols],
+                                                 ["block", "context", "token", "pair"])
+
+    return table.mapInArrow(task, "block long, context binary, token binary, pair binary")
 
 
 def deleted_estimates(table: DataFrame, answers: DataFrame, docs: int, total: int) -> DataFrame:
     """Estimates of the tokens of deleted documents from the counts without them."""
     def task(block: pa.Table, got: pa.Table) -> pa.Table:
-        b, c = met(block, got)
-        pick = np.flatnonzero(b.part == DELETED)
-        bucket, p2, p1 = estimates(b, c[1, "train"] - c[1, "deleted"], c[2, "train"] - c[2, "deleted"], dense(b.pairs())[1],
-                                   docs, total, pick)
-        return pa.table([pa.array([x.tobytes()], pa.binary()) for x in (bucket.astype(np.uint8), p2.astype(np.float32), p1.astype(np.float32))],
+        r = block.to_pylist()[0]
+        u, v, pair = (ints(r[c], np.int32) for c in ("context", "token", "pair"))
+        c = counts(got, "train", "deleted")
+        x = estimates(u, v, pair, c[1, "train"] - c[1, "deleted"], c[2, "train"] - c[2, "deleted"], docs, total)
+        return pa.table([pa.array([a.tobytes()], pa.binary()) for a in (x[0].astype(np.uint8), *(p.astype(np.float32) for p in x[1:]))],
                         ["bucket", "p2", "p1"])
 
-    return table.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(task, "bucket binary, p2 binary, p1 binary")
+    return deleted_tokens(table).groupBy("block").cogroup(answers.groupBy("block")) \
+        .applyInArrow(task, "bucket binary, p2 binary, p1 binary")
 
 
 def mixture(p2, p1, p0, w):
@@ -266,9 +274,9 @@ def score(docs: DataFrame, part, block_bytes: int = 12 << 20, range_entries: int
     train_docs = n_docs[TRAIN] + n_docs[DELETED]
 
     def task(block: pa.Table, got: pa.Table) -> pa.Table:
-        b, c = met(block, got)
-        uni, bi = c[1, "train"], c[2, "train"]
-        bucket, p2, p1 = estimates(b, uni, bi, dense(b.pairs())[1], train_docs, total, np.arange(len(b.tokens)))
+        b, c = Block(block.to_pylist()[0]), counts(got, "train")
+        uni = c[1, "train"]
+        bucket, p2, p1 = estimates(b.before, b.tokens, dense(b.pairs())[1], uni, c[2, "train"], train_docs, total)
         p = sum(mixture(p2, p1, p0, weights[bucket]))
         at = np.cumsum(b.sizes) - b.sizes
         cv = uni[b.tokens]
@@ -279,7 +287,8 @@ def score(docs: DataFrame, part, block_bytes: int = 12 << 20, range_entries: int
                          pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(np.log10(p), at))],
                         ["doc_id", "part", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return table.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+    totals = answers.select("block", "range", "kind", "train")
+    return table.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(
         task, "doc_id long, part byte, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

@@ -6,6 +6,8 @@ cluster shares), so a lost executor costs a re-read and not a re-run.
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,6 +70,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of tables that have been
     written and are no longer referenced (it acts on the driver's garbage)."""
-    import gc
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):          # the second pass finds what the first one made unreachable
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
