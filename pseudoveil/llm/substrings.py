@@ -404,7 +404,7 @@ def removed(table: DataFrame, pieces: DataFrame, marked: DataFrame, least: int)
         task, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
 
 
-def dedupe_substrings(docs: DataFrame, least: int = 50, block_bytes: int = 12 << 20, range_bytes: int = 2 << 20,
+def dedupe_substrings(docs: DataFrame, least: int = 50, block_bytes: int = 4 << 20, range_bytes: int = 2 << 20,
                       id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept) of every row.  ``range_bytes``
     is the text whose windows meet in one hash range."""
