@@ -136,7 +136,8 @@ class Block:
         if len(closed):
             nxt = np.searchsorted(closed, p)
             stop = np.minimum(stop, np.where(nxt < len(closed), closed[np.minimum(nxt, len(closed) - 1)], m))
-        return h[at[p]], p, stop - p, np.searchsorted(self.off[1:], p, side="right")
+        # Minima of hashes are small numbers; mixed once more they spread evenly over the hash ranges.
+        return mix64(h[at[p]]), p, stop - p, np.searchsorted(self.off[1:], p, side="right")
 
 
 def cut_ranges(keys: np.ndarray, n: int) -> np.ndarray:
