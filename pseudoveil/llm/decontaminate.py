@@ -245,4 +245,4 @@ def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
     names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
     return found.select("doc_id", "n_words", hit_words(F.col("spans")).alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
-                        (F.size("spans") > 0).alias("contaminated"), F.size("near").cast("long").alias("n_near"))
+                        (F.size("spans") > 0).alias("contaminated"))
