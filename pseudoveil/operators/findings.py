@@ -9,11 +9,6 @@ from ..functions import vocab as V
 from ..functions.text import normalize_key
 from .detectors import FINDINGS_TYPE
 
-# Distinct fakes up to this count are broadcast to a nested-loop containment
-# test; above it the exact n-gram path runs (no broadcast of unbounded data).
-BROADCAST_FAKES = 20_000
-GRAM = 4
-
 
 def confidence_rank(conf: Column) -> Column:
     out = F.lit(V.UNKNOWN_CONFIDENCE_RANK)
@@ -53,97 +48,41 @@ def resolve_overlaps(findings: Column) -> Column:
 # E2: suppression of values that are (part of) a generated fake
 # --------------------------------------------------------------------------
 
-def _grams(col: Column, n: int) -> Column:
-    """All length-``n`` substrings with their 1-based position."""
-    return F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(col) - n + 1, F.lit(1))),
-        lambda i: F.substring(col, i, F.lit(n)),
-    )
-
+def _substrings(col: Column, lengths: Column) -> Column:
+    """All distinct substrings of ``col`` whose length is in ``lengths``."""
+    fitting = F.filter(lengths, lambda n: n <= F.length(col))
+    return F.array_distinct(F.flatten(F.transform(fitting, lambda n: F.transform(
+        F.sequence(F.lit(1), F.length(col) - n + 1), lambda at: F.substring(col, at, n)))))
 
-def _short_subs(col: Column, max_len: int) -> Column:
-    """All distinct substrings of length 1..max_len."""
-    def cut(k: int):
-        return lambda i: F.substring(col, i, F.lit(k))
 
-    parts = [
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length(col) - k + 1, F.lit(1))), cut(k))
-        for k in range(1, max_len + 1)
-    ]
-    return F.array_distinct(F.filter(F.concat(*parts), lambda s: F.length(s) > 0))
+def _contained(inner: DataFrame, inner_col: str, outer: DataFrame, outer_col: str) -> DataFrame:
+    """(outer_col, inner_col) pairs side by side: every substring of ``outer`` of a length that ``inner`` has."""
+    lengths = inner.agg(F.collect_set(F.length(inner_col)).alias("lengths"))      # one row, a few dozen numbers
+    return outer.crossJoin(F.broadcast(lengths)).select(outer_col, F.explode(_substrings(F.col(outer_col), F.col("lengths"))).alias(inner_col))
 
 
-def suppressed_values(values: DataFrame, fakes: DataFrame, broadcast_limit: int = BROADCAST_FAKES) -> DataFrame:
+def suppressed_values(values: DataFrame, fakes: DataFrame) -> DataFrame:
     """Distinct ``norm`` values that equal, contain or are contained in a fake.
 
     ``values``: one column ``norm`` (normalised finding values).
     ``fakes``:  one column ``fake`` (normalised replacement values).
     Blank values never match and blank fakes are ignored.
+
+    Containment is an equi-join on whole strings: either side is cut into its
+    substrings of just the lengths that the other side has.  There is no
+    candidate list, so no key is hotter than a distinct string.
     """
     v = values.select("norm").where(F.length("norm") > 0).distinct()
     g = fakes.select("fake").where(F.length("fake") > 0).distinct()
-    n_fakes = g.count()
-    if n_fakes == 0:
-        return v.limit(0)
-    if n_fakes <= broadcast_limit:
-        cond = (F.instr(F.col("fake"), F.col("norm")) > 0) | (F.instr(F.col("norm"), F.col("fake")) > 0)
-        return v.join(F.broadcast(g), cond, "left_semi")
-    return _suppressed_by_grams(v, g)
-
-
-def _suppressed_by_grams(v: DataFrame, g: DataFrame) -> DataFrame:
-    """Exact containment both ways through ``GRAM``-gram blocking.
-
-    value inside fake: the value's *rarest* gram (by how many fakes hold it)
-    is the join key, so a hot gram shared by many fakes never becomes the
-    key of a value that has a rarer one; a semi join stops at the first hit.
-    fake inside value: each fake is keyed by its rarest gram and joined to
-    every gram of the value.  Strings shorter than ``GRAM`` go through exact
-    short-substring equi-joins.
-    """
-    n = GRAM
-    g_grams = g.select("fake", F.explode(F.array_distinct(_grams(F.col("fake"), n))).alias("gram")) \
-        .where(F.length("gram") == n)
-    freq = g_grams.groupBy("gram").agg(F.count("*").alias("freq"))
-
-    # value inside fake, len(value) >= n
-    v_long = v.where(F.length("norm") >= n)
-    v_grams = v_long.select("norm", F.explode(F.array_distinct(_grams(F.col("norm"), n))).alias("gram"))
-    v_freq = v_grams.join(freq, "gram", "left").fillna(0, ["freq"])
-    best = v_freq.groupBy("norm").agg(
-        F.min("freq").alias("min_freq"),
-        F.min_by("gram", F.struct("freq", "gram")).alias("gram"),
-    ).where(F.col("min_freq") > 0)
-    in_fake = best.join(g_grams.withColumnRenamed("gram", "g_gram"),
-                        (F.col("gram") == F.col("g_gram")) & (F.instr(F.col("fake"), F.col("norm")) > 0),
-                        "left_semi").select("norm")
-
-    # value inside fake, len(value) < n: exact short-substring equality
-    short_subs = g.select(F.explode(_short_subs(F.col("fake"), n - 1)).alias("sub")).distinct()
-    in_fake_short = v.where(F.length("norm") < n).join(
-        short_subs, F.col("norm") == F.col("sub"), "left_semi")
-
-    # fake inside value, len(fake) >= n: fake keyed by its rarest gram
-    g_key = g_grams.join(freq, "gram").groupBy("fake").agg(
-        F.min_by("gram", F.struct("freq", "gram")).alias("gram"))
-    v_all_grams = v.select("norm", F.explode(F.array_distinct(_grams(F.col("norm"), n))).alias("gram"))
-    has_fake = v_all_grams.join(g_key.withColumnRenamed("gram", "g_gram"),
-                                (F.col("gram") == F.col("g_gram")) & (F.instr(F.col("norm"), F.col("fake")) > 0),
-                                "left_semi").select("norm")
-
-    # fake inside value, len(fake) < n
-    short_fakes = g.where(F.length("fake") < n)
-    v_subs = v.select("norm", F.explode(_short_subs(F.col("norm"), n - 1)).alias("sub"))
-    has_short_fake = v_subs.join(short_fakes, F.col("sub") == F.col("fake"), "left_semi").select("norm")
-
-    return in_fake.unionByName(in_fake_short.select("norm")).unionByName(has_fake) \
-        .unionByName(has_short_fake).distinct()
-
-
-def suppress_generated(fd: DataFrame, mapping: DataFrame, broadcast_limit: int = BROADCAST_FAKES) -> DataFrame:
+    holds_fake = _contained(g, "fake", v, "norm").join(g, "fake", "left_semi").select("norm")
+    in_fake = v.join(_contained(v, "norm", g, "fake"), "norm", "left_semi")
+    return holds_fake.unionByName(in_fake).distinct()
+
+
+def suppress_generated(fd: DataFrame, mapping: DataFrame) -> DataFrame:
     """Drop findings whose normalised value equals, contains or is part of any
     replacement in ``mapping`` (any type).  ``fd`` needs a ``value`` column."""
     fd = fd.withColumn("_norm", normalize_key(F.col("value")))
     fakes = mapping.select(normalize_key(F.col("replacement")).alias("fake"))
-    bad = suppressed_values(fd.select(F.col("_norm").alias("norm")), fakes, broadcast_limit)
+    bad = suppressed_values(fd.select(F.col("_norm").alias("norm")), fakes)
     return fd.join(bad.withColumnRenamed("norm", "_norm"), "_norm", "left_anti").drop("_norm")

@@ -1,14 +1,18 @@
 """Original -> fake mapping as a table (F1-F4, F6).
 
-``mapping`` columns: ``pii_type, norm_key, surface, replacement, slot, bucket``.
+``mapping`` columns: ``pii_type, norm_key, surface, replacement, id``.
 ``(pii_type, norm_key)`` is unique; ``replacement`` is unique except for
-``[REDACTED]``.  Rows loaded from JSON have null ``slot``/``bucket``.
+``[REDACTED]``.  Rows loaded from JSON have a null ``id``.
 
-New keys get ids that are unique by construction: a key hashes to one of
-``buckets`` buckets of its type, is ranked by ``norm_key`` inside the bucket
-and takes the next free slot there; ``id = slot * buckets + bucket``.  No
-global sort, no retry loop, deterministic under task retries, and a later run
-continues above each bucket's high-water mark so old rows never change.
+New keys get dense ids per type: a key hashes to one of ``buckets`` buckets, is
+ranked by ``norm_key`` inside it, and the bucket counts give each bucket its
+offset.  Ids go on above the largest one in the mapping, so a later run never
+changes old rows and may use another bucket count.  No global sort; the same
+input always gives the same ids.
+
+A candidate fake is refused if the mapping already uses it, or if it equals,
+contains or is part of a value that was observed as an original.  Refused keys
+take the next ids in another round; nothing is capped.
 """
 
 from __future__ import annotations
@@ -18,15 +22,12 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab as V
 from ..functions.text import collapse_ws, normalize_key
+from ..session import checkpoint_dir
+from .findings import suppressed_values
 from .surrogates import surrogate
 
-MAPPING_SCHEMA = (
-    "pii_type string, norm_key string, surface string, replacement string, "
-    "slot bigint, bucket int"
-)
-DEFAULT_BUCKETS = 1024
-# Spare slots generated per bucket to step over foreign fakes already in use.
-POOL_SPARE = 8
+MAPPING_SCHEMA = "pii_type string, norm_key string, surface string, replacement string, id bigint"
+DEFAULT_BUCKETS = 1024      # window groups per type for ranking new keys; raise it with the number of distinct keys
 
 
 def empty_mapping(spark: SparkSession) -> DataFrame:
@@ -56,49 +57,48 @@ def new_keys(keys: DataFrame, mapping: DataFrame) -> DataFrame:
     return keys.join(mapping.select("pii_type", "norm_key"), ["pii_type", "norm_key"], "left_anti")
 
 
-def assign_surrogates(new: DataFrame, mapping: DataFrame, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Give each new key a unique replacement; returns rows in mapping schema."""
-    keyed = new.withColumn("bucket", bucket_of(F.col("pii_type"), F.col("norm_key"), buckets))
+def dense_ids(keys: DataFrame, buckets: int) -> DataFrame:
+    """Add ``rank``: 0, 1, 2, ... per type in the order of (bucket, norm_key)."""
+    keyed = keys.withColumn("bucket", bucket_of(F.col("pii_type"), F.col("norm_key"), buckets))
+    counts = keyed.groupBy("pii_type", "bucket").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("pii_type").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("pii_type", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     w = Window.partitionBy("pii_type", "bucket").orderBy("norm_key")
-    ranked = keyed.withColumn("rank", F.row_number().over(w))
-
-    need = ranked.groupBy("pii_type", "bucket").agg(F.count("*").alias("n"))
-    base = (mapping.where(F.col("slot").isNotNull())
-            .groupBy("pii_type", "bucket").agg((F.max("slot") + 1).alias("base")))
-    pool = (need.join(base, ["pii_type", "bucket"], "left")
-            .select("pii_type", "bucket", F.explode(F.sequence(
-                F.coalesce("base", F.lit(0)).cast("long"),
-                (F.coalesce("base", F.lit(0)) + F.col("n") + POOL_SPARE - 1).cast("long"))).alias("slot"))
-            .withColumn("replacement", surrogate(F.col("pii_type"),
-                                                 F.col("slot") * buckets + F.col("bucket"))))
-    used = mapping.select("replacement").where(F.col("replacement") != V.REDACTED).distinct()
-    free = pool.join(used, "replacement", "left_anti")
-    free = free.withColumn("rank", F.row_number().over(
-        Window.partitionBy("pii_type", "bucket").orderBy("slot")))
-    known = F.col("pii_type").isin(*[t for t in V.CATEGORIES])
-    out = ranked.join(free, ["pii_type", "bucket", "rank"], "left")
-    return out.select(
-        "pii_type", "norm_key", "surface",
-        F.when(~known, F.lit(V.REDACTED))
-        .when(F.col("replacement").isNull(),
-              F.raise_error(F.concat(F.lit("no free surrogate for "), F.col("pii_type"))))
-        .otherwise(F.col("replacement")).alias("replacement"),
-        F.when(known, F.col("slot")).alias("slot"),
-        F.when(known, F.col("bucket")).alias("bucket"),
-    )
-
-
-def lookup(fd: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Attach ``replacement`` to findings by ``(pii_type, normalised value)``."""
-    m = mapping.select("pii_type", "norm_key", "replacement")
-    return fd.withColumn("norm_key", normalize_key(F.col("value"))).join(m, ["pii_type", "norm_key"], "left")
+    return keyed.withColumn("in_bucket", F.row_number().over(w) - 1).join(offsets, ["pii_type", "bucket"]) \
+        .withColumn("rank", F.col("offset") + F.col("in_bucket")).drop("bucket", "in_bucket", "offset")
+
+
+def assign_surrogates(new: DataFrame, mapping: DataFrame, buckets: int = DEFAULT_BUCKETS,
+                      observed: DataFrame | None = None) -> DataFrame:
+    """Give each new key a unique replacement; returns rows in mapping schema.
+
+    ``observed``: ``norm_key`` of all values seen as originals (default: the new
+    and the loaded keys)."""
+    checkpoint_dir(new.sparkSession)
+    keys = new.select("pii_type", "norm_key", "surface").checkpoint()
+    known = F.col("pii_type").isin(*V.CATEGORIES)
+    if observed is None:
+        observed = keys.select("norm_key").union(mapping.select("norm_key"))
+    observed = observed.select(F.col("norm_key").alias("fake")).distinct()
+    used = mapping.select("replacement").where(F.col("replacement") != V.REDACTED)
+    next_id = mapping.groupBy("pii_type").agg((F.max("id") + 1).alias("base")).where("base is not null")
+    out = keys.where(~known).select("pii_type", "norm_key", "surface", F.lit(V.REDACTED).alias("replacement"),
+                                    F.lit(None).cast("bigint").alias("id"))
+    left = keys.where(known)
+    while True:
+        ranked = dense_ids(left, buckets).join(F.broadcast(next_id), "pii_type", "left")     # one row per type
+        ids = ranked.withColumn("id", F.coalesce("base", F.lit(0)) + F.col("rank")).drop("base", "rank")
+        offered = ids.withColumn("replacement", surrogate(F.col("pii_type"), F.col("id"))) \
+            .withColumn("norm", normalize_key(F.col("replacement"))).checkpoint()
+        refused = suppressed_values(offered.select("norm"), observed)
+        good = offered.join(refused, "norm", "left_anti").join(used, "replacement", "left_anti").checkpoint()
+        out = out.unionByName(good.select(*out.columns))
+        left = offered.join(good.select("pii_type", "id"), ["pii_type", "id"], "left_anti").select(*keys.columns).checkpoint()
+        if left.isEmpty():
+            return out
+        high = offered.groupBy("pii_type").agg((F.max("id") + 1).alias("base"))
+        next_id = high.union(next_id).groupBy("pii_type").agg(F.max("base").alias("base")).checkpoint()
 
 
 def merge_mapping(mapping: DataFrame, new: DataFrame) -> DataFrame:
     return mapping.unionByName(new.select(*mapping.columns))
-
-
-def dedupe_loaded(mapping: DataFrame, order: Column) -> DataFrame:
-    """Keep the first stored entry per ``(pii_type, norm_key)`` (file order)."""
-    w = Window.partitionBy("pii_type", "norm_key").orderBy(order)
-    return mapping.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")

@@ -4,16 +4,17 @@ Data flow and shuffles (``U`` = text units, small = proportional to findings):
 
 1. detection: one projection over ``U`` builds each unit's findings array
    (regex + NER + label context).  Narrow, no shuffle.
-2. suppression (only when the loaded mapping is non-empty): findings are
-   exploded, anti-joined with the set of values that match a generated fake
-   and regrouped per unit (shuffle of findings, not text).
+2. suppression (only when a mapping is given): findings are exploded,
+   anti-joined with the set of values that match a generated fake and regrouped
+   per unit (shuffle of findings, not text).
 3. overlap resolution: an in-row fold over each unit's findings array.
 4. mapping: distinct ``(type, key)`` -> existing replacement or a new
    surrogate (shuffles of distinct keys only).
 5. splice: findings with replacements are grouped per target row and joined
-   to the text.  The edit lists are small, so the optimiser broadcasts them
-   when they fit under the broadcast threshold and shuffles otherwise; rows
-   without findings pass through the outer join unchanged.
+   to the text.  A row is known by its id and the hash of its text, so rows that
+   share an id never get each other's edits.  The edit lists are small, so the
+   optimiser broadcasts them when they fit under the broadcast threshold and
+   shuffles otherwise; rows without findings pass through unchanged.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from ..sources.units import kind_rank, paragraph_units
 from . import ner as N
 from .detectors import (FINDINGS_TYPE, context_person_spans, detect_regex, is_blank,
                         no_findings)
-from .findings import BROADCAST_FAKES, resolve_overlaps, suppress_generated
+from .findings import resolve_overlaps, suppress_generated
 from .mapping import (DEFAULT_BUCKETS, assign_surrogates, empty_mapping, finding_keys,
                       merge_mapping, new_keys)
 
@@ -48,7 +49,6 @@ class Config:
     propagate_names: bool = False
     label_ignore_case: bool = False
     buckets: int = DEFAULT_BUCKETS
-    broadcast_fakes: int = BROADCAST_FAKES
 
 
 @dataclass
@@ -98,7 +98,9 @@ def detect_units(units: DataFrame, key: list[str], config: Config = Config(),
         N.ner_findings(F.col("scored")),
         context_person_spans(text, config.label_ignore_case),
     ))
-    return stage.select(*key, *carry, findings.alias("findings"), "scored")
+    # Through an array of one row: the optimiser cannot copy the detectors into a filter above.
+    row = F.struct(*key, *carry, findings.alias("findings"), "scored")
+    return stage.select(F.inline(F.array(row)))
 
 
 def explode_findings(det: DataFrame, key: list[str], carry: list[str], col: str = "findings") -> DataFrame:
@@ -109,15 +111,15 @@ def explode_findings(det: DataFrame, key: list[str], carry: list[str], col: str
 # 2-3. suppression and overlaps
 # --------------------------------------------------------------------------
 
-def kept_findings(det: DataFrame, key: list[str], carry: list[str], mapping: DataFrame,
+def kept_findings(det: DataFrame, key: list[str], carry: list[str], mapping: DataFrame | None,
                   config: Config = Config()) -> DataFrame:
-    """Findings after suppression of generated values and overlap resolution."""
+    """Findings after suppression of generated values (of a given mapping) and overlap resolution."""
     det = det.where(F.size("findings") > 0)
-    if mapping.isEmpty():
+    if mapping is None:
         resolved = det.select(*key, *carry, resolve_overlaps(F.col("findings")).alias("kept"))
     else:
         fd = explode_findings(det, key, carry)
-        fd = suppress_generated(fd, mapping, config.broadcast_fakes)
+        fd = suppress_generated(fd, mapping)
         regrouped = fd.groupBy(*key, *carry).agg(
             F.collect_list(F.struct(*FINDING_FIELDS)).cast(FINDINGS_TYPE).alias("fs"))
         resolved = regrouped.select(*key, *carry, resolve_overlaps(F.col("fs")).alias("kept"))
@@ -138,10 +140,14 @@ def map_findings(kept: DataFrame, key: list[str], mapping: DataFrame,
                  buckets: int = DEFAULT_BUCKETS) -> tuple[DataFrame, DataFrame]:
     """Return (findings with ``norm_key`` + ``replacement``, new mapping rows)."""
     keys = finding_keys(kept, occurrence_order(key)).where(F.length("norm_key") > 0)
-    new = assign_surrogates(new_keys(keys, mapping), mapping, buckets)
+    observed = keys.select("norm_key").union(mapping.select("norm_key"))
+    new = assign_surrogates(new_keys(keys, mapping), mapping, buckets, observed)
     full = merge_mapping(mapping, new).select("pii_type", "norm_key", "replacement")
     with_key = kept.withColumn("norm_key", normalize_key(F.col("value")))
-    joined = with_key.join(full, ["pii_type", "norm_key"], "left")
+    # A value with a blank key has no mapping row and stays; any other must have one.
+    found = F.when(F.col("norm_key") == "", F.col("value")).otherwise(F.coalesce("replacement", F.raise_error(
+        F.concat(F.lit("no replacement for a finding of type "), F.col("pii_type"))).cast("string")))
+    joined = with_key.join(full, ["pii_type", "norm_key"], "left").withColumn("replacement", found)
     return joined, new
 
 
@@ -159,7 +165,7 @@ def splice_text(text: Column, edits: Column) -> Column:
     def piece(e, i):
         prev_end = F.when(i == 0, F.lit(0)).otherwise(F.try_element_at(ordered, i)["end"])
         gap = text.substr(prev_end + 1, e["start"] - prev_end)
-        return F.array(gap, F.coalesce(e["replacement"], F.lit("")))
+        return F.array(gap, e["replacement"])
 
     body = F.array_join(F.flatten(F.transform(ordered, piece)), "")
     last_end = F.coalesce(F.try_element_at(ordered, F.lit(-1))["end"], F.lit(0))
@@ -169,7 +175,7 @@ def splice_text(text: Column, edits: Column) -> Column:
 
 def edits_by(findings: DataFrame, target_key: list[str], offset: Column | None = None) -> DataFrame:
     off = offset if offset is not None else F.lit(0)
-    return findings.groupBy(*target_key).agg(F.collect_list(F.struct(
+    return findings.groupBy(*target_key).agg(F.collect_set(F.struct(          # a set: equal rows give equal edits
         (F.col("start") + off).cast("int").alias("start"),
         (F.col("end") + off).cast("int").alias("end"),
         F.col("replacement"),
@@ -189,15 +195,6 @@ def apply_edits(target: DataFrame, edits: DataFrame, target_key: list[str], text
 # jobs
 # --------------------------------------------------------------------------
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer partitions than the cluster has
-    cores (e.g. one large row group); a many-file input is left alone."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par)
-    return df
-
-
 def _persist(df: DataFrame, cache: list) -> DataFrame:
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     cache.append(df)
@@ -207,19 +204,20 @@ def _persist(df: DataFrame, cache: list) -> DataFrame:
 def redact_units(units: DataFrame, mapping: DataFrame | None = None, config: Config = Config(),
                  key: list[str] | None = None, candidates: DataFrame | None = None,
                  target: DataFrame | None = None, target_key: list[str] | None = None,
-                 offset_col: str | None = None) -> RedactionResult:
+                 offset_col: str | None = None, carry: list[str] | None = None) -> RedactionResult:
     """Redact text units.  By default the units themselves are the output;
     ``target``/``target_key``/``offset_col`` splice a coarser table instead
-    (e.g. whole documents with paragraph offsets)."""
+    (e.g. whole documents with paragraph offsets).  ``carry``: further unit
+    columns that tell rows with equal keys apart."""
     spark = units.sparkSession
     key = key or ["doc_id", "unit_kind", "unit_no"]
-    mapping = mapping if mapping is not None else empty_mapping(spark)
     cache: list = []
-    carry = [offset_col] if offset_col else []
+    carry = (carry or []) + ([offset_col] if offset_col else [])
 
-    det = _persist(detect_units(units, key, config, candidates, carry)
-                   .where((F.size("findings") > 0) | (F.size("scored") > 0)), cache)
+    detected = detect_units(units, key, config, candidates, carry)
+    det = _persist(detected.select(*key, *carry, "findings").where(F.size("findings") > 0), cache)
     kept = _persist(kept_findings(det, key, carry, mapping, config), cache)
+    mapping = mapping if mapping is not None else empty_mapping(spark)
     mapped, new = map_findings(kept, key, mapping, config.buckets)
     new = _persist(new, cache)
     mapped = _persist(mapped, cache)
@@ -228,7 +226,7 @@ def redact_units(units: DataFrame, mapping: DataFrame | None = None, config: Con
         target, target_key = units, key
     off = F.col(offset_col) if offset_col else None
     output = apply_edits(target, edits_by(mapped, target_key, off), target_key)
-    ner = det.select(*key, F.explode("scored").alias("s")).select(*key, "s.*")
+    ner = detected.select(*key, F.explode("scored").alias("s")).select(*key, "s.*")      # computed only if asked for
     return RedactionResult(output=output, findings=mapped, mapping=merge_mapping(mapping, new),
                            new_mapping=new, ner=ner, _cached=cache)
 
@@ -236,34 +234,37 @@ def redact_units(units: DataFrame, mapping: DataFrame | None = None, config: Con
 def redact_documents(docs: DataFrame, mapping: DataFrame | None = None, config: Config = Config(),
                      id_col: str = "doc_id", text_col: str = "text",
                      candidates: DataFrame | None = None) -> RedactionResult:
-    """Redact whole documents, one unit per line; other columns pass through."""
-    target = docs if (id_col == "doc_id" and text_col == "text") else \
-        docs.withColumnRenamed(id_col, "doc_id").withColumnRenamed(text_col, "text")
-    units = paragraph_units(spread(target.select("doc_id", "text")))
-    return redact_units(units, mapping, config, candidates=candidates, target=target,
-                        target_key=["doc_id"], offset_col="unit_offset")
+    """Redact whole documents, one unit per line; names and other columns stay as they are."""
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    target = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("unit_body"), row)
+    units = paragraph_units(target, carry=["unit_body"])
+    res = redact_units(units, mapping, config, candidates=candidates, target=target,
+                       target_key=["doc_id", "unit_body"], offset_col="unit_offset", carry=["unit_body"])
+    res.output = res.output.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return res
 
 
 def redact_table(df: DataFrame, key: str, cols: list[str], mapping: DataFrame | None = None,
                  config: Config = Config()) -> RedactionResult:
     """Redact chosen string columns of a table in place (cells are units)."""
     from ..sources.units import cell_units
-    units = cell_units(df, key, cols)
-    res = redact_units(units, mapping, config, key=["doc_id", "unit_kind", "unit_no"])
+    body = F.xxhash64(*[F.col(c).cast("string") for c in cols])
+    units = cell_units(df.withColumn("unit_body", body), key, cols, carry=["unit_body"])
+    res = redact_units(units, mapping, config, key=["doc_id", "unit_kind", "unit_no"], carry=["unit_body"])
     # Per-row edit lists keyed by column index, joined once to the table.
-    per_row = res.findings.groupBy("doc_id", "unit_no").agg(F.collect_list(F.struct(
+    per_row = res.findings.groupBy("doc_id", "unit_body", "unit_no").agg(F.collect_set(F.struct(
         F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"),
         F.col("replacement"))).cast(EDIT_TYPE).alias("edits"))
-    per_row = per_row.groupBy(F.col("doc_id").alias(key)).agg(
+    per_row = per_row.groupBy(F.col("doc_id").alias("edit_key"), F.col("unit_body").alias("edit_body")).agg(
         F.map_from_entries(F.collect_list(F.struct("unit_no", "edits"))).alias("_edits"))
-    joined = df.join(per_row, key, "left")
+    joined = df.join(per_row, df[key].eqNullSafe(per_row["edit_key"]) & (body == per_row["edit_body"]), "left")
     out = []
     for c in df.columns:
         if c in cols:
             e = F.try_element_at(F.col("_edits"), F.lit(cols.index(c)))
-            out.append(F.when(e.isNull(), F.col(c)).otherwise(splice_text(F.col(c).cast("string"), e)).alias(c))
+            out.append(F.when(e.isNull(), df[c]).otherwise(splice_text(df[c].cast("string"), e)).alias(c))
         else:
-            out.append(F.col(c))
+            out.append(df[c])
     res.output = joined.select(*out)
     return res
 

@@ -1,9 +1,10 @@
 """Deterministic surrogate values (F5).
 
 A surrogate is a pure function of ``(pii_type, id)``; each format is injective
-in ``id`` up to its capacity, and formats of different types never coincide,
-so distinct ids give distinct fakes across all types.  Names are built from
-short syllable lists by a mixed-radix rule (no large literal tables).
+in ``id`` for every id (beyond the usual shape of a type the value simply gets
+longer), and formats of different types never coincide, so distinct ids give
+distinct fakes across all types.  Names are built from short syllable lists by
+a mixed-radix rule (no large literal tables).
 """
 
 from __future__ import annotations
@@ -39,19 +40,12 @@ N_SURNAME = len(SURNAME_HEADS) * len(SURNAME_TAILS)  # 400
 PHONE_MULT = 387420489        # 3**18, coprime with 10**9
 CARD_MULT = 387420489
 CARD_BIN = "400000"
-DATE_ORIGIN = "1930-01-01"
-
-CAPACITY = {
-    "PERSON": N_NAME * len(INITIALS) * N_SURNAME,
-    "EMAIL": None,
-    "PHONE": 10 ** 9,
-    "ORGANIZATION": 20 * 20 * 20 * len(SECTORS) * len(ORG_SUFFIXES),
-    "ADDRESS": 999 * N_SURNAME * len(STREET_KINDS) * len(CITIES) * 99999,
-    "DATE": 34_000,
-    "SSN": 100 * 99 * 9999,
-    "CREDIT_CARD": 10 ** 9,
-    "IP_ADDRESS": 1 << 24,
-}
+FIRST_YEAR = 1930
+PERSONS = N_NAME * len(INITIALS) * N_SURNAME          # names with one initial
+ORG_WORDS = len(SURNAME_HEADS) * len(NAME_HEADS) * len(NAME_TAILS)
+ORGANIZATIONS = ORG_WORDS * len(SECTORS) * len(ORG_SUFFIXES)
+ADDRESSES = 999 * N_SURNAME * len(STREET_KINDS) * len(CITIES) * 99999
+MORE = 4                                              # further digits of the mixed radix, beyond 64 bits together
 
 
 def _pick(values: list[str], idx: Column) -> Column:
@@ -59,20 +53,37 @@ def _pick(values: list[str], idx: Column) -> Column:
 
 
 def _first_name(i: Column) -> Column:
-    return F.concat(_pick(NAME_HEADS, i % 20), _pick(NAME_TAILS, F.floor(i / 20) % 20))
+    return F.concat(_pick(NAME_HEADS, i % 20), _pick(NAME_TAILS, _div(i, 20) % 20))
 
 
 def _surname(i: Column) -> Column:
-    return F.concat(_pick(SURNAME_HEADS, i % 20), _pick(SURNAME_TAILS, F.floor(i / 20) % 20))
+    return F.concat(_pick(SURNAME_HEADS, i % 20), _pick(SURNAME_TAILS, _div(i, 20) % 20))
 
 
 def _div(a: Column, b: int) -> Column:
-    return F.floor(a / F.lit(b)).cast("long")
+    """Integer division of a non-negative long (exact below 2**53)."""
+    return ((a - a % b) / b).cast("long")
+
+
+def _more(i: Column, radix: int, word) -> list[Column]:
+    """A word for each digit of ``i`` in ``radix`` without leading zeros; null beyond."""
+    out = []
+    for _ in range(MORE):
+        out.append(F.when(i > 0, word(i % radix)))
+        i = _div(i, radix)
+    return out
+
+
+def _pad(x: Column, width: int) -> Column:
+    """Left-padded with zeros, never cut."""
+    s = x.cast("string")
+    return F.when(F.length(s) >= width, s).otherwise(F.lpad(s, width, "0"))
 
 
 def person(i: Column) -> Column:
     return F.concat_ws(" ", _first_name(i % N_NAME),
                        F.concat(_pick(INITIALS, _div(i, N_NAME) % 26), F.lit(".")),
+                       *_more(_div(i, PERSONS), N_NAME, _first_name),
                        _surname(_div(i, N_NAME * 26) % N_SURNAME))
 
 
@@ -85,19 +96,22 @@ def email(i: Column) -> Column:
 
 def phone(i: Column) -> Column:
     body = F.pmod(i * F.lit(PHONE_MULT).cast("long") + F.lit(12345), F.lit(10 ** 9).cast("long"))
-    return F.concat(F.lit("+91 9"), F.lpad(body.cast("string"), 9, "0"))
+    over = _div(i, 10 ** 9)
+    return F.concat(F.lit("+91 9"), F.when(over > 0, over.cast("string")).otherwise(""), F.lpad(body.cast("string"), 9, "0"))
+
+
+def _org_word(i: Column) -> Column:
+    return F.concat(_pick(SURNAME_HEADS, i % 20), F.lower(_pick(NAME_HEADS, _div(i, 20) % 20)), _pick(NAME_TAILS, _div(i, 400) % 20))
 
 
 def organization(i: Column) -> Column:
-    word = F.concat(_pick(SURNAME_HEADS, i % 20), F.lower(_pick(NAME_HEADS, _div(i, 20) % 20)),
-                    _pick(NAME_TAILS, _div(i, 400) % 20))
-    rest = _div(i, 8000)
-    return F.concat_ws(" ", word, _pick(SECTORS, rest % len(SECTORS)),
+    rest = _div(i, ORG_WORDS)
+    return F.concat_ws(" ", _org_word(i), *_more(_div(i, ORGANIZATIONS), ORG_WORDS, _org_word), _pick(SECTORS, rest % len(SECTORS)),
                        _pick(ORG_SUFFIXES, _div(rest, len(SECTORS)) % len(ORG_SUFFIXES)))
 
 
 def address(i: Column) -> Column:
-    house = (i % 999 + 1).cast("string")
+    house = (i % 999 + 1 + _div(i, ADDRESSES) * 999).cast("string")
     r = _div(i, 999)
     street = _surname(r % N_SURNAME)
     r = _div(r, N_SURNAME)
@@ -109,19 +123,22 @@ def address(i: Column) -> Column:
 
 
 def date(i: Column) -> Column:
-    return F.date_format(F.date_add(F.lit(DATE_ORIGIN).cast("date"), i.cast("int")), "dd MMMM yyyy")
+    """Days 1 to 28 of every month from ``FIRST_YEAR`` on."""
+    year = F.lit(FIRST_YEAR) + _div(i, 28 * 12)
+    return F.concat_ws(" ", F.lpad((i % 28 + 1).cast("string"), 2, "0"), _pick(V.MONTHS.split("|"), _div(i, 28) % 12), year.cast("string"))
 
 
 def ssn(i: Column) -> Column:
     return F.concat(
         (F.lit(900) + i % 100).cast("string"), F.lit("-"),
         F.lpad((F.lit(1) + _div(i, 100) % 99).cast("string"), 2, "0"), F.lit("-"),
-        F.lpad((F.lit(1) + _div(i, 9900) % 9999).cast("string"), 4, "0"),
+        _pad(F.lit(1) + _div(i, 9900), 4),
     )
 
 
 def card(i: Column) -> Column:
-    body = F.concat(F.lit(CARD_BIN), F.lpad(
+    over = _div(i, 10 ** 9)
+    body = F.concat(F.lit(CARD_BIN), F.when(over > 0, over.cast("string")).otherwise(""), F.lpad(
         F.pmod(i * F.lit(CARD_MULT).cast("long") + F.lit(777), F.lit(10 ** 9).cast("long")).cast("string"), 9, "0"))
     # Luhn check digit over the 15-digit body (rightmost body digit is doubled).
     rev = F.split(F.reverse(body), "")
@@ -133,24 +150,24 @@ def card(i: Column) -> Column:
     return F.concat(body, ((F.lit(10) - total % 10) % 10).cast("string"))
 
 
-def ipv4(i: Column) -> Column:
-    return F.concat_ws(".", F.lit("10"), (_div(i, 65536) % 256).cast("string"),
-                       (_div(i, 256) % 256).cast("string"), (i % 256).cast("string"))
+def ip_address(i: Column) -> Column:
+    """Reserved 240.0.0.0/4, which no real host has; then IPv6 documentation addresses."""
+    v4 = F.concat_ws(".", (F.lit(240) + _div(i, 1 << 24) % 16).cast("string"), (_div(i, 65536) % 256).cast("string"),
+                     (_div(i, 256) % 256).cast("string"), (i % 256).cast("string"))
+    groups = [F.lower(F.hex(_div(i, 1 << k) % 65536)) for k in (48, 32, 16)] + [F.lower(F.hex(i % 65536))]
+    return F.when(i < 1 << 28, v4).otherwise(F.concat_ws(":", F.lit("2001:db8:0:0"), *groups))
 
 
 _FORMATS = {
     "PERSON": person, "EMAIL": email, "PHONE": phone, "ORGANIZATION": organization,
-    "ADDRESS": address, "DATE": date, "SSN": ssn, "CREDIT_CARD": card, "IP_ADDRESS": ipv4,
+    "ADDRESS": address, "DATE": date, "SSN": ssn, "CREDIT_CARD": card, "IP_ADDRESS": ip_address,
 }
 
 
 def surrogate(pii_type: Column, i: Column) -> Column:
-    """The fake for ``(pii_type, id)``; fails the task beyond a type's capacity."""
+    """The fake for ``(pii_type, id)``, id from 0 on without an upper bound."""
     i = i.cast("long")
     out = F.lit(V.REDACTED)
     for t, fn in _FORMATS.items():
-        cap = CAPACITY[t]
-        val = fn(i) if cap is None else F.when(i < cap, fn(i)).otherwise(
-            F.raise_error(F.concat(F.lit(f"surrogate capacity exhausted for {t}: id "), i.cast("string"))))
-        out = F.when(pii_type == t, val).otherwise(out)
+        out = F.when(pii_type == t, fn(i)).otherwise(out)
     return out

@@ -197,7 +197,7 @@ def looks_like_name(x: str) -> str:
 
 def detector_ctes(src: str = "corpus", prefix: str = "d") -> tuple[list[str], str]:
     """CTEs producing ``{prefix}_all(doc_id, unit_kind, unit_no, pii_type, value, start_pos, end_pos,
-    confidence, source, score, seq)`` for all pattern and context detectors."""
+    confidence, source, score, seq)`` for all pattern, NER and context detectors."""
     p = prefix
     ctes = [
         spans_cte(f"{p}_email", src, EMAIL_RE),
@@ -233,6 +233,10 @@ def detector_ctes(src: str = "corpus", prefix: str = "d") -> tuple[list[str], st
         f"NULL::INTEGER AS score, {seq} AS seq FROM {p}_{n}" for n, t, seq in parts)
     union += (f" UNION ALL SELECT {KEY}, 'PERSON', value, start_pos, end_pos, 'HIGH', 'context', "
               f"{V.CONTEXT_PERSON_SCORE}, {V.SEQ_CONTEXT} FROM {p}_ctx")
+    union += (f" UNION ALL SELECT {KEY}, CASE label WHEN 'PERSON' THEN 'PERSON' ELSE 'ORGANIZATION' END, value, start_pos, end_pos, "
+              f"CASE WHEN label = 'PERSON' AND score >= {V.HIGH_SCORE} THEN 'HIGH' ELSE 'MEDIUM' END, 'ner', score, {V.SEQ_NER} "
+              f"FROM {p}_ner WHERE accepted")
+    ctes += ner_ctes(src, f"{p}_")
     ctes.append(f"{p}_all AS ({union})")
     return ctes, f"{p}_all"
 
@@ -295,7 +299,8 @@ def surrogate_sql(t: str, i: str) -> str:
                f"{_pick(S.STREET_KINDS, f'{r2} % {len(S.STREET_KINDS)}')} || ', ' || "
                f"{_pick(S.CITIES, f'{r3} % {len(S.CITIES)}')} || ' - ' || "
                f"(400001 + ({r3} // {len(S.CITIES)}) % 99999)::VARCHAR")
-    date = f"strftime(DATE '{S.DATE_ORIGIN}' + ({i})::INTEGER, '%d %B %Y')"
+    date = (f"lpad(({i} % 28 + 1)::VARCHAR, 2, '0') || ' ' || {_pick(V.MONTHS.split('|'), f'({i} // 28) % 12')} || ' ' || "
+            f"({S.FIRST_YEAR} + {i} // 336)::VARCHAR")
     ssn = (f"(900 + {i} % 100)::VARCHAR || '-' || lpad((1 + ({i} // 100) % 99)::VARCHAR, 2, '0') || '-' || "
            f"lpad((1 + ({i} // 9900) % 9999)::VARCHAR, 4, '0')")
     body = f"('{S.CARD_BIN}' || lpad((({i} * {S.CARD_MULT} + 777) % 1000000000)::VARCHAR, 9, '0'))"
@@ -304,7 +309,7 @@ def surrogate_sql(t: str, i: str) -> str:
         (f"(CASE WHEN {dig(k)} * 2 > 9 THEN {dig(k)} * 2 - 9 ELSE {dig(k)} * 2 END)" if k % 2 == 0 else dig(k))
         for k in range(15))
     card = f"{body} || ((10 - ({terms}) % 10) % 10)::VARCHAR"
-    ip = f"'10.' || (({i} // 65536) % 256)::VARCHAR || '.' || (({i} // 256) % 256)::VARCHAR || '.' || ({i} % 256)::VARCHAR"
+    ip = f"(240 + ({i} // 16777216) % 16)::VARCHAR || '.' || (({i} // 65536) % 256)::VARCHAR || '.' || (({i} // 256) % 256)::VARCHAR || '.' || ({i} % 256)::VARCHAR"
     cases = {"PERSON": person, "EMAIL": email, "PHONE": phone, "ORGANIZATION": org, "ADDRESS": address,
              "DATE": date, "SSN": ssn, "CREDIT_CARD": card, "IP_ADDRESS": ip}
     return "CASE " + " ".join(f"WHEN {t} = '{k}' THEN {v}" for k, v in cases.items()) + f" ELSE '{V.REDACTED}' END"
@@ -327,7 +332,7 @@ cunits AS (
 
 
 def pipeline_ctes(src: str = "cunits", base: list[str] | None = None) -> list[str]:
-    """First-run redaction of ``src`` units, no NER.
+    """First-run redaction of ``src`` units.
 
     Produces ``kept`` (findings after overlaps), ``keys``, ``newmap`` and
     ``mapped`` (kept findings with replacement)."""
@@ -341,10 +346,9 @@ def pipeline_ctes(src: str = "cunits", base: list[str] | None = None) -> list[st
            (doc_id, CASE unit_kind WHEN 'paragraph' THEN 0 WHEN 'cell' THEN 1 ELSE 2 END, unit_no, -start_pos) AS ord
     FROM kept) WHERE length(norm_key) > 0 GROUP BY pii_type, norm_key)""",
         f"""newmap AS (
-  SELECT pii_type, norm_key, surface, slot, bucket,
-         {surrogate_sql('pii_type', '(slot * 1024 + bucket)')} AS replacement
-  FROM (SELECT *, (row_number() OVER (PARTITION BY pii_type, bucket ORDER BY norm_key) - 1)::BIGINT AS slot
-        FROM (SELECT *, {bucket_sql('pii_type', 'norm_key')} AS bucket FROM keys)))""",
+  SELECT pii_type, norm_key, surface, id, {surrogate_sql('pii_type', 'id')} AS replacement
+  FROM (SELECT *, (row_number() OVER (PARTITION BY pii_type ORDER BY {bucket_sql('pii_type', 'norm_key')}, norm_key) - 1)::BIGINT AS id
+        FROM keys))""",
         f"""mapped AS (
   SELECT k.*, m.replacement FROM (SELECT *, {normalize_key('value')} AS norm_key FROM kept) k
   LEFT JOIN newmap m USING (pii_type, norm_key))""",
@@ -381,7 +385,7 @@ SELECT {KEY}, pii_type, value, start_pos, end_pos, source FROM kept"""
 
 def mapping_new_keys_sql() -> str:
     return with_corpus_rec(*pipeline_ctes()) + """
-SELECT pii_type, norm_key, surface, replacement, slot, bucket FROM newmap"""
+SELECT pii_type, norm_key, surface, replacement, id FROM newmap"""
 
 
 def surrogate_uniqueness_sql() -> str:
@@ -482,14 +486,13 @@ def _second_run_ctes() -> list[str]:
            (doc_id, CASE unit_kind WHEN 'paragraph' THEN 0 WHEN 'cell' THEN 1 ELSE 2 END, unit_no, -start_pos) AS ord
     FROM kept2) WHERE length(norm_key) > 0 GROUP BY pii_type, norm_key)""",
         f"""new2 AS (
-  SELECT n.pii_type, n.norm_key, n.surface, n.bucket,
-         (coalesce(b.base, 0) + row_number() OVER (PARTITION BY n.pii_type, n.bucket ORDER BY n.norm_key) - 1)::BIGINT AS slot
-  FROM (SELECT k.*, {bucket_sql('k.pii_type', 'k.norm_key')} AS bucket FROM keys2 k
+  SELECT n.pii_type, n.norm_key, n.surface, coalesce(b.base, 0) + row_number() OVER (
+           PARTITION BY n.pii_type ORDER BY {bucket_sql('n.pii_type', 'n.norm_key')}, n.norm_key) - 1 AS id
+  FROM (SELECT k.* FROM keys2 k
         WHERE NOT EXISTS (SELECT 1 FROM newmap m WHERE m.pii_type = k.pii_type AND m.norm_key = k.norm_key)) n
-  LEFT JOIN (SELECT pii_type, bucket, max(slot) + 1 AS base FROM newmap GROUP BY pii_type, bucket) b
-    USING (pii_type, bucket))""",
+  LEFT JOIN (SELECT pii_type, max(id) + 1 AS base FROM newmap GROUP BY pii_type) b USING (pii_type))""",
         f"""map2 AS (SELECT pii_type, norm_key, replacement FROM newmap UNION ALL
-             SELECT pii_type, norm_key, {surrogate_sql('pii_type', '(slot * 1024 + bucket)')} FROM new2)""",
+             SELECT pii_type, norm_key, {surrogate_sql('pii_type', 'id')} FROM new2)""",
         f"""mapped2 AS (SELECT k.*, m.replacement FROM (SELECT *, {normalize_key('value')} AS norm_key FROM kept2) k
              LEFT JOIN map2 m USING (pii_type, norm_key))""",
     ]
@@ -498,7 +501,6 @@ def _second_run_ctes() -> list[str]:
 
 def _redacted_docs_ctes() -> list[str]:
     """First run, then its redacted documents as units ``runits``."""
-    body = redact_documents_sql()
     ctes = pipeline_ctes()
     ctes.append(f"""edits AS (
   SELECT m.doc_id, (m.start_pos + u.unit_offset) AS s, (m.end_pos + u.unit_offset) AS e, m.replacement
@@ -516,7 +518,6 @@ def _redacted_docs_ctes() -> list[str]:
   SELECT doc_id::BIGINT AS doc_id, 'paragraph' AS unit_kind, unit_no::INTEGER AS unit_no, text
   FROM (SELECT doc_id, unnest(parts) AS text, unnest(generate_series(0, len(parts) - 1)) AS unit_no
         FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM rdocs)))""")
-    del body
     det, _ = detector_ctes("runits", "r")
     return ctes + det
 
@@ -665,7 +666,8 @@ def org_gate_sql(value: str) -> str:
       AND (({suffix}) OR ({ind})))"""
 
 
-def ner_ctes() -> list[str]:
+def ner_ctes(src: str = "corpus", p: str = "") -> list[str]:
+    """CTEs of the stand-in tagger and its validation; names start with ``p``."""
     from ..operators.ner import CAPITALISED_RUN
     lowerv = casefold("value")
     org = " OR ".join([f"ends_with({lowerv}, {q(t)})" for t in V.ORG_STRONG_SUFFIXES]
@@ -678,14 +680,14 @@ def ner_ctes() -> list[str]:
     overlap = (f"list_sort(list_intersect(list_distinct(list_transform(regexp_extract_all(c.value, '([A-Za-z]+)', 1), "
                f"lambda x: lower(x))), {str_list(V.SENTENCE_WORDS)}))")
     return [
-        f"nblank AS (SELECT * FROM corpus WHERE regexp_matches(text, '[^{PYWS}]'))",
-        spans_cte("runs", "nblank", CAPITALISED_RUN),
-        f"""cands AS (SELECT *, CASE WHEN {org} THEN 'ORG' ELSE 'PERSON' END AS label,
-              regexp_replace({casefold('value')}, '{WS}+', ' ', 'g') AS pnorm FROM runs)""",
-        f"""first AS (SELECT * EXCLUDE (rn) FROM (
-              SELECT *, row_number() OVER (PARTITION BY {KEY}, label, pnorm ORDER BY start_pos) AS rn FROM cands)
+        f"{p}nblank AS (SELECT * FROM {src} WHERE regexp_matches(text, '[^{PYWS}]'))",
+        spans_cte(f"{p}runs", f"{p}nblank", CAPITALISED_RUN),
+        f"""{p}cands AS (SELECT *, CASE WHEN {org} THEN 'ORG' ELSE 'PERSON' END AS label,
+              regexp_replace({casefold('value')}, '{WS}+', ' ', 'g') AS pnorm FROM {p}runs)""",
+        f"""{p}first AS (SELECT * EXCLUDE (rn) FROM (
+              SELECT *, row_number() OVER (PARTITION BY {KEY}, label, pnorm ORDER BY start_pos) AS rn FROM {p}cands)
             WHERE label = 'ORG' OR rn = 1)""",
-        f"""scored AS (
+        f"""{p}scored AS (
   SELECT c.{KEY.replace(', ', ', c.')}, c.value, c.label, c.start_pos, c.end_pos,
          {person_gate_sql('c.value')} AS gate,
          (2 + ({shape_score}) + CASE WHEN {pc} THEN 3 ELSE 0 END - CASE WHEN {npc} THEN 3 ELSE 0 END
@@ -696,14 +698,14 @@ def ner_ctes() -> list[str]:
             CASE WHEN len({overlap}) > 0 THEN ['sentence-like words: ' || array_to_string({overlap}, ', ')]
                  ELSE []::VARCHAR[] END) AS conf_reasons,
          {org_gate_sql('c.value')} AS org_ok
-  FROM first c JOIN nblank u USING ({KEY}))""",
-        f"""ner AS (
+  FROM {p}first c JOIN {p}nblank u USING ({KEY}))""",
+        f"""{p}ner AS (
   SELECT {KEY}, value, label, start_pos, end_pos,
          CASE WHEN label = 'PERSON' THEN gate AND conf_score >= {V.ACCEPT_SCORE} ELSE org_ok END AS accepted,
          CASE WHEN label = 'PERSON' THEN CASE WHEN gate THEN conf_score ELSE {V.SHAPE_REJECT_SCORE} END END AS score,
          CASE WHEN label = 'PERSON' THEN CASE WHEN gate THEN conf_reasons
               ELSE [{q(V.SHAPE_REJECT_REASON)}] END END AS reasons
-  FROM scored)""",
+  FROM {p}scored)""",
     ]
 
 

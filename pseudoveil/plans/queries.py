@@ -38,17 +38,22 @@ context_persons = _detector(D.context_person_spans)
 
 
 # --------------------------------------------------------------------------
-# pipeline queries (regex + label-context detectors; no NER model here)
+# pipeline queries (all detectors; the NER stage runs the stand-in tagger)
 # --------------------------------------------------------------------------
 
 from ..functions import vocab as V  # noqa: E402
 from ..functions.checks import mobile_number as _mobile  # noqa: E402
 from ..functions.text import normalize_key as _norm, summary_key as _summary  # noqa: E402
 from ..operators.findings import resolve_overlaps as _resolve  # noqa: E402
-from ..operators.redact import Config, redact_documents as _redact_documents  # noqa: E402
+from ..operators.redact import Config, detect_units, redact_documents as _redact_documents  # noqa: E402
 from .fixtures import corpus_documents  # noqa: E402
 
-PIPELINE = Config(ner="off")
+PIPELINE = Config()
+
+
+def _found(units: DataFrame) -> DataFrame:
+    """All findings of the units, before suppression and overlaps."""
+    return detect_units(units, KEY, PIPELINE).select(*KEY, F.col("findings"))
 
 
 def _first_run(spark: SparkSession, sf_dir: str):
@@ -56,9 +61,8 @@ def _first_run(spark: SparkSession, sf_dir: str):
 
 
 def resolve_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = corpus(spark, sf_dir)
-    found = F.concat(D.detect_regex(F.col("text")), D.context_person_spans(F.col("text")))
-    return (u.select(*KEY, F.explode(_resolve(found)).alias("f"))
+    u = _found(corpus(spark, sf_dir))
+    return (u.select(*KEY, F.explode(_resolve(F.col("findings"))).alias("f"))
             .select(*KEY, "f.pii_type", "f.value", F.col("f.start").alias("start_pos"),
                     F.col("f.end").alias("end_pos"), "f.source"))
 
@@ -69,7 +73,7 @@ def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mapping_new_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _first_run(spark, sf_dir).new_mapping.select(
-        "pii_type", "norm_key", "surface", "replacement", "slot", "bucket")
+        "pii_type", "norm_key", "surface", "replacement", "id")
 
 
 def surrogate_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,9 +89,7 @@ def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalize_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = corpus(spark, sf_dir)
-    found = F.concat(D.detect_regex(F.col("text")), D.context_person_spans(F.col("text")))
-    f = u.select(F.explode(found).alias("f")).select("f.pii_type", "f.value")
+    f = _found(corpus(spark, sf_dir)).select(F.explode("findings").alias("f")).select("f.pii_type", "f.value")
     return f.select("pii_type", "value", _norm(F.col("value")).alias("norm_key"),
                     _summary(F.col("value")).alias("summary_key")).distinct()
 
@@ -137,8 +139,7 @@ def suppress_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = _first_run(spark, sf_dir)
     from ..sources.units import paragraph_units
     u = paragraph_units(first.output.select("doc_id", "text"))
-    found = F.concat(D.detect_regex(F.col("text")), D.context_person_spans(F.col("text")))
-    fd = (u.select(*KEY, F.explode(found).alias("f"))
+    fd = (_found(u).select(*KEY, F.explode("findings").alias("f"))
           .select(*KEY, "f.pii_type", "f.value", F.col("f.start").alias("start_pos"), F.col("f.end").alias("end_pos"))
           .withColumn("norm", _norm(F.col("value"))))
     fakes = first.new_mapping.select(_norm(F.col("replacement")).alias("fake"))

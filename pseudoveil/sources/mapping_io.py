@@ -46,7 +46,7 @@ def mapping_from_json_text(doc: DataFrame, text_col: str = "value") -> DataFrame
     w = Window.partitionBy("pii_type", "norm_key").orderBy("entry_pos")
     rows = rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
     return rows.select("pii_type", "norm_key", "surface", "replacement",
-                       F.lit(None).cast("bigint").alias("slot"), F.lit(None).cast("int").alias("bucket"))
+                       F.lit(None).cast("bigint").alias("id"))
 
 
 def load_mapping(spark: SparkSession, path: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Text units from documents and tables (A1, A2, A5).
+"""Text units from documents and tables (A1, A2).
 
 A unit is one paragraph (line) of a document or one cell of a table.  All
 detection runs per unit.  Paragraph units also carry their code-point offset
@@ -19,41 +19,43 @@ def kind_rank(kind: Column) -> Column:
     return F.when(kind == "paragraph", 0).when(kind == "cell", 1).otherwise(2)
 
 
+OFFSET_STEP = 256      # offsets gathered at a time: appending to one long array would be quadratic
+
+
 def line_offsets(parts: Column) -> Column:
     """Code-point offset of each part of ``split(text, '\\n')`` inside ``text``."""
-    init = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("offs"))
-    return F.aggregate(
-        parts, init,
-        lambda acc, p: F.struct((acc["pos"] + F.length(p) + 1).alias("pos"),
-                                F.concat(acc["offs"], F.array(acc["pos"])).alias("offs")),
-        lambda acc: acc["offs"],
-    )
+    empty = F.array().cast("array<int>")
+
+    def one(acc, p):
+        return F.struct((acc["pos"] + F.length(p) + 1).alias("pos"), F.concat(acc["offs"], F.array(acc["pos"])).alias("offs"))
 
+    def some(acc, first):
+        inner = F.aggregate(F.slice(parts, first, OFFSET_STEP), F.struct(acc["pos"], empty.alias("offs")), one)
+        return F.struct(inner["pos"].alias("pos"), F.concat(acc["offs"], inner["offs"]).alias("offs"))
 
-def paragraph_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, unit_kind='paragraph', unit_no, text, unit_offset)``, narrow (no shuffle)."""
+    start = F.struct(F.lit(0).alias("pos"), empty.alias("offs"))
+    return F.aggregate(F.sequence(F.lit(1), F.size(parts), F.lit(OFFSET_STEP)), start, some, lambda acc: acc["offs"])
+
+
+def paragraph_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """``(doc_id, unit_kind='paragraph', unit_no, text, unit_offset, carry...)``, narrow (no shuffle)."""
+    carry = carry or []
     parts = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
     zipped = F.arrays_zip(parts.alias("text"), line_offsets(parts).alias("unit_offset"))
     return (
-        docs.select(F.col(id_col).alias("doc_id"), F.posexplode(zipped).alias("unit_no", "u"))
+        docs.select(F.col(id_col).alias("doc_id"), *carry, F.posexplode(zipped).alias("unit_no", "u"))
         .select("doc_id", F.lit("paragraph").alias("unit_kind"), F.col("unit_no").cast("int").alias("unit_no"),
-                F.col("u.text").alias("text"), F.col("u.unit_offset").alias("unit_offset"))
+                F.col("u.text").alias("text"), F.col("u.unit_offset").alias("unit_offset"), *carry)
     )
 
 
-def cell_units(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    """One unit per chosen string cell, row-major: ``(doc_id=<key>, 'cell', unit_no, column, text)``."""
+def cell_units(df: DataFrame, key: str, cols: list[str], carry: list[str] | None = None) -> DataFrame:
+    """One unit per chosen string cell, row-major: ``(doc_id=<key>, 'cell', unit_no, column, text, carry...)``."""
+    carry = carry or []
     stacked = F.array(*[
         F.struct(F.lit(i).alias("unit_no"), F.lit(c).alias("column"), F.col(c).cast("string").alias("text"))
         for i, c in enumerate(cols)
     ])
-    return (df.select(F.col(key).alias("doc_id"), F.inline(stacked))
+    return (df.select(F.col(key).alias("doc_id"), *carry, F.inline(stacked))
             .select("doc_id", F.lit("cell").alias("unit_kind"), "unit_no", "column", "text",
-                    F.lit(0).alias("unit_offset")))
-
-
-def reassemble(units: DataFrame) -> DataFrame:
-    """Paragraph units back to documents (only needed for units edited one by one)."""
-    return (units.groupBy("doc_id")
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit_no", "text"))),
-                                          lambda x: x["text"]), "\n").alias("text")))
+                    F.lit(0).alias("unit_offset"), *carry))
