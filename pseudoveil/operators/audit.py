@@ -66,7 +66,8 @@ def person_sample(findings: DataFrame, n: int = V.SAMPLE_SIZE) -> DataFrame:
 def ner_totals(scored: DataFrame) -> DataFrame:
     """PERSON candidates / accepted / rejected per unit, per document and overall."""
     p = scored.where(F.col("label") == "PERSON")
-    return (p.rollup("doc_id", "unit_no").agg(
+    unit = [F.col(c) for c in ("doc_id", "unit_kind", "unit_no")]
+    return (p.groupingSets([unit, unit[:1], []], *unit).agg(
         F.count("*").alias("candidates"),
         F.count_if(F.col("accepted")).alias("accepted"),
         F.count_if(~F.col("accepted")).alias("rejected")))
@@ -79,7 +80,8 @@ def rejection_reasons(scored: DataFrame) -> DataFrame:
         F.struct("doc_id", kind_rank(F.col("unit_kind")).alias("kind"), "unit_no", "start").alias("pos"))
     return r.groupBy("reason").agg(F.count("*").alias("count"), F.min("pos").alias("first_pos")) \
         .select("reason", "count", F.col("first_pos.doc_id").alias("first_doc_id"),
-                F.col("first_pos.unit_no").alias("first_unit_no"), F.col("first_pos.start").alias("first_start"))
+                F.col("first_pos.unit_no").alias("first_unit_no"), F.col("first_pos.start").alias("first_start")) \
+        .orderBy(F.desc("count"), "first_doc_id", "first_unit_no", "first_start")      # as many rows as there are reasons
 
 
 def ner_samples(scored: DataFrame, n: int = V.SAMPLE_SIZE) -> DataFrame:

@@ -29,6 +29,9 @@ QUERIES = {
     "suppress_generated": Q.suppress_generated,
     "mapping_lookup": Q.mapping_lookup,
     "redact_table_cells": Q.redact_table_cells,
+    "redact_second_run": Q.redact_second_run,
+    "mapping_append": Q.mapping_append,
+    "redact_conversations": Q.redact_conversations,
     "ner_first_mention": Q.ner_first_mention,
     "ner_person_score": Q.ner_person_score,
     "ner_organizations": Q.ner_organizations,
@@ -61,6 +64,9 @@ ORACLE = {
     "suppress_generated": O.suppress_generated_sql(),
     "mapping_lookup": O.mapping_lookup_sql(),
     "redact_table_cells": O.redact_table_cells_sql(),
+    "redact_second_run": O.redact_documents_sql(),
+    "mapping_append": O.mapping_append_sql(),
+    "redact_conversations": O.redact_conversations_sql(),
     "ner_first_mention": O.ner_first_mention_sql(),
     "ner_person_score": O.ner_person_score_sql(),
     "ner_organizations": O.ner_organizations_sql(),

@@ -35,6 +35,7 @@ def pii_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = (F.lit(9000000000) + F.lit(7919) * k).cast("string")
     fn = F.element_at(F.array(*[F.lit(x) for x in FIRST_NAMES]), (F.expr("(c_custkey div 64) % 8") + 1).cast("int"))
     ln = F.element_at(F.array(*[F.lit(x) for x in LAST_NAMES]), (F.expr("(c_custkey div 8) % 8") + 1).cast("int"))
+    odd = F.expr("(c_custkey div 8) % 2") == 1
     s = lambda c: c.cast("string")
     text = (
         F.when(k % 8 == 0, F.concat(F.lit("Call +91 "), F.substring(p, 1, 5), F.lit(" "), F.substring(p, 6, 5),
@@ -45,7 +46,11 @@ def pii_units(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    s(k % 50 + 1950), F.lit(" dated 01/02/2020")))
         .when(k % 8 == 3, F.concat(F.lit("Registered Office: "), s(k % 200 + 1), F.lit(", MG Road, "),
                                    F.col("n_name"), F.lit(" "), s(k % 99999 + 400000), F.lit(" Telephone: "), p))
-        .when(k % 8 == 4, F.concat(F.lit("managing director: "), fn, F.lit(" "), ln, F.lit(" signed")))
+        .when(k % 8 == 4, F.concat(F.lit("managing director: "),
+                                   F.when(odd, F.concat(F.substring(fn, 1, 1), F.lit("."))).otherwise(fn),
+                                   F.lit(" "), ln, F.lit(" signed")))
+        .when((k % 8 == 5) & odd, F.concat(F.when(F.expr("(c_custkey div 16) % 2") == 1, "Hence ").otherwise("Therefore "),
+                                           ln, F.lit(" signed the offer")))
         .when(k % 8 == 5, F.concat(F.lit("Managing Director: "), fn, F.lit(" "), ln, F.lit(" signed")))
         .when(k % 8 == 6, F.concat(F.lit("Server 10."), s(k % 256), F.lit("."), s(F.expr("(c_custkey div 256) % 256")),
                                    F.lit(".7 mail user"), s(k), F.lit("@example.org, copy user"), s(k),

@@ -51,8 +51,9 @@ pii_units AS (
       WHEN 2 THEN 'DOB: ' || (k % 28 + 1) || '/' || (k % 12 + 1) || '/' || (k % 50 + 1950) || ' dated 01/02/2020'
       WHEN 3 THEN 'Registered Office: ' || (k % 200 + 1) || ', MG Road, ' || n_name || ' ' || (k % 99999 + 400000)
                   || ' Telephone: ' || p
-      WHEN 4 THEN 'managing director: ' || fn || ' ' || ln || ' signed'
-      WHEN 5 THEN 'Managing Director: ' || fn || ' ' || ln || ' signed'
+      WHEN 4 THEN 'managing director: ' || CASE WHEN (k // 8) % 2 = 1 THEN substr(fn, 1, 1) || '.' ELSE fn END || ' ' || ln || ' signed'
+      WHEN 5 THEN CASE WHEN (k // 8) % 2 = 1 THEN CASE WHEN (k // 16) % 2 = 1 THEN 'Hence ' ELSE 'Therefore ' END || ln || ' signed the offer'
+                  ELSE 'Managing Director: ' || fn || ' ' || ln || ' signed' END
       WHEN 6 THEN 'Server 10.' || (k % 256) || '.' || ((k // 256) % 256) || '.7 mail user' || k
                   || '@example.org, copy user' || k || '@example.org'
       ELSE 'Card 4111 1111 1111 1111 paid; other 4111 1111 1111 1112 no; bill ' || k
@@ -466,11 +467,12 @@ def mapping_json_roundtrip_sql() -> str:
     return with_corpus_rec(*pipeline_ctes()) + "\nSELECT pii_type, surface, replacement FROM newmap"
 
 
-def _second_run_ctes() -> list[str]:
-    ctes = pipeline_ctes()
+def _second_run_ctes(ctes: list[str] | None = None, found: str = "p_all") -> list[str]:
+    """A run over the findings ``found`` with the mapping of a first run."""
+    ctes = ctes or pipeline_ctes()
     ctes += [
         "fakes AS (SELECT DISTINCT " + normalize_key("replacement") + " AS fake FROM newmap)",
-        f"""raw2 AS (SELECT *, {normalize_key('value')} AS norm FROM p_all)""",
+        f"""raw2 AS (SELECT *, {normalize_key('value')} AS norm FROM {found})""",
         """supp AS (SELECT r.* FROM raw2 r WHERE length(r.norm) > 0 AND EXISTS (
             SELECT 1 FROM fakes g WHERE length(g.fake) > 0
               AND (contains(g.fake, r.norm) OR contains(r.norm, g.fake))))""",
@@ -537,9 +539,32 @@ def mapping_lookup_sql() -> str:
 SELECT {KEY}, pii_type, value, start_pos, end_pos, replacement FROM mapped2"""
 
 
+def mapping_append_sql() -> str:
+    halves = [CORPUS_DOCS, "half_a AS (SELECT * FROM cunits WHERE doc_id % 2 = 0)", "half_b AS (SELECT * FROM cunits WHERE doc_id % 2 = 1)"]
+    second, name = detector_ctes("half_b", "s")
+    ctes = _second_run_ctes(pipeline_ctes("half_a", halves) + second, name)
+    return with_corpus_rec(*ctes) + f"""
+SELECT pii_type, norm_key, surface, replacement, id FROM newmap UNION ALL
+SELECT pii_type, norm_key, surface, {surrogate_sql('pii_type', 'id')}, id FROM new2"""
+
+
+def redact_conversations_sql() -> str:
+    units = """vunits AS (SELECT (conv_id * 100000 + turn)::BIGINT AS doc_id, 'cell' AS unit_kind, 0::INTEGER AS unit_no, text FROM conversations)"""
+    ctes = pipeline_ctes("vunits", base=[units])
+    ctes.append(f"""vpieces AS (
+  SELECT {KEY}, start_pos AS s, end_pos AS e, replacement,
+         coalesce(lag(end_pos) OVER (PARTITION BY {KEY} ORDER BY start_pos), 0) AS prev_e FROM mapped)""")
+    ctes.append("""vspliced AS (
+  SELECT p.doc_id, string_agg(substr(u.text, p.prev_e + 1, p.s - p.prev_e) || p.replacement, '' ORDER BY p.s)
+           || substr(u.text, max(p.e) + 1) AS text
+  FROM vpieces p JOIN vunits u USING (doc_id) GROUP BY p.doc_id, u.text)""")
+    return with_corpus_rec(*ctes) + """
+SELECT c.conv_id, c.turn, coalesce(s.text, c.text) AS text
+FROM conversations c LEFT JOIN vspliced s ON s.doc_id = c.conv_id * 100000 + c.turn"""
+
+
 TABLE_UNITS = f"""
-ctable AS (SELECT k AS c_custkey, 'Customer#' || lpad(k::VARCHAR, 9, '0') AS c_name, text AS note
-           FROM (SELECT doc_id - {PII_DOC_BASE} AS k, text FROM pii_units)),
+ctable AS (SELECT c_custkey, c_name, p.text AS note FROM customer JOIN pii_units p ON p.doc_id - {PII_DOC_BASE} = c_custkey),
 tunits AS (SELECT c_custkey::BIGINT AS doc_id, 'cell' AS unit_kind, 0::INTEGER AS unit_no, c_name AS text FROM ctable
            UNION ALL SELECT c_custkey::BIGINT, 'cell', 1::INTEGER, note FROM ctable)"""
 
@@ -726,9 +751,9 @@ SELECT {KEY}, value, start_pos, end_pos FROM ner WHERE label = 'ORG' AND accepte
 
 def ner_totals_sql() -> str:
     return with_corpus(*ner_ctes()) + """
-SELECT doc_id, unit_no, count(*)::BIGINT AS candidates, count_if(accepted)::BIGINT AS accepted,
+SELECT doc_id, unit_kind, unit_no, count(*)::BIGINT AS candidates, count_if(accepted)::BIGINT AS accepted,
        count_if(NOT accepted)::BIGINT AS rejected
-FROM ner WHERE label = 'PERSON' GROUP BY ROLLUP (doc_id, unit_no)"""
+FROM ner WHERE label = 'PERSON' GROUP BY GROUPING SETS ((doc_id, unit_kind, unit_no), (doc_id), ())"""
 
 
 def ner_rejection_reasons_sql() -> str:

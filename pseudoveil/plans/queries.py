@@ -153,11 +153,28 @@ def mapping_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   F.col("end").alias("end_pos"), "replacement")
 
 
+def redact_second_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Redaction with the mapping of a first run over the same documents: the same texts again."""
+    return _second_run(spark, sf_dir)[0].output.select("doc_id", "text")
+
+
+def mapping_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mapping after a run over even documents and another one over odd documents."""
+    docs = corpus_documents(spark, sf_dir)
+    first = _redact_documents(docs.where("doc_id % 2 = 0"), config=PIPELINE)
+    second = _redact_documents(docs.where("doc_id % 2 = 1"), mapping=first.mapping, config=PIPELINE)
+    return second.mapping.select("pii_type", "norm_key", "surface", "replacement", "id")
+
+
+def redact_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
+        "conv_id", "turn", "text", (F.col("conv_id") * 100000 + F.col("turn")).cast("long").alias("row"))
+    return _redact_table(c, "row", ["text"], config=PIPELINE).output.select("conv_id", "turn", "text")
+
+
 def redact_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = pii_units(spark, sf_dir).select(
-        (F.col("doc_id") - PII_DOC_BASE).alias("c_custkey"),
-        F.concat(F.lit("Customer#"), F.lpad((F.col("doc_id") - PII_DOC_BASE).cast("string"), 9, "0")).alias("c_name"),
-        F.col("text").alias("note"))
+    notes = pii_units(spark, sf_dir).select((F.col("doc_id") - PII_DOC_BASE).alias("c_custkey"), F.col("text").alias("note"))
+    t = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name").join(notes, "c_custkey")
     return _redact_table(t, "c_custkey", ["c_name", "note"], config=PIPELINE).output
 
 
