@@ -52,12 +52,16 @@ def matches(text: Column, pattern: str, kind: int, keep, value=lambda m: m) -> C
         out = F.when((acc["i"] % 2 == 1) & keep(piece), F.concat(acc["out"], F.array(hit))).otherwise(acc["out"])
         return F.struct(end.alias("at"), (acc["i"] + 1).alias("i"), out.alias("out"))
 
-    def some(acc, first):
-        inner = F.aggregate(F.slice(pieces, first, STEP), F.struct(acc["at"], acc["i"], empty.alias("out")), one)
+    def some(acc, ps, first):
+        inner = F.aggregate(F.slice(ps, first, STEP), F.struct(acc["at"], acc["i"], empty.alias("out")), one)
         return F.struct(inner["at"].alias("at"), inner["i"].alias("i"), F.concat(acc["out"], inner["out"]).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), empty.alias("out"))
-    found = F.aggregate(F.sequence(F.lit(1), F.size(pieces), F.lit(STEP)), start, some, lambda acc: acc["out"])
+    def fold(ps):                         # over a bound value: the text is split once
+        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), empty.alias("out"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(ps), F.lit(STEP)), start, lambda acc, first: some(acc, ps, first),
+                           lambda acc: acc["out"])
+
+    found = F.get(F.transform(F.array(pieces), fold), F.lit(0))
     return F.when(F.coalesce(text.rlike(pattern), F.lit(False)), found).otherwise(empty)
 
 
