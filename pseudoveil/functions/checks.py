@@ -64,4 +64,4 @@ def clean_address(value: Column) -> Column:
 def looks_like_address(value: Column) -> Column:
     """An address word (letters-only tokens) or a standalone 6-digit number."""
     tokens = F.regexp_extract_all(casefold(value), F.lit("([a-zA-Z]+)"), 1)
-    return F.arrays_overlap(tokens, sql_array(V.ADDRESS_WORDS)) | value.rlike(r"(?U)\b\d{6}\b")
+    return F.arrays_overlap(tokens, sql_array(V.ADDRESS_WORDS)) | value.rlike(rf"(?U){V.WB}\d{{6}}{V.WB}")

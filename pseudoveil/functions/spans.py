@@ -20,6 +20,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MARK = "\uE000"
+STEP = 256      # matches gathered at a time: appending to one long array would be quadratic
 SPAN_TYPE = "array<struct<value:string,start:int,end:int>>"
 
 
@@ -27,6 +28,11 @@ def empty_spans() -> Column:
     return F.array().cast(SPAN_TYPE)
 
 
+def bound(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` computed once, however often ``fn`` uses it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def spans(text: Column, pattern: str, group: int = 0) -> Column:
     """All matches of ``pattern`` in ``text`` as ``array<struct<value,start,end>>``.
 
@@ -40,12 +46,6 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
     repl = f"{MARK}$0{MARK}" if group == 0 else f"$1{MARK}$2{MARK}"
     segments = F.split(F.regexp_replace(safe, pattern, repl), MARK, -1)
 
-    init = F.struct(
-        F.lit(0).alias("pos"),
-        F.lit(0).alias("i"),
-        empty_spans().alias("out"),
-    )
-
     def step(acc, seg):
         n = F.length(seg)
         hit = F.struct(
@@ -56,7 +56,13 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
         out = F.when(acc["i"] % 2 == 1, F.concat(acc["out"], F.array(hit))).otherwise(acc["out"])
         return F.struct((acc["pos"] + n).alias("pos"), (acc["i"] + 1).alias("i"), out.alias("out"))
 
-    found = F.aggregate(segments, init, step, lambda acc: acc["out"])
+    def block(acc, segs, first):
+        inner = F.aggregate(F.slice(segs, first, STEP), F.struct(acc["pos"], acc["i"], empty_spans().alias("out")), step)
+        return F.struct(inner["pos"].alias("pos"), inner["i"].alias("i"), F.concat(acc["out"], inner["out"]).alias("out"))
+
+    init = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("i"), empty_spans().alias("out"))
+    found = bound(segments, lambda segs: F.aggregate(F.sequence(F.lit(1), F.size(segs), F.lit(STEP)), init,
+                                                     lambda acc, first: block(acc, segs, first), lambda acc: acc["out"]))
     exact = F.transform(
         found,
         lambda s: F.struct(

@@ -62,7 +62,11 @@ REDACTED = "[REDACTED]"
 WS = r"[\s\x1c-\x1f]"          # Python str whitespace
 WS_CLASS = r"\s\x1c-\x1f"      # same, for use inside [...]
 
-EMAIL_PATTERN = r"(?U)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
+# Word boundary over letters, numbers and underscore: Java's \b also counts combining marks as word characters.
+WORD_CHAR = r"[\p{L}\p{N}_]"
+WB = rf"(?:(?<!{WORD_CHAR})(?={WORD_CHAR})|(?<={WORD_CHAR})(?!{WORD_CHAR}))"
+
+EMAIL_PATTERN = rf"(?U){WB}[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}{WB}"
 
 PHONE_PATTERN = (
     r"(?U)(?<!\d)(?:\+91[" + WS_CLASS + r"-]?|0091[" + WS_CLASS + r"-]?|0?)"
@@ -90,7 +94,7 @@ MONTHS = (
 
 # Group 1 is the label prefix, group 2 the date of birth.
 DOB_PATTERN = (
-    r"(?iU)((?:date" + WS + r"+of" + WS + r"+birth|\bDOB\b|birth" + WS + r"+date|born"
+    r"(?iU)((?:date" + WS + r"+of" + WS + r"+birth|" + WB + "DOB" + WB + r"|birth" + WS + r"+date|born"
     + WS + r"+on|date" + WS + r"+of" + WS + r"+birth" + WS + r"+of)" + WS + r"*[:\-]?" + WS + r"*)"
     r"(\d{1,2}[/-]\d{1,2}[/-]\d{2,4}"
     r"|\d{1,2}" + WS + r"+(?:" + MONTHS + r")" + WS + r"+\d{4}"
@@ -98,12 +102,14 @@ DOB_PATTERN = (
 )
 
 ADDRESS_STRUCTURED_PATTERN = (
-    r"(?iU)\b\d+(?:/\d+)?(?:" + WS + r"*," + WS + r"*\d+(?:/\d+)?)*"
-    r"[^.\n;]{0,220}?\b\d{6}\b(?:[^.\n;]{0,80})?"
+    r"(?iU)" + WB + r"\d+(?:/\d+)?(?:" + WS + r"*," + WS + r"*\d+(?:/\d+)?)*"
+    r"[^.\n;]{0,220}?" + WB + r"\d{6}" + WB + r"(?:[^.\n;]{0,80})?"
 )
+# The number list above recurses in the Java matcher: texts with a longer list take address_spans' linear scan.
+LONG_LIST = r"(?U)(?:[\d/]++" + WS + r"*+," + WS + r"*+){200,}+"
 
 # Words that cut an address value (the text after them is contact data).
-ADDRESS_STOP_PATTERN = r"(?iUs)\b(?:telephone|tel|phone|mobile|mob)\b.*"
+ADDRESS_STOP_PATTERN = rf"(?iUs){WB}(?:telephone|tel|phone|mobile|mob){WB}.*"
 
 # Labelled address: defined by the original tool but never called; off by default.
 # Group 1 is the label prefix, group 2 the address.
@@ -112,9 +118,9 @@ ADDRESS_LABELLED_PATTERN = (
     + r"+address|office" + WS + r"+address|residential" + WS + r"+address|permanent" + WS
     + r"+address|correspondence" + WS + r"+address|mailing" + WS + r"+address|communication"
     + WS + r"+address|address)" + WS + r"*(?:of|is)?" + WS + r"*[:,\-]?" + WS + r"*)"
-    r"((?=(?:[^.\n;]{0,250})\b(?:village|taluka|district|road|marg|lane|nagar|colony|"
+    r"((?=(?:[^.\n;]{0,250})" + WB + r"(?:village|taluka|district|road|marg|lane|nagar|colony|"
     r"apartment|tower|building|floor|sector|pune|mumbai|maharashtra|india|pincode|pin))"
-    r"[^.\n;]{5,250}?(?:\b\d{6}\b|\b(?:Maharashtra|India)\b))"
+    r"[^.\n;]{5,250}?(?:" + WB + r"\d{6}" + WB + "|" + WB + "(?:Maharashtra|India)" + WB + "))"
 )
 
 # Person labels (lower case only; ``label_ignore_case`` adds the flag).

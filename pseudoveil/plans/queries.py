@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -106,7 +107,8 @@ def mobile_number(spark: SparkSession, sf_dir: str) -> DataFrame:
 from ..operators import audit as _audit  # noqa: E402
 from ..operators.findings import suppressed_values as _suppressed  # noqa: E402
 from ..operators.redact import redact_table as _redact_table  # noqa: E402
-from ..sources.mapping_io import mapping_from_json_text, mapping_json  # noqa: E402
+from ..session import checkpoint_dir  # noqa: E402
+from ..sources.mapping_io import load_mapping, mapping_from_json_text, mapping_json, save_mapping  # noqa: E402
 from .fixtures import PII_DOC_BASE, pii_units  # noqa: E402
 
 detect_address_labelled = _detector(D.labelled_address_spans)
@@ -124,6 +126,13 @@ def person_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _audit.person_sample(_first_run(spark, sf_dir).findings)
 
 
+def mapping_file_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mapping of a first run, written as JSON lines by type and loaded again."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/mapping-{uuid.uuid4().hex}.jsonl"
+    save_mapping(_first_run(spark, sf_dir).new_mapping, path, "jsonl")
+    return load_mapping(spark, path).select("pii_type", "norm_key", "surface", "replacement", "id")
+
+
 def mapping_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = mapping_json(_first_run(spark, sf_dir).new_mapping).withColumnRenamed("json", "value")
     return mapping_from_json_text(doc).select("pii_type", "surface", "replacement")
@@ -209,6 +218,20 @@ def ner_organizations(spark: SparkSession, sf_dir: str) -> DataFrame:
         *KEY, "value", "start_pos", "end_pos")
 
 
+def ner_candidate_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates as a table with part-of-speech counts (none, one or two proper
+    nouns, with and without an initial), validated after a join on the unit."""
+    u = corpus(spark, sf_dir).where(~D.is_blank(F.col("text")))
+    runs = u.select(*KEY, F.explode(_N.capitalised_run_candidates(F.col("text"))).alias("c")).select(*KEY, "c.*")
+    turn = (F.col("doc_id") + F.col("start")) % 5
+    table = runs.withColumn("propn_count", F.when(turn < 3, turn).when(turn == 3, 1).cast("int")) \
+        .withColumn("initial_count", F.when(turn == 3, 1).otherwise(0).cast("int"))
+    per_unit = _N.candidates_by_unit(table, KEY)
+    s = _N.score_units(u.join(per_unit, KEY).select(*KEY, "text", "cands"), KEY, out_col="s")
+    return s.select(*KEY, F.explode("s").alias("x")).select(
+        *KEY, "x.label", "x.value", F.col("x.start").alias("start_pos"), F.col("x.end").alias("end_pos"), "x.accepted", "x.score")
+
+
 def _audit_frame(spark, sf_dir):
     return _scored(spark, sf_dir).withColumnRenamed("start_pos", "start")
 

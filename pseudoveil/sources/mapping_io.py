@@ -7,8 +7,10 @@ JSON shape: ``{"PERSON": {"original": "fake", ...}, "EMAIL": {...}}``.
 * Blank replacements are ignored with a warning (a blank fake would be
   "contained" in every value and suppress everything).
 
-The table form is parquet partitioned by ``pii_type``; write it to a new
-path each run, never over the path being read.
+The table forms, parquet or JSON lines (a ``.jsonl`` folder), are partitioned by
+``pii_type`` and written by all tasks; write them to a new path each run, never
+over the path being read.  The single JSON object is one row of one task and
+meant for small mappings.
 """
 
 from __future__ import annotations
@@ -50,11 +52,17 @@ def mapping_from_json_text(doc: DataFrame, text_col: str = "value") -> DataFrame
 
 
 def load_mapping(spark: SparkSession, path: str) -> DataFrame:
-    """Load a JSON mapping file (or a parquet mapping directory)."""
+    """Load a mapping: a JSON object (``.json``), JSON lines (``.jsonl``) or parquet.
+    Unreadable JSON gives an empty mapping and a warning."""
     if path is None or not _path_exists(spark, path):
         return empty_mapping(spark)
+    if path.endswith(".jsonl"):
+        return spark.read.schema(MAPPING_SCHEMA).json(path).select(*empty_mapping(spark).columns)
     if path.endswith(".json"):
         doc = spark.read.text(path, wholetext=True)
+        parsed = F.from_json("value", "map<string,string>")
+        if doc.where(parsed.isNull() & (F.length(F.trim("value")) > 0)).count():
+            warnings.warn(f"{path} is not a JSON object; starting with an empty mapping")
         out = mapping_from_json_text(doc)
         blanks = mapping_from_json_text_blank_count(doc)
         if blanks:
@@ -80,9 +88,11 @@ def mapping_json(mapping: DataFrame) -> DataFrame:
 
 
 def save_mapping(mapping: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Write the whole mapping once.  ``parquet`` (partitioned by type) scales;
-    ``json`` writes the single-object edge format for small mappings."""
-    if fmt == "json":
+    """Write the whole mapping once.  ``parquet`` and ``jsonl`` (partitioned by type)
+    scale; ``json`` writes the single-object edge format for small mappings."""
+    if fmt == "jsonl":
+        mapping.write.mode("overwrite").partitionBy("pii_type").json(path)
+    elif fmt == "json":
         mapping_json(mapping).coalesce(1).write.mode("overwrite").text(path)
     else:
         mapping.write.mode("overwrite").partitionBy("pii_type").parquet(path)

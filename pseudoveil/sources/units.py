@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spans import bound
+
 UNIT_KEY = ["doc_id", "unit_kind", "unit_no"]
 KIND_RANK = {"paragraph": 0, "cell": 1}
 
@@ -29,12 +31,13 @@ def line_offsets(parts: Column) -> Column:
     def one(acc, p):
         return F.struct((acc["pos"] + F.length(p) + 1).alias("pos"), F.concat(acc["offs"], F.array(acc["pos"])).alias("offs"))
 
-    def some(acc, first):
-        inner = F.aggregate(F.slice(parts, first, OFFSET_STEP), F.struct(acc["pos"], empty.alias("offs")), one)
+    def some(acc, ps, first):
+        inner = F.aggregate(F.slice(ps, first, OFFSET_STEP), F.struct(acc["pos"], empty.alias("offs")), one)
         return F.struct(inner["pos"].alias("pos"), F.concat(acc["offs"], inner["offs"]).alias("offs"))
 
     start = F.struct(F.lit(0).alias("pos"), empty.alias("offs"))
-    return F.aggregate(F.sequence(F.lit(1), F.size(parts), F.lit(OFFSET_STEP)), start, some, lambda acc: acc["offs"])
+    return bound(parts, lambda ps: F.aggregate(F.sequence(F.lit(1), F.size(ps), F.lit(OFFSET_STEP)), start,
+                                               lambda acc, first: some(acc, ps, first), lambda acc: acc["offs"]))
 
 
 def paragraph_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:

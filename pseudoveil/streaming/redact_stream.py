@@ -1,39 +1,37 @@
 """Redaction of a document stream with Structured Streaming.
 
 Each micro-batch is one "run" of the batch job: the mapping table is read,
-the batch is redacted, redacted rows are appended to the output and only the
-*new* mapping rows are appended to the mapping table.  New ids continue above
-each bucket's high-water mark, so rows written by earlier batches never change
-and the same original keeps its fake across batches.  The checkpoint of the
-query makes a failed batch re-run with the same input; because surrogate
-assignment is deterministic given the mapping it read, a re-run writes the
-same rows (use an idempotent sink, e.g. a table keyed by batch id, to avoid
-duplicates on a re-run after a partial write).
+the batch is redacted, and its rows and only its *new* mapping rows are written
+under ``batch_id=N`` of the output and of the mapping table.  New ids continue
+above the largest one, so rows written by earlier batches never change and the
+same original keeps its fake across batches.  A batch that runs again reads the
+mapping of the batches before it and overwrites its own folders, so a replay
+leaves the same rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.mapping import MAPPING_SCHEMA
 from ..operators.redact import Config, redact_documents
 
 
-def _read_mapping(spark: SparkSession, path: str) -> DataFrame:
+def _read_mapping(spark: SparkSession, path: str, before: int) -> DataFrame | None:
+    """Mapping rows of the batches before ``before``; None if there is none."""
     from ..sources.mapping_io import _path_exists
-    if _path_exists(spark, path):
-        return spark.read.schema(MAPPING_SCHEMA).parquet(path)
-    return spark.createDataFrame([], MAPPING_SCHEMA)
+    if not before or not _path_exists(spark, path):
+        return None
+    return spark.read.schema(MAPPING_SCHEMA + ", batch_id bigint").parquet(path).where(F.col("batch_id") < before).drop("batch_id")
 
 
 def redact_batch(batch: DataFrame, batch_id: int, output_path: str, mapping_path: str,
                  config: Config = Config()) -> None:
     spark = batch.sparkSession
-    res = redact_documents(batch, mapping=_read_mapping(spark, mapping_path), config=config)
-    # Output first: it is computed against the mapping as read above; the new
-    # rows are appended only afterwards.
-    res.output.write.mode("append").parquet(output_path)
-    res.new_mapping.write.mode("append").partitionBy("pii_type").parquet(mapping_path)
+    res = redact_documents(batch, mapping=_read_mapping(spark, mapping_path, batch_id), config=config)
+    res.output.write.mode("overwrite").parquet(f"{output_path}/batch_id={batch_id}")
+    res.new_mapping.write.mode("overwrite").parquet(f"{mapping_path}/batch_id={batch_id}")
     res.release()
 
 

@@ -99,3 +99,47 @@ def test_differential_against_python_re(spark):
         got = run_col(spark, fn, texts)
         want = [[(m.group(), m.start(), m.end()) for m in pat.finditer(t)] for t in texts]
         assert got == want
+
+
+def test_number_list_scan_equals_the_pattern():
+    import random
+    import re
+
+    from pseudoveil.functions.number_lists import number_list_addresses
+    pattern = re.compile(r"\b\d+(?:/\d+)?(?:\s*,\s*\d+(?:/\d+)?)*[^.\n;]{0,220}?\b\d{6}\b(?:[^.\n;]{0,80})?")
+    rng = random.Random(1)
+    for _ in range(2000):
+        t = "".join(rng.choice(["12", "7", "400001", "12/400002", "400003/5", "a", " ", ",", ", ", ". ", "; ", "x" * rng.choice([3, 215, 230]),
+                                " MG Road ", "\n", " , "]) for _ in range(rng.randrange(25)))
+        assert number_list_addresses(t) == [m.span() for m in pattern.finditer(t)]
+
+
+def test_long_number_lists_survive(spark):
+    from pyspark.sql import functions as F
+
+    from pseudoveil.operators import detectors as D
+    line = ", ".join(str(400000 + i) for i in range(100_000))
+    df = spark.createDataFrame([(line,), ("12, 5, MG Road, Pune 400001",)], "text string")
+    for fn in (D.email_spans, D.phone_spans, D.ssn_spans, D.ip_spans, D.card_spans, D.dob_spans, D.address_spans,
+               D.labelled_address_spans, D.context_person_spans):
+        n = [r[0] for r in df.select(F.size(fn(F.col("text")))).collect()]
+        assert n == ([1, 1] if fn is D.address_spans else [0, 0])
+
+
+def test_word_boundaries_follow_python(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from pseudoveil.functions import vocab as V
+    from pseudoveil.functions.spans import spans
+    texts = [f"{a}abc@b.co{b} {a}DOB{b}: 1/2/1990 {a}12, MG Road 400001{b}" for a in ("", "é", "मे", "x\u0301", "½", "²", "_", "-", "9")
+             for b in ("", "é", "\u0947", "²", "_")]
+    plain = {
+        V.EMAIL_PATTERN: r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b",
+        V.ADDRESS_STRUCTURED_PATTERN: r"(?i)\b\d+(?:/\d+)?(?:\s*,\s*\d+(?:/\d+)?)*[^.\n;]{0,220}?\b\d{6}\b(?:[^.\n;]{0,80})?",
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for java, python in plain.items():
+        got = [[(s["start"], s["end"]) for s in r[0]] for r in df.select(spans(F.col("t"), java)).collect()]
+        assert got == [[m.span() for m in re.finditer(python, t)] for t in texts]

@@ -22,3 +22,16 @@ def test_stream_two_batches(spark, tmp_path):
     assert len(m) == 2 and len(set(fake.values())) == 2
     assert out[1] == f"mail {fake['a@b.co']} now"
     assert out[2] == f"again {fake['a@b.co']} and {fake['c@d.org']}"
+
+
+def test_replayed_batch_leaves_the_same_rows(spark, tmp_path):
+    from pseudoveil.streaming.redact_stream import redact_batch
+    a = spark.createDataFrame([(1, "mail a@b.co now")], "doc_id long, text string")
+    b = spark.createDataFrame([(2, "again a@b.co and c@d.org")], "doc_id long, text string")
+    out, maps = str(tmp_path / "out"), str(tmp_path / "map")
+    for n, batch in ((0, a), (1, b)):
+        redact_batch(batch, n, out, maps, Config(ner="off"))
+    before = sorted((r.doc_id, r.text) for r in spark.read.parquet(out).collect())
+    redact_batch(b, 1, out, maps, Config(ner="off"))
+    assert sorted((r.doc_id, r.text) for r in spark.read.parquet(out).collect()) == before and len(before) == 2
+    assert spark.read.parquet(maps).count() == 2
