@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab as V
 from ..functions.text import collapse_ws, normalize_key
-from ..session import checkpoint_dir
+from ..session import written
 from .findings import suppressed_values
 from .surrogates import surrogate
 
@@ -71,13 +71,10 @@ def dense_ids(keys: DataFrame, buckets: int) -> DataFrame:
 def assign_surrogates(new: DataFrame, mapping: DataFrame, buckets: int = DEFAULT_BUCKETS,
                       observed: DataFrame | None = None) -> DataFrame:
     """Give each new key a unique replacement; returns rows in mapping schema.
-
-    ``observed``: ``norm_key`` of all values seen as originals (default: the new
-    and the loaded keys)."""
-    checkpoint_dir(new.sparkSession)
-    keys = new.select("pii_type", "norm_key", "surface").checkpoint()
+    ``observed``: ``norm_key`` of all values seen as originals."""
+    keys = written(new.select("pii_type", "norm_key", "surface"), "keys")
     known = F.col("pii_type").isin(*V.CATEGORIES)
-    if observed is None:
+    if observed is None:      # the new and the loaded keys
         observed = keys.select("norm_key").union(mapping.select("norm_key"))
     observed = observed.select(F.col("norm_key").alias("fake")).distinct()
     used = mapping.select("replacement").where(F.col("replacement") != V.REDACTED)
@@ -88,16 +85,17 @@ def assign_surrogates(new: DataFrame, mapping: DataFrame, buckets: int = DEFAULT
     while True:
         ranked = dense_ids(left, buckets).join(F.broadcast(next_id), "pii_type", "left")     # one row per type
         ids = ranked.withColumn("id", F.coalesce("base", F.lit(0)) + F.col("rank")).drop("base", "rank")
-        offered = ids.withColumn("replacement", surrogate(F.col("pii_type"), F.col("id"))) \
-            .withColumn("norm", normalize_key(F.col("replacement"))).checkpoint()
-        refused = suppressed_values(offered.select("norm"), observed)
-        good = offered.join(refused, "norm", "left_anti").join(used, "replacement", "left_anti").checkpoint()
-        out = out.unionByName(good.select(*out.columns))
-        left = offered.join(good.select("pii_type", "id"), ["pii_type", "id"], "left_anti").select(*keys.columns).checkpoint()
-        if left.isEmpty():
-            return out
+        offered = written(ids.withColumn("replacement", surrogate(F.col("pii_type"), F.col("id")))
+                          .withColumn("norm", normalize_key(F.col("replacement"))), "offered")
+        like_observed = offered.join(suppressed_values(offered.select("norm"), observed), "norm", "left_semi")
+        in_use = offered.join(used, "replacement", "left_semi")
+        refused = written(like_observed.unionByName(in_use), "refused")
+        if refused.isEmpty():
+            return out.unionByName(offered.select(*out.columns))
+        out = out.unionByName(offered.join(refused, ["pii_type", "id"], "left_anti").select(*out.columns))
+        left = refused.select(*keys.columns).distinct()
         high = offered.groupBy("pii_type").agg((F.max("id") + 1).alias("base"))
-        next_id = high.union(next_id).groupBy("pii_type").agg(F.max("base").alias("base")).checkpoint()
+        next_id = written(high.union(next_id).groupBy("pii_type").agg(F.max("base").alias("base")), "next-id")
 
 
 def merge_mapping(mapping: DataFrame, new: DataFrame) -> DataFrame:

@@ -140,8 +140,8 @@ def map_findings(kept: DataFrame, key: list[str], mapping: DataFrame,
                  buckets: int = DEFAULT_BUCKETS) -> tuple[DataFrame, DataFrame]:
     """Return (findings with ``norm_key`` + ``replacement``, new mapping rows)."""
     keys = finding_keys(kept, occurrence_order(key)).where(F.length("norm_key") > 0)
-    observed = keys.select("norm_key").union(mapping.select("norm_key"))
-    new = assign_surrogates(new_keys(keys, mapping), mapping, buckets, observed)
+    # New and loaded keys together are all values observed so far.
+    new = assign_surrogates(new_keys(keys, mapping), mapping, buckets)
     full = merge_mapping(mapping, new).select("pii_type", "norm_key", "replacement")
     with_key = kept.withColumn("norm_key", normalize_key(F.col("value")))
     # A value with a blank key has no mapping row and stays; any other must have one.
