@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from ..sources.units import paragraph_units
 
 PII_DOC_BASE = 1_000_000_000
-FIRST_NAMES = ["Rohit", "Asha", "Meera", "Vikram", "Karan", "Nisha", "Tarun", "Leela"]
-LAST_NAMES = ["Hegde", "Rao", "Sharma", "Iyer", "Patil", "Desai", "Menon", "Joshi"]
+FIRST_NAMES = ["Varun", "Asha", "Meera", "Vikram", "Karan", "Nisha", "Tarun", "Leela"]
+LAST_NAMES = ["Kamat", "Rao", "Sharma", "Iyer", "Patil", "Desai", "Menon", "Joshi"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
