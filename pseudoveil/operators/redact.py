@@ -19,13 +19,13 @@ Data flow and shuffles (``U`` = text units, small = proportional to findings):
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse_ws, normalize_key
+from ..session import written
 from ..sources.units import kind_rank, paragraph_units
 from . import ner as N
 from .detectors import (FINDINGS_TYPE, context_person_spans, detect_regex, is_blank,
@@ -57,12 +57,7 @@ class RedactionResult:
     findings: DataFrame        # kept findings with replacement (audit copy)
     mapping: DataFrame         # loaded mapping plus the new rows
     new_mapping: DataFrame     # only the rows added by this run
-    ner: DataFrame             # scored NER candidates per unit (audit)
-    _cached: list = field(default_factory=list, repr=False)
-
-    def release(self) -> None:
-        for df in self._cached:
-            df.unpersist()
+    ner: DataFrame             # scored NER candidates per unit (audit; computed only if asked for)
 
 
 # --------------------------------------------------------------------------
@@ -118,7 +113,7 @@ def kept_findings(det: DataFrame, key: list[str], carry: list[str], mapping: Dat
     if mapping is None:
         resolved = det.select(*key, *carry, resolve_overlaps(F.col("findings")).alias("kept"))
     else:
-        fd = explode_findings(det, key, carry)
+        fd = written(explode_findings(det, key, carry), "detected")      # suppression reads it twice
         fd = suppress_generated(fd, mapping)
         regrouped = fd.groupBy(*key, *carry).agg(
             F.collect_list(F.struct(*FINDING_FIELDS)).cast(FINDINGS_TYPE).alias("fs"))
@@ -195,12 +190,6 @@ def apply_edits(target: DataFrame, edits: DataFrame, target_key: list[str], text
 # jobs
 # --------------------------------------------------------------------------
 
-def _persist(df: DataFrame, cache: list) -> DataFrame:
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    cache.append(df)
-    return df
-
-
 def redact_units(units: DataFrame, mapping: DataFrame | None = None, config: Config = Config(),
                  key: list[str] | None = None, candidates: DataFrame | None = None,
                  target: DataFrame | None = None, target_key: list[str] | None = None,
@@ -211,24 +200,21 @@ def redact_units(units: DataFrame, mapping: DataFrame | None = None, config: Con
     columns that tell rows with equal keys apart."""
     spark = units.sparkSession
     key = key or ["doc_id", "unit_kind", "unit_no"]
-    cache: list = []
     carry = (carry or []) + ([offset_col] if offset_col else [])
 
     detected = detect_units(units, key, config, candidates, carry)
-    det = _persist(detected.select(*key, *carry, "findings").where(F.size("findings") > 0), cache)
-    kept = _persist(kept_findings(det, key, carry, mapping, config), cache)
+    # What several outputs branch from: findings, no text.
+    kept = written(kept_findings(detected.select(*key, *carry, "findings"), key, carry, mapping, config), "findings")
     mapping = mapping if mapping is not None else empty_mapping(spark)
     mapped, new = map_findings(kept, key, mapping, config.buckets)
-    new = _persist(new, cache)
-    mapped = _persist(mapped, cache)
 
     if target is None:
         target, target_key = units, key
     off = F.col(offset_col) if offset_col else None
     output = apply_edits(target, edits_by(mapped, target_key, off), target_key)
-    ner = detected.select(*key, F.explode("scored").alias("s")).select(*key, "s.*")      # computed only if asked for
+    ner = detected.select(*key, F.explode("scored").alias("s")).select(*key, "s.*")
     return RedactionResult(output=output, findings=mapped, mapping=merge_mapping(mapping, new),
-                           new_mapping=new, ner=ner, _cached=cache)
+                           new_mapping=new, ner=ner)
 
 
 def redact_documents(docs: DataFrame, mapping: DataFrame | None = None, config: Config = Config(),

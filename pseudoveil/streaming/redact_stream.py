@@ -32,7 +32,6 @@ def redact_batch(batch: DataFrame, batch_id: int, output_path: str, mapping_path
     res = redact_documents(batch, mapping=_read_mapping(spark, mapping_path, batch_id), config=config)
     res.output.write.mode("overwrite").parquet(f"{output_path}/batch_id={batch_id}")
     res.new_mapping.write.mode("overwrite").parquet(f"{mapping_path}/batch_id={batch_id}")
-    res.release()
 
 
 def start_redaction_stream(stream: DataFrame, output_path: str, mapping_path: str, checkpoint: str,
