@@ -60,7 +60,3 @@ def strip_chars(c: Column, chars: str) -> Column:
 def sql_array(values: list[str]) -> Column:
     """A literal ``array<string>``."""
     return F.array(*[F.lit(v) for v in values])
-
-
-def regex_alternation(terms: list[str]) -> str:
-    return "|".join(terms)
