@@ -4,11 +4,12 @@ Base figures per text (words, symbols, duplicated lines, words in repeated
 5-word windows) come first.  The method then finds the maximal repeated word
 substrings of each text:
 
-1. prefix doubling over word ranks: windows of 1, 2, 4, ... words get ranks;
-   only positions whose window is repeated in its own text go on;
+1. prefix doubling over word ranks: suffixes are placed by their first 1, 2, 4,
+   ... words; only positions whose window is repeated in its own text go on, and
+   a suffix that becomes the only one of its group has its final place;
 2. the suffixes that share at least ``min_words`` words with another suffix of
-   the text form the suffix array; common-prefix lengths of neighbours are read
-   off the ranks of the doubling levels;
+   the text form the suffix array, in the order of their places; common-prefix
+   lengths of neighbours are read off the ranks of the doubling levels;
 3. a stack scan of those lengths yields the longest-common-prefix intervals;
    an interval whose occurrences are not all preceded by the same word is a
    maximal repeat;
@@ -32,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .words import NOT_SPACE, Spans, byte_class, dense, mix64, text_slices, utf8, words, xxh64
+from .words import NOT_SPACE, Spans, byte_class, mix64, text_slices, utf8, words, xxh64
 
 SYMBOLS = byte_class(*[(ord(c), ord(c)) for c in "#*$%&|<>"])
 SCHEMA = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
@@ -66,48 +67,46 @@ class SuffixArray:
     def __init__(self, key: np.ndarray, stop: np.ndarray, least: int):
         n = len(key)
         self.n, self.stop = n, stop
-        alone = -1 - np.arange(n)                   # rank of a window that is not repeated
-        rank = alone.copy()
+        alone = -1 - np.arange(n)                   # level rank of a window that is not repeated
+        order = np.argsort(key, kind="stable")
+        place = np.empty(n, np.int64)               # place of each suffix in the order by the words compared so far
+        place[order] = self._first(key[order])
         alive = np.flatnonzero(duplicated(key))
-        if len(alive):
-            rank[alive] = dense(key[alive])[1]
-        self.levels = {1: rank}
+        self.levels: dict[int, np.ndarray] = {}
+        self._level(1, alone, alive, place)
         h, self.at = 1, alive if least == 1 else alive[:0]
         while len(alive):
-            alive = alive[alive + 2 * h <= stop[alive]]
-            pair = rank[alive] * np.int64(2 * n + 2) + rank[alive + h] + np.int64(n + 1)
-            alive, pair = alive[twice := duplicated(pair)], pair[twice]
+            # Suffixes alone have their final place; the others of a group are ordered by the places h words on.
+            nxt = np.full(len(alive), -1, np.int64)          # a suffix that ends here comes first
+            more = alive + h < stop[alive]
+            nxt[more] = place[alive[more] + h]
+            pair = place[alive] * np.int64(n + 1) + nxt + 1
+            order = np.argsort(pair, kind="stable")
+            alive, pair = alive[order], pair[order]
+            group, same = self._first(place[alive]), self._first(pair)
+            place[alive] += same - group
+            alive = np.sort(alive[duplicated(pair)])
             h *= 2
-            rank = alone.copy()
             if len(alive):
-                rank[alive] = dense(pair)[1]
-                self.levels[h] = rank
+                self._level(h, alone, alive, place)
             if h == least:
                 self.at = alive
-        self._sort()
-
-    def _sort(self):
-        """Order by the ranks of all levels, so that equal prefixes of every length stand together."""
-        at, rank = self.at, np.zeros(len(self.at), np.int64)
-        for h in sorted(self.levels):
-            if len(at):
-                rank = dense(rank * np.int64(2 * self.n + 2) + self.levels[h][at] + np.int64(self.n + 1))[1]
-        # Between two powers of two the order follows the longest match with the rest of the prefix.
-        todo = [h for h in sorted(self.levels, reverse=True)]
-        cur = np.zeros(len(at), np.int64)
-        for h in todo:
-            p = at + cur
-            ok = (p < self.n) & (p + h <= self.stop[at])
-            nxt = np.full(len(at), -1 - self.n, np.int64)
-            nxt[ok] = self.levels[h][p[ok]]
-            if len(at):
-                rank = dense(rank * np.int64(2 * self.n + 2) + nxt + np.int64(self.n + 1))[1]
-            cur += np.where(ok & (nxt >= 0), h, 0)
-        order = np.argsort(rank, kind="stable")
-        self.sa = at[order]
+        self.sa = self.at[np.argsort(place[self.at])]
         a, b = self.sa[:-1], self.sa[1:]
         self.lcp = np.r_[0, self.common(a, b), 0] if len(self.sa) else np.zeros(1, np.int64)
 
+    @staticmethod
+    def _first(x: np.ndarray) -> np.ndarray:
+        """Index of the first equal value, for every element of a sorted array."""
+        start = np.r_[True, x[1:] != x[:-1]] if len(x) else np.zeros(0, bool)
+        return np.maximum.accumulate(np.where(start, np.arange(len(x)), 0))
+
+    def _level(self, h: int, alone: np.ndarray, alive: np.ndarray, place: np.ndarray):
+        """Keep the ranks of the repeated windows of ``h`` words."""
+        rank = alone.copy()
+        rank[alive] = place[alive]
+        self.levels[h] = rank
+
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Common prefix length of the suffixes at a and b, longest levels first."""
         out = np.zeros(len(a), np.int64)

@@ -339,6 +339,43 @@ def test_repetition_figures(spark):
         assert r.longest >= at / max(chars, 1) - 1e-9
 
 
+def plain_repeats(w, least):
+    """(start places, length) of every maximal repeat of a word list."""
+    places = collections.defaultdict(list)
+    for n in range(least, len(w)):
+        for j in range(len(w) - n + 1):
+            places[tuple(w[j:j + n])].append(j)
+    for t, at in places.items():
+        before, after = [w[j - 1] if j else None for j in at], [w[j + len(t)] if j + len(t) < len(w) else None for j in at]
+        if len(at) > 1 and (len(set(before)) > 1) and (len(set(after)) > 1):
+            yield at, len(t)
+
+
+def test_maximal_repeats_equal_plain_version_beside_longer_ones():
+    rng = random.Random(66)
+    phrase = lambda n: [f"w{rng.randrange(10 ** 6)}" for _ in range(n)]
+    head, tail = phrase(8), phrase(4)                       # places A < C < B: A and B agree for 12 words, C for 8
+    texts = [head + tail + ["a"] + phrase(3) + head + ["c"] + phrase(3) + head + tail + ["b"] + phrase(2)]
+    for n in (16, 32):
+        again = phrase(n)
+        texts.append(again + phrase(2) + again + phrase(2))
+    for _ in range(60):                                     # occurrences of one phrase, cut to several lengths
+        long, w = phrase(40), phrase(3)
+        for _ in range(rng.randint(2, 6)):
+            a = rng.randrange(20)
+            w += long[a:a + rng.randint(5, 40)] + phrase(rng.randint(0, 3))
+        texts.append(w)
+    texts += [[rng.choice("ab") for _ in range(60)] for _ in range(20)]
+    m = repetition.measure(pa.array([" ".join(w) for w in texts]), 5, 8)
+    for i, w in enumerate(texts):
+        found = list(plain_repeats(w, 8))
+        size = sum(map(len, w))
+        cover = {j + k for at, n in found for j in at for k in range(n)}
+        assert m["n_repeats"][i] == len(found)
+        assert m["longest"][i] * size == pytest.approx(max((sum(map(len, w[at[0]:at[0] + n])) for at, n in found), default=0))
+        assert m["covered"][i] * size == pytest.approx(sum(len(w[k]) for k in cover))
+
+
 # --- 7 lines
 
 def plain_lines(rows, min_chars):
