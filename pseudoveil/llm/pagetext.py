@@ -38,10 +38,12 @@ OPEN, MAIN, ARTICLE, FURNITURE = 0, 1, 2, 3
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-RAW = frozenset("script style textarea template noscript iframe svg math title object canvas select option".split())
+RAW = frozenset("script style textarea".split())                  # without an end tag, up to the end of the page
+SKIPPED = frozenset("template noscript iframe svg title datalist".split())          # only from a tag to its own end tag
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp "
-                   "small span strike strong sub sup time tt u var wbr img".split())
+                   "small span strike strong sub sup time tt u var wbr img object canvas math semantics annotation mi mn mo ms mtext mspace "
+                   "mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts".split())
 FURNITURE_TAGS = frozenset("nav footer aside form button dialog menu".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 # A class or id is furniture if all its parts are words of these two sets, one of the first among them.
@@ -61,6 +63,19 @@ def furniture_name(name: str) -> bool:
     return any(x in WORDS for x in parts) and all(x in WORDS or x in FILLERS for x in parts)
 
 
+def element_ends(page: str, tag: str) -> dict[int, int]:
+    """Start of every ``tag`` element that has an end tag, and where its end tag ends."""
+    quoted = r"""(?>[^>"']+|"[^"]*"|'[^']*')*+"""
+    any_tag = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|textarea)\b.*?(?:</\1\b[^>]*>|\Z)|<(/?){tag}(?=[\s/>])({quoted})>", re.S | re.I)
+    out, opened = {}, []
+    for m in any_tag.finditer(page):
+        if m[2] == "" and not m[3].rstrip().endswith("/"):
+            opened.append(m.start())
+        elif m[2] and opened:
+            out[opened.pop()] = m.end()
+    return out
+
+
 class Lines:
     """The text lines of one page: ``text``, ``kind`` and ``linked`` (nothing but link text)."""
 
@@ -84,6 +99,7 @@ class Lines:
 
     def _scan(self, page: str):
         stack: list[tuple[str, int]] = []   # open elements and the state outside each
+        ends_of: dict[str, dict[int, int]] = {}
         links, at = 0, 0
         while m := TOKEN.match(page, at):
             at = m.end()
@@ -109,18 +125,26 @@ class Lines:
                             break
                 continue
             if tag in RAW:
-                close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+                close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
                 at = close.end() if close else len(page)
                 continue
+            attributes = m[3] if m[2] else m[6]
+            closed = attributes.rstrip().endswith("/")
+            if closed and tag in ("svg", "math"):
+                continue
+            if tag in SKIPPED:
+                if tag not in ends_of:
+                    ends_of[tag] = element_ends(page, tag)
+                at = ends_of[tag].get(m.start(), at)
+                continue
             if tag == "head":
                 close = re.compile(r"</head\s*>|<body\b", re.I).search(page, at)
                 at = close.start() if close else at
                 continue
-            attributes = m[3] if m[2] else m[6]
             if tag not in INLINE:
                 self._flush()
                 # A block ends an open paragraph; a list item or cell ends its like.
-                ends = {"li": "li", "tr": "tr", "td": "td", "th": "td", "dt": "dd", "dd": "dt"}.get(tag, "p")
+                ends = {"li": "li", "tr": "tr", "td": "td", "th": "td", "dt": "dd", "dd": "dt", "option": "option"}.get(tag, "p")
                 k = len(stack) - 1
                 while k >= 0 and stack[k][0] in INLINE:
                     k -= 1
@@ -128,7 +152,7 @@ class Lines:
                     while len(stack) > k:
                         name, self._state = stack.pop()
                         links -= name == "a"
-            if tag in VOID or attributes.rstrip().endswith("/") and tag not in INLINE:
+            if tag in VOID or closed and tag not in INLINE:
                 continue
             state = self._inside(tag, attributes)
             if state != self._state:

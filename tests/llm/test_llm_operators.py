@@ -450,6 +450,29 @@ def test_page_markup():
     assert pagetext.main_text(own, [False] * len(own.text)) == "Title & more Body bold Second para line one two"
 
 
+@pytest.mark.parametrize("odd, inside", [
+    ('<svg class="icon"/>', ""), ("<math />", ""), ("<svg><path d='M0'/>", ""), ("<svg><svg/><g><svg>a</svg>b</g></svg>", ""),
+    ("<datalist><option>a<option>b</datalist>", ""), ("<select><option>a<option>b</select>", "a b"), ("<option>a", "a"),
+    ("<object data=x>", ""), ("<object><p>other</p></object>", "other"), ("<canvas>", ""), ("<canvas>bars</canvas>", "bars"),
+    ("<template>", ""), ("<template>a<template>b</template>c</template>", ""), ("<noscript>", ""), ("<iframe src=x>", ""),
+    ("<iframe src=x>no frames</iframe>", ""), ("<title>", ""), ("<math><mi>x</mi><mo>=</mo><mn>1</mn></math>", "x=1"),
+    ("<script>var a='<svg>'</script>", ""), ("<style>p{}</style>", ""), ("<textarea><p>a</textarea>", ""), ("<!-- </svg><svg> -->", "")])
+def test_page_text_behind_unusual_elements_stays(odd, inside):
+    page = f"<body><nav>Home</nav><article><h1>Title</h1><p>One.</p>{odd}<p>Two.</p><svg><text>t</text></svg><p>Three.</p></article></body>"
+    own = pagetext.Lines(page)
+    assert pagetext.main_text(own, [False] * len(own.text)) == " ".join(f"Title One. {inside} Two. Three.".split())
+
+
+def test_page_ends_after_an_open_script():
+    assert pagetext.Lines("<p>One.<script>var a = 1;<p>Two.").text == ["One."]
+    assert pagetext.Lines("<p>a <math><mi>x</mi></math> b <object>c</object> d</p><p>e").text == ["a x b c d", "e"]
+
+
+def test_unended_elements_take_linear_time():
+    own = pagetext.Lines("<article>" + "<svg><template><p>a</p>" * 20_000)
+    assert len(own.text) == 20_000
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     rng = random.Random(9)
     for _ in range(300):
