@@ -10,9 +10,13 @@ is scored by table look-ups: exact code lengths, one numpy pass per language
 set, whole texts.
 
 Training counts byte 4-grams per language over *all* labelled rows given
-(combined in the task, then by Spark).  What reaches the driver is the tree
-itself, bounded by ``max_contexts`` order-3 contexts (the most frequent ones;
-rarer contexts are coded from their order-2 suffix).
+(combined in the task, then by Spark) and written once.  What reaches the driver
+is the tree itself: the symbol counts after ``max_contexts`` order-3 contexts at
+most, chosen in Spark, and the order-2 counts, which the byte alphabet bounds
+(2**24 a language).  Each language ranks its own contexts by frequency and the
+best ranks of all languages stay, so an equal share goes to each; what a
+language does not need goes to the others.  Contexts left out are coded from
+their order-2 suffix.
 
 Bytes are folded first: A-Z to lower case, digits to ``0``, white space to one
 symbol.  Each text starts after three spaces.
@@ -30,9 +34,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import written
 from .words import text_slices, utf8
 
 UND = "und"
@@ -94,6 +99,19 @@ def gram_counts(rows: DataFrame) -> DataFrame:
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def kept_contexts(counts: DataFrame, max_contexts: int, buckets: int = 16) -> DataFrame:
+    """(ctx) of the ``max_contexts`` order-3 contexts that rank best in a language.
+    Ranks are taken within hash buckets first, so that the last step of a
+    language has at most ``buckets * max_contexts`` rows."""
+    order = [F.col("total").desc(), "ctx"]
+    seen = counts.groupBy("lang", F.shiftright("gram", 8).alias("ctx")).agg(F.sum("n").alias("total"))
+    for part in (["lang", F.pmod(F.hash("ctx"), F.lit(buckets))], ["lang"]):
+        seen = seen.withColumn("place", F.row_number().over(Window.partitionBy(*part).orderBy(*order))) \
+            .where(F.col("place") <= max_contexts)
+    best = seen.groupBy("ctx").agg(F.min("place").alias("place"))
+    return best.orderBy("place", "ctx").limit(max_contexts).select("ctx")
+
+
 class Model:
     """Frozen context trees of all languages as code-length tables (bits)."""
 
@@ -101,29 +119,29 @@ class Model:
         self.langs, self.symbol, self.second, self.third, self.cost = langs, symbol, second, third, cost
 
     @staticmethod
-    def build(counts: pd.DataFrame, max_contexts: int) -> Model | None:
-        """``counts``: lang, gram, n.  None if there is nothing to learn from."""
-        if not len(counts):
+    def build(low: pd.DataFrame, high: pd.DataFrame) -> Model | None:
+        """``low``: lang, gram of three bytes, n.  ``high``: lang, gram of four bytes, n,
+        for the order-3 contexts of the tree.  None if there is nothing to learn from."""
+        if not len(low):
             return None
-        langs = sorted(counts["lang"].unique())
-        lang = np.searchsorted(langs, counts["lang"].to_numpy().astype(str)).astype(np.int64)
-        gram, n = counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(np.float64)
-        used = np.unique(gram & 255)
+        langs = sorted(low["lang"].unique())
+
+        def columns(counts):
+            lang = np.searchsorted(langs, counts["lang"].to_numpy().astype(str)).astype(np.int64)
+            return lang, counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(np.float64)
+
+        low, high = columns(low), columns(high)
+        used = np.unique(low[1] & 255)
         symbol = np.full(256, len(used), np.int16)           # the last class: bytes never coded in training
         symbol[used] = np.arange(len(used))
         n_sym, n_lang = len(used) + 1, len(langs)
+        c3, c2 = np.unique(high[1] >> 8), np.unique(low[1] >> 8)
 
-        c3, n3 = tally(gram >> 8, n)
-        if len(c3) > max_contexts:
-            c3 = np.sort(c3[np.argsort(-n3, kind="stable")[:max_contexts]])
-        c2 = np.unique((gram >> 8) & 0xFFFF)
-
-        def level(nodes, node_of, lower):
+        def level(counts, nodes, mask, lower):
             """Code lengths of one order from its counts and those of the order below."""
+            lang, gram, n = counts
             c = np.zeros((len(nodes), n_sym, n_lang), np.float32)
-            at = np.searchsorted(nodes, node_of)
-            ok = nodes[np.minimum(at, len(nodes) - 1)] == node_of
-            np.add.at(c, (at[ok], symbol[gram[ok] & 255], lang[ok]), n[ok])
+            np.add.at(c, (np.searchsorted(nodes, gram >> 8 & mask), symbol[gram & 255], lang), n)
             total, kinds = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
             with np.errstate(divide="ignore", invalid="ignore"):
                 coded = -np.log2(c / (total + kinds))
@@ -131,10 +149,10 @@ class Model:
             return np.where(c > 0, coded, escape + lower).astype(np.float32)
 
         uniform = np.full((1, n_sym, n_lang), 8.0, np.float32)
-        zero = level(np.zeros(1, np.int64), np.zeros_like(gram), uniform)
-        one = level(np.arange(256), (gram >> 8) & 0xFF, zero)
-        two = level(c2, (gram >> 8) & 0xFFFF, one[c2 & 0xFF])
-        three = level(c3, gram >> 8, two[np.searchsorted(c2, c3 & 0xFFFF)])
+        zero = level(low, np.zeros(1, np.int64), 0, uniform)
+        one = level(low, np.arange(256), 0xFF, zero)
+        two = level(low, c2, 0xFFFF, one[c2 & 0xFF])
+        three = level(high, c3, 0xFFFFFF, two[np.searchsorted(c2, c3 & 0xFFFF)])
         # Rows of ``cost``: order-3 nodes, then order-2 nodes, then order-1 nodes.
         second = (len(c3) + len(c2) + (np.arange(65536) & 0xFF)).astype(np.int32)
         second[c2] = len(c3) + np.arange(len(c2))
@@ -167,7 +185,11 @@ class Model:
 def train(labelled: DataFrame, max_contexts: int = 40_000) -> Model | None:
     """Fit on every row of ``labelled`` (text, lang)."""
     rows = labelled.where("text is not null and lang is not null")
-    return Model.build(gram_counts(rows).toPandas(), max_contexts)
+    counts = written(gram_counts(rows), "grams")
+    low = counts.groupBy("lang", F.col("gram").bitwiseAND(0xFFFFFF).alias("gram")).agg(F.sum("n").alias("n"))
+    kept = F.broadcast(kept_contexts(counts, max_contexts))
+    high = counts.join(kept, F.shiftright("gram", 8) == F.col("ctx"), "left_semi")
+    return Model.build(low.toPandas(), high.toPandas())
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -306,6 +306,24 @@ def test_ppm_code_lengths(spark):
         assert got[0][k] == pytest.approx(bits, rel=1e-5)
 
 
+def test_context_bound_holds_before_collecting_and_by_language(spark, monkeypatch):
+    rng = random.Random(5)
+    junk = ["".join(rng.choice("abcdefghij") for _ in range(400)) for _ in range(100)]      # a hot language full of junk
+    rows = [(t, "hot") for t in junk] + [("xyz xyz", "rare"), ("zyx", "rare")]
+    seen, build = [], langid.Model.build
+    monkeypatch.setattr(langid.Model, "build", staticmethod(lambda *a: seen.append(a) or build(*a)))
+    d = frame(spark, rows, "text string, lang string")
+    model = langid.train(d, max_contexts=40)
+    rare = {(a + b + c).encode() for t in ("   xyz xyz", "   zyx") for a, b, c in zip(t, t[1:], t[2:-1])}
+    third = {int(x).to_bytes(3, "big") for x in model.third}
+    assert len(third) == 40 and rare <= third
+    assert (seen[0][1]["gram"] // 256).nunique() == 40          # what came to the driver
+    full = langid.train(d, max_contexts=10 ** 6)
+    grams = langid.gram_counts(d).toPandas()
+    assert len(full.third) == (grams["gram"] // 256).nunique() > 1000
+    assert seen[0][0]["n"].sum() == seen[1][1]["n"].sum() == grams["n"].sum()
+
+
 # --- 6 repetition
 
 def test_repetition_figures(spark):
