@@ -4,17 +4,22 @@
    block element), each with what its markup says: page furniture (navigation,
    header, footer, sidebar, form, advert, notice, reader comments, hidden),
    the article, the main part, or open.  Scripts, styles and the head give none.
-2. **Pairs.**  Pages are ordered by host and URL path; each page is paired with
-   the closer of its two neighbours on its host (edit distance of the paths).
+2. **Pairs.**  Pages are ordered by host and URL path; a run of pages with the
+   same lines outside page furniture (copies, mirrors) counts as one, and each
+   page is paired with the closer of the two different pages beside its run on
+   its host (edit distance of the paths).
    The order is made by range partitioning, so a host with a third of all pages
-   is spread over tasks; the two neighbours across a partition border come from
-   the first and last row of every partition.
+   is spread over tasks; what lies across a partition border comes from
+   one row of every partition.
 3. **Difference.**  The line hashes of both pages are aligned by longest common
    subsequence.  Shared lines are furniture of the site and are deleted.
-4. **Text.**  If the markup names an article, its lines are the text: an article
-   that a mirror page shares is not furniture.  Otherwise the text is what the
-   difference leaves of the main part, or of the open lines; a page that shares
-   all of them with its neighbour is a copy of it and keeps them.
+4. **Text.**  If the markup names an article, its lines are text, shared or not:
+   neighbours share headlines and passages of real articles.  So is what the
+   difference leaves of the main part around it, and of the open lines if that is
+   more than the article and main part together (the article is a teaser).
+   Without an article the text is what the difference leaves of the main part, or
+   of the open lines; a page that shares all of them with its neighbour is a part
+   of it and keeps them.
 
 Defined results: null or empty html gives an empty text; a null or unparsable
 url is a host of its own with an empty path; rows equal in page_id, url and html
@@ -25,6 +30,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -229,34 +235,50 @@ def shared_lines(a: list, b: list) -> list[bool]:
 
 def main_text(lines: Lines, shared: list[bool]) -> str:
     """The lines that make up the text, joined by one space."""
-    for kind in (ARTICLE, MAIN, OPEN):
-        mine = [i for i, k in enumerate(lines.kind) if k == kind]
-        if kind == OPEN:                     # two or more lines of bare links in a row are a menu
-            bare = [lines.linked[i] for i in mine] + [False]
-            mine = [i for n, i in enumerate(mine) if not (bare[n] and (bare[n + 1] or n and bare[n - 1]))]
-        if mine and kind != ARTICLE:
-            mine = [i for i in mine if not shared[i]] or mine
-        if mine:
-            return " ".join(lines.text[i] for i in mine)
-    return ""
+    of = {kind: [i for i, k in enumerate(lines.kind) if k == kind] for kind in (ARTICLE, MAIN, OPEN)}
+    bare = [lines.linked[i] for i in of[OPEN]] + [False]         # two or more lines of bare links in a row are a menu
+    of[OPEN] = [i for n, i in enumerate(of[OPEN]) if not (bare[n] and (bare[n + 1] or n and bare[n - 1]))]
+    left = {kind: [i for i in mine if not shared[i]] for kind, mine in of.items()}
+    if of[ARTICLE]:
+        mine = of[ARTICLE] + left[MAIN]
+        if any(shared) and sum(len(lines.text[i]) for i in left[OPEN]) > sum(len(lines.text[i]) for i in mine):
+            mine += left[OPEN]
+    else:
+        mine = left[MAIN] or of[MAIN] or left[OPEN] or of[OPEN]
+    return " ".join(lines.text[i] for i in sorted(mine))
 
 
 KEY = ["page_id", "url_hash", "html_hash"]
 
 
 def neighbours(keys: DataFrame) -> DataFrame:
-    """``KEY`` of every page and of its nearest page on the same host (n_page_id, ...)."""
+    """``KEY`` of every page and of its nearest page on the same host (n_page_id, ...).
+    Pages in a row with equal ``seq`` are never neighbours; without that column all differ."""
     order = ["host", "path", *KEY]
+    if "seq" not in keys.columns:
+        keys = keys.withColumn("seq", F.xxhash64(*KEY))
     parts = shuffle_partitions(keys.sparkSession)
     placed = written(keys.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "pages")
-    row = F.struct(*order)
+    row = F.struct(*order, "seq")
     w = Window.partitionBy("part").orderBy(*order)
     ends = placed.groupBy("part").agg(F.min(row).alias("low"), F.max(row).alias("high"))      # one row per partition
     by_part = Window.orderBy("part")
     ends = ends.select("part", F.lag("high").over(by_part).alias("before"), F.lead("low").over(by_part).alias("after"))
-    near = placed.select("part", *order, F.lag(row).over(w).alias("prev"), F.lead(row).over(w).alias("next")) \
+    near = placed.select("part", *order, "seq", F.lag(row).over(w).alias("prev"), F.lead(row).over(w).alias("next")) \
         .join(F.broadcast(ends), "part") \
         .withColumn("prev", F.coalesce("prev", "before")).withColumn("next", F.coalesce("next", "after"))
+    # The page beyond a run of equal pages is known at the run's end and carried over the run.
+    same = lambda c: F.coalesce((F.col(f"{c}.host") == F.col("host")) & (F.col(f"{c}.seq") == F.col("seq")), F.lit(False))
+    beyond = lambda c: F.when(~same(c), F.struct(F.col(c).alias("page")))
+    near = near.withColumn("low", beyond("prev")).withColumn("high", beyond("next"))
+    runs = near.groupBy("part").agg(F.max(F.when(F.col("low").isNotNull(), F.struct(row.alias("at"), "low")))["low"].alias("low"),
+                                    F.min(F.when(F.col("high").isNotNull(), F.struct(row.alias("at"), "high")))["high"].alias("high"))
+    carried = lambda c, v: F.last(c, ignorenulls=True).over(v.rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select("part", carried("low", by_part).alias("low_part"), carried("high", Window.orderBy(F.desc("part"))).alias("high_part"))
+    down = Window.partitionBy("part").orderBy(*[F.desc(c) for c in order])
+    held = lambda c, v: F.last(c, ignorenulls=True).over(v.rowsBetween(Window.unboundedPreceding, 0))
+    near = near.withColumn("low", held("low", w)).withColumn("high", held("high", down)).join(F.broadcast(runs), "part") \
+        .withColumn("prev", F.coalesce("low", "low_part")["page"]).withColumn("next", F.coalesce("high", "high_part")["page"])
     far = lambda c: F.when(F.col(f"{c}.host") == F.col("host"), F.levenshtein("path", f"{c}.path"))
     near = near.withColumn("d_prev", far("prev")).withColumn("d_next", far("next"))
     pick = F.when(F.col("d_prev").isNull(), F.when(F.col("d_next").isNotNull(), F.col("next"))) \
@@ -272,16 +294,20 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [Lines(h or "").hashes() for h in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (*KEY, "host", "path")], pa.array(found, pa.list_(pa.int64()))],
-                                             [*KEY, "host", "path", "lines"])
+            pages = [Lines(h or "") for h in batch.column("html").to_pylist()]
+            found = [p.hashes() for p in pages]
+            seq = [xxhash.xxh64_intdigest(array("q", [h for h, k in zip(f, p.kind, strict=True) if k != FURNITURE]).tobytes()) - (1 << 63)
+                   for p, f in zip(pages, found, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in (*KEY, "host", "path")], pa.array(seq, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
+                [*KEY, "host", "path", "seq", "lines"])
 
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1)), F.lit(""))
     path = F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.lit(""))
     kinds = ", ".join(f"{c} long" for c in KEY)
     lines = written(page.select(*KEY, host.alias("host"), path.alias("path"), "html")
-                    .mapInArrow(outline, f"{kinds}, host string, path string, lines array<long>"), "lines")
-    pairs = neighbours(lines.select(*KEY, "host", "path").distinct())
+                    .mapInArrow(outline, f"{kinds}, host string, path string, seq long, lines array<long>"), "lines")
+    pairs = neighbours(lines.select(*KEY, "host", "path", "seq").distinct())
     other = lines.select(*[F.col(c).alias(f"n_{c}") for c in KEY], "lines").dropDuplicates([f"n_{c}" for c in KEY])
     beside = pairs.join(other, [f"n_{c}" for c in KEY]).select(*KEY, "lines")
     both = page.join(beside, KEY, "left").select("page_id", "url", "html", "lines")

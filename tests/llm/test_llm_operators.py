@@ -529,6 +529,45 @@ def test_neighbours_do_not_depend_on_partitions(spark):
     assert found[0] == found[1] and len(found[0]) == 200
 
 
+def test_neighbours_are_the_nearest_different_pages(spark):
+    rng = random.Random(11)
+    rows = sorted(("h" if i % 3 else "g", f"/{i:03d}") for i in range(150))
+    seqs = [n for _ in range(60) for n in [rng.randrange(4)] * rng.choice([1, 2, 40])][:150]
+    keys = [(i, 1, 1, h, p, q) for i, ((h, p), q) in enumerate(zip(rows, seqs, strict=True))]
+    want = {}
+    for i, _, _, h, p, q in keys:
+        sides = [next((j for j in span if keys[j][3] != h or keys[j][5] != q), None) for span in (range(i - 1, -1, -1), range(i + 1, len(keys)))]
+        sides = [j for j in sides if j is not None and keys[j][3] == h]
+        if sides:
+            want[i] = min(sides, key=lambda j: sum(a != b for a, b in zip(p, keys[j][4], strict=True)))
+    d = spark.createDataFrame(keys, "page_id long, url_hash long, html_hash long, host string, path string, seq long")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in ("1", "13"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        found = {r.page_id: r.n_page_id for r in pagetext.neighbours(d).collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert found.keys() == want.keys()
+        dist = lambda i, j: sum(a != b for a, b in zip(keys[i][4], keys[j][4], strict=True))
+        assert all(keys[j][3] == keys[i][3] and keys[j][5] != keys[i][5] and dist(i, j) <= dist(i, want[i]) for i, j in found.items())
+
+
+def test_copies_in_a_row_lose_the_lines_of_the_site(spark):
+    page = "<body><div>Site line</div><p>Own text {0}.</p><div class=ad>Ad {1}</div><div>Bottom line</div></body>"
+    rows = [(i, f"https://h.example/a/{i}", page.format("same", i)) for i in range(1, 6)] + [(7, "https://h.example/b", page.format("other", 7))]
+    out = {r.page_id: r.text for r in pagetext.extract(frame(spark, rows, "page_id long, url string, html string")).collect()}
+    assert out == {i: "Own text same." for i in range(1, 6)} | {7: "Own text other."}
+
+
+def test_text_around_an_article():
+    own = pagetext.Lines("<main><h1>Title</h1><p>Share</p><article><p>Body one</p></article></main><p>Open</p>")
+    assert pagetext.main_text(own, [False, True, False, False]) == "Title Body one"
+    own = pagetext.Lines("<div>Site</div><p>The long text of the page itself.</p><article>Teaser</article>")
+    assert pagetext.main_text(own, [True, False, False]) == "The long text of the page itself. Teaser"
+    assert pagetext.main_text(own, [False] * 3) == "Teaser"
+    own = pagetext.Lines("<article><h1>Headline</h1><p>Body</p></article>")
+    assert pagetext.main_text(own, [True, False]) == "Headline Body"
+
+
 # --- 10 packing
 
 def test_packing_is_gapless_and_ids_are_the_tokenizers(spark):
