@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import oracle
+from .bitplanes import op11_bitplanes
 from .decontaminate import op8_decontaminate
 from .langid import op5_langid
 from .linededup import op7_linededup
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_pagetext": op9_pagetext,
     "op10_packing": op10_packing,
+    "op11_bitplanes": op11_bitplanes,
 }
 
 # The others have no SQL form (hash functions, learned models, suffix arrays, HTML, tokenizers): tests hold them against plain versions.
@@ -32,4 +34,5 @@ ORACLE = {
     "op1_secrets": oracle.secrets_sql(),
     "op7_linededup": oracle.linededup_sql(),
     "op8_decontaminate": oracle.decontaminate_sql(),
+    "op11_bitplanes": oracle.bitplanes_sql(),
 }

@@ -71,3 +71,23 @@ def decontaminate_sql(window: int = 10) -> str:
     SELECT id AS doc_id, coalesce(len(w), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
            sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
     FROM doc LEFT JOIN word USING (id) LEFT JOIN items USING (id)"""
+
+
+def bitplanes_sql(k: int = 16, rounds: int = 3) -> str:
+    """Plain differences instead of bit planes."""
+    parts = [f"""kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+        WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+    c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v FROM (SELECT sha256('1:' || vec_id) AS h, v FROM kept ORDER BY h LIMIT {k}))"""]
+    for n in range(rounds + 1):
+        parts.append(f"""a{n} AS MATERIALIZED (SELECT r, vec_id, v, (min([d, c]))[1] AS distance, (min([d, c]))[2] AS c FROM
+            (SELECT r, vec_id, kept.v, c, list_sum([(kept.v[i] - c{n}.v[i]) * (kept.v[i] - c{n}.v[i]) FOR i IN range(1, 65)])::BIGINT AS d
+             FROM kept, c{n}) GROUP BY ALL)""")
+        if n < rounds:
+            parts.append(f"""c{n + 1} AS MATERIALIZED (SELECT c0.c, coalesce(m.v, c0.v) AS v FROM c{n} c0 LEFT JOIN
+            (SELECT c, list((s - ((s % n + n) % n)) // n ORDER BY i) AS v FROM (SELECT c, i, sum(v[i]) AS s, count(*) AS n
+             FROM a{n}, range(1, 65) AS g(i) GROUP BY c, i) GROUP BY c) m USING (c))""")
+    return f"""
+    WITH {", ".join(parts)}
+    SELECT vec_id, a.c::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia,
+           (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(f.v, ',')) AS centroid_sha256
+    FROM a{rounds} a JOIN c{rounds} f USING (c)"""
