@@ -14,6 +14,7 @@ from .repetition import op6_quality
 from .secrets import op1_secrets
 from .simhash import op2_simhash
 from .substrings import op4_substrings
+from .whitening import op12_whitening
 
 QUERIES = {
     "op1_secrets": op1_secrets,
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_pagetext": op9_pagetext,
     "op10_packing": op10_packing,
     "op11_bitplanes": op11_bitplanes,
+    "op12_whitening": op12_whitening,
 }
 
 # The others have no SQL form (hash functions, learned models, suffix arrays, HTML, tokenizers): tests hold them against plain versions.
