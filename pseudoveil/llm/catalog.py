@@ -10,6 +10,7 @@ from .linededup import op7_linededup
 from .ngram import op3_ngram
 from .packing import op10_packing
 from .pagetext import op9_pagetext
+from .prefixjoin import op13_prefixjoin
 from .repetition import op6_quality
 from .secrets import op1_secrets
 from .simhash import op2_simhash
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_bitplanes": op11_bitplanes,
     "op12_whitening": op12_whitening,
+    "op13_prefixjoin": op13_prefixjoin,
 }
 
 # The others have no SQL form (hash functions, learned models, suffix arrays, HTML, tokenizers): tests hold them against plain versions.
