@@ -13,13 +13,17 @@ A text is the set of its distinct word shingles (64-bit XXH64).  Two sets link a
    The inverted index holds groups: linked sets share a token of their prefixes
    (n - ceil(t n) + 1 tokens), and at the first shared one the tokens that are left must
    still reach the overlap, which also filters by size.
-4. **Verification** is exact, on whole sets.  A crowd of near copies has a square of
+   Lists are kept by token and size band, bands overlapping by one, so that sets of too
+   different sizes do not meet.
+4. **Verification** is exact, on whole sets.  A pair goes there only if the 512-bit parity
+   sketches of its sets differ in no more bits than the sets may differ in tokens (every token
+   flips one bit, so the sketch never drops a link).  A crowd of near copies has a square of
    links, of which the result needs the components only.  So every group and every token
    list is first checked as a star, against one member, a few times over with other
    members; then components are computed and *all* remaining candidates of different
    components are expanded to their members and verified.  In a list only members
    outside its main component start such candidates.  No candidate is dropped
-   but those whose ends are connected already.
+   but those whose ends are connected already.  Only the texts of candidates are read again.
 5. **Components.**  Links feed the connected-components job.
 
 Hot keys: a token or member of a crowd is joined with its tiny rows spread over salts; sets
@@ -35,8 +39,11 @@ an empty table gives no rows; columns other than ``id_col`` and ``text_col`` are
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +51,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.key_filter import bits_for, key_filter, may_hold
 from .simhash import joined_words
 from .storage import components, written
 from .words import mix64, text_slices, words, xxh64
@@ -53,7 +61,8 @@ BLOCK = 1 << 18        # cells added up together
 LOTS = 256             # first-level sums of a block
 SALTS = 8              # places over which the rows of one key are spread
 STAR = 1000            # members of a star checked by one copy of its centre
-STARS = 3              # times that lists are checked as stars before the rest is expanded
+STARS = 2              # times that lists are checked as stars before the rest is expanded
+WORDS = 8              # 64-bit words of a parity sketch
 
 
 # --------------------------------------------------------------------------
@@ -97,6 +106,20 @@ def names(h: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return per_set(mix64(h), size), per_set(mix64(h ^ np.uint64(0x9E3779B97F4A7C15)), size)
 
 
+def parity_sketches(h: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """(sets, WORDS) uint64: bit b tells whether an odd number of the set's tokens falls on b."""
+    out = np.zeros((len(size), WORDS), np.uint64)
+    full = np.flatnonzero(size)
+    if len(full):
+        first = (np.cumsum(size) - size)[full]
+        bit = mix64(h ^ np.uint64(0xD1B54A32D192ED03))
+        one = np.left_shift(np.uint64(1), bit & np.uint64(63))
+        word = (bit >> np.uint64(6)) % np.uint64(WORDS)
+        for w in range(WORDS):
+            out[full, w] = np.bitwise_xor.reduceat(np.where(word == np.uint64(w), one, np.uint64(0)), first)
+    return out
+
+
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -147,8 +170,12 @@ def prefix_lengths(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
 
 
+def lists_of(values: np.ndarray, size: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), signed(values))
+
+
 def prefixed(rows: DataFrame, shingle: int, percent: int, ranks: np.ndarray) -> DataFrame:
-    """(doc_id, n, s1, s2, g1, g2, prefix): set size, set name, group name and ordered prefix of every text."""
+    """(doc_id, n, s1, s2, g1, g2, prefix, sketch): size, set name, group name, ordered prefix and sketch of every text."""
     held = rows.sparkSession.sparkContext.broadcast(ranks.tobytes())     # 4 MB
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,12 +191,12 @@ def prefixed(rows: DataFrame, shingle: int, percent: int, ranks: np.ndarray) ->
                 prefix = h[order][np.repeat(first, length) + inner]
                 p1, p2 = names(prefix, length)
                 size = mix64(n.astype(np.uint64))
+                sketch = parity_sketches(h, n)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n), signed(s1), signed(s2), signed(p1 ^ size), signed(p2 ^ size),
-                     pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length)].astype(np.int32)), signed(prefix))],
-                    ["doc_id", "n", "s1", "s2", "g1", "g2", "prefix"])
+                    [part.column(0), pa.array(n), signed(s1), signed(s2), signed(p1 ^ size), signed(p2 ^ size), lists_of(prefix, length),
+                     lists_of(sketch.ravel(), np.full(len(n), WORDS))], ["doc_id", "n", "s1", "s2", "g1", "g2", "prefix", "sketch"])
 
-    return rows.mapInArrow(task, "doc_id long, n long, s1 long, s2 long, g1 long, g2 long, prefix array<long>")
+    return rows.mapInArrow(task, "doc_id long, n long, s1 long, s2 long, g1 long, g2 long, prefix array<long>, sketch array<long>")
 
 
 def salted(small: DataFrame) -> DataFrame:
@@ -181,18 +208,39 @@ def salt(c: str):
     return F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int").alias("salt")
 
 
-def shared_lists(groups: DataFrame) -> DataFrame:
-    """(token, gid, pos): the places of tokens that stand in the prefixes of several groups."""
-    places = groups.select("gid", F.posexplode("prefix").alias("pos", "token"))
-    several = places.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-    return places.select("token", "gid", "pos", salt("gid")).join(salted(several), ["token", "salt"]).drop("salt")
+def token_lists(groups: DataFrame, percent: int) -> DataFrame:
+    """(token, band, gid, pos): lists of several places.  A token's places by size band, and every group of
+    several members as a list of its own (band -1)."""
+    width = math.log(100 / percent) * (1 + 1e-9)             # a ratio of exactly percent / 100 stays below one band
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("int")       # sizes within the ratio are at most one band apart
+    places = groups.select("gid", F.explode(F.array(band, band + 1)).alias("band"), "prefix") \
+        .select("gid", "band", F.posexplode("prefix").alias("pos", "token"))
+    several = places.groupBy("token", "band").agg(F.count("*").alias("k")).where("k > 1").select("token", "band")
+    shared = places.select("token", "band", "gid", "pos", salt("gid")).join(salted(several), ["token", "band", "salt"]).drop("salt")
+    own = groups.where("k > 1").select(F.col("gid").alias("token"), F.lit(-1).alias("band"), "gid", F.lit(0).alias("pos"))
+    return shared.union(own)
+
+
+def overlap(nx, ny, percent: int):
+    """Shared tokens that sets of these sizes need."""
+    return F.ceil(F.lit(percent) * (nx + ny) / F.lit(100 + percent))
+
+
+def alike(nx, ny, percent: int):
+    return F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent
 
 
 def possible(percent: int):
     """May the sets of two places x and y of a token reach the overlap, if it is their first shared one?"""
-    left = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    alike = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
-    return alike & (left >= F.ceil(F.lit(percent) * (F.col("x.n") + F.col("y.n")) / F.lit(100 + percent)))
+    nx, ny = F.col("x.n"), F.col("y.n")
+    left = F.least(nx - F.col("x.pos"), ny - F.col("y.pos"))
+    return alike(nx, ny, percent) & (left >= overlap(nx, ny, percent))
+
+
+def close(nx, ny, x, y, percent: int):
+    """Do the sketches x and y differ in no more bits than sets of these sizes that link may differ in tokens?"""
+    differ = reduce(add, [F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(WORDS)])
+    return alike(nx, ny, percent) & (differ <= nx + ny - F.lit(2) * overlap(nx, ny, percent))
 
 
 # --------------------------------------------------------------------------
@@ -200,25 +248,24 @@ def possible(percent: int):
 # --------------------------------------------------------------------------
 
 def whole_sets(rows: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
-    """(node, n, items): the sets of the needed classes (node, doc_id, s1, s2), one text of each."""
+    """(node, items): the sets of the needed classes (node, doc_id, s1, s2), one text of each."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text"):
-                _, h, n = shingle_sets(part.column(part.schema.get_field_index("text")), shingle)
+                _, h, n = shingle_sets(part.column(1), shingle)
                 s1, s2 = names(h, n)
-                mine = (part.column(part.schema.get_field_index("s1")).to_numpy() == s1.view(np.int64)) \
-                    & (part.column(part.schema.get_field_index("s2")).to_numpy() == s2.view(np.int64))
-                sets = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), signed(h))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), sets], ["node", "n", "items"]).filter(pa.array(mine))
+                mine = (part.column(2).to_numpy() == s1.view(np.int64)) & (part.column(3).to_numpy() == s2.view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists_of(h, n)], ["node", "items"]).filter(pa.array(mine))
 
-    texts = rows.join(needed, "doc_id").select("node", "text", "s1", "s2")
-    return texts.mapInArrow(task, "node long, n long, items array<long>").dropDuplicates(["node"])
+    bits = bits_for(needed.count())
+    held = key_filter(needed.select(F.xxhash64("doc_id")), bits)         # texts of no candidate meet no shuffle
+    texts = rows.where(may_hold(held, F.xxhash64("doc_id"), bits)).join(needed, "doc_id").select("node", "text", "s1", "s2")
+    return texts.mapInArrow(task, "node long, items array<long>").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, copies) that link.  ``b`` may be the centre of a large star: its set goes out in ``copies`` copies."""
-    p = pairs.groupBy("a", "b").agg(F.max("copies").alias("copies")) \
-        .select("a", "b", "copies", F.pmod(F.xxhash64("a"), F.col("copies")).alias("copy"))
+    p = pairs.select("a", "b", "copies", F.pmod(F.xxhash64("a"), F.col("copies")).alias("copy"))
     centres = p.select("b", "copies").distinct().join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
     centres = centres.select("b", "copies", "y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
     met = p.join(centres, ["b", "copies", "copy"]).select("a", "b", "y")
@@ -227,69 +274,74 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.where(F.col("common") * 100 >= (F.col("nx") + F.col("ny") - F.col("common")) * percent).select("a", "b")
 
 
-def stars(lists: DataFrame, by: list[str], percent: int) -> DataFrame:
-    """(a, b, copies): members (by..., rep, comp, turn, n) of every list of several components against one of them."""
-    facts = lists.groupBy(*by).agg(F.count("*").alias("k"), F.min("comp").alias("low"), F.max("comp").alias("high"),
-                                   F.min(F.struct("turn", "rep", "comp", "n")).alias("c")).where("low <> high")
-    centre = facts.select(*by, F.col("c.rep").alias("b"), F.col("c.comp").alias("centre_comp"), F.col("c.n").alias("m"),
-                          F.ceil(F.col("k") / F.lit(STAR)).alias("copies"))
-    near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    return lists.select(*by, "rep", "comp", "n", salt("rep")).join(salted(centre), [*by, "salt"]) \
-        .where((F.col("comp") != F.col("centre_comp")) & near).select(F.col("rep").alias("a"), "b", "copies")
+LIST = ["token", "band"]
+
 
+def stars(lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b, copies): members of every list of several components against one of them."""
+    facts = lists.groupBy(*LIST).agg(F.count("*").alias("k"), F.min("comp").alias("low"), F.max("comp").alias("high"),
+                                     F.min(F.struct("turn", "rep", "comp", "n", "sketch")).alias("c")).where("low <> high")
+    centre = facts.select(*LIST, F.col("c.rep").alias("b"), F.col("c.comp").alias("centre_comp"), F.col("c.n").alias("m"),
+                          F.col("c.sketch").alias("centre_sketch"), F.ceil(F.col("k") / F.lit(STAR)).alias("copies"))
+    return lists.select(*LIST, "rep", "comp", "n", "sketch", salt("rep")).join(salted(centre), [*LIST, "salt"]) \
+        .where((F.col("comp") != F.col("centre_comp")) & close(F.col("n"), F.col("m"), F.col("sketch"), F.col("centre_sketch"), percent)) \
+        .select(F.col("rep").alias("a"), "b", "copies")
 
-def outside(lists: DataFrame, by: list[str]) -> DataFrame:
+
+def outside(lists: DataFrame) -> DataFrame:
     """Members that are not in the main component of their list; lists of one component have none."""
-    sizes = lists.groupBy(*by, "comp").agg(F.count("*").alias("k"))
-    main = sizes.groupBy(*by).agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
-    return lists.select("*", salt("rep")).join(salted(main.select(*by, F.col("top.comp").alias("main"))), [*by, "salt"]) \
+    sizes = lists.groupBy(*LIST, "comp").agg(F.count("*").alias("k"))
+    main = sizes.groupBy(*LIST).agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
+    return lists.select("*", salt("rep")).join(salted(main.select(*LIST, F.col("top.comp").alias("main"))), [*LIST, "salt"]) \
         .where("comp <> main").drop("salt", "main")
 
 
+def remaining(lists: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(a, b, copies): all candidates of different components, expanded to the members of their groups."""
+    slim = lists.select(*LIST, "gid", "pos", "n", "comp", "rep")
+    met = outside(slim).alias("x").join(slim.alias("y"), LIST).where("x.comp <> y.comp").where(possible(percent)).select(
+        F.col("x.gid").alias("gx"), F.col("x.comp").alias("cx"), F.col("y.gid").alias("gy"), F.col("y.comp").alias("cy")).distinct()
+    a = members.select(F.col("gid").alias("gx"), F.col("comp").alias("cx"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    b = members.select(F.col("gid").alias("gy"), F.col("comp").alias("cy"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    return met.join(a, ["gx", "cx"]).join(b, ["gy", "cy"]).where(close(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"), percent)).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(1).cast("long").alias("copies"))
+
+
 def links(rows: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(node, comp) of all classes (node, doc_id, n, s1, s2, g1, g2, prefix) that link with another one."""
+    """(node, comp) of all classes (node, doc_id, n, s1, s2, g1, g2, prefix, sketch) that link with another one."""
     own = classes.groupBy("g1", "g2").agg(F.min(F.struct("node", "n", "prefix")).alias("lead"), F.count("*").alias("k"))
     groups = written(own.select(F.col("lead.node").alias("gid"), F.col("lead.n").alias("n"), F.col("lead.prefix").alias("prefix"), "g1", "g2", "k"),
                      "prefix-groups")
-    shared = written(shared_lists(groups), "prefix-lists")
-    # Members of the groups that have a candidate: several members, or a token shared with another group.
-    crowd = groups.where("k > 1").select("gid").union(shared.select("gid")).distinct()
-    wanted = salted(groups.join(crowd, "gid", "left_semi").select("gid", "g1", "g2"))
-    members = written(classes.select("node", "doc_id", "n", "s1", "s2", "g1", "g2", salt("node")).join(wanted, ["g1", "g2", "salt"])
-                      .select("gid", "node", "n", "doc_id", "s1", "s2"), "prefix-members")
-    sets = written(whole_sets(rows, members.select("node", "doc_id", "s1", "s2"), shingle), "shingle-sets")
-
-    found, comp = None, members.select("node", F.col("node").alias("comp")).limit(0)
-    turn = 0
+    lists = written(token_lists(groups, percent), "prefix-lists")
+    # Members of the groups that stand in a list.
+    listed = salted(groups.join(lists.select("gid").distinct(), "gid", "left_semi").select("gid", "g1", "g2"))
+    members = written(classes.select("node", "doc_id", "n", "s1", "s2", "g1", "g2", "sketch", salt("node")).join(listed, ["g1", "g2", "salt"])
+                      .select("gid", "node", "n", "doc_id", "s1", "s2", "sketch"), "prefix-members")
+    comp = members.select("node", F.col("node").alias("comp")).limit(0)
+    found, sets, turn = None, None, 0
     while True:
-        labelled = members.join(comp, "node", "left").select("gid", "node", "n", F.coalesce("comp", "node").alias("comp"))
+        labelled = members.join(comp, "node", "left").select("gid", "node", "n", "sketch", F.coalesce("comp", "node").alias("comp"))
         # One row for each component in a group; other centres every time.
-        order = F.xxhash64(F.lit(turn), "rep") if turn else F.lit(0).cast("long")
-        parts = written(labelled.groupBy("gid", "comp").agg(F.min("node").alias("rep"), F.max("n").alias("n"))
-                        .withColumn("turn", order), "group-parts")
-        inside = labelled.select("gid", F.col("node").alias("rep"), "comp", "n").withColumn("turn", order)
-        listed = shared.join(parts, "gid")
-        if turn < STARS:
-            pairs = stars(inside, ["gid"], percent).union(stars(listed, ["token"], percent))
-        else:                                            # all candidates that are left
-            x, y = outside(listed, ["token"]), listed
-            meet = x.alias("x").join(y.alias("y"), "token").where("x.comp <> y.comp").where(possible(percent))
-            parted = meet.select(F.col("x.gid").alias("gx"), F.col("x.comp").alias("cx"), F.col("y.gid").alias("gy"), F.col("y.comp").alias("cy"))
-            x, y = outside(parts, ["gid"]), parts
-            alike = x.alias("x").join(y.alias("y"), "gid").where("x.comp <> y.comp").select(
-                F.col("gid").alias("gx"), F.col("x.comp").alias("cx"), F.col("gid").alias("gy"), F.col("y.comp").alias("cy"))
-            todo = parted.union(alike).distinct()
-            a = labelled.select(F.col("gid").alias("gx"), F.col("comp").alias("cx"), F.col("node").alias("a"))
-            b = labelled.select(F.col("gid").alias("gy"), F.col("comp").alias("cy"), F.col("node").alias("b"))
-            pairs = todo.join(a, ["gx", "cx"]).join(b, ["gy", "cy"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-                                                                             F.lit(1).cast("long").alias("copies"))
+        parts = labelled.groupBy("gid", "comp").agg(F.min(F.struct("node", "n", "sketch")).alias("rep")) \
+            .select("gid", "comp", F.col("rep.node").alias("rep"), "rep.n", "rep.sketch")
+        entries = written(lists.join(parts, "gid").withColumn("turn", F.xxhash64(F.lit(turn), "rep") if turn else F.lit(0).cast("long")),
+                          "prefix-entries")
+        pairs = written((stars(entries, percent) if turn < STARS else remaining(entries, labelled, percent))
+                        .groupBy("a", "b").agg(F.max("copies").alias("copies")), "set-pairs")
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        if sets is not None:
+            ends = ends.join(sets.select("node"), "node", "left_anti")
+        needed = written(members.join(ends, "node", "left_semi").select("node", "doc_id", "s1", "s2"), "needed-sets")
+        more = written(whole_sets(rows, needed, shingle), "shingle-sets")
+        sets = more if sets is None else sets.union(more)
         new = written(verified(pairs, sets, percent), "set-links")
-        if not new.isEmpty():
+        none = new.isEmpty()
+        if not none:
             found = new if found is None else found.union(new)
             comp = written(components(found).select("node", F.col("component").alias("comp")), "set-components")
         if turn == STARS:
             return comp
-        turn = STARS if new.isEmpty() else turn + 1      # stars without a link: expand the rest
+        turn = STARS if none else turn + 1               # stars without a link: expand the rest
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -298,7 +350,8 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90, id_
     table = written(prefixed(rows, shingle, percent, token_ranks(rows, shingle)), "prefixed")
     usable = table.where("n > 0 and doc_id is not null")
     equal = usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("g1").alias("g1"),
-                                           F.min("g2").alias("g2"), F.first("prefix").alias("prefix"), F.count("*").alias("rows"))
+                                           F.min("g2").alias("g2"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"),
+                                           F.count("*").alias("rows"))
     classes = written(equal.withColumn("node", F.monotonically_increasing_id()), "set-classes")
     comp = links(rows, classes, shingle, percent)
     low = classes.select("node", "s1", "s2", "doc_id", "rows").join(comp, "node", "left")
