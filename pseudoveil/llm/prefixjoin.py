@@ -3,13 +3,14 @@
 A text is the set of its distinct word shingles (64-bit XXH64).  Two sets link at
 ``100 * |intersection| >= percent * |union|``.
 
-1. **Order.**  The prefix of a set is its first tokens in a global order, rare ones
-   first.  The order is (estimated document frequency, hash): every task counts the
-   shingles of its texts in a fixed table of 2**22 cells, tables are added up in a tree,
-   and one byte a cell (4 MB, whatever the input) goes to the tasks.  Any order gives
-   right results; a good one keeps common shingles out of the prefixes.
-2. **Classes.**  Texts with equal sets become one class, combined before the shuffle.
-3. **Groups.**  Classes with the same prefix and the same size become one group.
+1. **Classes.**  Texts with equal sets become one class, combined before the shuffle.
+2. **Order.**  The prefix of a set is its first tokens in a global order, rare ones first: by
+   the number of sets that hold the token, then by hash.  One shuffle of (token, set) rows
+   finds the tokens of several sets and their numbers.  Tokens of one set come first in
+   the order and can be shared with nobody, so a set with more of them than its prefix has
+   tokens is done: it links with nothing.
+3. **Groups.**  Classes with the same size and the same prefix (but for tokens that nobody
+   shares) become one group.
    The inverted index holds groups: linked sets share a token of their prefixes
    (n - ceil(t n) + 1 tokens), and at the first shared one the tokens that are left must
    still reach the overlap, which also filters by size.
@@ -26,9 +27,10 @@ A text is the set of its distinct word shingles (64-bit XXH64).  Two sets link a
    but those whose ends are connected already.  Only the texts of candidates are read again.
 5. **Components.**  Links feed the connected-components job.
 
-Hot keys: a token or member of a crowd is joined with its tiny rows spread over salts; sets
-travel to balanced keys only.  Work that stays with the square of a list: lists whose
-members agree in a prefix token but in no component.
+Hot keys: a list or member of a crowd is joined with its tiny rows spread over salts; sets
+travel to balanced keys only.  The rows (token, set) of one token pass through one task as a
+stream; nothing of them is gathered.  Work that stays with the square of a list is the
+sketch comparison of members that agree in a prefix token but in no component.
 
 Defined results: a null or word-free text has an empty set, is linked with nothing and is
 its own component; a text with fewer words than a shingle has its word sequence as only
@@ -40,15 +42,13 @@ an empty table gives no rows; columns other than ``id_col`` and ``text_col`` are
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 from functools import reduce
 from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.key_filter import bits_for, key_filter, may_hold
@@ -56,9 +56,6 @@ from .simhash import joined_words
 from .storage import components, written
 from .words import mix64, text_slices, words, xxh64
 
-CELL_BITS = 22         # cells of the frequency estimate
-BLOCK = 1 << 18        # cells added up together
-LOTS = 256             # first-level sums of a block
 SALTS = 8              # places over which the rows of one key are spread
 STAR = 1000            # members of a star checked by one copy of its centre
 STARS = 2              # times that lists are checked as stars before the rest is expanded
@@ -89,10 +86,6 @@ def shingle_sets(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray
     return doc, h, np.bincount(doc, minlength=w.n_docs).astype(np.int64)
 
 
-def cell(h: np.ndarray) -> np.ndarray:
-    return (mix64(h) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-
-
 def per_set(values: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Sum of the values of every set, modulo 2**64; 0 for an empty one."""
     total = np.r_[np.uint64(0), np.cumsum(values, dtype=np.uint64)]
@@ -125,78 +118,56 @@ def signed(x: np.ndarray) -> pa.Array:
 
 
 # --------------------------------------------------------------------------
-# 1. token order
+# 1-2. classes and prefixes
 # --------------------------------------------------------------------------
 
-def _merge(table: pa.Table) -> pa.Table:
-    total = np.zeros(BLOCK, np.uint64)
-    for b in table.column("cells"):
-        total += np.frombuffer(zlib.decompress(b.as_buffer()), np.uint32)
-    total = np.minimum(total, np.uint64((1 << 32) - 1)).astype(np.uint32)
-    return pa.table({"block": table.column("block").slice(0, 1), "lot": table.column("lot").slice(0, 1),
-                     "cells": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+def lists_of(values: np.ndarray, size: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), signed(values))
 
 
-def token_ranks(rows: DataFrame, shingle: int) -> np.ndarray:
-    """One byte a cell: eighths of octaves of the number of sets whose shingles fall into it."""
+def named_sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, n, s1, s2, sketch): size, name and sketch of the set of every text."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << CELL_BITS, np.uint32)
         for batch in batches:
             for part in text_slices(batch, "text"):
-                at, n = np.unique(cell(shingle_sets(part.column(1), shingle)[1]), return_counts=True)
-                cells[at] += n.astype(np.uint32)
-        lot = TaskContext.get().partitionId() % LOTS
-        for block in range(len(cells) // BLOCK):
-            own = cells[block * BLOCK:(block + 1) * BLOCK]
-            if own.any():
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([lot], pa.int32()),
-                                                  pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], ["block", "lot", "cells"])
-
-    form = "block int, lot int, cells binary"
-    lots = rows.mapInArrow(task, form).groupBy("block", "lot").applyInArrow(_merge, form)
-    total = lots.groupBy("block").applyInArrow(_merge, form)
-    out = np.zeros(1 << CELL_BITS, np.uint8)
-    for r in total.collect():                                            # 16 rows of at most 1 MB
-        n = np.frombuffer(zlib.decompress(bytes(r["cells"])), np.uint32)
-        out[r["block"] * BLOCK:(r["block"] + 1) * BLOCK] = np.minimum(8 * np.log2(1.0 + n), 255).astype(np.uint8)
-    return out
-
-
-# --------------------------------------------------------------------------
-# 2-3. classes, groups, lists
-# --------------------------------------------------------------------------
-
-def prefix_lengths(n: np.ndarray, percent: int) -> np.ndarray:
-    return np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
-
-
-def lists_of(values: np.ndarray, size: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), signed(values))
+                _, h, n = shingle_sets(part.column(1), shingle)
+                s1, s2 = names(h, n)
+                sketch = lists_of(parity_sketches(h, n).ravel(), np.full(len(n), WORDS))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), signed(s1), signed(s2), sketch],
+                                                 ["doc_id", "n", "s1", "s2", "sketch"])
 
+    return rows.mapInArrow(task, "doc_id long, n long, s1 long, s2 long, sketch array<long>")
 
-def prefixed(rows: DataFrame, shingle: int, percent: int, ranks: np.ndarray) -> DataFrame:
-    """(doc_id, n, s1, s2, g1, g2, prefix, sketch): size, set name, group name, ordered prefix and sketch of every text."""
-    held = rows.sparkSession.sparkContext.broadcast(ranks.tobytes())     # 4 MB
 
+def set_tokens(rows: DataFrame, shingle: int) -> DataFrame:
+    """(token, s1): the tokens of the sets; copies met in one slice count once."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = np.frombuffer(held.value, np.uint8)
         for batch in batches:
             for part in text_slices(batch, "text"):
                 doc, h, n = shingle_sets(part.column(1), shingle)
-                s1, s2 = names(h, n)
-                order = np.lexsort((h, rank[cell(h)], doc))
-                length = prefix_lengths(n, percent)
-                first = np.cumsum(n) - n
-                inner = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-                prefix = h[order][np.repeat(first, length) + inner]
-                p1, p2 = names(prefix, length)
-                size = mix64(n.astype(np.uint64))
-                sketch = parity_sketches(h, n)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n), signed(s1), signed(s2), signed(p1 ^ size), signed(p2 ^ size), lists_of(prefix, length),
-                     lists_of(sketch.ravel(), np.full(len(n), WORDS))], ["doc_id", "n", "s1", "s2", "g1", "g2", "prefix", "sketch"])
+                s1, _ = names(h, n)
+                once = np.zeros(len(n), bool)
+                once[np.unique(s1, return_index=True)[1]] = True
+                mine = once[doc]
+                yield pa.RecordBatch.from_arrays([signed(h[mine]), signed(s1[doc[mine]])], ["token", "s1"])
+
+    return rows.mapInArrow(task, "token long, s1 long")
+
+
+def prefix_length(n, percent: int):
+    return n - F.ceil(F.lit(percent) * n / F.lit(100)) + 1
+
 
-    return rows.mapInArrow(task, "doc_id long, n long, s1 long, s2 long, g1 long, g2 long, prefix array<long>, sketch array<long>")
+def prefix_places(rows: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(node, n, token, pos): the tokens in the prefixes of the classes (node, n, s1) that other sets hold, too."""
+    # The filter that the joins below imply, stated here so that both uses read one shuffle.
+    tokens = set_tokens(rows, shingle).where("token is not null and s1 is not null").repartition("token")
+    held = tokens.groupBy("token").agg(F.min("s1").alias("low"), F.max("s1").alias("high"), F.count("*").alias("k")).where("low <> high")
+    back = tokens.join(held.select("token", "k").hint("shuffle_hash"), "token").select("s1", "token", "k")
+    mine = Window.partitionBy("s1")
+    ranked = back.withColumn("i", F.row_number().over(mine.orderBy("k", "token")) - 1).withColumn("r", F.count("*").over(mine))
+    placed = ranked.join(classes.select("s1", "node", "n"), "s1").withColumn("pos", F.col("n") - F.col("r") + F.col("i"))
+    return placed.where(F.col("pos") < prefix_length(F.col("n"), percent)).select("node", "n", "token", "pos", "r")
 
 
 def salted(small: DataFrame) -> DataFrame:
@@ -208,16 +179,16 @@ def salt(c: str):
     return F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int").alias("salt")
 
 
-def token_lists(groups: DataFrame, percent: int) -> DataFrame:
+def token_lists(places: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """(token, band, gid, pos): lists of several places.  A token's places by size band, and every group of
     several members as a list of its own (band -1)."""
     width = math.log(100 / percent) * (1 + 1e-9)             # a ratio of exactly percent / 100 stays below one band
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("int")       # sizes within the ratio are at most one band apart
-    places = groups.select("gid", F.explode(F.array(band, band + 1)).alias("band"), "prefix") \
-        .select("gid", "band", F.posexplode("prefix").alias("pos", "token"))
-    several = places.groupBy("token", "band").agg(F.count("*").alias("k")).where("k > 1").select("token", "band")
-    shared = places.select("token", "band", "gid", "pos", salt("gid")).join(salted(several), ["token", "band", "salt"]).drop("salt")
-    own = groups.where("k > 1").select(F.col("gid").alias("token"), F.lit(-1).alias("band"), "gid", F.lit(0).alias("pos"))
+    leads = groups.select("gid").withColumnRenamed("gid", "node")
+    banded = places.join(leads, "node", "left_semi").select(F.col("node").alias("gid"), "token", "pos", F.explode(F.array(band, band + 1)).alias("band"))
+    several = banded.groupBy("token", "band").agg(F.count("*").alias("k")).where("k > 1").select("token", "band")
+    shared = banded.select("token", "band", "gid", "pos", salt("gid")).join(salted(several), ["token", "band", "salt"]).drop("salt")
+    own = groups.where("k > 1").select(F.col("gid").alias("token"), F.lit(-1).alias("band"), "gid", F.lit(0).cast("long").alias("pos"))
     return shared.union(own)
 
 
@@ -298,8 +269,9 @@ def outside(lists: DataFrame) -> DataFrame:
 
 def remaining(lists: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """(a, b, copies): all candidates of different components, expanded to the members of their groups."""
-    slim = lists.select(*LIST, "gid", "pos", "n", "comp", "rep")
-    met = outside(slim).alias("x").join(slim.alias("y"), LIST).where("x.comp <> y.comp").where(possible(percent)).select(
+    slim = lists.select(*LIST, "gid", "pos", "n", "comp", "rep", F.when(F.col("k") == 1, F.col("sketch")).alias("sketch"))
+    near = F.coalesce(close(F.col("x.n"), F.col("y.n"), F.col("x.sketch"), F.col("y.sketch"), percent), F.lit(True))     # parts of one member
+    met = outside(slim).alias("x").join(slim.alias("y"), LIST).where("x.comp <> y.comp").where(possible(percent) & near).select(
         F.col("x.gid").alias("gx"), F.col("x.comp").alias("cx"), F.col("y.gid").alias("gy"), F.col("y.comp").alias("cy")).distinct()
     a = members.select(F.col("gid").alias("gx"), F.col("comp").alias("cx"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     b = members.select(F.col("gid").alias("gy"), F.col("comp").alias("cy"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
@@ -308,22 +280,24 @@ def remaining(lists: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
 
 def links(rows: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(node, comp) of all classes (node, doc_id, n, s1, s2, g1, g2, prefix, sketch) that link with another one."""
-    own = classes.groupBy("g1", "g2").agg(F.min(F.struct("node", "n", "prefix")).alias("lead"), F.count("*").alias("k"))
-    groups = written(own.select(F.col("lead.node").alias("gid"), F.col("lead.n").alias("n"), F.col("lead.prefix").alias("prefix"), "g1", "g2", "k"),
-                     "prefix-groups")
-    lists = written(token_lists(groups, percent), "prefix-lists")
+    """(node, comp) of all classes (node, doc_id, n, s1, s2, sketch) that link with another one."""
+    places = written(prefix_places(rows, classes, shingle, percent), "prefix-places")
+    prefix = places.groupBy("node").agg(F.min("n").alias("n"), F.min("r").alias("r"), F.bit_xor(F.xxhash64("token", "pos")).alias("g1"),
+                                        F.bit_xor(F.xxhash64("pos", "token")).alias("g2"))
+    named = written(prefix, "prefix-names")
+    groups = written(named.groupBy("n", "r", "g1", "g2").agg(F.min("node").alias("gid"), F.count("*").alias("k")), "prefix-groups")
+    lists = written(token_lists(places, groups, percent), "prefix-lists")
     # Members of the groups that stand in a list.
-    listed = salted(groups.join(lists.select("gid").distinct(), "gid", "left_semi").select("gid", "g1", "g2"))
-    members = written(classes.select("node", "doc_id", "n", "s1", "s2", "g1", "g2", "sketch", salt("node")).join(listed, ["g1", "g2", "salt"])
-                      .select("gid", "node", "n", "doc_id", "s1", "s2", "sketch"), "prefix-members")
+    listed = salted(groups.join(lists.select("gid").distinct(), "gid", "left_semi").select("gid", "n", "r", "g1", "g2"))
+    members = named.select("node", "n", "r", "g1", "g2", salt("node")).join(listed, ["n", "r", "g1", "g2", "salt"]).select("gid", "node")
+    members = written(classes.select("node", "n", "doc_id", "s1", "s2", "sketch").join(members, "node"), "prefix-members")
     comp = members.select("node", F.col("node").alias("comp")).limit(0)
     found, sets, turn = None, None, 0
     while True:
         labelled = members.join(comp, "node", "left").select("gid", "node", "n", "sketch", F.coalesce("comp", "node").alias("comp"))
         # One row for each component in a group; other centres every time.
-        parts = labelled.groupBy("gid", "comp").agg(F.min(F.struct("node", "n", "sketch")).alias("rep")) \
-            .select("gid", "comp", F.col("rep.node").alias("rep"), "rep.n", "rep.sketch")
+        parts = labelled.groupBy("gid", "comp").agg(F.min(F.struct("node", "n", "sketch")).alias("rep"), F.count("*").alias("k")) \
+            .select("gid", "comp", "k", F.col("rep.node").alias("rep"), "rep.n", "rep.sketch")
         entries = written(lists.join(parts, "gid").withColumn("turn", F.xxhash64(F.lit(turn), "rep") if turn else F.lit(0).cast("long")),
                           "prefix-entries")
         pairs = written((stars(entries, percent) if turn < STARS else remaining(entries, labelled, percent))
@@ -347,10 +321,9 @@ def links(rows: DataFrame, classes: DataFrame, shingle: int, percent: int) -> Da
 def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n, component_id) for every row of ``docs``."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    table = written(prefixed(rows, shingle, percent, token_ranks(rows, shingle)), "prefixed")
+    table = written(named_sets(rows, shingle), "named-sets")
     usable = table.where("n > 0 and doc_id is not null")
-    equal = usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("g1").alias("g1"),
-                                           F.min("g2").alias("g2"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"),
+    equal = usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("sketch").alias("sketch"),
                                            F.count("*").alias("rows"))
     classes = written(equal.withColumn("node", F.monotonically_increasing_id()), "set-classes")
     comp = links(rows, classes, shingle, percent)
