@@ -22,11 +22,6 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BENCH = [(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"), (2, "Short item"), (3, ""), (4, None), (5, "short ITEM")]
 
 
-def ranks():
-    import public_tokenizers
-    return str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-
-
 def frame(spark, rows, schema="doc_id long, text string"):
     return spark.createDataFrame(rows, schema)
 
@@ -47,7 +42,7 @@ def operators(spark):
         "quality": lambda d: repetition.quality(d),
         "lines": lambda d: linededup.dedupe_lines(d),
         "benchmark": lambda d: decontaminate.contamination(d, bench),
-        "pack": lambda d: packing.pack(d, ranks()).where("start = 0"),
+        "pack": lambda d: packing.pack(d, **packing.vocabulary()).where("start = 0"),
     }
 
 
@@ -76,7 +71,7 @@ def test_repeated_rows_and_nulls_have_the_stated_results(spark):
     assert lang[1].lang_pred == lang[2].lang_pred == "und" and lang[1].score == 0
     lines = {r.doc_id: r for r in linededup.dedupe_lines(d).collect()}
     assert lines[1].text is None and lines[1].lines_total == 0 and lines[2].lines_total == 1
-    packed = {r.doc_id: r for r in packing.pack(d, ranks()).where("doc_id < 5").collect()}
+    packed = {r.doc_id: r for r in packing.pack(d, **packing.vocabulary()).where("doc_id < 5").collect()}
     assert packed[1].doc_tokens == packed[2].doc_tokens == 1
 
 
@@ -570,35 +565,98 @@ def test_text_around_an_article():
 
 # --- 10 packing
 
-def test_packing_is_gapless_and_ids_are_the_tokenizers(spark):
+def plain_ids(texts):
     import public_tokenizers
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
     tok.encode_special_tokens = True
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    odd = [(90000, None), (90001, ""), (90002, "<|endoftext|> İ😀  \r\n\t 's 'LL ￿ a" * 50), (90003, "aé" * 30000)]
-    docs = docs.union(frame(spark, odd))
-    rows = packing.pack(docs, ranks(), 2048).collect()
-    texts = {r.doc_id: r.text for r in docs.collect()}
+    return {i: np.array(tok.encode(t or "", add_special_tokens=False).ids + [1], "<u4") for i, t in texts.items()}
+
+
+def check_packed(rows, ids):
+    """Every id in one piece, sequences gapless and of a length that needs no padding."""
     by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
         by_doc[r.doc_id].append(r)
         by_seq[r.sequence_id].append(r)
-    assert set(by_doc) == set(texts)
+    assert set(by_doc) == set(ids)
     for i, pieces in by_doc.items():
-        ids = np.array(tok.encode(texts[i] or "", add_special_tokens=False).ids + [1], "<u4")
         at = 0
         for r in sorted(pieces, key=lambda r: r.start):
-            assert r.start == at and r.doc_tokens == len(ids)
-            assert r.ids_crc32 == zlib.crc32(ids[at:at + r.length].tobytes())
+            assert r.start == at and r.doc_tokens == len(ids[i])
+            assert r.ids_crc32 == zlib.crc32(ids[i][at:at + r.length].tobytes())
             at += r.length
-        assert at == len(ids)
+        assert at == len(ids[i])
     for pieces in by_seq.values():
         at = 0
         for r in sorted(pieces, key=lambda r: r.offset):
             assert r.offset == at
             at += r.length
         assert at == pieces[0].sequence_length <= 2048 and at & (at - 1) == 0
+    return by_doc, by_seq
+
+
+def test_packing_is_gapless_and_ids_are_the_tokenizers(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    odd = [(90000, None), (90001, ""), (90002, "<|endoftext|> İ😀  \r\n\t 's 'LL ￿ a" * 50), (90003, "aé" * 30000),
+           (90004, "a " + " " * 60_000 + "\n b" + "\t" * 9000), (90005, " " * 4990 + "x" * 4990 + "\n" * 4990 + "'s")]
+    docs = docs.union(frame(spark, odd))
+    by_doc, by_seq = check_packed(packing.pack(docs, **packing.vocabulary()).collect(), plain_ids({r.doc_id: r.text for r in docs.collect()}))
+    pieces = sum(map(len, by_doc.values()))
+    assert pieces < 1.6 * len(by_doc) + sum(p[0].doc_tokens // 2048 for p in by_doc.values())
+
+
+def test_packing_takes_runs_of_millions(spark):
+    rows = [(1, " " * 1_000_000), (2, "word" * 250_000), (3, "é" * 300_000 + " " * 300_000 + "x")]
+    check_packed(packing.pack(frame(spark, rows), **packing.vocabulary()).collect(), plain_ids(dict(rows)))
+
+
+def plain_packing(lengths, capacity):
+    """Sequences as lists of (document, start, length): the stated rules on lists."""
+    done, bins, short = [], {}, []
+    for doc, n in enumerate(lengths):
+        at = 0
+        while n - at >= capacity:
+            done.append([(doc, at, capacity)])
+            at += capacity
+        while short and sum(x[2] for x in short[-1]) + n - at >= capacity:
+            seq = short.pop()
+            lacks = capacity - sum(x[2] for x in seq)
+            done.append(seq + [(doc, at, lacks)])
+            at += lacks
+        if at < n:
+            k = next(k for k in range(1, capacity + 1) if capacity / (k + 1) < n - at <= capacity / k)
+            bins.setdefault(k, []).append((doc, at, n - at))
+            if len(bins[k]) == k:
+                seq = bins.pop(k)
+                (done if sum(x[2] for x in seq) == capacity else short).append(seq)
+    flat = [(d, a + i) for seq in short + [bins[k] for k in sorted(bins)] for d, a, n in seq for i in range(n)]
+    while flat:
+        size = capacity
+        while size > len(flat):
+            size //= 2
+        taken, flat, seq = flat[:size], flat[size:], []
+        for d, i in taken:
+            if seq and seq[-1][0] == d and seq[-1][1] + seq[-1][2] == i:
+                seq[-1] = (d, seq[-1][1], seq[-1][2] + 1)
+            else:
+                seq.append((d, i, 1))
+        done.append(seq)
+    return done
+
+
+@pytest.mark.parametrize("capacity", [1, 8, 64, 2048])
+def test_harmonic_classes_match_plain_packing(capacity):
+    rng = random.Random(capacity)
+    lengths = [rng.choice([1, 2, 3, rng.randint(1, capacity), rng.randint(1, 3 * capacity)]) for _ in range(400)]
+    packer = packing.Packer(capacity, 5)
+    for doc, n in enumerate(lengths):
+        packer.add(doc, np.arange(n, dtype="<u4"))
+    packer.finish()
+    got = collections.defaultdict(list)
+    for doc, start, n, _, _, seq, _, _ in packer.taken():
+        got[seq].append((doc, start, n))
+    assert [got[k] for k in sorted(got)] == plain_packing(lengths, capacity) and min(got) == 5
 
 
 # --- pipeline
