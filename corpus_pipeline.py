@@ -63,8 +63,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of the documents in sequences of 2048 tokens."""
-    import public_tokenizers
-    return packing.pack(docs, str(public_tokenizers.path("byte_bpe_50k.tiktoken")), capacity=2048)
+    return packing.pack(docs, **packing.vocabulary(), capacity=2048)
 
 
 STAGES: list[tuple[str, Stage]] = [
