@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import vocab as V
 from ..functions.spans import STEP, bound
 from ..functions.text import normalize_key
+from ..session import written
 from .detectors import FINDINGS_TYPE
+from .key_filter import bits_for, key_filter, may_hold
 
 
 def confidence_rank(conf: Column) -> Column:
@@ -66,9 +68,15 @@ def _substrings(col: Column, lengths: Column) -> Column:
 
 
 def _contained(inner: DataFrame, inner_col: str, outer: DataFrame, outer_col: str) -> DataFrame:
-    """(outer_col, inner_col) pairs side by side: every substring of ``outer`` of a length that ``inner`` has."""
+    """(outer_col, inner_col) pairs side by side: the substrings of ``outer`` that may be an ``inner``.
+
+    Substrings of the lengths that ``inner`` has, tested against a filter of ``inner`` as
+    they are cut: what is left for the shuffle is close to the true matches."""
     lengths = inner.agg(F.collect_set(F.length(inner_col)).alias("lengths"))      # one row, a few dozen numbers
-    return outer.crossJoin(F.broadcast(lengths)).select(outer_col, F.explode(_substrings(F.col(outer_col), F.col("lengths"))).alias(inner_col))
+    bits = bits_for(inner.count())
+    held = key_filter(inner.select(F.xxhash64(inner_col)), bits)
+    cut = outer.crossJoin(F.broadcast(lengths)).select(outer_col, F.explode(_substrings(F.col(outer_col), F.col("lengths"))).alias(inner_col))
+    return cut.where(may_hold(held, F.xxhash64(inner_col), bits))
 
 
 def suppressed_values(values: DataFrame, fakes: DataFrame) -> DataFrame:
@@ -78,12 +86,12 @@ def suppressed_values(values: DataFrame, fakes: DataFrame) -> DataFrame:
     ``fakes``:  one column ``fake`` (normalised replacement values).
     Blank values never match and blank fakes are ignored.
 
-    Containment is an equi-join on whole strings: either side is cut into its
-    substrings of just the lengths that the other side has.  There is no
+    Containment is an equi-join on whole strings: either side is cut into the
+    substrings of it that may be a string of the other side.  There is no
     candidate list, so no key is hotter than a distinct string.
     """
-    v = values.select("norm").where(F.length("norm") > 0).distinct()
-    g = fakes.select("fake").where(F.length("fake") > 0).distinct()
+    v = written(values.select("norm").where(F.length("norm") > 0).distinct(), "values")
+    g = written(fakes.select("fake").where(F.length("fake") > 0).distinct(), "fakes")
     holds_fake = _contained(g, "fake", v, "norm").join(g, "fake", "left_semi").select("norm")
     in_fake = v.join(_contained(v, "norm", g, "fake"), "norm", "left_semi")
     return holds_fake.unionByName(in_fake).distinct()

@@ -2,7 +2,8 @@
 
 ``mapping`` columns: ``pii_type, norm_key, surface, replacement, id``.
 ``(pii_type, norm_key)`` is unique; ``replacement`` is unique except for
-``[REDACTED]``.  Rows loaded from JSON have a null ``id``.
+``[REDACTED]``.  JSON keeps no ids: a loaded row's id is read back from its fake
+(:func:`.surrogates.surrogate_id`), null for a fake that is not one of ours.
 
 New keys get dense ids per type: a key hashes to one of ``buckets`` buckets, is
 ranked by ``norm_key`` inside it, and the bucket counts give each bucket its
@@ -24,7 +25,7 @@ from ..functions import vocab as V
 from ..functions.text import collapse_ws, normalize_key
 from ..session import written
 from .findings import suppressed_values
-from .surrogates import surrogate
+from .surrogates import surrogate, surrogate_id
 
 MAPPING_SCHEMA = "pii_type string, norm_key string, surface string, replacement string, id bigint"
 DEFAULT_BUCKETS = 1024      # window groups per type for ranking new keys; raise it with the number of distinct keys
@@ -68,6 +69,13 @@ def dense_ids(keys: DataFrame, buckets: int) -> DataFrame:
         .withColumn("rank", F.col("offset") + F.col("in_bucket")).drop("bucket", "in_bucket", "offset")
 
 
+def with_ids(mapping: DataFrame) -> DataFrame:
+    """``mapping`` with the ids that its fakes stand for where they are null."""
+    if mapping.where("id is null").isEmpty():
+        return mapping
+    return mapping.withColumn("id", F.coalesce("id", surrogate_id(F.col("pii_type"), F.col("replacement"))))
+
+
 def assign_surrogates(new: DataFrame, mapping: DataFrame, buckets: int = DEFAULT_BUCKETS,
                       observed: DataFrame | None = None) -> DataFrame:
     """Give each new key a unique replacement; returns rows in mapping schema.
@@ -78,7 +86,7 @@ def assign_surrogates(new: DataFrame, mapping: DataFrame, buckets: int = DEFAULT
         observed = keys.select("norm_key").union(mapping.select("norm_key"))
     observed = observed.select(F.col("norm_key").alias("fake")).distinct()
     used = mapping.select("replacement").where(F.col("replacement") != V.REDACTED)
-    next_id = mapping.groupBy("pii_type").agg((F.max("id") + 1).alias("base")).where("base is not null")
+    next_id = with_ids(mapping).groupBy("pii_type").agg((F.max("id") + 1).alias("base")).where("base is not null")
     out = keys.where(~known).select("pii_type", "norm_key", "surface", F.lit(V.REDACTED).alias("replacement"),
                                     F.lit(None).cast("bigint").alias("id"))
     left = keys.where(known)

@@ -11,15 +11,17 @@ Data flow and shuffles (``U`` = text units, small = proportional to findings):
 4. mapping: distinct ``(type, key)`` -> existing replacement or a new
    surrogate (shuffles of distinct keys only).
 5. splice: findings with replacements are grouped per target row and joined
-   to the text.  A row is known by its id and the hash of its text, so rows that
-   share an id never get each other's edits.  The edit lists are small, so the
-   optimiser broadcasts them when they fit under the broadcast threshold and
-   shuffles otherwise; rows without findings pass through unchanged.
+   to the text.  A row is known by its id (null like any other) and the hash of its
+   text, so rows that share an id never get each other's edits.  A filter of the row
+   keys with findings splits the rows inside the scan's stage: those without
+   findings pass through and only the others meet the join.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,7 @@ from . import ner as N
 from .detectors import (FINDINGS_TYPE, context_person_spans, detect_regex, is_blank,
                         no_findings)
 from .findings import resolve_overlaps, suppress_generated
+from .key_filter import bits_for, key_filter, may_hold
 from .mapping import (DEFAULT_BUCKETS, assign_surrogates, empty_mapping, finding_keys,
                       merge_mapping, new_keys)
 
@@ -58,6 +61,7 @@ class RedactionResult:
     mapping: DataFrame         # loaded mapping plus the new rows
     new_mapping: DataFrame     # only the rows added by this run
     ner: DataFrame             # scored NER candidates per unit (audit; computed only if asked for)
+    findings_written: DataFrame   # kept findings as written, without replacements
 
 
 # --------------------------------------------------------------------------
@@ -73,7 +77,8 @@ def detect_units(units: DataFrame, key: list[str], config: Config = Config(),
         if candidates is None:
             raise ValueError("Config.ner='table' needs a candidates DataFrame")
         per_unit = N.candidates_by_unit(candidates, key)
-        units = units.join(per_unit, key, "left")
+        per_unit = per_unit.select(*[F.col(k).alias(f"cand_{k}") for k in key], "cands")
+        units = units.join(per_unit, same_key(units, per_unit, key, [f"cand_{k}" for k in key]), "left")
         cands = F.coalesce(F.col("cands"), F.array().cast(f"array<{N.CANDIDATE_TYPE}>"))
     elif config.ner == "capitalised":
         cands = N.capitalised_run_candidates(text)
@@ -177,13 +182,27 @@ def edits_by(findings: DataFrame, target_key: list[str], offset: Column | None =
     )).cast(EDIT_TYPE).alias("edits"))
 
 
-def apply_edits(target: DataFrame, edits: DataFrame, target_key: list[str], text_col: str = "text") -> DataFrame:
-    cols = [c for c in target.columns]
-    joined = target.join(edits, target_key, "left")
-    out = [F.when(F.col("edits").isNull(), F.col(text_col)).otherwise(
-        splice_text(F.col(text_col), F.col("edits"))).alias(text_col) if c == text_col else F.col(c)
-        for c in cols]
-    return joined.select(*out)
+def same_key(left: DataFrame, right: DataFrame, names: list[str], renamed: list[str]) -> Column:
+    """Join condition under which a null key matches a null key."""
+    return reduce(and_, [left[a].eqNullSafe(right[b]) for a, b in zip(names, renamed, strict=True)])
+
+
+def split_by_findings(target: DataFrame, key: list[Column], found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows without a finding, rows that may have one).  ``found``: the written findings' hashed row
+    keys.  A narrow step: rows of the first part never meet a shuffle."""
+    bits = bits_for(found.count())
+    flagged = may_hold(key_filter(found, bits), F.xxhash64(*key), bits)
+    return target.where(~flagged), target.where(flagged)
+
+
+def apply_edits(target: DataFrame, edits: DataFrame, target_key: list[str], found: DataFrame, text_col: str = "text") -> DataFrame:
+    """Splice the edits of ``target_key`` into ``target``; only rows that may have findings are joined."""
+    plain, edited = split_by_findings(target, [F.col(k) for k in target_key], found)
+    names = [f"edit_{k}" for k in target_key]
+    edits = edits.select(*[F.col(k).alias(n) for k, n in zip(target_key, names)], "edits")
+    joined = edited.join(edits, same_key(edited, edits, target_key, names), "left")
+    spliced = F.when(F.col("edits").isNull(), F.col(text_col)).otherwise(splice_text(F.col(text_col), F.col("edits")))
+    return plain.union(joined.select(*[spliced.alias(c) if c == text_col else F.col(c) for c in target.columns]))
 
 
 # --------------------------------------------------------------------------
@@ -211,10 +230,10 @@ def redact_units(units: DataFrame, mapping: DataFrame | None = None, config: Con
     if target is None:
         target, target_key = units, key
     off = F.col(offset_col) if offset_col else None
-    output = apply_edits(target, edits_by(mapped, target_key, off), target_key)
+    output = apply_edits(target, edits_by(mapped, target_key, off), target_key, kept.select(F.xxhash64(*target_key)))
     ner = detected.select(*key, F.explode("scored").alias("s")).select(*key, "s.*")
     return RedactionResult(output=output, findings=mapped, mapping=merge_mapping(mapping, new),
-                           new_mapping=new, ner=ner)
+                           new_mapping=new, ner=ner, findings_written=kept)
 
 
 def redact_documents(docs: DataFrame, mapping: DataFrame | None = None, config: Config = Config(),
@@ -243,15 +262,16 @@ def redact_table(df: DataFrame, key: str, cols: list[str], mapping: DataFrame |
         F.col("replacement"))).cast(EDIT_TYPE).alias("edits"))
     per_row = per_row.groupBy(F.col("doc_id").alias("edit_key"), F.col("unit_body").alias("edit_body")).agg(
         F.map_from_entries(F.collect_list(F.struct("unit_no", "edits"))).alias("_edits"))
-    joined = df.join(per_row, df[key].eqNullSafe(per_row["edit_key"]) & (body == per_row["edit_body"]), "left")
+    plain, edited = split_by_findings(df, [df[key], body], res.findings_written.select(F.xxhash64("doc_id", "unit_body")))
+    joined = edited.join(per_row, edited[key].eqNullSafe(per_row["edit_key"]) & (body == per_row["edit_body"]), "left")
     out = []
     for c in df.columns:
         if c in cols:
             e = F.try_element_at(F.col("_edits"), F.lit(cols.index(c)))
-            out.append(F.when(e.isNull(), df[c]).otherwise(splice_text(df[c].cast("string"), e)).alias(c))
+            out.append(F.when(e.isNull(), edited[c]).otherwise(splice_text(edited[c].cast("string"), e)).alias(c))
         else:
-            out.append(df[c])
-    res.output = joined.select(*out)
+            out.append(edited[c])
+    res.output = plain.select(*[plain[c].cast("string") if c in cols else plain[c] for c in df.columns]).union(joined.select(*out))
     return res
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
+from ..functions.spans import bound
 
 # Our own syllables; first and last names are two-syllable products (20 x 20).
 NAME_HEADS = ["Ra", "Vi", "Ka", "Ma", "Sa", "Ni", "De", "Pa", "Ja", "Ha",
@@ -171,3 +172,136 @@ def surrogate(pii_type: Column, i: Column) -> Column:
     for t, fn in _FORMATS.items():
         out = F.when(pii_type == t, fn(i)).otherwise(out)
     return out
+
+
+# --------------------------------------------------------------------------
+# The inverse: which id a fake stands for
+# --------------------------------------------------------------------------
+
+PHONE_INVERSE = pow(PHONE_MULT, -1, 10 ** 9)
+CARD_INVERSE = pow(CARD_MULT, -1, 10 ** 9)
+
+
+def _one_of(values: list[str]) -> str:
+    return "(?:" + "|".join(values) + ")"
+
+
+def _index(values: list[str], word: Column) -> Column:
+    """Position of ``word`` in the list from 0; null if it is none of it."""
+    at = F.array_position(F.array(*[F.lit(v) for v in values]), word)
+    return F.when(at > 0, at - 1)
+
+
+def _number(digits: Column) -> Column:
+    return digits.try_cast("long")
+
+
+def _two(word: Column, heads: list[str], tails: list[str]) -> Column:
+    """Number of a two-syllable word: no head is the beginning of another one, so a word has one reading."""
+    head = F.regexp_extract(word, "^" + _one_of(heads), 0)
+    return _index(heads, head) + len(heads) * _index(tails, F.substr(word, F.length(head) + 1))
+
+
+def _first_name_id(word: Column) -> Column:
+    return _two(word, NAME_HEADS, NAME_TAILS)
+
+
+def _surname_id(word: Column) -> Column:
+    return _two(word, SURNAME_HEADS, SURNAME_TAILS)
+
+
+def _org_word_id(word: Column) -> Column:
+    head = F.regexp_extract(word, "^" + _one_of(SURNAME_HEADS), 0)
+    rest = F.substr(word, F.length(head) + 1)
+    return _index(SURNAME_HEADS, head) + 20 * _two(rest, [h.lower() for h in NAME_HEADS], NAME_TAILS)
+
+
+def _digits_of(words: Column, number, radix: int) -> Column:
+    """Value of the further words, lowest digit first; no words are 0."""
+    values = F.transform(words, number)
+    return F.aggregate(F.reverse(values), F.lit(0).cast("long"), lambda acc, v: acc * radix + v)
+
+
+def _more_words(text: Column) -> Column:
+    return F.filter(F.split(text, " "), lambda w: w != "")
+
+
+def _person_id(v: Column) -> Column:
+    parts = r"^(\S+) ([A-Z])\.((?: \S+)*) (\S+)$"
+    get = lambda k: F.regexp_extract(v, parts, k)
+    more = _digits_of(_more_words(get(3)), _first_name_id, N_NAME)
+    return _first_name_id(get(1)) + N_NAME * (_index(INITIALS, get(2)) + 26 * _surname_id(get(4))) + PERSONS * more
+
+
+def _email_id(v: Column) -> Column:
+    parts = r"^([a-z]+)\.([a-z]+)([0-9]+)@example\.net$"
+    get = lambda k: F.regexp_extract(v, parts, k)
+    return _first_name_id(F.initcap(get(1))) + N_NAME * (_surname_id(F.initcap(get(2))) + N_SURNAME * _number(get(3)))
+
+
+def _scrambled_id(over: Column, body: Column, add: int, inverse: int) -> Column:
+    low = F.pmod((F.pmod(_number(body) - add, F.lit(10 ** 9))) * F.lit(inverse).cast("long"), F.lit(10 ** 9).cast("long"))
+    return F.when(over == "", F.lit(0).cast("long")).otherwise(_number(over)) * 10 ** 9 + low
+
+
+def _phone_id(v: Column) -> Column:
+    parts = r"^\+91 9([0-9]*)([0-9]{9})$"
+    return _scrambled_id(F.regexp_extract(v, parts, 1), F.regexp_extract(v, parts, 2), 12345, PHONE_INVERSE)
+
+
+def _card_id(v: Column) -> Column:
+    parts = rf"^{CARD_BIN}([0-9]*)([0-9]{{9}})[0-9]$"
+    return _scrambled_id(F.regexp_extract(v, parts, 1), F.regexp_extract(v, parts, 2), 777, CARD_INVERSE)
+
+
+def _organization_id(v: Column) -> Column:
+    parts = rf"^(\S+)((?: \S+)*) ({_one_of(SECTORS)}) ({_one_of(sorted(ORG_SUFFIXES, key=len, reverse=True))})$"
+    get = lambda k: F.regexp_extract(v, parts, k)
+    more = _digits_of(_more_words(get(2)), _org_word_id, ORG_WORDS)
+    return (_org_word_id(get(1)) + ORG_WORDS * (_index(SECTORS, get(3)) + len(SECTORS) * _index(ORG_SUFFIXES, get(4)))
+            + ORGANIZATIONS * more)
+
+
+def _address_id(v: Column) -> Column:
+    parts = r"^([0-9]+), (\S+) (\S+), (\S+) - ([0-9]{6})$"
+    get = lambda k: F.regexp_extract(v, parts, k)
+    house, pin = _number(get(1)) - 1, _number(get(5)) - 400001
+    rest = _surname_id(get(2)) + N_SURNAME * (_index(STREET_KINDS, get(3)) + len(STREET_KINDS) * (_index(CITIES, get(4)) + len(CITIES) * pin))
+    return house % 999 + 999 * rest + ADDRESSES * _div(house, 999)
+
+
+def _date_id(v: Column) -> Column:
+    parts = r"^([0-9]{2}) ([A-Za-z]+) ([0-9]+)$"
+    get = lambda k: F.regexp_extract(v, parts, k)
+    return _number(get(1)) - 1 + 28 * (_index(V.MONTHS.split("|"), get(2)) + 12 * (_number(get(3)) - FIRST_YEAR))
+
+
+def _ssn_id(v: Column) -> Column:
+    parts = r"^9([0-9]{2})-([0-9]{2})-([0-9]{4,})$"
+    get = lambda k: F.regexp_extract(v, parts, k)
+    return _number(get(1)) + 100 * (_number(get(2)) - 1) + 9900 * (_number(get(3)) - 1)
+
+
+def _ip_id(v: Column) -> Column:
+    v4 = F.split(v, r"\.")
+    four = ((_number(F.get(v4, F.lit(0))) - 240) * 256 + _number(F.get(v4, F.lit(1)))) * 65536 \
+        + _number(F.get(v4, F.lit(2))) * 256 + _number(F.get(v4, F.lit(3)))
+    groups = F.split(F.regexp_extract(v, r"^2001:db8:0:0:([0-9a-f]{1,4}(?::[0-9a-f]{1,4}){3})$", 1), ":")
+    six = F.aggregate(groups, F.lit(0).cast("long"), lambda acc, g: acc * 65536 + F.conv(g, 16, 10).cast("long"))
+    return F.when(F.size(v4) == 4, four).when(F.size(groups) == 4, six)
+
+
+_INVERSES = {
+    "PERSON": _person_id, "EMAIL": _email_id, "PHONE": _phone_id, "ORGANIZATION": _organization_id,
+    "ADDRESS": _address_id, "DATE": _date_id, "SSN": _ssn_id, "CREDIT_CARD": _card_id, "IP_ADDRESS": _ip_id,
+}
+LONGEST = 160              # characters of a fake of a 64-bit id; a longer value is none
+
+
+def surrogate_id(pii_type: Column, replacement: Column) -> Column:
+    """The id whose fake ``replacement`` is, or null for a value that :func:`surrogate` never makes."""
+    read = F.lit(None).cast("long")
+    for t, fn in _INVERSES.items():
+        read = F.when(pii_type == t, fn(F.when(F.length(replacement) <= LONGEST, replacement))).otherwise(read)
+    back = bound(read, lambda i: F.when((i >= 0) & (surrogate(pii_type, i) == replacement), i))
+    return back.cast("long")

@@ -31,6 +31,9 @@ QUERIES = {
     "redact_table_cells": Q.redact_table_cells,
     "redact_second_run": Q.redact_second_run,
     "mapping_append": Q.mapping_append,
+    "mapping_append_json": Q.mapping_append_json,
+    "surrogate_ids": Q.surrogate_ids,
+    "redact_null_ids": Q.redact_null_ids,
     "redact_conversations": Q.redact_conversations,
     "mapping_file_roundtrip": Q.mapping_file_roundtrip,
     "ner_candidate_table": Q.ner_candidate_table,
@@ -68,6 +71,9 @@ ORACLE = {
     "redact_table_cells": O.redact_table_cells_sql(),
     "redact_second_run": O.redact_documents_sql(),
     "mapping_append": O.mapping_append_sql(),
+    "mapping_append_json": O.mapping_append_sql(),
+    "surrogate_ids": O.surrogate_ids_sql(),
+    "redact_null_ids": O.redact_null_ids_sql(),
     "redact_conversations": O.redact_conversations_sql(),
     "mapping_file_roundtrip": O.mapping_file_roundtrip_sql(),
     "ner_candidate_table": O.ner_candidate_table_sql(),

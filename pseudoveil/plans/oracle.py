@@ -785,3 +785,15 @@ SELECT {KEY}, accepted, position, value, score, remaining FROM (
   SELECT *, row_number() OVER (PARTITION BY {KEY}, accepted ORDER BY start_pos)::INTEGER AS position,
          greatest(count(*) OVER (PARTITION BY {KEY}, accepted) - {n}, 0)::BIGINT AS remaining
   FROM ner WHERE label = 'PERSON') WHERE position <= {n}"""
+
+
+def surrogate_ids_sql() -> str:
+    return with_corpus_rec(*pipeline_ctes()) + """
+SELECT pii_type, replacement, id FROM newmap"""
+
+
+def redact_null_ids_sql() -> str:
+    """First-seen surfaces follow the ids, a missing one first, so keys with several spellings may differ
+    from the run with all ids; the replacement depends on the key alone."""
+    return f"""
+SELECT r.doc_id AS nr, CASE WHEN r.doc_id % 3 <> 0 THEN r.doc_id END AS doc_id, r.text FROM ({redact_documents_sql()}) r"""

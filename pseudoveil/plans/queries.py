@@ -108,7 +108,8 @@ from ..operators import audit as _audit  # noqa: E402
 from ..operators.findings import suppressed_values as _suppressed  # noqa: E402
 from ..operators.redact import redact_table as _redact_table  # noqa: E402
 from ..session import checkpoint_dir  # noqa: E402
-from ..sources.mapping_io import load_mapping, mapping_from_json_text, mapping_json, save_mapping  # noqa: E402
+from ..sources.mapping_io import load_mapping, save_mapping  # noqa: E402
+from ..operators.surrogates import surrogate_id as _surrogate_id  # noqa: E402
 from .fixtures import PII_DOC_BASE, pii_units  # noqa: E402
 
 detect_address_labelled = _detector(D.labelled_address_spans)
@@ -133,9 +134,15 @@ def mapping_file_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_mapping(spark, path).select("pii_type", "norm_key", "surface", "replacement", "id")
 
 
+def _json_again(spark: SparkSession, mapping: DataFrame) -> DataFrame:
+    """``mapping`` written as a JSON object in parts and loaded again."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/mapping-{uuid.uuid4().hex}.json"
+    save_mapping(mapping, path, "json")
+    return load_mapping(spark, path)
+
+
 def mapping_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    doc = mapping_json(_first_run(spark, sf_dir).new_mapping).withColumnRenamed("json", "value")
-    return mapping_from_json_text(doc).select("pii_type", "surface", "replacement")
+    return _json_again(spark, _first_run(spark, sf_dir).new_mapping).select("pii_type", "surface", "replacement")
 
 
 def _second_run(spark: SparkSession, sf_dir: str):
@@ -175,6 +182,31 @@ def mapping_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return second.mapping.select("pii_type", "norm_key", "surface", "replacement", "id")
 
 
+def mapping_append_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``mapping_append``, with the first run's mapping kept as JSON, which holds no ids."""
+    docs = corpus_documents(spark, sf_dir)
+    first = _redact_documents(docs.where("doc_id % 2 = 0"), config=PIPELINE)
+    second = _redact_documents(docs.where("doc_id % 2 = 1"), mapping=_json_again(spark, first.mapping), config=PIPELINE)
+    return second.mapping.select("pii_type", "norm_key", "surface", "replacement", "id")
+
+
+def surrogate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of a first run's fakes, read back from the fakes alone."""
+    m = _first_run(spark, sf_dir).new_mapping
+    return m.select("pii_type", "replacement", _surrogate_id(F.col("pii_type"), F.col("replacement")).alias("id"))
+
+
+def _null_id_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus with every third id missing; ``nr`` tells the rows apart."""
+    return corpus_documents(spark, sf_dir).select(F.col("doc_id").alias("nr"),
+                                                  F.when(F.col("doc_id") % 3 != 0, F.col("doc_id")).alias("doc_id"), "text")
+
+
+def redact_null_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without an id are redacted like any other."""
+    return _redact_documents(_null_id_documents(spark, sf_dir), config=PIPELINE).output.select("nr", "doc_id", "text")
+
+
 def redact_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
         "conv_id", "turn", "text", (F.col("conv_id") * 100000 + F.col("turn")).cast("long").alias("row"))

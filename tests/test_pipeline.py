@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from pseudoveil.functions import vocab as V
@@ -9,8 +11,9 @@ from pseudoveil.functions.text import normalize_key
 from pseudoveil.operators import ner as N
 from pseudoveil.operators.findings import resolve_overlaps, suppressed_values
 from pseudoveil.operators.mapping import assign_surrogates, empty_mapping
-from pseudoveil.operators.redact import Config, redact_documents, redact_table, splice_text
-from pseudoveil.sources.mapping_io import load_mapping, mapping_from_json_text, mapping_json
+from pseudoveil.operators.redact import Config, redact_documents, redact_table, redact_units, splice_text
+from pseudoveil.operators.surrogates import surrogate, surrogate_id
+from pseudoveil.sources.mapping_io import load_mapping, mapping_from_json_text, save_mapping
 
 FT = ("array<struct<pii_type:string,value:string,start:int,end:int,confidence:string,"
       "source:string,score:int,seq:int>>")
@@ -144,8 +147,8 @@ def test_redact_invariants(spark, tmp_path):
     res3 = redact_documents(docs.repartition(3), config=Config(ner="off"))
     assert {r["doc_id"]: r["text"] for r in res3.output.collect()} == out
     # JSON edge round trip
-    js = json.loads(mapping_json(res.mapping).first()["json"])
-    assert js["EMAIL"]["a@b.co"] == email
+    save_mapping(res.mapping, str(tmp_path / "run.json"), "json")
+    assert whole_json(tmp_path / "run.json")["EMAIL"]["a@b.co"] == email
 
 
 def test_redact_table_cells(spark):
@@ -232,7 +235,7 @@ def test_rows_sharing_an_id_keep_their_own_edits(spark):
     rows = [(1, "mail a@b.co please"), (1, "call +91 98765 43210"), (1, "mail a@b.co please"), (None, "mail c@d.org")]
     out = [r.text for r in redact_documents(spark.createDataFrame(rows, "doc_id long, text string"), config=Config(ner="off")).output.collect()]
     assert len(out) == 4 and sorted(t.split()[0] for t in out) == ["call", "mail", "mail", "mail"]
-    assert sum(t.endswith("@example.net please") for t in out) == 2 and not any("98765" in t or "a@b" in t for t in out)
+    assert sum(t.endswith("@example.net please") for t in out) == 2 and not any("98765" in t or "a@b" in t or "c@d" in t for t in out)
     table = spark.createDataFrame([(7, "a@b.co"), (7, "x c@d.org y")], "k long, c string")
     cells = sorted(r.c for r in redact_table(table, "k", ["c"], config=Config(ner="off")).output.collect())
     assert cells[0].endswith("@example.net") and cells[1].startswith("x ") and cells[1].endswith("@example.net y")
@@ -245,7 +248,6 @@ def test_callers_column_names_stay(spark):
 
 
 def test_invalid_mapping_warns(spark, tmp_path):
-    import pytest
     bad = tmp_path / "m.json"
     bad.write_text("{oops")
     with pytest.warns(UserWarning, match="not a JSON object"):
@@ -263,3 +265,109 @@ def test_tagger_callable(spark):
     units = spark.createDataFrame([(1, "Nikhil Menon went home"), (2, "nobody")], "doc_id long, text string")
     rows = N.tagged_candidates(units, ["doc_id"], tagger).collect()
     assert [(r.doc_id, r.value, r.propn_count) for r in rows] == [(1, "Nikhil Menon", 2)]
+
+
+# --- null ids, JSON in parts, ids read back from fakes
+
+def test_rows_without_an_id_are_redacted(spark):
+    rows = [(None, "mail anna.b@corp.co now"), (None, "call +91 98765 43210"), (1, "mail anna.b@corp.co now"), (None, None), (2, "nothing")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = spark.createDataFrame([(Row(t="Nikhil Menon went home"),)], "r struct<t:string>").select(F.lit(None).cast("long").alias("doc_id"), "r.t")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for d in (docs, docs.repartition(3)):
+            out = sorted((str(r.doc_id), str(r.text)) for r in redact_documents(d, config=Config(ner="off")).output.collect())
+            assert len(out) == 5 and not any("anna.b" in t or "98765" in t for _, t in out)
+            assert sum(t.endswith("@example.net now") for _, t in out) == 2
+        units = table.select("doc_id", F.lit("paragraph").alias("unit_kind"), F.lit(0).alias("unit_no"), F.col("t").alias("text"))
+        cands = spark.createDataFrame([(None, "paragraph", 0, "Nikhil Menon", "PERSON", 0, 12, 2, 0)],
+                                      "doc_id long, unit_kind string, unit_no int, value string, label string, start int, end int, "
+                                      "propn_count int, initial_count int")
+        found = redact_units(units, config=Config(ner="table"), candidates=cands).output.collect()
+        assert "Nikhil" not in found[0]["text"]
+        cells = spark.createDataFrame([(None, "a@b.co"), (None, "c")], "k long, c string")
+        assert sorted(r.c for r in redact_table(cells, "k", ["c"], config=Config(ner="off")).output.collect())[0] == "c"
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_surrogate_ids_are_read_back(spark):
+    for t in V.CATEGORIES:
+        ids = spark.createDataFrame([(x + k,) for x in (0, 395, 10 ** 6, 2 ** 28 - 3, 10 ** 9 - 3, 10 ** 15) for k in range(6)], "id long")
+        back = ids.withColumn("v", surrogate(F.lit(t), F.col("id"))).select("id", surrogate_id(F.lit(t), F.col("v")).alias("b"))
+        assert all(r.id == r.b for r in back.collect())
+    other = ["", "x", "Asha Rao", "A b. C", "12, x y, z - 400001", "10.0.0.1", "foo.bar1@example.net", "99 January 2020", "9" * 400, None,
+             "+91 9000", "901-00-0001", "2001:db8:0:0:zz:1:1:1"]
+    rows = spark.createDataFrame([(t, v) for t in [*V.CATEGORIES, "X"] for v in other], "t string, v string")
+    assert rows.select(surrogate_id(F.col("t"), F.col("v")).alias("b")).where("b is not null").count() == 0
+
+
+def test_a_large_json_mapping_is_extended_in_one_round(spark, tmp_path):
+    import time
+    first = assign_surrogates(many_keys(spark, "EMAIL", 20_000), empty_mapping(spark))
+    path = str(tmp_path / "m.json")
+    save_mapping(first, path, "json")
+    loaded = load_mapping(spark, path)
+    assert loaded.where("id is null").count() == 0
+    t0 = time.time()
+    new = assign_surrogates(many_keys(spark, "EMAIL", 20_200).where(F.substring("norm_key", 2, 9).cast("int") >= 20_000), loaded)
+    ids = sorted(r.id for r in new.collect())
+    assert ids == list(range(20_000, 20_200)) and time.time() - t0 < 60
+
+
+def whole_json(path):
+    parts = sorted(p for p in path.iterdir() if p.name.startswith("part-"))
+    return json.loads("".join(p.read_text() for p in parts))
+
+
+def test_json_object_in_parts(spark, tmp_path):
+    odd = [("PERSON", f"k{i}", f"Key {i}", f"Fake {i}") for i in range(500)]
+    odd += [("X Y", 'q"', 'quote " back\\ new\nline', "naïve 😀"), ("A", "one", "one", "only, comma,"), ("Z", "t", "tab\t", "{}")]
+    m = spark.createDataFrame([(*r, None) for r in odd], "pii_type string, norm_key string, surface string, replacement string, id long")
+    want = {}
+    for t, _, s, r in odd:
+        want.setdefault(t, {})[s] = r
+    save_mapping(m.repartition(4), str(tmp_path / "m.json"), "json")
+    assert whole_json(tmp_path / "m.json") == want
+    got = {(r.pii_type, r.surface, r.replacement) for r in load_mapping(spark, str(tmp_path / "m.json")).collect()}
+    assert got == {(t, s, r) for t, _, s, r in odd}
+    save_mapping(m.limit(0), str(tmp_path / "none.json"), "json")
+    assert whole_json(tmp_path / "none.json") == {} and load_mapping(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_indented_json_is_read_by_lines(spark, tmp_path):
+    from pseudoveil.sources.mapping_io import _mapping_from_lines
+    data = {"PERSON": {f"Ann {i}": f"Bea {i}" for i in range(300)}, "EMAIL": {"e@x.io": "f@y.io", "": "z"}, "SSN": {"blank": " "}}
+    f = tmp_path / "m.json"
+
+    def loaded(text, by_lines=None):
+        f.write_text(text, encoding="utf-8")
+        assert by_lines is None or (_mapping_from_lines(spark, str(f)) is not None) == by_lines
+        return {(r.pii_type, r.surface, r.replacement) for r in load_mapping(spark, str(f)).collect()}
+
+    want = {(t, s, r) for t, e in data.items() for s, r in e.items() if r.strip()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")               # many blocks of one file
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert loaded(json.dumps(data, indent=4), True) == want
+        assert loaded(json.dumps(data), False) == want                        # one line: parsed as a document
+        assert loaded(json.dumps({**data, "N": 5, "M": {}}, indent=4), False) == want
+        twice = json.dumps(data, indent=4)[:-2] + ',\n    "EMAIL": {\n        "last@x.io": "wins@y.io"\n    }\n}'
+        assert {r for r in loaded(twice, True) if r[0] == "EMAIL"} == {("EMAIL", "last@x.io", "wins@y.io")}
+        text = json.dumps(data, indent=4)
+        for broken in (text[:-1], text.replace('Bea 7",', 'Bea 7"'), text.replace("    },", "    }", 1)):
+            with pytest.warns(UserWarning, match="not a JSON object"):
+                assert loaded(broken) == set()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_key_filter_keeps_every_key(spark):
+    from pseudoveil.operators.key_filter import bits_for, key_filter, may_hold
+    for n in (0, 1, 3000, 50_000):
+        bits = bits_for(n)
+        held = key_filter(spark.range(n).select(F.xxhash64("id")), bits)
+        tested = spark.range(100_000).select("id", may_hold(held, F.xxhash64("id"), bits).alias("in"))
+        inside = tested.where("in").agg(F.count_if(F.col("id") < n).alias("kept"), F.count_if(F.col("id") >= n).alias("more")).first()
+        assert inside.kept == n and inside.more < 0.1 * 100_000
