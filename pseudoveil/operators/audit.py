@@ -7,6 +7,9 @@ rejection reasons and per-unit samples.  Nothing is collected to the driver.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,11 +88,13 @@ def rejection_reasons(scored: DataFrame) -> DataFrame:
 
 
 def ner_samples(scored: DataFrame, n: int = V.SAMPLE_SIZE) -> DataFrame:
-    """First ``n`` accepted and first ``n`` rejected PERSON candidates per unit."""
+    """First ``n`` accepted and first ``n`` rejected PERSON candidates per unit.
+
+    The rank is limited to ``n`` in every task before the shuffle; how many there are in
+    all is a count of its own, combined before the shuffle as well."""
+    group = ["doc_id", "unit_kind", "unit_no", "accepted"]
     p = scored.where(F.col("label") == "PERSON")
-    w = Window.partitionBy("doc_id", "unit_kind", "unit_no", "accepted").orderBy("start")
-    wc = Window.partitionBy("doc_id", "unit_kind", "unit_no", "accepted")
-    return (p.withColumn("position", F.row_number().over(w)).withColumn("n", F.count("*").over(wc))
-            .where(F.col("position") <= n)
-            .select("doc_id", "unit_kind", "unit_no", "accepted", "position", "value", "score",
-                    F.greatest(F.col("n") - n, F.lit(0)).alias("remaining")))
+    ranked = p.withColumn("position", F.row_number().over(Window.partitionBy(*group).orderBy("start"))).where(F.col("position") <= n)
+    sizes = p.groupBy(*group).agg(F.count("*").alias("n")).select(*[F.col(c).alias(f"of_{c}") for c in group], "n")
+    same = reduce(and_, [ranked[c].eqNullSafe(sizes[f"of_{c}"]) for c in group])
+    return ranked.join(sizes, same).select(*group, "position", "value", "score", F.greatest(F.col("n") - n, F.lit(0)).alias("remaining"))

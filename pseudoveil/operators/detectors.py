@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab as V
 from ..functions.checks import clean_address, ipv4_valid, looks_like_address, luhn_valid
-from ..functions.number_lists import long_list_addresses
+from ..functions.number_lists import long_list_spans
 from ..functions.spans import spans
 from ..functions.text import collapse_ws, sql_array, words
 
@@ -84,7 +84,7 @@ def address_spans(text: Column) -> Column:
     """Structured address: value is cleaned, the span keeps the full match."""
     long_list = text.rlike(V.LONG_LIST)
     short = F.when(~long_list, text)
-    raw = F.when(long_list, long_list_addresses()(F.when(long_list, text))).otherwise(spans(short, V.ADDRESS_STRUCTURED_PATTERN))
+    raw = F.when(long_list, long_list_spans(text)).otherwise(spans(short, V.ADDRESS_STRUCTURED_PATTERN))
     cleaned = F.transform(
         raw, lambda s: F.struct(clean_address(s["value"]).alias("value"), s["start"], s["end"])
     )

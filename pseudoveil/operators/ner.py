@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
-from ..functions.spans import spans
+from ..functions.spans import bound, spans
 from ..functions.text import casefold, py_strip, sql_array, strip_chars, words
 from .detectors import FINDINGS_TYPE, no_findings
 
@@ -317,6 +317,27 @@ def _score_one(p: Column) -> Column:
     )
 
 
+def first_mentions(named: Column) -> Column:
+    """Candidates of ``array<struct<c,n>>`` in their order, of PERSON ones only the first of each name ``n``.
+
+    Sorted by name and place, a first mention is one whose neighbour has another name."""
+    placed = F.transform(named, lambda x, i: F.struct(x["n"].alias("n"), i.alias("i"), x["c"].alias("c")))
+
+    def firsts(p: Column) -> Column:
+        by_name = F.array_sort(F.filter(p, lambda x: x["c"]["label"] == "PERSON"))
+        first = bound(by_name, lambda s: F.filter(s, lambda x, j: (j == 0) | ~F.get(s, j - 1)["n"].eqNullSafe(x["n"])))
+        others = F.filter(p, lambda x: x["c"]["label"] != "PERSON")
+        placed_again = F.transform(F.concat(first, others), lambda x: F.struct(x["i"].alias("i"), x["c"].alias("c")))
+        return F.transform(F.array_sort(placed_again), lambda x: x["c"])
+
+    return bound(placed, firsts)
+
+
+def _named(cands: Column) -> Column:
+    return F.transform(F.filter(cands, lambda c: c["label"].isin("PERSON", "ORG")),
+                       lambda c: F.struct(c.alias("c"), person_norm(c["value"]).alias("n")))
+
+
 def score_candidates(text: Column, cands: Column, propagate_names: bool = False) -> Column:
     """Validate one unit's candidates: ``array<scored>`` for PERSON and ORG.
 
@@ -325,13 +346,8 @@ def score_candidates(text: Column, cands: Column, propagate_names: bool = False)
     Other labels are dropped.  For DataFrames prefer :func:`score_units`,
     which materialises the normalised values once per unit.
     """
-    cands = F.filter(cands, lambda c: c["label"].isin("PERSON", "ORG"))
-    if not propagate_names:
-        cands = F.filter(cands, lambda c, i: (c["label"] != "PERSON") | ~F.exists(
-            F.slice(cands, 1, i),
-            lambda p: (p["label"] == "PERSON") & (person_norm(p["value"]) == person_norm(c["value"])),
-        ))
-    return _score_array(text, cands)
+    named = _named(cands)
+    return _score_array(text, F.transform(named, lambda x: x["c"]) if propagate_names else first_mentions(named))
 
 
 def _score_array(text: Column, cands: Column) -> Column:
@@ -347,16 +363,8 @@ def score_units(df: DataFrame, keep: list[str], cands_col: str = "cands", text_c
     another element's lambda: normalised values are computed once per
     candidate, then the first-mention filter compares stored values.
     """
-    normed = df.select(*keep, text_col, F.transform(
-        F.filter(F.col(cands_col), lambda c: c["label"].isin("PERSON", "ORG")),
-        lambda c: F.struct(c.alias("c"), person_norm(c["value"]).alias("n"))).alias("_cn"))
-    cn = F.col("_cn")
-    if propagate_names:
-        firsts = F.transform(cn, lambda x: x["c"])
-    else:
-        firsts = F.transform(F.filter(cn, lambda x, i: (x["c"]["label"] != "PERSON") | ~F.exists(
-            F.slice(cn, 1, i), lambda p: (p["c"]["label"] == "PERSON") & (p["n"] == x["n"]))),
-            lambda x: x["c"])
+    normed = df.select(*keep, text_col, _named(F.col(cands_col)).alias("_cn"))
+    firsts = F.transform("_cn", lambda x: x["c"]) if propagate_names else first_mentions(F.col("_cn"))
     firsts_df = normed.select(*keep, text_col, firsts.alias("_first"))
     return firsts_df.select(*keep, text_col, _score_array(F.col(text_col), F.col("_first")).alias(out_col))
 

@@ -37,6 +37,7 @@ from .key_filter import bits_for, key_filter, may_hold
 from .mapping import (DEFAULT_BUCKETS, assign_surrogates, empty_mapping, finding_keys,
                       merge_mapping, new_keys)
 
+LOOKUPS = 64               # shares into which the rows of one value are split for the mapping join
 FINDING_FIELDS = ["pii_type", "value", "start", "end", "confidence", "source", "score", "seq"]
 
 
@@ -143,11 +144,14 @@ def map_findings(kept: DataFrame, key: list[str], mapping: DataFrame,
     # New and loaded keys together are all values observed so far.
     new = assign_surrogates(new_keys(keys, mapping), mapping, buckets)
     full = merge_mapping(mapping, new).select("pii_type", "norm_key", "replacement")
-    with_key = kept.withColumn("norm_key", normalize_key(F.col("value")))
+    # A value on very many rows is looked up once for each of LOOKUPS shares of them, and every share gets its answer.
+    share = F.pmod(F.xxhash64(*key, "start"), F.lit(LOOKUPS)).cast("int")
+    with_key = kept.withColumn("norm_key", normalize_key(F.col("value"))).withColumn("_share", share)
+    asked = with_key.select("pii_type", "norm_key", "_share").distinct().join(full, ["pii_type", "norm_key"], "left")
     # A value with a blank key has no mapping row and stays; any other must have one.
     found = F.when(F.col("norm_key") == "", F.col("value")).otherwise(F.coalesce("replacement", F.raise_error(
         F.concat(F.lit("no replacement for a finding of type "), F.col("pii_type"))).cast("string")))
-    joined = with_key.join(full, ["pii_type", "norm_key"], "left").withColumn("replacement", found)
+    joined = with_key.join(asked, ["pii_type", "norm_key", "_share"], "left").drop("_share").withColumn("replacement", found)
     return joined, new
 
 

@@ -101,17 +101,64 @@ def test_differential_against_python_re(spark):
         assert got == want
 
 
-def test_number_list_scan_equals_the_pattern():
+def number_list_addresses(text: str) -> list[tuple[int, int]]:
+    """Spans of the structured address pattern.
+
+    A match starts at a number and runs over the list it begins.  It ends at the
+    first 6-digit number within 220 characters after the list, or else at the
+    last one inside it, plus up to 80 characters.
+    """
+    import bisect
+    import re
+    pins = [m.span() for m in re.finditer(r"\b\d{6}\b", text)]
+    pin_starts = [a for a, _ in pins]
+    out, at, list_end = [], 0, -1
+    numbers, gap_to, tail = re.compile(r"\b\d+"), re.compile(r"[^.\n;]{0,220}"), re.compile(r"[^.\n;]{0,80}")
+    half = re.compile(r"\d++/\d")
+    run = re.compile(r"\d++(?:/\d++)?+(?:\s*+,\s*+\d++(?:/\d++)?+)*+")
+    while m := numbers.search(text, at):
+        start = m.start()
+        if start >= list_end or text[start - 1] == "/" and half.match(text, start):      # another list than the last one
+            list_end = run.match(text, start).end()
+        i = bisect.bisect_left(pin_starts, list_end)
+        found = i < len(pins) and gap_to.fullmatch(text, list_end, pins[i][0]) and pins[i]
+        k = i - 1
+        while not found and k >= 0 and pins[k][0] > start:
+            sep = pins[k][0]                          # the gap: a slash, or the separator from the item before
+            if text[sep - 1] == "/":
+                sep -= 1
+            else:
+                sep = text.rfind(",", start, sep)
+                while text[sep - 1].isspace():
+                    sep -= 1
+            found = gap_to.fullmatch(text, sep, pins[k][0]) and pins[k]
+            k -= 1
+        if found:
+            at = tail.match(text, found[1]).end()
+            out.append((start, at))
+        else:
+            at = m.end()
+    return out
+
+
+def number_texts(n):
     import random
+    rng = random.Random(1)
+    words = ["1", "23", "400001", "411002 ", "400003/5", "12/400002", "4000011", "/", ",", ",", ", ", " , ", " \n", "\n", ".", "; ", " MG Road ", "a",
+             "_", "é", "²", "\ue000", "x" * 100, "x" * 215, " " * 230]
+    return ["", "no", "400001", "12, 400001", "1/2/3, 4", "12,\n400001 x", "²\n23, 12/400001"] + [
+        "".join(rng.choice(words) for _ in range(rng.randrange(1, 25))) for _ in range(n)]
+
+
+def test_number_list_scan_equals_the_pattern(spark):
     import re
 
-    from pseudoveil.functions.number_lists import number_list_addresses
+    from pseudoveil.functions.number_lists import long_list_spans
     pattern = re.compile(r"\b\d+(?:/\d+)?(?:\s*,\s*\d+(?:/\d+)?)*[^.\n;]{0,220}?\b\d{6}\b(?:[^.\n;]{0,80})?")
-    rng = random.Random(1)
-    for _ in range(2000):
-        t = "".join(rng.choice(["12", "7", "400001", "12/400002", "400003/5", "a", " ", ",", ", ", ". ", "; ", "x" * rng.choice([3, 215, 230]),
-                                " MG Road ", "\n", " , "]) for _ in range(rng.randrange(25)))
-        assert number_list_addresses(t) == [m.span() for m in pattern.finditer(t)]
+    texts = number_texts(2000)
+    assert all(number_list_addresses(t) == [m.span() for m in pattern.finditer(t)] for t in texts)
+    got = run_col(spark, long_list_spans, texts)
+    assert got == [[(t[a:b], a, b) for a, b in number_list_addresses(t)] for t in texts]
 
 
 def test_long_number_lists_survive(spark):

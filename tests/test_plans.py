@@ -1,6 +1,10 @@
 """Plan shape: the scan is pruned and detection itself adds no shuffle."""
 
-from pseudoveil.operators.redact import Config, detect_units
+from pyspark.sql import functions as F
+
+from pseudoveil.operators.audit import ner_samples
+from pseudoveil.operators.mapping import empty_mapping
+from pseudoveil.operators.redact import Config, detect_units, map_findings, redact_documents, split_by_findings
 from pseudoveil.sources.units import paragraph_units
 
 
@@ -13,3 +17,56 @@ def test_detection_is_narrow_and_pruned(spark):
     assert plan.count("@[A-Za-z0-9.-]") == shown(det).count("@[A-Za-z0-9.-]")       # a filter above does not repeat the detectors
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
     assert "Exchange" not in plan
+
+
+def test_detection_runs_no_python(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    for config in (Config(), Config(ner="off", labelled_address=True), Config(propagate_names=True)):
+        det = detect_units(paragraph_units(docs), ["doc_id", "unit_kind", "unit_no"], config)
+        plan = det._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "MapInArrow"))
+
+
+def test_rows_without_findings_meet_no_shuffle(spark):
+    """With broadcasts off, the splice join shuffles only rows that the key filter lets through."""
+    docs = spark.range(2000).selectExpr("id as doc_id", "case when id % 100 = 0 then concat('mail u', id, '@x.org') else repeat('plain ', 50) end as text")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = redact_documents(docs, config=Config(ner="off")).output
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        top = plan[plan.index("Union"):]
+        parts = top.split("SortMergeJoin")
+        assert "Exchange" not in parts[0].split("Subquery")[0] and len(parts) > 1
+        rows = out.selectExpr("count(*) n", "count_if(text like '%example.net') edited").first()
+        assert rows.n == 2000 and rows.edited == 20
+        units = paragraph_units(docs)
+        found = units.where("text like '%@%'").select(F.xxhash64("doc_id"))
+        plain, edited = split_by_findings(docs, [F.col("doc_id")], found)
+        assert plain.count() + edited.count() == 2000 and edited.count() < 200
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_samples_limit_each_group_before_the_shuffle(spark):
+    scored = spark.createDataFrame([(1, "paragraph", 0, "PERSON", True, 5, "A B", 4)],
+                                   "doc_id long, unit_kind string, unit_no int, label string, accepted boolean, start int, value string, score int")
+    plan = ner_samples(scored)._jdf.queryExecution().executedPlan().toString()
+    final = plan[plan.index("WindowGroupLimit"):]
+    assert "Partial" in final[final.index("Exchange"):].split("Scan")[0]           # below the shuffle
+
+
+def test_hot_value_is_looked_up_in_many_tasks(spark):
+    """One value on a third of the findings, broadcast and skew handling off: no task has much more than the others."""
+    for k, v in (("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.adaptive.enabled", "false"), ("spark.sql.shuffle.partitions", "16")):
+        spark.conf.set(k, v)
+    try:
+        kept = spark.range(48_000).selectExpr(
+            "id as doc_id", "'paragraph' as unit_kind", "0 as unit_no", "'EMAIL' as pii_type",
+            "case when id % 3 = 0 then 'hot@x.org' else concat('u', id % 5000, '@x.org') end as value", "cast(id as int) as start", "cast(id + 9 as int) as end")
+        mapped, new = map_findings(kept, ["doc_id", "unit_kind", "unit_no"], empty_mapping(spark))
+        sizes = sorted(r["count"] for r in mapped.groupBy(F.spark_partition_id()).count().collect())
+        assert mapped.where("replacement is null").count() == 0 and mapped.select("replacement").distinct().count() == new.count()
+        assert sum(sizes) == 48_000 and sizes[-1] < 2 * sizes[len(sizes) // 2]
+    finally:
+        for k, v in (("spark.sql.autoBroadcastJoinThreshold", "10485760"), ("spark.sql.adaptive.enabled", "true"), ("spark.sql.shuffle.partitions", "8")):
+            spark.conf.set(k, v)
