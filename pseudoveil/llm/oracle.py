@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-def secrets_sql(max_owners: int = 2) -> str:
+def secrets_sql(max_owners: int = 2, max_repos: int = 10) -> str:
     assign = (r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"""
               r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""")
     token = assign + r"|([A-Za-z0-9+/_-]{20,})"
@@ -20,15 +20,18 @@ def secrets_sql(max_owners: int = 2) -> str:
         WHERE {keep}""" for k, (name, pat, keep, value) in enumerate(kinds)]
     return f"""
     WITH found AS ({" UNION ALL ".join(parts)}),
-    owned AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS n_owners FROM found GROUP BY v),
-    judged AS (SELECT f.*, n_owners <= {max_owners} AS live FROM found f JOIN owned USING (v)),
+    owned AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS n_owners,
+        count(DISTINCT (coalesce(source, chr(0)), coalesce(doc_id::VARCHAR, ''))) AS n_repos FROM found GROUP BY v),
+    judged AS (SELECT f.*, n_owners, n_repos, n_owners <= {max_owners} AND n_repos <= {max_repos} AS live FROM found f JOIN owned USING (v)),
     per_doc AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 3) AS base,
         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 3 OR live) AS spans,
-        count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live AND k < 3) AS n_copied
+        count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live AND k < 3) AS n_copied,
+        max(n_owners) FILTER (k < 3 OR live) AS most_owners, max(n_repos) FILTER (k < 3 OR live) AS most_repos
         FROM judged GROUP BY doc_id)
     SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-           sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+           sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied,
+           coalesce(most_owners, 0) AS most_owners, coalesce(most_repos, 0) AS most_repos
     FROM documents d LEFT JOIN per_doc USING (doc_id)"""
 
 

@@ -2,10 +2,12 @@
 
 Every text is scanned for three base kinds (assignments, access keys, long hex
 runs) and for other token-like strings.  All candidates are hashed and counted
-over the corpus by distinct repositories and distinct owners: a value seen
-under many owners is a widely copied example, one confined to
-``max_owners`` owners is a live-looking credential.  Base matches always stay;
-a token-like string is reported only if it is owner-specific.
+over the corpus by distinct repositories and distinct owners: a value confined to
+``max_owners`` owners and ``max_repos`` repositories is a live-looking credential; one
+seen under more owners, or in more repositories even of one owner (a documentation key
+that a large source repeats), is a widely copied example.  Base matches always stay;
+a token-like string is reported only if it is owner-specific.  Every reported span
+carries both counts.
 
 The texts are read once and never shuffled.  Candidate rows (hash, owner,
 repository, place) are deduplicated and counted in steps that combine before
@@ -87,24 +89,25 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.sum("n_repos").alias("n_repos"), F.count("*").alias("n_owners"))
 
 
-def scan_secrets(docs: DataFrame, max_owners: int = 2, id_col: str = "doc_id", text_col: str = "text",
+def scan_secrets(docs: DataFrame, max_owners: int = 2, max_repos: int = 10, id_col: str = "doc_id", text_col: str = "text",
                  repo_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
     """(doc_id, base, spans, n_live, n_copied) for every row: base spans, all
-    reported spans in order, and how many reported spans hold an
-    owner-specific or a widely copied value."""
+    reported spans in order with the owners and repositories of their values, and how
+    many reported spans hold an owner-specific or a widely copied value."""
     found = written(scan(docs, id_col, text_col, repo_col, owner_col), "secrets")
     places = found.where("size(base) + size(token) > 0").select("doc_id", "body", F.explode(F.concat("base", "token")).alias("s")) \
         .select("doc_id", "body", "s", F.col("s.hash").alias("hash")).distinct()
-    judged = places.join(ownership(found), "hash").withColumn("live", F.col("n_owners") <= max_owners) \
+    judged = places.join(ownership(found), "hash").withColumn("live", (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)) \
         .where(F.col("live") | (F.col("s.kind") < 3))
     per_row = judged.groupBy("doc_id", "body").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end")))).alias("spans"),
+        F.array_sort(F.collect_list(F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"),
+                                             "n_owners", "n_repos"))).alias("spans"),
         F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_copied"))
     f, p = found.alias("f"), per_row.alias("p")
     rows = f.join(p, F.col("f.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("f.body") == F.col("p.body")), "left")
     ordered = F.array_sort(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
     return rows.select(F.col("f.doc_id").alias("doc_id"), ordered.alias("base"),
-                       F.coalesce("spans", F.array().cast("array<struct<start:int,kind:int,end:int>>")).alias("spans"),
+                       F.coalesce("spans", F.array().cast("array<struct<start:int,kind:int,end:int,n_owners:bigint,n_repos:bigint>>")).alias("spans"),
                        F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"))
 
 
@@ -118,7 +121,8 @@ def listed(spans: str) -> Column:
 def op1_secrets(spark, sf_dir: str) -> DataFrame:
     """Contract columns over all documents; an owner is a source, a repository a document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    most = lambda c: F.coalesce(F.array_max(F.transform("spans", lambda s: s[c])), F.lit(0)).alias(f"most_{c[2:]}")
     n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return scan_secrets(docs).select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"),
                                      F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"),
-                                     "n_live", "n_copied")
+                                     "n_live", "n_copied", most("n_owners"), most("n_repos"))

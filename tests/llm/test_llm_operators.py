@@ -107,6 +107,17 @@ def test_secrets_base_spans_and_ownership(spark):
     assert out[11].n_live == 0                                       # a failing match uses up its text
 
 
+def test_secrets_are_judged_by_repositories_too(spark):
+    """One value in many documents of one owner is a copied example; in a few, a credential."""
+    many, few = "Zx9" + "qWe7rTy" * 4, "Ab1" + "cDe5fGh" * 4
+    rows = [(i, f"see {many} here", "big") for i in range(11)] + [(100 + i, f"see {few} here", "big") for i in range(10)]
+    rows += [(200, f"password = {many}", "big"), (200, f"password = {many}", "big")]
+    out = {r.doc_id: r for r in secrets.scan_secrets(frame(spark, rows, "doc_id long, text string, source string")).collect()}
+    assert all(out[i].spans == [] for i in range(11)) and all(len(out[100 + i].spans) == 1 for i in range(10))
+    assert (out[100].spans[0].n_owners, out[100].spans[0].n_repos, out[100].n_live) == (1, 10, 1)
+    assert (out[200].spans[0].n_repos, out[200].n_live, out[200].n_copied) == (12, 0, 1)
+
+
 def test_secrets_plan_has_no_python(spark):
     d = frame(spark, [(1, "password = abcdef", "s")], "doc_id long, text string, source string")
     plan = secrets.scan(d, "doc_id", "text", "doc_id", "source")._jdf.queryExecution().toString()
