@@ -9,14 +9,14 @@ so the code length of a symbol depends on its last three bytes only and a text
 is scored by table look-ups: exact code lengths, one numpy pass per language
 set, whole texts.
 
-Training counts byte 4-grams per language over *all* labelled rows given
-(combined in the task, then by Spark) and written once.  What reaches the driver
-is the tree itself: the symbol counts after ``max_contexts`` order-3 contexts at
-most, chosen in Spark, and the order-2 counts, which the byte alphabet bounds
-(2**24 a language).  Each language ranks its own contexts by frequency and the
-best ranks of all languages stay, so an equal share goes to each; what a
-language does not need goes to the others.  Contexts left out are coded from
-their order-2 suffix.
+A context is the last byte, the class of the byte before it (its low five bits) and the
+class of the one before that (its low three bits), so there are 2**16 contexts of order 3
+in all, whatever the input: no context is dropped, and rare ones share the statistics of
+their class.  Lower-case ASCII letters have classes of their own in order 2.
+
+Training counts (context, symbol) pairs per language over *all* labelled rows given
+(combined in the task, then by Spark) and written once.  These counts are the tree and
+reach the driver; there are 2**24 a language at most, and as many as a language uses.
 
 Bytes are folded first: A-Z to lower case, digits to ``0``, white space to one
 symbol.  Each text starts after three spaces.
@@ -34,10 +34,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
 from .words import text_slices, utf8
 
 UND = "und"
@@ -48,8 +47,12 @@ _FOLD[0x09:0x0E] = 0x20
 LETTER = r"\p{L}"
 
 
+SECOND, THIRD = 0x1FFF, 0xFFFF       # bits of the contexts of order 2 and 3
+_CLASS = {1: (0xFF, 8), 2: (0x1F, 5), 3: (0x07, 3)}     # kept bits of the byte so far back, and their number
+
+
 def contexts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context of three bytes as uint32, symbol, text offsets) of all bytes."""
+    """(context of order 3 as uint32, symbol, text offsets) of all bytes."""
     buf, off = utf8(column)
     b = _FOLD[buf[:-8]]
     n = len(b)
@@ -61,7 +64,8 @@ def contexts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for k in range(back):                      # bytes before the text are spaces
             at = start + k
             prev[at[at < off[1:]]] = 0x20
-        ctx = (ctx << np.uint32(8)) | prev
+        keep, bits = _CLASS[back]
+        ctx = (ctx << np.uint32(bits)) | (prev & np.uint8(keep))
     return ctx, b, off
 
 
@@ -78,7 +82,7 @@ def tally(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarr
 
 
 def gram_counts(rows: DataFrame) -> DataFrame:
-    """(lang, gram, n) of ``rows`` (text, lang): byte 4-grams with counts."""
+    """(lang, gram, n) of ``rows`` (text, lang): context << 8 | symbol, with counts."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
@@ -99,43 +103,29 @@ def gram_counts(rows: DataFrame) -> DataFrame:
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def kept_contexts(counts: DataFrame, max_contexts: int, buckets: int = 16) -> DataFrame:
-    """(ctx) of the ``max_contexts`` order-3 contexts that rank best in a language.
-    Ranks are taken within hash buckets first, so that the last step of a
-    language has at most ``buckets * max_contexts`` rows."""
-    order = [F.col("total").desc(), "ctx"]
-    seen = counts.groupBy("lang", F.shiftright("gram", 8).alias("ctx")).agg(F.sum("n").alias("total"))
-    for part in (["lang", F.pmod(F.hash("ctx"), F.lit(buckets))], ["lang"]):
-        seen = seen.withColumn("place", F.row_number().over(Window.partitionBy(*part).orderBy(*order))) \
-            .where(F.col("place") <= max_contexts)
-    best = seen.groupBy("ctx").agg(F.min("place").alias("place"))
-    return best.orderBy("place", "ctx").limit(max_contexts).select("ctx")
-
-
 class Model:
     """Frozen context trees of all languages as code-length tables (bits)."""
 
     def __init__(self, langs, symbol, second, third, cost):
         self.langs, self.symbol, self.second, self.third, self.cost = langs, symbol, second, third, cost
 
+    def parts(self) -> tuple:
+        return self.langs, self.symbol, self.second, self.third, self.cost
+
     @staticmethod
-    def build(low: pd.DataFrame, high: pd.DataFrame) -> Model | None:
-        """``low``: lang, gram of three bytes, n.  ``high``: lang, gram of four bytes, n,
-        for the order-3 contexts of the tree.  None if there is nothing to learn from."""
-        if not len(low):
+    def build(counts: pd.DataFrame) -> Model | None:
+        """``counts``: lang, gram, n.  None if there is nothing to learn from."""
+        if not len(counts):
             return None
-        langs = sorted(low["lang"].unique())
-
-        def columns(counts):
-            lang = np.searchsorted(langs, counts["lang"].to_numpy().astype(str)).astype(np.int64)
-            return lang, counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(np.float64)
-
-        low, high = columns(low), columns(high)
-        used = np.unique(low[1] & 255)
+        langs = sorted(counts["lang"].unique())
+        lang = np.searchsorted(langs, counts["lang"].to_numpy().astype(str)).astype(np.int64)
+        high = lang, counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(np.float64)
+        used = np.unique(high[1] & 255)
         symbol = np.full(256, len(used), np.int16)           # the last class: bytes never coded in training
         symbol[used] = np.arange(len(used))
         n_sym, n_lang = len(used) + 1, len(langs)
-        c3, c2 = np.unique(high[1] >> 8), np.unique(low[1] >> 8)
+        c3 = np.unique(high[1] >> 8)
+        c2 = np.unique(c3 & SECOND)
 
         def level(counts, nodes, mask, lower):
             """Code lengths of one order from its counts and those of the order below."""
@@ -149,12 +139,12 @@ class Model:
             return np.where(c > 0, coded, escape + lower).astype(np.float32)
 
         uniform = np.full((1, n_sym, n_lang), 8.0, np.float32)
-        zero = level(low, np.zeros(1, np.int64), 0, uniform)
-        one = level(low, np.arange(256), 0xFF, zero)
-        two = level(low, c2, 0xFFFF, one[c2 & 0xFF])
-        three = level(high, c3, 0xFFFFFF, two[np.searchsorted(c2, c3 & 0xFFFF)])
+        zero = level(high, np.zeros(1, np.int64), 0, uniform)
+        one = level(high, np.arange(256), 0xFF, zero)
+        two = level(high, c2, SECOND, one[c2 & 0xFF])
+        three = level(high, c3, THIRD, two[np.searchsorted(c2, c3 & SECOND)])
         # Rows of ``cost``: order-3 nodes, then order-2 nodes, then order-1 nodes.
-        second = (len(c3) + len(c2) + (np.arange(65536) & 0xFF)).astype(np.int32)
+        second = (len(c3) + len(c2) + (np.arange(SECOND + 1) & 0xFF)).astype(np.int32)
         second[c2] = len(c3) + np.arange(len(c2))
         return Model(langs, symbol, second, c3.astype(np.uint32), np.concatenate([three, two, one]))
 
@@ -171,36 +161,32 @@ class Model:
 
     def _nodes(self, ctx: np.ndarray) -> np.ndarray:
         """Row of ``cost`` for every context: two table look-ups."""
-        two = self.second[ctx & np.uint32(0xFFFF)]
+        two = self.second[ctx & np.uint32(SECOND)]
         if not hasattr(self, "_grid"):
             n3 = len(self.third)
             lows = np.arange(n3, int(self.second.max()) + 1)
-            # (order-2 or order-1 node, third last byte) -> node
-            grid = np.repeat(lows.astype(np.int32)[:, None], 256, axis=1)
-            grid[self.second[self.third & 0xFFFF] - n3, self.third >> 16] = np.arange(n3)
+            # (order-2 or order-1 node, class of the third last byte) -> node
+            grid = np.repeat(lows.astype(np.int32)[:, None], 8, axis=1)
+            grid[self.second[self.third & SECOND] - n3, self.third >> 13] = np.arange(n3)
             self._grid = grid
-        return self._grid[two - len(self.third), ctx >> np.uint32(16)]
+        return self._grid[two - len(self.third), ctx >> np.uint32(13)]
 
 
-def train(labelled: DataFrame, max_contexts: int = 40_000) -> Model | None:
+def train(labelled: DataFrame) -> Model | None:
     """Fit on every row of ``labelled`` (text, lang)."""
     rows = labelled.where("text is not null and lang is not null")
-    counts = written(gram_counts(rows), "grams")
-    low = counts.groupBy("lang", F.col("gram").bitwiseAND(0xFFFFFF).alias("gram")).agg(F.sum("n").alias("n"))
-    kept = F.broadcast(kept_contexts(counts, max_contexts))
-    high = counts.join(kept, F.shiftright("gram", 8) == F.col("ctx"), "left_semi")
-    return Model.build(low.toPandas(), high.toPandas())
+    return Model.build(gram_counts(rows).toPandas())
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, bits_per_byte) of every row.  ``score`` is the
     posterior of the language under equal priors, ``2**-bits`` as likelihood."""
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    held = docs.sparkSession.sparkContext.broadcast(model)       # bounded by max_contexts
+    held = docs.sparkSession.sparkContext.broadcast(model and model.parts())       # 2**16 contexts; plain arrays, so that executors need no package
     schema = rows.select("doc_id").schema.add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
+        m = held.value and Model(*held.value)
         for batch in batches:
             for part in text_slices(batch, "text", 2 << 20):
                 text = part.column(1)
