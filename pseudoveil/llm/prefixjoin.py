@@ -4,19 +4,23 @@ A text is the set of its distinct word shingles (64-bit XXH64).  Two sets link a
 ``100 * |intersection| >= percent * |union|``.
 
 1. **Classes.**  Texts with equal sets become one class, combined before the shuffle.
-2. **Order.**  The prefix of a set is its first tokens in a global order, rare ones first: by
+2. **Loners.**  Linked sets of at most N tokens differ in at most d = floor(2N (1-t)/(1+t)) tokens, so of
+   d + 1 parts into which a hash divides all tokens one is equal in both.  Sets that share no
+   (size band, part, content) with another set link with nothing and go no further; the rows of
+   this step are a sixth of the tokens, and a shared one nearly always means near copies.
+3. **Order.**  The prefix of a set is its first tokens in a global order, rare ones first: by
    the number of sets that hold the token, then by hash.  One shuffle of (token, set) rows
    finds the tokens of several sets and their numbers.  Tokens of one set come first in
    the order and can be shared with nobody, so a set with more of them than its prefix has
    tokens is done: it links with nothing.
-3. **Groups.**  Classes with the same size and the same prefix (but for tokens that nobody
+4. **Groups.**  Classes with the same size and the same prefix (but for tokens that nobody
    shares) become one group.
    The inverted index holds groups: linked sets share a token of their prefixes
    (n - ceil(t n) + 1 tokens), and at the first shared one the tokens that are left must
    still reach the overlap, which also filters by size.
    Lists are kept by token and size band, bands overlapping by one, so that sets of too
    different sizes do not meet.
-4. **Verification** is exact, on whole sets.  A pair goes there only if the 512-bit parity
+5. **Verification** is exact, on whole sets.  A pair goes there only if the 512-bit parity
    sketches of its sets differ in no more bits than the sets may differ in tokens (every token
    flips one bit, so the sketch never drops a link).  A crowd of near copies has a square of
    links, of which the result needs the components only.  So every group and every token
@@ -25,7 +29,7 @@ A text is the set of its distinct word shingles (64-bit XXH64).  Two sets link a
    components are expanded to their members and verified.  In a list only members
    outside its main component start such candidates.  No candidate is dropped
    but those whose ends are connected already.  Only the texts of candidates are read again.
-5. **Components.**  Links feed the connected-components job.
+6. **Components.**  Links feed the connected-components job.
 
 Hot keys: a list or member of a crowd is joined with its tiny rows spread over salts; sets
 travel to balanced keys only.  The rows (token, set) of one token pass through one task as a
@@ -59,6 +63,7 @@ from .words import mix64, text_slices, words, xxh64
 SALTS = 8              # places over which the rows of one key are spread
 STAR = 1000            # members of a star checked by one copy of its centre
 STARS = 2              # times that lists are checked as stars before the rest is expanded
+WIDE = 1.5             # width of the size bands of the parts, at least
 WORDS = 8              # 64-bit words of a parity sketch
 
 
@@ -113,6 +118,37 @@ def parity_sketches(h: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
+def part_keys(h: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, number of keys of every set): one for each part in each band of the set.  A set stands in the
+    band of its size and in the next one, too, if a linked set may be there."""
+    wide = max(WIDE, 1.01 * 100 / percent)                               # linked sets are at most one band apart
+    band = np.floor(np.log(np.maximum(size, 1)) / math.log(wide) + 1e-9).astype(np.int64)
+    again = np.ceil(size * 100 / percent) >= np.floor(wide ** (band + 1))
+    owner = np.r_[np.flatnonzero(size), np.flatnonzero((size > 0) & again)]
+    late = np.r_[np.zeros(np.count_nonzero(size), np.int64), np.ones(len(owner) - np.count_nonzero(size), np.int64)]
+    order = np.lexsort((late, owner))
+    owner, late = owner[order], late[order]
+    at = band[owner] + late                                              # band of every (set, band)
+    largest = np.ceil(wide ** (at + 1)).astype(np.int64)
+    parts = 2 * largest * (100 - percent) // (100 + percent) + 1
+    first = (np.cumsum(size) - size)[owner]
+    n = size[owner]
+    which = np.repeat(np.arange(len(owner)), n)                          # tokens of every (set, band)
+    token = h[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(len(which))]
+    start = np.cumsum(parts) - parts
+    slot = start[which] + (mix64(token) % parts[which].astype(np.uint64)).astype(np.int64)
+    by_slot = np.argsort(slot, kind="stable")
+    slot, content = slot[by_slot], mix64(token ^ np.uint64(0x94D049BB133111EB))[by_slot]
+    keys = np.zeros(int(parts.sum()), np.uint64)
+    if len(slot):
+        cut = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
+        with np.errstate(over="ignore"):
+            keys[slot[cut]] = np.add.reduceat(content, cut)
+    inner = np.arange(len(keys)) - np.repeat(start, parts)
+    place = mix64((np.repeat(at, parts) << 40 | inner).astype(np.uint64))
+    return mix64(keys ^ place), np.bincount(owner, weights=parts, minlength=len(size)).astype(np.int64)
+
+
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -125,18 +161,26 @@ def lists_of(values: np.ndarray, size: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), signed(values))
 
 
-def named_sets(rows: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, n, s1, s2, sketch): size, name and sketch of the set of every text."""
+def named_sets(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(doc_id, n, s1, s2, sketch, parts): size, name, sketch and part keys of the set of every text."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text"):
                 _, h, n = shingle_sets(part.column(1), shingle)
                 s1, s2 = names(h, n)
                 sketch = lists_of(parity_sketches(h, n).ravel(), np.full(len(n), WORDS))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), signed(s1), signed(s2), sketch],
-                                                 ["doc_id", "n", "s1", "s2", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), signed(s1), signed(s2), sketch, lists_of(*part_keys(h, n, percent))],
+                                                 ["doc_id", "n", "s1", "s2", "sketch", "parts"])
+
+    return rows.mapInArrow(task, "doc_id long, n long, s1 long, s2 long, sketch array<long>, parts array<long>")
+
 
-    return rows.mapInArrow(task, "doc_id long, n long, s1 long, s2 long, sketch array<long>")
+def company(sets: DataFrame) -> DataFrame:
+    """(s1) of the sets that share a part with another one."""
+    # The filter that the join below implies, stated here so that both uses read one shuffle.
+    parts = sets.select("s1", F.explode("parts").alias("part")).where("part is not null and s1 is not null").repartition("part")
+    shared = parts.groupBy("part").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low <> high").select("part")
+    return parts.join(shared.hint("shuffle_hash"), "part", "left_semi").select("s1").distinct()
 
 
 def set_tokens(rows: DataFrame, shingle: int) -> DataFrame:
@@ -161,9 +205,11 @@ def prefix_length(n, percent: int):
 def prefix_places(rows: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(node, n, token, pos): the tokens in the prefixes of the classes (node, n, s1) that other sets hold, too."""
     # The filter that the joins below imply, stated here so that both uses read one shuffle.
-    tokens = set_tokens(rows, shingle).where("token is not null and s1 is not null").repartition("token")
-    held = tokens.groupBy("token").agg(F.min("s1").alias("low"), F.max("s1").alias("high"), F.count("*").alias("k")).where("low <> high")
-    back = tokens.join(held.select("token", "k").hint("shuffle_hash"), "token").select("s1", "token", "k")
+    bits = bits_for(classes.count())
+    held = key_filter(classes.select(F.xxhash64("doc_id")), bits)
+    tokens = set_tokens(rows.where(may_hold(held, F.xxhash64("doc_id"), bits)), shingle).where("token is not null and s1 is not null").repartition("token")
+    several = tokens.groupBy("token").agg(F.min("s1").alias("low"), F.max("s1").alias("high"), F.count("*").alias("k")).where("low <> high")
+    back = tokens.join(several.select("token", "k").hint("shuffle_hash"), "token").select("s1", "token", "k")
     mine = Window.partitionBy("s1")
     ranked = back.withColumn("i", F.row_number().over(mine.orderBy("k", "token")) - 1).withColumn("r", F.count("*").over(mine))
     placed = ranked.join(classes.select("s1", "node", "n"), "s1").withColumn("pos", F.col("n") - F.col("r") + F.col("i"))
@@ -321,12 +367,13 @@ def links(rows: DataFrame, classes: DataFrame, shingle: int, percent: int) -> Da
 def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n, component_id) for every row of ``docs``."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    table = written(named_sets(rows, shingle), "named-sets")
+    table = written(named_sets(rows, shingle, percent), "named-sets")
     usable = table.where("n > 0 and doc_id is not null")
     equal = usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("sketch").alias("sketch"),
                                            F.count("*").alias("rows"))
     classes = written(equal.withColumn("node", F.monotonically_increasing_id()), "set-classes")
-    comp = links(rows, classes, shingle, percent)
+    near = written(classes.join(company(usable), "s1", "left_semi"), "set-candidates")
+    comp = links(rows, near, shingle, percent)
     low = classes.select("node", "s1", "s2", "doc_id", "rows").join(comp, "node", "left")
     linked = low.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     several = low.where("comp is not null").join(linked, "comp").select("s1", "s2", "component_id") \

@@ -114,3 +114,19 @@ def test_sets_are_distinct_shingles():
     assert h[doc == 3].tolist() == [xxhash.xxh64_intdigest(b"a b c", seed=42)]
     one, two = prefixjoin.names(np.r_[h, h[::-1]], np.array([len(h), len(h)]))
     assert one[0] == one[1] and two[0] == two[1]                               # whatever the order
+
+
+@pytest.mark.parametrize("percent", [90, 75])
+def test_linked_sets_share_a_part(percent):
+    """Pairs at the very threshold, of all sizes, bands and size differences."""
+    rng = np.random.default_rng(percent)
+    for n in [*range(1, 60), 100, 151, 339, 1000]:
+        for small in {n, n - 1, -(-n * percent // 100)} - {0}:
+            common = next(c for c in range(small + 1) if 100 * c >= percent * (n + small - c)) if 100 * small >= percent * n else None
+            if common is None:
+                continue
+            pool = np.unique(rng.integers(0, 1 << 63, 2 * n + 10, dtype=np.uint64))
+            rng.shuffle(pool)
+            a, b = np.sort(pool[:n]), np.sort(np.r_[pool[:common], pool[n:n + small - common]])
+            keys, k = prefixjoin.part_keys(np.r_[a, b], np.array([len(a), len(b)]), percent)
+            assert k.sum() == len(keys) and set(keys[:k[0]]) & set(keys[k[0]:])
