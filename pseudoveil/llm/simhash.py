@@ -4,7 +4,8 @@
    seed 42).  A bit is set when more than half of the shingle hashes set it.
    Computed in Arrow tasks with numpy; only (doc_id, fingerprint) leaves.
 2. **Distinct fingerprints.**  Equal fingerprints collapse to their smallest
-   doc_id first, so any number of copies costs one row from here on.
+   doc_id first, so any number of copies costs one row from here on.  The
+   fingerprint itself is the node.
 3. **Pigeonring.**  The 64 bits form a ring of ``segments`` equal segments.  If
    two fingerprints differ in at most ``max_bits`` bits there is a start
    segment from which, for every chain length l, the first l segments differ
@@ -22,7 +23,8 @@
    gets the smallest doc_id it can reach.
 
 Defined results: a null, empty or word-free text has fingerprint zero and is
-linked like any other; a text with fewer words than a shingle hashes its whole
+linked like any other; a row without a doc_id links like any other and gets the
+smallest doc_id of its group, null if there is none; a text with fewer words than a shingle hashes its whole
 word sequence; repeated rows of a doc_id give repeated result rows; an empty
 table gives no rows; columns other than ``id_col`` and ``text_col`` are ignored.
 """
@@ -79,15 +81,16 @@ def fingerprints(column: pa.Array, shingle: int) -> np.ndarray:
 
 
 def simhash(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the signed 64-bit fingerprint of every row."""
+    """(doc_id, body, fp): the signed 64-bit fingerprint of every row; ``body``: hash of its text."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text"):
                 fp = fingerprints(part.column(1), shingle)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(fp.view(np.int64))], ["doc_id", "body", "fp"])
 
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(task, "doc_id long, fp long")
+    text = docs[text_col].cast("string")
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("body"))
+    return rows.mapInArrow(task, "doc_id long, body long, fp long")
 
 
 def rotate(fp: Column, bits: int) -> Column:
@@ -155,13 +158,15 @@ def _flips(fp: Column, depth: int) -> Column:
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, segments: int = 16, pair_limit: int = 32,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``."""
+    """(doc_id, body, fp, group, component_id) for every row of ``docs``.  ``group``: the component by
+    fingerprints alone, which rows that share a doc_id do not join."""
     fp = written(simhash(docs, shingle, id_col, text_col), "simhash")
-    distinct = fp.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"))
-    distinct = written(distinct, "fingerprints")
-    groups = components(links(distinct, max_bits, segments, pair_limit))
-    label = distinct.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fp.join(label, "fp", "left").select("doc_id", "fp", "component_id")
+    distinct = written(fp.groupBy("fp").agg(F.min("doc_id").alias("low")), "fingerprints")
+    found = components(links(distinct.select(F.col("fp").alias("node"), "fp"), max_bits, segments, pair_limit))
+    grouped = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("group"))
+    grouped = written(grouped, "fingerprint-groups")
+    lows = grouped.groupBy("group").agg(F.min("low").alias("component_id"))
+    return fp.join(grouped.join(lows, "group").drop("low"), "fp", "left").select("doc_id", "body", "fp", "group", "component_id")
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
@@ -171,9 +176,21 @@ def op2_simhash(spark, sf_dir: str) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without near copies: the row with the smallest doc_id of each group stays
-    (one row where that doc_id is repeated is not enforced)."""
-    groups = near_duplicates(docs, **options).where("doc_id = component_id").select(
-        F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(groups, docs["doc_id"] == groups["__kept"], "left_semi")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without near copies: one row of each group stays, the one with the smallest doc_id (of
+    rows that share it, the smallest text hash; of equal rows, any); a row without a doc_id only if no row of
+    its group has one."""
+    groups = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    rows = groups.groupBy("group", "doc_id", "body").agg(F.count("*").alias("n"))
+    first = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body", "n")).alias("r"))
+    kept = written(first.select(F.col("r.doc_id").alias("__id"), F.col("r.body").alias("__body"), F.col("r.n").alias("__n")), "kept")
+
+    def of(rows: DataFrame, which: DataFrame) -> DataFrame:
+        same = rows[id_col].cast("long").eqNullSafe(which["__id"]) & (F.xxhash64(rows[text_col].cast("string")) == which["__body"])
+        return rows.join(which, same, "left_semi")
+
+    repeated = kept.where("__n > 1")
+    out = of(docs, kept.where("__n = 1"))
+    if repeated.isEmpty():
+        return out
+    return out.union(of(docs, repeated).dropDuplicates([id_col, text_col]))

@@ -696,6 +696,24 @@ def test_pipeline_stages(spark):
     assert len(packed) == len(rows) and all(r.n == r.t for r in packed)
 
 
+def test_stages_decide_per_row(spark):
+    """Missing and repeated ids take no other row along."""
+    d = "/root/testdata/sf0.001"
+    item = spark.read.parquet(f"{d}/benchmark.parquet").where("length(text) > 100").first().text
+    base = spark.read.parquet(f"{d}/documents.parquet").where("length(text) > 300").orderBy("doc_id").limit(6).collect()
+    t = [r.text for r in base]
+    rows = [(7, t[0]), (7, item), (7, "123 456"), (None, t[1]), (None, t[1]), (None, item), (8, t[2]), (8, t[2]), (9, t[2]), (None, t[2]), (8, t[3])]
+    schema = spark.read.parquet(f"{d}/documents.parquet").schema
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in rows], schema)
+    stages = dict(corpus_pipeline.STAGES)
+    left = lambda name: sorted(((r.doc_id, r.text) for r in stages[name](spark, docs, d).collect()), key=str)
+    taught = docs.union(spark.createDataFrame([(100, x, "en", "s", 1) for x in t] + [(101, "una otra lengua que nadie", "es", "s", 1)], schema))
+    kept = {(r.doc_id, r.text) for r in stages["language"](spark, taught, d).collect()}
+    assert (7, "123 456") not in kept and {(7, t[0]), (7, item), (None, item)} <= kept
+    assert left("benchmark") == sorted([r for r in rows if r[1] != item], key=str)
+    assert left("near_duplicates") == sorted({(7, t[0]), (7, item), (7, "123 456"), (None, t[1]), (8, t[2]), (8, t[3])}, key=str)
+
+
 def test_components(spark):
     rng = random.Random(11)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(1000 + i, 1001 + i) for i in range(60)]
