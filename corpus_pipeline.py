@@ -4,13 +4,16 @@ Every stage takes (spark, docs, sf_dir) and returns the documents it keeps, in
 the columns of ``documents``; its result is written as Parquet and read back as
 the next stage's input.  The last stage returns the packed pieces.
 
-1. ``language``: documents without a letter, or whose language stays doubtful
-   (posterior under 0.5), go.  The model learns from the labelled documents.
+1. ``language``: documents without a letter go, and those short enough that no learned language has
+   half of the posterior.  The model learns from the labelled documents; it does not know a language that
+   nobody labelled.
 2. ``lines``: later copies of repeated line runs are cut out of the texts; a
    document that loses all its lines goes.
-3. ``near_duplicates``: of each SimHash group the smallest doc_id stays.
+3. ``near_duplicates``: of each SimHash group one row stays, with the smallest doc_id.
 4. ``benchmark``: documents with a passage of a benchmark item go.
 5. ``packing``: the remaining texts as sequences of 2048 tokens.
+
+Every stage decides per row: a missing or repeated doc_id takes no other row along.
 """
 
 from __future__ import annotations
@@ -27,16 +30,21 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 MIN_POSTERIOR = 0.5
 
 
-def keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``ids`` (a null doc_id matches a null one)."""
-    kept = ids.select(F.col("doc_id").alias("kept_doc_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_doc_id"]), "left_semi")
+def by_row(docs: DataFrame) -> DataFrame:
+    """(row, text): rows known by id and text together, so that rows sharing an id are judged each by its own text."""
+    return docs.select(F.xxhash64("doc_id", "text").alias("row"), "text")
+
+
+def keep(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose :func:`by_row` key is in the column ``doc_id`` of ``rows``."""
+    kept = rows.select(F.col("doc_id").alias("kept_row")).distinct()
+    return docs.join(kept, F.xxhash64(docs["doc_id"], docs["text"]) == kept["kept_row"], "left_semi")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a language that the labelled documents teach."""
     model = langid.train(docs.select("text", "lang"))
-    found = langid.identify(docs, model)
+    found = langid.identify(by_row(docs), model, id_col="row")
     return keep(docs, found.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= MIN_POSTERIOR)))
 
 
@@ -56,9 +64,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents without a benchmark passage (10 words)."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.contamination(docs, items, window=10)
-    clean = found.groupBy("doc_id").agg(F.max(F.size("spans")).alias("hits")).where("hits = 0")
-    return keep(docs, clean)
+    found = decontaminate.contamination(by_row(docs), items, window=10, id_col="row")
+    return keep(docs, found.where(F.size("spans") == 0))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -29,7 +30,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for written intermediates: the cluster's
     ``spark.checkpoint.dir`` if set, else (tests, local runs) a scratch folder
-    that is kept for the life of the session."""
+    that is kept for the life of the session.  On a cluster a machine's own folder
+    would lose rows, so there the setting is required."""
     sc = spark.sparkContext
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
@@ -37,6 +39,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(given)
         return given
     if not sc.getCheckpointDir():
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="pseudoveil-ckpt-"))
     return sc.getCheckpointDir()
 
