@@ -13,8 +13,10 @@
    one row of every partition.
 3. **Difference.**  The line hashes of both pages are aligned by longest common
    subsequence.  Shared lines are furniture of the site and are deleted.
-4. **Text.**  If the markup names an article, its lines are text, shared or not:
-   neighbours share headlines and passages of real articles.  So is what the
+4. **Text.**  If the markup names an article, its lines are text but for shared
+   ones that are no sentences (share bars, "read more", repeated labels): neighbours share
+   passages of real articles, so shared sentences stay, and so does an article that the
+   neighbour shares as a whole.  So is what the
    difference leaves of the main part around it, and of the open lines if that is
    more than the article and main part together (the article is a teaser).
    Without an article the text is what the difference leaves of the main part, or
@@ -33,6 +35,7 @@ import re
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -199,32 +202,72 @@ class Lines:
         return [xxhash.xxh64_intdigest(t.encode()) - (1 << 63) for t in self.text]
 
 
+def _row(a: list, b: list) -> int:
+    """Bit-parallel last row of the subsequence table of ``a`` against ``b``: bit j is 0 where b[:j+1] gains one."""
+    where: dict = {}
+    for j, v in enumerate(b):
+        where.setdefault(v, []).append(j)
+    full = (1 << len(b)) - 1
+    row = full
+    for v in a:
+        match = 0
+        for j in where.get(v, ()):
+            match |= 1 << j
+        hit = row & match
+        row = ((row + hit) | (row - hit)) & full
+    return row
+
+
+def _lengths(a: list, b: list) -> np.ndarray:
+    """Subsequence lengths of ``a`` against b[:j], j = 0..len(b)."""
+    bits = np.unpackbits(np.frombuffer(_row(a, b).to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[:len(b)]
+    return np.r_[0, np.cumsum(1 - bits.astype(np.int64))]
+
+
+WALK = 1 << 26         # bits of the rows kept for walking back; longer pairs are halved first
+
+
 def shared_lines(a: list, b: list) -> list[bool]:
-    """For each element of ``a`` whether it is in one longest common subsequence
-    with ``b`` (bit-parallel rows, common ends trimmed first)."""
+    """For each element of ``a`` whether it is in one longest common subsequence with ``b``: common ends
+    trimmed, long pairs halved at the best split (Hirschberg), so that memory grows with the lines only."""
     out = [False] * len(a)
-    low = 0
-    while low < min(len(a), len(b)) and a[low] == b[low]:
-        out[low] = True
-        low += 1
-    x, y = len(a), len(b)
-    while x > low and y > low and a[x - 1] == b[y - 1]:
-        x, y = x - 1, y - 1
-        out[x] = True
-    a, b = a[low:x], b[low:y]
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        low, x, j, y = todo.pop()
+        while low < x and j < y and a[low] == b[j]:
+            out[low] = True
+            low, j = low + 1, j + 1
+        while x > low and y > j and a[x - 1] == b[y - 1]:
+            x, y = x - 1, y - 1
+            out[x] = True
+        if low == x or j == y:
+            continue
+        if (x - low) * (y - j) > WALK and x - low > 1:
+            mid = (low + x) // 2
+            best = _lengths(a[low:mid], b[j:y]) + _lengths(a[mid:x][::-1], b[j:y][::-1])[::-1]
+            cut = j + int(best.argmax())
+            todo += [(low, mid, j, cut), (mid, x, cut, y)]
+        else:
+            for i in _walk(a[low:x], b[j:y]):
+                out[low + i] = True
+    return out
+
+
+def _walk(a: list, b: list) -> list[int]:
+    """Places of ``a`` in one longest common subsequence, from all rows of the table."""
     where: dict = {}
     for j, v in enumerate(b):
-        where[v] = where.get(v, 0) | 1 << j
+        where.setdefault(v, []).append(j)
     full = (1 << len(b)) - 1
-    rows = [full]
+    rows, out = [full], []
     for v in a:
-        row, match = rows[-1], where.get(v, 0)
+        row, match = rows[-1], sum(1 << j for j in where.get(v, ()))
         hit = row & match
         rows.append(((row + hit) | (row - hit)) & full)
     i, j = len(a), len(b)
     while i and j:
         if a[i - 1] == b[j - 1]:
-            out[low + i - 1] = True
+            out.append(i - 1)
             i, j = i - 1, j - 1
         elif rows[i] >> (j - 1) & 1:
             j -= 1
@@ -233,6 +276,10 @@ def shared_lines(a: list, b: list) -> list[bool]:
     return out
 
 
+#: A line that ends like a sentence (quotes and brackets may follow the stop).
+PROSE = re.compile(r"""[.!?:;…。！？][\s"'’”»)\]]*\Z""")
+
+
 def main_text(lines: Lines, shared: list[bool]) -> str:
     """The lines that make up the text, joined by one space."""
     of = {kind: [i for i, k in enumerate(lines.kind) if k == kind] for kind in (ARTICLE, MAIN, OPEN)}
@@ -240,7 +287,10 @@ def main_text(lines: Lines, shared: list[bool]) -> str:
     of[OPEN] = [i for n, i in enumerate(of[OPEN]) if not (bare[n] and (bare[n + 1] or n and bare[n - 1]))]
     left = {kind: [i for i in mine if not shared[i]] for kind, mine in of.items()}
     if of[ARTICLE]:
-        mine = of[ARTICLE] + left[MAIN]
+        # A neighbour may share sentences of a real article, but a shared line that is none is a part of the site.
+        mine = of[ARTICLE] if not left[ARTICLE] else [i for i in of[ARTICLE] if not shared[i] or
+                                                      PROSE.search(lines.text[i]) and not lines.linked[i]]
+        mine = mine + left[MAIN]
         if any(shared) and sum(len(lines.text[i]) for i in left[OPEN]) > sum(len(lines.text[i]) for i in mine):
             mine += left[OPEN]
     else:

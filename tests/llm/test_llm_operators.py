@@ -507,6 +507,35 @@ def test_shared_lines_are_a_longest_common_subsequence():
         assert sum(got) == best[-1][-1] and all(x in rest for x, k in zip(a, got, strict=True) if k)
 
 
+def test_long_pages_are_aligned_in_linear_memory(monkeypatch):
+    rng = random.Random(19)
+    pairs = [([rng.randrange(9) for _ in range(rng.randrange(60))], [rng.randrange(9) for _ in range(rng.randrange(60))]) for _ in range(150)]
+    whole = [sum(pagetext.shared_lines(a, b)) for a, b in pairs]
+    monkeypatch.setattr(pagetext, "WALK", 20)
+    for (a, b), n in zip(pairs, whole, strict=True):
+        got = pagetext.shared_lines(a, b)
+        rest = iter(b)
+        assert sum(got) == n and all(x in rest for x, k in zip(a, got, strict=True) if k)
+
+
+def test_planted_site_lines_inside_articles_go(spark):
+    """Menus and share bars without class names, inside and outside the article: recall and precision of the deletion."""
+    rng = random.Random(23)
+    words = [f"word{i}" for i in range(400)]
+    said = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(6, 15))) + rng.choice([".", "?", "!"])
+    common = said()                                                                    # a sentence that many articles share
+    rows, want = [], {}
+    for i in range(60):
+        body = [f"Title of {words[i]}"] + [said() for _ in range(8)] + ([common] if i % 2 else []) + [said()]
+        inner = [f"<p>{t}</p>" for t in body]
+        inner[3:3] = ["<div>Share this story</div>", "<div><a href=/x>Read more</a></div>"]
+        page = "<body><div>Home</div><div>News</div><article>" + "".join(inner) + "<p>Tags and topics</p></article><div>All rights reserved</div></body>"
+        rows.append((i, f"https://h.example/{i % 3}/{i:03d}", page))
+        want[i] = " ".join(body)
+    out = {r.page_id: r.text for r in pagetext.extract(frame(spark, rows, "page_id long, url string, html string")).collect()}
+    assert out == want
+
+
 def test_pages_lose_lines_shared_with_the_nearest_url(spark):
     page = "<body><div>Site line</div><p>Own text {0}.</p><p>More {0}.</p><div>Bottom line</div></body>"
     rows = [(i, f"https://h.example/a/{i}", page.format(i)) for i in range(1, 4)]
