@@ -79,8 +79,13 @@ def detect_units(units: DataFrame, key: list[str], config: Config = Config(),
             raise ValueError("Config.ner='table' needs a candidates DataFrame")
         per_unit = N.candidates_by_unit(candidates, key)
         per_unit = per_unit.select(*[F.col(k).alias(f"cand_{k}") for k in key], "cands")
-        units = units.join(per_unit, same_key(units, per_unit, key, [f"cand_{k}" for k in key]), "left")
-        cands = F.coalesce(F.col("cands"), F.array().cast(f"array<{N.CANDIDATE_TYPE}>"))
+        # Units without a candidate pass by; only the others meet the join.
+        none, some = split_by_findings(units, [F.col(k) for k in key], candidates.select(
+            F.xxhash64(*[F.col(k).cast(units.schema[k].dataType) for k in key])))         # hashes differ between integer types
+        some = some.join(per_unit, same_key(some, per_unit, key, [f"cand_{k}" for k in key]), "left")
+        nothing = F.array().cast(f"array<{N.CANDIDATE_TYPE}>")
+        units = none.select("*", nothing.alias("cands")).union(some.select(*none.columns, F.coalesce("cands", nothing)))
+        cands = F.col("cands")
     elif config.ner == "capitalised":
         cands = N.capitalised_run_candidates(text)
     else:
