@@ -137,6 +137,28 @@ class SuffixArray:
         return out
 
 
+def innermost(found: list[tuple[int, int, int]], n: int) -> np.ndarray:
+    """Depth of the innermost interval (depth, from, to) at each of n places, 0 outside.  The intervals nest, so a
+    sweep over their starts writes every place once, however deep they lie."""
+    out, at, opened = np.zeros(n, np.int64), 0, []
+
+    def close(until):
+        nonlocal at
+        while opened and opened[-1][1] <= until:
+            depth, end = opened.pop()
+            out[at:end] = depth
+            at = max(at, end)
+
+    for depth, a, b in sorted(found, key=lambda r: (r[1], -r[2])):
+        close(a)
+        if opened:
+            out[at:a] = opened[-1][0]
+        at = a
+        opened.append((depth, b))
+    close(n)
+    return out
+
+
 def measure(column: pa.Array, window: int, min_words: int) -> dict[str, np.ndarray]:
     """All figures of every text of a string column."""
     w = words(column, NOT_SPACE, lower=False)
@@ -163,11 +185,10 @@ def measure(column: pa.Array, window: int, min_words: int) -> dict[str, np.ndarr
 
     sa = SuffixArray(key, stop, min_words)
     found = sa.maximal_repeats(key, first, min_words)
-    length = np.zeros(len(sa.sa), np.int64)                # longest maximal repeat at every suffix
+    length = innermost(found, len(sa.sa))                  # longest maximal repeat at every suffix
     n_repeats, longest = np.zeros(n_docs, np.int64), np.zeros(n_docs, np.int64)
     sums = np.r_[0, np.cumsum(chars)]
     for depth, a, b in found:
-        length[a:b] = np.maximum(length[a:b], depth)
         doc, p = w.doc[sa.sa[a]], sa.sa[a]
         n_repeats[doc] += 1
         longest[doc] = max(longest[doc], sums[p + depth] - sums[p])
@@ -199,6 +220,8 @@ def duplicate_lines(buf: np.ndarray, off: np.ndarray, w: Spans) -> np.ndarray:
 def quality(docs: DataFrame, window: int = 5, min_words: int = 8, max_repeat_percent: int = 20, least_words: int = 10,
             max_covered: float = 0.15, max_longest: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ``SCHEMA`` for every row.  ``min_words`` must be a power of two."""
+    if min_words < 1 or min_words & (min_words - 1):
+        raise ValueError("min_words must be a power of two")
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
     names = ["doc_id"] + [x.split()[0] for x in SCHEMA.split(", ")]
     schema = rows.select("doc_id").schema.simpleString()[7:-1].replace(":", " ") + ", " + SCHEMA

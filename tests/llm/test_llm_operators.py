@@ -397,6 +397,28 @@ def test_maximal_repeats_equal_plain_version_beside_longer_ones():
         assert m["covered"][i] * size == pytest.approx(sum(len(w[k]) for k in cover))
 
 
+def test_innermost_intervals_and_one_repeated_word():
+    import time
+    rng = random.Random(13)
+    for _ in range(200):
+        found, n = [], 30
+        def nest(a, b, depth):
+            while a + 1 < b:
+                x = rng.randint(a, b - 1)
+                y = rng.randint(x + 1, b)
+                if y - x < b - a or depth == 0:
+                    found.append((depth + rng.randint(1, 3), x, y))
+                    nest(x, y, found[-1][0])
+                a = y
+        nest(0, n, 0)
+        want = [max([d for d, x, y in found if x <= i < y], default=0) for i in range(n)]
+        rng.shuffle(found)
+        assert repetition.innermost(found, n).tolist() == want
+    t0 = time.time()
+    m = repetition.measure(pa.array(["word " * 120_000]), 5, 8)
+    assert m["covered"][0] == 1 and time.time() - t0 < 8
+
+
 # --- 7 lines
 
 def plain_lines(rows, min_chars):
