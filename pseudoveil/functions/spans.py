@@ -7,7 +7,7 @@ right, with code-point offsets ``[start, end)`` — the same as Python's
 
 1. ``regexp_replace`` wraps each match (or its value group) in U+E000 markers;
 2. ``split`` on the marker: odd segments are the matches;
-3. ``aggregate`` walks the segments keeping a running code-point position.
+3. ``aggregate`` walks the segments keeping a running code-point position (only if there is a marker).
 
 Text that already holds U+E000 is scanned with the marker swapped for U+FFFD
 (same length, same regex classes) and the values are cut from the original.
@@ -44,7 +44,7 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
     has_mark = F.instr(text, MARK) > 0
     safe = F.when(has_mark, F.translate(text, MARK, "\uFFFD")).otherwise(text)
     repl = f"{MARK}$0{MARK}" if group == 0 else f"$1{MARK}$2{MARK}"
-    segments = F.split(F.regexp_replace(safe, pattern, repl), MARK, -1)
+    marked = F.regexp_replace(safe, pattern, repl)
 
     def step(acc, seg):
         n = F.length(seg)
@@ -61,8 +61,12 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
         return F.struct(inner["pos"].alias("pos"), inner["i"].alias("i"), F.concat(acc["out"], inner["out"]).alias("out"))
 
     init = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("i"), empty_spans().alias("out"))
-    found = bound(segments, lambda segs: F.aggregate(F.sequence(F.lit(1), F.size(segs), F.lit(STEP)), init,
-                                                     lambda acc, first: block(acc, segs, first), lambda acc: acc["out"]))
+
+    def walk(m):
+        return bound(F.split(m, MARK, -1), lambda segs: F.aggregate(F.sequence(F.lit(1), F.size(segs), F.lit(STEP)), init,
+                                                                    lambda acc, first: block(acc, segs, first), lambda acc: acc["out"]))
+
+    found = bound(marked, lambda m: F.when(F.instr(m, MARK) == 0, empty_spans()).otherwise(walk(m)))
     exact = F.transform(
         found,
         lambda s: F.struct(

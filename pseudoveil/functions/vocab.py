@@ -101,10 +101,13 @@ DOB_PATTERN = (
     r"|(?:" + MONTHS + r")" + WS + r"+\d{1,2},?" + WS + r"+\d{4})"
 )
 
+# A look at the next character comes before every word boundary: most places fail there.
 ADDRESS_STRUCTURED_PATTERN = (
-    r"(?iU)" + WB + r"\d+(?:/\d+)?(?:" + WS + r"*," + WS + r"*\d+(?:/\d+)?)*"
-    r"[^.\n;]{0,220}?" + WB + r"\d{6}" + WB + r"(?:[^.\n;]{0,80})?"
+    r"(?iU)(?=\d)" + WB + r"\d+(?:/\d+)?(?:" + WS + r"*," + WS + r"*\d+(?:/\d+)?)*"
+    r"[^.\n;]{0,220}?(?=\d)" + WB + r"\d{6}" + WB + r"(?:[^.\n;]{0,80})?"
 )
+# What any such address holds: six digits that stand alone.
+ADDRESS_GATE = rf"(?U)\d{{6}}(?:(?!{WORD_CHAR})|{WB})(?<!{WORD_CHAR}\d{{6}})"
 # The number list above recurses in the Java matcher: texts with a longer list take address_spans' linear scan.
 LONG_LIST = r"(?U)(?:[\d/]++" + WS + r"*+," + WS + r"*+){200,}+"
 

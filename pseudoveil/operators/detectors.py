@@ -56,18 +56,18 @@ def email_spans(text: Column) -> Column:
 
 def phone_spans(text: Column) -> Column:
     # The digit normal form always holds for a match, so no extra filter.
-    return _gated(text.rlike(r"[6-9]"),
+    return _gated(text.rlike(r"(?U)[6-9]\d{4}"),
                   as_findings(spans(text, V.PHONE_PATTERN), "PHONE", V.SEQ_PHONE))
 
 
 def ssn_spans(text: Column) -> Column:
-    return _gated(F.instr(text, "-") > 0,
+    return _gated((F.instr(text, "-") > 0) & text.rlike(r"(?U)-\d{2}-\d"),
                   as_findings(spans(text, V.SSN_PATTERN), "SSN", V.SEQ_SSN))
 
 
 def ip_spans(text: Column) -> Column:
     found = F.filter(spans(text, V.IP_PATTERN), lambda s: ipv4_valid(s["value"]))
-    return _gated(F.instr(text, ".") > 0, as_findings(found, "IP_ADDRESS", V.SEQ_IP))
+    return _gated((F.instr(text, ".") > 0) & text.rlike(r"(?U)\d\.\d"), as_findings(found, "IP_ADDRESS", V.SEQ_IP))
 
 
 def card_spans(text: Column) -> Column:
@@ -77,7 +77,7 @@ def card_spans(text: Column) -> Column:
 
 def dob_spans(text: Column) -> Column:
     found = spans(text, V.DOB_PATTERN, group=2)
-    return _gated(text.rlike(r"(?iU)birth|dob|born"), as_findings(found, "DATE", V.SEQ_DATE))
+    return _gated(text.rlike(r"(?U)\d") & text.rlike(r"(?iU)(?=[bd])(?:birth|dob|born)"), as_findings(found, "DATE", V.SEQ_DATE))
 
 
 def address_spans(text: Column) -> Column:
@@ -89,7 +89,7 @@ def address_spans(text: Column) -> Column:
         raw, lambda s: F.struct(clean_address(s["value"]).alias("value"), s["start"], s["end"])
     )
     kept = F.filter(cleaned, lambda s: (s["value"] != "") & looks_like_address(s["value"]))
-    return _gated(text.rlike(r"(?U)\d{6}"), as_findings(kept, "ADDRESS", V.SEQ_ADDRESS))
+    return _gated(text.rlike(V.ADDRESS_GATE), as_findings(kept, "ADDRESS", V.SEQ_ADDRESS))
 
 
 def labelled_address_spans(text: Column) -> Column:
@@ -101,7 +101,8 @@ def labelled_address_spans(text: Column) -> Column:
 def person_label_pattern(ignore_case: bool = False) -> str:
     """``(label prefix)(name)``; labels match lower case only unless ``ignore_case``."""
     labels = "|".join(lbl.replace(r"\s", V.WS) for lbl in V.PERSON_LABELS)
-    lab = f"(?i:{labels})" if ignore_case else f"(?:{labels})"
+    first = "[" + "".join(sorted({lbl[0] for lbl in V.PERSON_LABELS})) + "]"
+    lab = f"(?i:(?={first})(?:{labels}))" if ignore_case else f"(?={first})(?:{labels})"
     word = V.PERSON_NAME_WORD
     return (
         f"(?U)({lab}{V.WS}*[:\\-]{V.WS}*(?:\\n{V.WS}*)?)"
@@ -126,7 +127,8 @@ def looks_like_name(value: Column) -> Column:
 def context_person_spans(text: Column, ignore_case: bool = False) -> Column:
     found = F.filter(spans(text, person_label_pattern(ignore_case), group=2),
                      lambda s: looks_like_name(s["value"]))
-    gate = text.rlike(r"(?iU)person|promoter|shareholder|director|officer|secretary")
+    gate = ((F.instr(text, ":") > 0) | (F.instr(text, "-") > 0)) \
+        & text.rlike(r"(?iU)(?=[pdos])(?:person|promoter|shareholder|director|officer|secretary)")
     return _gated(gate, as_findings(found, "PERSON", V.SEQ_CONTEXT, source="context",
                                     confidence="HIGH", score=V.CONTEXT_PERSON_SCORE))
 

@@ -47,7 +47,8 @@ def _lit_list(values: Iterable[str]) -> Column:
 
 
 def _word_regex(terms: list[str]) -> str:
-    return rf"(?iU){V.WB}(?:" + "|".join(terms) + rf"){V.WB}"
+    first = "".join(sorted({t[0] for t in terms}))          # most places fail at the first letter
+    return rf"(?iU)(?=[{first}]){V.WB}(?:" + "|".join(terms) + rf"){V.WB}"
 
 
 def _alpha_ratio_ok(v: Column) -> Column:
@@ -178,11 +179,16 @@ def person_confidence(text: Column, start: Column, end: Column, value: Column) -
 
 
 def _confidence_parts(ctx: Column, shape: Column, value: Column) -> Column:
-    person_ctx = ctx.rlike(PERSON_CONTEXT_RE)
-    non_person_ctx = ctx.rlike(NON_PERSON_CONTEXT_RE)
+    return _confidence_of(ctx.rlike(PERSON_CONTEXT_RE), ctx.rlike(NON_PERSON_CONTEXT_RE), shape, _sentence_words(value))
+
+
+def _sentence_words(value: Column) -> Column:
     cand_words = F.array_distinct(F.transform(
         F.regexp_extract_all(value, F.lit("([A-Za-z]+)"), 1), lambda x: F.lower(x)))
-    overlap = F.array_sort(F.array_intersect(cand_words, _lit_list(V.SENTENCE_WORDS)))
+    return F.array_sort(F.array_intersect(cand_words, _lit_list(V.SENTENCE_WORDS)))
+
+
+def _confidence_of(person_ctx: Column, non_person_ctx: Column, shape: Column, overlap: Column) -> Column:
     score = (F.lit(2) + shape["score"]
              + F.when(person_ctx, 3).otherwise(0)
              - F.when(non_person_ctx, 3).otherwise(0)
@@ -256,7 +262,7 @@ def _org_marked(value: Column) -> Column:
 
 def capitalised_run_candidates(text: Column) -> Column:
     """``array<candidate>`` from runs of capitalised words (no model)."""
-    found = spans(text, CAPITALISED_RUN)
+    found = spans(text, r"(?=\p{Lu})" + CAPITALISED_RUN)       # most places fail at the first letter
     return F.transform(found, lambda s: F.struct(
         s["value"].alias("value"),
         F.when(_org_marked(s["value"]), "ORG").otherwise("PERSON").alias("label"),
@@ -275,35 +281,50 @@ def person_norm(value: Column) -> Column:
     return F.regexp_replace(casefold(value), rf"(?U){V.WS}+", " ")
 
 
-def _prepare(text: Column, c: Column) -> Column:
-    """Stage 1: every cleaned form of a candidate, computed once."""
-    gv = gate_value(c["value"])
+# Each stage is a struct of stored values, so that no regex or word list is evaluated again for
+# every use of it; what only the confidence score needs is left out where the gate says no.
+
+def _prepare(c: Column) -> Column:
+    """Stage 1: the cleaned forms of a candidate."""
     sv = F.regexp_replace(py_strip(c["value"]), rf"(?U){V.WS}+", " ")
-    return F.struct(c.alias("c"), gv.alias("gv"), sv.alias("sv"),
-                    context_window(text, c["start"], c["end"]).alias("ctx"))
+    return F.struct(c.alias("c"), gate_value(c["value"]).alias("gv"), sv.alias("sv"))
 
 
 def _prepare2(p: Column) -> Column:
-    """Stage 2: lower-case forms and word lists of the stage-1 values."""
-    g_lower = casefold(p["gv"])
-    s_lower = casefold(p["sv"])
-    return F.struct(p["c"].alias("c"), p["gv"].alias("gv"), p["sv"].alias("sv"), p["ctx"].alias("ctx"),
-                    g_lower.alias("g_lower"), words(py_strip(p["gv"])).alias("g_words"),
-                    s_lower.alias("s_lower"), words(p["sv"]).alias("s_words"))
+    """Stage 2: lower-case forms and words of what the gate looks at."""
+    return F.struct(p["c"].alias("c"), p["gv"].alias("gv"), p["sv"].alias("sv"), casefold(p["gv"]).alias("g_lower"),
+                    words(py_strip(p["gv"])).alias("g_words"), casefold(p["sv"]).alias("s_lower"))
 
 
 def _prepare3(p: Column) -> Column:
-    """Stage 3: the shape score (used by the confidence score) once."""
-    return F.struct(p["c"].alias("c"), p["gv"].alias("gv"), p["sv"].alias("sv"), p["ctx"].alias("ctx"),
-                    p["g_lower"].alias("g_lower"), p["g_words"].alias("g_words"),
-                    p["s_lower"].alias("s_lower"), p["s_words"].alias("s_words"),
-                    _shape_parts(p["sv"], p["s_lower"], p["s_words"], words(p["s_lower"])).alias("shape"))
+    """Stage 3: the person gate."""
+    c = p["c"]
+    gate = _person_gate_parts(p["gv"], p["g_lower"], p["g_words"], c["propn_count"], c["initial_count"])
+    return F.struct(c.alias("c"), p["sv"].alias("sv"), p["s_lower"].alias("s_lower"),
+                    F.when(c["label"] == "PERSON", gate).otherwise(False).alias("gate"))
+
+
+def _prepare4(text: Column, p: Column) -> Column:
+    """Stage 4: the context and words of a candidate that the gate does not turn away."""
+    c, past = p["c"], F.coalesce(p["gate"], F.lit(True))
+    return F.struct(c.alias("c"), p["sv"].alias("sv"), p["s_lower"].alias("s_lower"), p["gate"].alias("gate"), past.alias("past"),
+                    F.when(past, context_window(text, c["start"], c["end"])).alias("ctx"),
+                    F.when(past, words(p["sv"])).alias("s_words"), F.when(past, words(p["s_lower"])).alias("l_words"))
+
+
+def _prepare5(p: Column) -> Column:
+    """Stage 5: what the confidence score adds up."""
+    past = p["past"]
+    return F.struct(p["c"].alias("c"), p["sv"].alias("sv"), p["s_lower"].alias("s_lower"), p["gate"].alias("gate"),
+                    F.when(past, _shape_parts(p["sv"], p["s_lower"], p["s_words"], p["l_words"])).alias("shape"),
+                    F.when(past, p["ctx"].rlike(PERSON_CONTEXT_RE)).alias("person_ctx"),
+                    F.when(past, p["ctx"].rlike(NON_PERSON_CONTEXT_RE)).alias("non_person_ctx"),
+                    F.when(past, _sentence_words(p["c"]["value"])).alias("overlap"))
 
 
 def _score_one(p: Column) -> Column:
-    c = p["c"]
-    gate = _person_gate_parts(p["gv"], p["g_lower"], p["g_words"], c["propn_count"], c["initial_count"])
-    conf = _confidence_parts(p["ctx"], p["shape"], c["value"])
+    c, gate = p["c"], p["gate"]
+    conf = _confidence_of(p["person_ctx"], p["non_person_ctx"], p["shape"], p["overlap"])
     is_person = c["label"] == "PERSON"
     accepted = F.when(is_person, gate & (conf["score"] >= V.ACCEPT_SCORE)).otherwise(
         _org_parts(p["sv"], p["s_lower"]))
@@ -351,7 +372,8 @@ def score_candidates(text: Column, cands: Column, propagate_names: bool = False)
 
 
 def _score_array(text: Column, cands: Column) -> Column:
-    staged = F.transform(F.transform(F.transform(cands, lambda c: _prepare(text, c)), _prepare2), _prepare3)
+    gated = F.transform(F.transform(F.transform(cands, _prepare), _prepare2), _prepare3)
+    staged = F.transform(F.transform(gated, lambda p: _prepare4(text, p)), _prepare5)
     return F.transform(staged, _score_one).cast(f"array<{SCORED_TYPE}>")
 
 
@@ -366,7 +388,9 @@ def score_units(df: DataFrame, keep: list[str], cands_col: str = "cands", text_c
     normed = df.select(*keep, text_col, _named(F.col(cands_col)).alias("_cn"))
     firsts = F.transform("_cn", lambda x: x["c"]) if propagate_names else first_mentions(F.col("_cn"))
     firsts_df = normed.select(*keep, text_col, firsts.alias("_first"))
-    return firsts_df.select(*keep, text_col, _score_array(F.col(text_col), F.col("_first")).alias(out_col))
+    # Through an array of one row: the optimiser cannot copy the scores into a filter or a join condition above.
+    row = F.struct(*keep, text_col, _score_array(F.col(text_col), F.col("_first")).alias(out_col))
+    return firsts_df.select(F.inline(F.array(row)))
 
 
 def ner_findings(scored: Column) -> Column:

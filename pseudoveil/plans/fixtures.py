@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from ..sources.units import paragraph_units
 
 PII_DOC_BASE = 1_000_000_000
@@ -29,7 +30,7 @@ def doc_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    cust = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"))       # short rows, long work on each
     nat = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     k = F.col("c_custkey")
     p = (F.lit(9000000000) + F.lit(7919) * k).cast("string")

@@ -107,7 +107,7 @@ def mobile_number(spark: SparkSession, sf_dir: str) -> DataFrame:
 from ..operators import audit as _audit  # noqa: E402
 from ..operators.findings import suppressed_values as _suppressed  # noqa: E402
 from ..operators.redact import redact_table as _redact_table  # noqa: E402
-from ..session import checkpoint_dir  # noqa: E402
+from ..session import checkpoint_dir, spread  # noqa: E402
 from ..sources.mapping_io import load_mapping, save_mapping  # noqa: E402
 from ..operators.surrogates import surrogate_id as _surrogate_id  # noqa: E402
 from .fixtures import PII_DOC_BASE, pii_units  # noqa: E402
@@ -215,7 +215,7 @@ def redact_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redact_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = pii_units(spark, sf_dir).select((F.col("doc_id") - PII_DOC_BASE).alias("c_custkey"), F.col("text").alias("note"))
-    t = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name").join(notes, "c_custkey")
+    t = spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name").join(notes, "c_custkey"))
     return _redact_table(t, "c_custkey", ["c_name", "note"], config=PIPELINE).output
 
 

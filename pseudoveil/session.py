@@ -51,3 +51,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, few: int = 2_000, many: int = 20_000) -> DataFrame:
+    """``df`` in tasks of ``few`` to ``many`` rows, all cores busy: for short rows that each take long.
+
+    A scan's tasks go by bytes and by row groups, so a million short rows may come in one."""
+    rows = df.count()
+    tasks = min(-(-rows // few), max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // many)))
+    return df.repartition(max(tasks, 1))

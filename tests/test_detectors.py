@@ -190,3 +190,28 @@ def test_word_boundaries_follow_python(spark):
     for java, python in plain.items():
         got = [[(s["start"], s["end"]) for s in r[0]] for r in df.select(spans(F.col("t"), java)).collect()]
         assert got == [[m.span() for m in re.finditer(python, t)] for t in texts]
+
+
+def test_cheap_gates_turn_no_match_away(spark):
+    """With its gate every detector finds what its pattern finds in the whole text."""
+    from pyspark.sql import functions as F
+
+    from pseudoveil.functions import vocab as V
+    from pseudoveil.functions.checks import ipv4_valid
+    from pseudoveil.functions.spans import spans
+    from pseudoveil.operators import detectors as D
+    parts = ["", "a", "é", " ", "_", "9", "٣", "½", ".", "-", ", "]
+    cores = ["+91 98765 43210", "9876543210", "٩876543210", "123-45-6789", "10.1.2.3", "DOB: 1/2/1990", "Born On 01-02-90", "born on 1 may 1990",
+             "12, MG Road 400001", "Plot ١٢٣٤٥٦", "house 1234567", "managing director: Asha Rao", "ſecretary - Asha Rao", "company secretary- Asha Rao"]
+    df = spark.createDataFrame([(f"{a}{c}{b}",) for c in cores for a in parts for b in parts] + [(None,), ("",)], "t string")
+    t = F.col("t")
+    at = lambda found: F.transform(found, lambda s: F.struct(s["start"], s["end"]))
+    address = F.filter(F.transform(spans(t, V.ADDRESS_STRUCTURED_PATTERN), lambda s: F.struct(
+        D.clean_address(s["value"]).alias("value"), s["start"], s["end"])), lambda s: (s["value"] != "") & D.looks_like_address(s["value"]))
+    pairs = [(D.phone_spans(t), spans(t, V.PHONE_PATTERN)), (D.ssn_spans(t), spans(t, V.SSN_PATTERN)),
+             (D.ip_spans(t), F.filter(spans(t, V.IP_PATTERN), lambda s: ipv4_valid(s["value"]))),
+             (D.dob_spans(t), spans(t, V.DOB_PATTERN, group=2)), (D.address_spans(t), address),
+             (D.context_person_spans(t), F.filter(spans(t, D.person_label_pattern(), group=2), lambda s: D.looks_like_name(s["value"])))]
+    for gated, plain in pairs:
+        rows = df.select(at(gated).alias("a"), at(plain).alias("b")).collect()
+        assert any(r.b for r in rows) and all(r.a == r.b for r in rows)

@@ -2,9 +2,14 @@
 
 from pyspark.sql import functions as F
 
+from pseudoveil.functions import vocab as V
+from pseudoveil.operators import ner as N
 from pseudoveil.operators.audit import ner_samples
+from pseudoveil.operators.findings import resolve_overlaps
 from pseudoveil.operators.mapping import empty_mapping
-from pseudoveil.operators.redact import Config, detect_units, map_findings, redact_documents, split_by_findings
+from pseudoveil.operators.redact import Config, detect_units, kept_findings, map_findings, redact_documents, split_by_findings
+from pseudoveil.plans.fixtures import pii_units
+from pseudoveil.session import spread
 from pseudoveil.sources.units import paragraph_units
 
 
@@ -70,3 +75,26 @@ def test_hot_value_is_looked_up_in_many_tasks(spark):
     finally:
         for k, v in (("spark.sql.autoBroadcastJoinThreshold", "10485760"), ("spark.sql.adaptive.enabled", "true"), ("spark.sql.shuffle.partitions", "8")):
             spark.conf.set(k, v)
+
+
+def test_scores_are_not_repeated_by_what_reads_them(spark):
+    """Neither the filter that Spark adds before an explode nor a join condition holds a copy of the scores."""
+    shown = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    units = paragraph_units(docs.select("doc_id", "text"))
+    key = ["doc_id", "unit_kind", "unit_no"]
+    scored = N.score_units(units.select(*key, "text", N.capitalised_run_candidates(F.col("text")).alias("cands")), key, out_col="s")
+    once = shown(scored).count(V.SHAPE_REJECT_REASON)
+    assert once and shown(scored.select(*key, F.explode("s").alias("x"))).count(V.SHAPE_REJECT_REASON) == once
+    det = detect_units(units, key, Config(ner="off"))
+    folds = shown(kept_findings(det, key, [], None)).count("occupied")
+    assert folds == shown(det.select(resolve_overlaps(F.col("findings")).alias("kept"))).count("occupied")
+
+
+def test_short_rows_are_spread_over_the_cores(spark, tmp_path):
+    """One row group of short rows: the work on them takes all cores."""
+    spark.range(40_000).selectExpr("id as c_custkey", "0 as c_nationkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(0, "INDIA")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    sizes = [r["count"] for r in pii_units(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 40_000 and len(sizes) == min(20, max(spark.sparkContext.defaultParallelism, 2)) and max(sizes) < 2 * min(sizes)
+    assert spread(spark.range(0)).count() == 0 and spread(spark.range(5)).rdd.getNumPartitions() == 1
