@@ -18,13 +18,15 @@ take the next ids in another round; nothing is capped.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
 from ..functions.text import collapse_ws, normalize_key
 from ..session import written
-from .findings import suppressed_values
+from .findings import distinct_values, related_values
 from .surrogates import surrogate, surrogate_id
 
 MAPPING_SCHEMA = "pii_type string, norm_key string, surface string, replacement string, id bigint"
@@ -76,34 +78,70 @@ def with_ids(mapping: DataFrame) -> DataFrame:
     return mapping.withColumn("id", F.coalesce("id", surrogate_id(F.col("pii_type"), F.col("replacement"))))
 
 
+AHEAD = 1024               # fakes judged together at least; eight times as many each time they run out
+
+
+def _fakes(spark: SparkSession, windows: dict[str, tuple[int, int]]) -> DataFrame:
+    """The fakes of the ids from ``lo`` up to ``hi`` of each type."""
+    parts = [spark.range(lo, hi).select(F.lit(t).alias("pii_type"), "id", surrogate(F.lit(t), F.col("id")).alias("replacement"))
+             for t, (lo, hi) in windows.items()]
+    return reduce(DataFrame.unionByName, parts).withColumn("norm", normalize_key(F.col("replacement")))
+
+
+def _judged(offered: DataFrame, observed: DataFrame, used: DataFrame) -> DataFrame:
+    """``offered`` with ``refused``: the fake is in use or equals, contains or is part of an observed value."""
+    like_observed = related_values(distinct_values(offered.select("norm"), "values"), observed).withColumn("_like", F.lit(True))
+    in_use = used.distinct().withColumn("_used", F.lit(True))
+    refused = F.coalesce("_like", F.lit(False)) | F.coalesce("_used", F.lit(False))
+    return written(offered.join(like_observed, "norm", "left").join(in_use, "replacement", "left")
+                   .select("pii_type", "id", "replacement", refused.alias("refused")), "judged")
+
+
+def _by_type(df: DataFrame, value: Column) -> dict[str, int]:
+    """One number for each of the types."""
+    return {r["pii_type"]: r["n"] for r in df.groupBy("pii_type").agg(value.alias("n")).collect() if r["n"] is not None}
+
+
 def assign_surrogates(new: DataFrame, mapping: DataFrame, buckets: int = DEFAULT_BUCKETS,
                       observed: DataFrame | None = None) -> DataFrame:
     """Give each new key a unique replacement; returns rows in mapping schema.
-    ``observed``: ``norm_key`` of all values seen as originals."""
+    ``observed``: ``norm_key`` of all values seen as originals.
+
+    In a round the keys left take the next ids of their type in their order, and those whose fake is refused go
+    on to the next round.  Fakes are judged in windows of ids that reach over many rounds, since every judgement
+    reads all observed values, and rounds of nothing but refused ids, which change no key, are passed over."""
+    spark = new.sparkSession
     keys = written(new.select("pii_type", "norm_key", "surface"), "keys")
     known = F.col("pii_type").isin(*V.CATEGORIES)
     if observed is None:      # the new and the loaded keys
         observed = keys.select("norm_key").union(mapping.select("norm_key"))
-    observed = observed.select(F.col("norm_key").alias("fake")).distinct()
+    observed = distinct_values(observed.select(F.col("norm_key").alias("fake")), "observed")
     used = mapping.select("replacement").where(F.col("replacement") != V.REDACTED)
-    next_id = with_ids(mapping).groupBy("pii_type").agg((F.max("id") + 1).alias("base")).where("base is not null")
     out = keys.where(~known).select("pii_type", "norm_key", "surface", F.lit(V.REDACTED).alias("replacement"),
                                     F.lit(None).cast("bigint").alias("id"))
     left = keys.where(known)
-    while True:
-        ranked = dense_ids(left, buckets).join(F.broadcast(next_id), "pii_type", "left")     # one row per type
-        ids = ranked.withColumn("id", F.coalesce("base", F.lit(0)) + F.col("rank")).drop("base", "rank")
-        offered = written(ids.withColumn("replacement", surrogate(F.col("pii_type"), F.col("id")))
-                          .withColumn("norm", normalize_key(F.col("replacement"))), "offered")
-        like_observed = offered.join(suppressed_values(offered.select("norm"), observed), "norm", "left_semi")
-        in_use = offered.join(used, "replacement", "left_semi")
-        refused = written(like_observed.unionByName(in_use), "refused")
-        if refused.isEmpty():
-            return out.unionByName(offered.select(*out.columns))
-        out = out.unionByName(offered.join(refused, ["pii_type", "id"], "left_anti").select(*out.columns))
-        left = refused.select(*keys.columns).distinct()
-        high = offered.groupBy("pii_type").agg((F.max("id") + 1).alias("base"))
-        next_id = written(high.union(next_id).groupBy("pii_type").agg(F.max("base").alias("base")), "next-id")
+    many = _by_type(left, F.count("*"))
+    at = dict.fromkeys(many, 0) | _by_type(with_ids(mapping).where(known), F.max("id") + 1)
+    judged, until, ahead = None, {}, AHEAD
+    while many:
+        windows = {t: (max(at[t], until.get(t, 0)), at[t] + n + ahead) for t, n in many.items() if at[t] + n > until.get(t, 0)}
+        if windows:
+            more = _judged(written(_fakes(spark, windows), "offered"), observed, used)
+            judged = more if judged is None else judged.unionByName(more)
+            until |= {t: hi for t, (_, hi) in windows.items()}
+            ahead *= 8
+        first = F.coalesce(*[F.when(F.col("pii_type") == t, F.lit(at[t]).cast("long")) for t in many])
+        ids = dense_ids(left, buckets).withColumn("id", first + F.col("rank")).drop("rank")
+        placed = written(ids.join(judged, ["pii_type", "id"]), "placed")
+        out = out.unionByName(placed.where(~F.col("refused")).select(*out.columns))
+        left = placed.where("refused").select(*keys.columns)
+        at = {t: i + many.get(t, 0) for t, i in at.items()}
+        many = _by_type(left, F.count("*"))
+        if many:
+            here = F.coalesce(*[F.when(F.col("pii_type") == t, F.col("id") >= at[t]) for t in many])
+            free = _by_type(judged.where(here & ~F.col("refused")), F.min("id"))
+            at |= {t: at[t] + max(free.get(t, until[t]) - at[t], 0) // n * n for t, n in many.items()}
+    return out
 
 
 def merge_mapping(mapping: DataFrame, new: DataFrame) -> DataFrame:

@@ -390,3 +390,45 @@ def test_first_mentions_in_a_unit_of_many_names(spark):
             if i % 10 != 9:
                 seen.add(i % 30000)
     assert got == want and time.time() - t0 < 60
+
+
+def test_a_block_of_refused_fakes_is_passed_over(spark, monkeypatch):
+    """Part of an e-mail fake is an original, so hundreds of neighbouring ids are refused: few judgements and rounds,
+    and the same ids as key after key in a queue gets."""
+    from pyspark.sql import functions as F
+
+    from pseudoveil.operators import mapping as M
+    from pseudoveil.operators.surrogates import surrogate
+    names = [f"u{i}@x.org" for i in range(30)] + ["tt0@example.net", "hul.kulsh0@example.net"]
+    keys = spark.createDataFrame([("EMAIL", n, n) for n in names], "pii_type string, norm_key string, surface string")
+    given = [("EMAIL", f"old{i}@y.org", f"old{i}@y.org", f, n) for i, (n, f) in enumerate([(7995, "kept@example.net"), (9, "zz@example.net")])]
+    loaded = spark.createDataFrame(given, M.MAPPING_SCHEMA)
+    seen = []
+    monkeypatch.setattr(M, "written", lambda df, name, real=M.written: seen.append(name) or real(df, name))
+    rows = M.assign_surrogates(keys, loaded, 16).collect()
+    got = {r["norm_key"]: r["id"] for r in rows}
+    fakes = [r[0] for r in spark.range(40_000).select(surrogate(F.lit("EMAIL"), F.col("id"))).collect()]
+    queue = [r["norm_key"] for r in M.dense_ids(keys, 16).orderBy("rank").collect()]
+    observed, want, at = [*names, "old0@y.org", "old1@y.org"], {}, 7996
+    while queue:
+        key = queue.pop(0)
+        if any(o in fakes[at] or fakes[at] in o for o in observed):
+            queue.append(key)
+        else:
+            want[key] = at
+        at += 1
+    assert at > 8000 + 2000 and got == want and len(rows) == len(want)
+    assert seen.count("judged") <= 4 and seen.count("placed") <= 12
+
+
+def test_containment_finds_strings_of_every_length(spark):
+    import random
+
+    from pseudoveil.operators.findings import suppressed_values
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("ab😀é") for _ in range(rng.choice([1, 5, 7, 8, 9, 12, 30])))
+    values, fakes = sorted({word() for _ in range(300)}), sorted({"".join(w) for w in ([word(), word()] for _ in range(200))})
+    values, fakes = [v for v in values if len(v) > 4], [f for f in fakes if len(f) > 4]
+    got = {r[0] for r in suppressed_values(spark.createDataFrame([(v,) for v in [*values, "", None]], "norm string"),
+                                           spark.createDataFrame([(f,) for f in [*fakes, "", None]], "fake string")).collect()}
+    assert got == {v for v in values if any(v in f or f in v for f in fakes)} and 0 < len(got) < len(values)
