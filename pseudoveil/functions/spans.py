@@ -7,7 +7,7 @@ right, with code-point offsets ``[start, end)`` — the same as Python's
 
 1. ``regexp_replace`` wraps each match (or its value group) in U+E000 markers;
 2. ``split`` on the marker: odd segments are the matches;
-3. ``aggregate`` walks the segments keeping a running code-point position (only if there is a marker).
+3. ``aggregate`` walks the segments keeping a running code-point position (only if there is a match).
 
 Text that already holds U+E000 is scanned with the marker swapped for U+FFFD
 (same length, same regex classes) and the values are cut from the original.
@@ -41,10 +41,7 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
     """
     if group not in (0, 2):
         raise ValueError("group must be 0 (whole match) or 2 (prefix, value)")
-    has_mark = F.instr(text, MARK) > 0
-    safe = F.when(has_mark, F.translate(text, MARK, "\uFFFD")).otherwise(text)
     repl = f"{MARK}$0{MARK}" if group == 0 else f"$1{MARK}$2{MARK}"
-    marked = F.regexp_replace(safe, pattern, repl)
 
     def step(acc, seg):
         n = F.length(seg)
@@ -53,7 +50,7 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
             acc["pos"].alias("start"),
             (acc["pos"] + n).alias("end"),
         )
-        out = F.when(acc["i"] % 2 == 1, F.concat(acc["out"], F.array(hit))).otherwise(acc["out"])
+        out = F.when(acc["i"] % 2 == 1, F.array_append(acc["out"], hit)).otherwise(acc["out"])
         return F.struct((acc["pos"] + n).alias("pos"), (acc["i"] + 1).alias("i"), out.alias("out"))
 
     def block(acc, segs, first):
@@ -66,13 +63,16 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
         return bound(F.split(m, MARK, -1), lambda segs: F.aggregate(F.sequence(F.lit(1), F.size(segs), F.lit(STEP)), init,
                                                                     lambda acc, first: block(acc, segs, first), lambda acc: acc["out"]))
 
-    found = bound(marked, lambda m: F.when(F.instr(m, MARK) == 0, empty_spans()).otherwise(walk(m)))
+    safe = F.translate(text, MARK, "\uFFFD")
     exact = F.transform(
-        found,
+        bound(F.regexp_replace(safe, pattern, repl), walk),
         lambda s: F.struct(
             F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("value"),
             s["start"].alias("start"),
             s["end"].alias("end"),
         ),
     )
-    return F.when(text.isNull(), empty_spans()).when(has_mark, exact).otherwise(found)
+    # Most texts have no match and come out as they were: one comparison, no search for the marker.
+    found = bound(F.regexp_replace(text, pattern, repl), lambda m: F.when(m == text, empty_spans())
+                  .when(F.instr(text, MARK) > 0, exact).otherwise(walk(m)))
+    return F.when(text.isNull(), empty_spans()).otherwise(found)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import evened, spread
 from ..sources.units import paragraph_units
 
 PII_DOC_BASE = 1_000_000_000
@@ -25,8 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def doc_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return paragraph_units(docs).select("doc_id", "unit_kind", "unit_no", "text")
+    docs = evened(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return paragraph_units(docs, offsets=False)
 
 
 def pii_units(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "pseudoveil") -> SparkSession:
@@ -60,3 +61,9 @@ def spread(df: DataFrame, few: int = 2_000, many: int = 20_000) -> DataFrame:
     rows = df.count()
     tasks = min(-(-rows // few), max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // many)))
     return df.repartition(max(tasks, 1))
+
+
+def evened(df: DataFrame, many: int = 100_000) -> DataFrame:
+    """``df`` as it comes, unless a task of it has more than ``many`` rows (few large row groups): then spread."""
+    most = df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    return df if (most or 0) <= many else spread(df)

@@ -40,10 +40,16 @@ def line_offsets(parts: Column) -> Column:
                                                lambda acc, first: some(acc, ps, first), lambda acc: acc["offs"]))
 
 
-def paragraph_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """``(doc_id, unit_kind='paragraph', unit_no, text, unit_offset, carry...)``, narrow (no shuffle)."""
+def paragraph_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None,
+                    offsets: bool = True) -> DataFrame:
+    """``(doc_id, unit_kind='paragraph', unit_no, text, unit_offset, carry...)``, narrow (no shuffle).
+
+    Without ``offsets`` that column is left out: Spark would compute it even if nobody reads it."""
     carry = carry or []
     parts = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
+    if not offsets:
+        return docs.select(F.col(id_col).alias("doc_id"), *carry, F.posexplode(parts).alias("unit_no", "text")).select(
+            "doc_id", F.lit("paragraph").alias("unit_kind"), F.col("unit_no").cast("int").alias("unit_no"), "text", *carry)
     zipped = F.arrays_zip(parts.alias("text"), line_offsets(parts).alias("unit_offset"))
     return (
         docs.select(F.col(id_col).alias("doc_id"), *carry, F.posexplode(zipped).alias("unit_no", "u"))

@@ -215,3 +215,20 @@ def test_cheap_gates_turn_no_match_away(spark):
     for gated, plain in pairs:
         rows = df.select(at(gated).alias("a"), at(plain).alias("b")).collect()
         assert any(r.b for r in rows) and all(r.a == r.b for r in rows)
+
+
+def test_marked_texts_and_full_folds(spark):
+    """Texts that hold the marker, with and without matches; word lists and marks in folded words."""
+    from pyspark.sql import functions as F
+    from pseudoveil.functions.spans import MARK
+    from pseudoveil.operators import ner as N
+    got = run_col(spark, N.capitalised_run_candidates, [f"{MARK}Asha Rao{MARK} x Ravi Iyer", f"{MARK} none {MARK}", None, "", "no"])
+    assert got == [[("Asha Rao", 1, 9), ("Ravi Iyer", 13, 22)], [], [], [], []]
+    v = ["Asha Rao", "Ünal Bank", "Bank. Rao", "Weiß Limited", "Rao LIMITED\n", "Straße Rao", "The Offer Limited", "Rao Limited of", "Metal Exchange"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "i int, v string").orderBy("i")
+    rows = df.select(N.looks_like_person_name(F.col("v")).alias("p"), N.looks_like_organization(F.col("v")).alias("o"),
+                     N.name_shape_score(F.col("v")).alias("s"), N.person_norm(F.col("v")).alias("n")).collect()
+    assert [r.p for r in rows] == [True, False, False, False, False, True, False, False, False]
+    assert [r.o for r in rows] == [False, False, False, True, True, False, False, False, True]
+    assert rows[1].s.reasons == ["non-person words: bank"] and rows[0].s.score == 5
+    assert rows[3].n == "weiss limited" and rows[5].n == "strasse rao"

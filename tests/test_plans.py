@@ -3,13 +3,14 @@
 from pyspark.sql import functions as F
 
 from pseudoveil.functions import vocab as V
+from pseudoveil.functions.spans import spans
 from pseudoveil.operators import ner as N
 from pseudoveil.operators.audit import ner_samples
 from pseudoveil.operators.findings import resolve_overlaps
 from pseudoveil.operators.mapping import empty_mapping
 from pseudoveil.operators.redact import Config, detect_units, kept_findings, map_findings, redact_documents, split_by_findings
-from pseudoveil.plans.fixtures import pii_units
-from pseudoveil.session import spread
+from pseudoveil.plans.fixtures import doc_units, pii_units
+from pseudoveil.session import evened, spread
 from pseudoveil.sources.units import paragraph_units
 
 
@@ -98,3 +99,30 @@ def test_short_rows_are_spread_over_the_cores(spark, tmp_path):
     sizes = [r["count"] for r in pii_units(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 40_000 and len(sizes) == min(20, max(spark.sparkContext.defaultParallelism, 2)) and max(sizes) < 2 * min(sizes)
     assert spread(spark.range(0)).count() == 0 and spread(spark.range(5)).rdd.getNumPartitions() == 1
+
+
+def test_documents_in_one_row_group_are_spread(spark, tmp_path):
+    """Rows that come as one task are dealt over the cores; rows in small tasks stay where they are."""
+    one = spark.range(30_000).coalesce(1)
+    sizes = [r["count"] for r in evened(one, 10_000).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 30_000 and len(sizes) > 1 and max(sizes) <= 20_000
+    assert evened(one) is one and evened(spark.range(0)).count() == 0
+    rows = [(1, "a\n\nbb"), (1, "a\n\nbb"), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(doc_units(spark, str(tmp_path)).collect(), key=str)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert got == sorted(paragraph_units(docs).drop("unit_offset").collect(), key=str) and len(got) == 7
+
+
+def test_candidates_cost_no_more_than_they_need(spark, tmp_path):
+    """Units without offsets fold nothing; a candidate's lower-case form and word lists are evaluated once."""
+    shown = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    spark.createDataFrame([(1, "A b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    units = doc_units(spark, str(tmp_path))
+    assert "aggregate(" not in shown(units)
+    cands = shown(units.select(N.capitalised_run_candidates(F.col("text")).alias("c")))
+    assert cands.count("replace(") <= 20                    # the ten full folds, once (19 times before) and the spans
+    marks = shown(units.select(spans(F.col("text"), "[A-Z]b").alias("s")))
+    assert marks.count("instr(") <= 1
+    scored = shown(N.score_units(units.select("doc_id", "text", N.capitalised_run_candidates(F.col("text")).alias("cands")), ["doc_id"]))
+    assert "arrays_overlap" not in scored and "array_intersect" not in scored
