@@ -86,14 +86,16 @@ def element_ends(page: str, tag: str) -> dict[int, int]:
 
 
 class Lines:
-    """The text lines of one page: ``text``, ``kind`` and ``linked`` (nothing but link text)."""
+    """The text lines of one page: ``text``, ``kind``, ``linked`` (nothing but link text) and ``title`` (in an ``h1``)."""
 
     def __init__(self, page: str):
         self.text: list[str] = []
         self.kind: list[int] = []
         self.linked: list[bool] = []
+        self.title: list[bool] = []
         self._parts: list[str] = []
         self._plain = False                 # text outside links in the current block
+        self._title = False                 # text of an h1 in it
         self._state = OPEN
         self._scan(page)
 
@@ -104,7 +106,8 @@ class Lines:
                 self.text.append(line)
                 self.kind.append(self._state)
                 self.linked.append(not self._plain)
-            self._parts, self._plain = [], False
+                self.title.append(self._title)
+            self._parts, self._plain, self._title = [], False, False
 
     def _scan(self, page: str):
         stack: list[tuple[str, int]] = []   # open elements and the state outside each
@@ -118,6 +121,8 @@ class Lines:
                     self._parts.append(m[0])
                     if not links and not m[0].isspace():
                         self._plain = True
+                    if not m[0].isspace() and any(t == "h1" for t, _ in stack):
+                        self._title = True
                 continue
             tag = tag.lower()
             if m[1] or m[4]:
@@ -287,9 +292,9 @@ def main_text(lines: Lines, shared: list[bool]) -> str:
     of[OPEN] = [i for n, i in enumerate(of[OPEN]) if not (bare[n] and (bare[n + 1] or n and bare[n - 1]))]
     left = {kind: [i for i in mine if not shared[i]] for kind, mine in of.items()}
     if of[ARTICLE]:
-        # A neighbour may share sentences of a real article, but a shared line that is none is a part of the site.
+        # A neighbour may share sentences and the title of a real article, but another shared line is a part of the site.
         mine = of[ARTICLE] if not left[ARTICLE] else [i for i in of[ARTICLE] if not shared[i] or
-                                                      PROSE.search(lines.text[i]) and not lines.linked[i]]
+                                                      (lines.title[i] or PROSE.search(lines.text[i])) and not lines.linked[i]]
         mine = mine + left[MAIN]
         if any(shared) and sum(len(lines.text[i]) for i in left[OPEN]) > sum(len(lines.text[i]) for i in mine):
             mine += left[OPEN]
