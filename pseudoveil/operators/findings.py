@@ -105,11 +105,19 @@ def distinct_values(values: DataFrame, name: str) -> DataFrame:
     return written(values.where(F.length(values.columns[0]) > 0).distinct(), name)
 
 
+def values_inside(g: DataFrame, v: DataFrame) -> DataFrame:
+    """(norm, fake): the values of ``v`` with each value of ``g`` that they hold, of tables from :func:`distinct_values`."""
+    return _contained(g, "fake", v, "norm").join(g, "fake", "left_semi").select("norm", "fake")
+
+
+def values_within(v: DataFrame, g: DataFrame) -> DataFrame:
+    """The values ``norm`` of ``v`` that a value of ``g`` holds."""
+    return v.join(_contained(v, "norm", g, "fake"), "norm", "left_semi")
+
+
 def related_values(v: DataFrame, g: DataFrame) -> DataFrame:
     """:func:`suppressed_values` of two tables from :func:`distinct_values`."""
-    holds_fake = _contained(g, "fake", v, "norm").join(g, "fake", "left_semi").select("norm")
-    in_fake = v.join(_contained(v, "norm", g, "fake"), "norm", "left_semi")
-    return holds_fake.unionByName(in_fake).distinct()
+    return values_inside(g, v).select("norm").unionByName(values_within(v, g)).distinct()
 
 
 def suppress_generated(fd: DataFrame, mapping: DataFrame) -> DataFrame:

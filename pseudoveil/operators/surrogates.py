@@ -165,6 +165,11 @@ _FORMATS = {
 }
 
 
+def surrogate_of(pii_type: str, i: Column) -> Column:
+    """The fakes of one type."""
+    return _FORMATS[pii_type](i.cast("long"))
+
+
 def surrogate(pii_type: Column, i: Column) -> Column:
     """The fake for ``(pii_type, id)``, id from 0 on without an upper bound."""
     i = i.cast("long")

@@ -432,3 +432,58 @@ def test_containment_finds_strings_of_every_length(spark):
     got = {r[0] for r in suppressed_values(spark.createDataFrame([(v,) for v in [*values, "", None]], "norm string"),
                                            spark.createDataFrame([(f,) for f in [*fakes, "", None]], "fake string")).collect()}
     assert got == {v for v in values if any(v in f or f in v for f in fakes)} and 0 < len(got) < len(values)
+
+
+def test_values_that_no_fake_avoids_do_not_stop_the_job(spark, monkeypatch):
+    """``le`` is part of every e-mail fake, and ``it`` and ``llp`` together of every organisation: such values refuse
+    nothing, others still do, and keys placed round by round get the same ids."""
+    from pseudoveil.operators import mapping as M
+    from pseudoveil.operators.surrogates import surrogate
+    names = [("EMAIL", f"u{i}@x.org") for i in range(40)] + [("ORGANIZATION", f"o{i}") for i in range(20)] + [("PERSON", "le"), ("PERSON", "it")]
+    names += [("PERSON", "hul"), ("ORGANIZATION", "llp"), ("PERSON", "l. a"), ("PERSON", "ule")]
+    keys = spark.createDataFrame([(t, n, n) for t, n in names], "pii_type string, norm_key string, surface string")
+    passed = {"EMAIL": {"le"}, "ORGANIZATION": {"it", "llp"}, "PERSON": set()}
+    want = {}
+    for t, over in passed.items():
+        fakes = [r[0].lower() for r in spark.range(40_000).select(surrogate(F.lit(t), F.col("id"))).collect()]
+        queue = [r["norm_key"] for r in M.dense_ids(keys.where(F.col("pii_type") == t), 16).orderBy("rank").collect()]
+        for i, f in enumerate(fakes):
+            if queue:
+                key = queue.pop(0)
+                if any((o in f and o not in over) or f in o for _, o in names):
+                    queue.append(key)
+                else:
+                    want[t, key] = i
+        assert not queue
+    for most in (M.LOCAL, 0):
+        monkeypatch.setattr(M, "LOCAL", most)
+        rows = M.assign_surrogates(keys, empty_mapping(spark), 16).collect()
+        assert {(r["pii_type"], r["norm_key"]): r["id"] for r in rows} == want and len(rows) == len(names)
+        assert len({r["replacement"] for r in rows}) == len(rows)
+
+
+def test_a_type_without_a_free_fake_gets_fakes_that_hold_observed_values(spark):
+    """All first names but one and all surnames but one are originals: 26 fakes hold none of them, for 798 persons."""
+    from pseudoveil.operators.free_ids import PARTS
+    first, _, last = PARTS["PERSON"][0]
+    observed = [x.lower() for x in [*first[1:], *last[1:]]]
+    keys = spark.createDataFrame([("PERSON", v, v) for v in observed], "pii_type string, norm_key string, surface string")
+    rows = assign_surrogates(keys, empty_mapping(spark), 16).collect()
+    fakes = {r["replacement"].lower() for r in rows}
+    assert len(rows) == len(fakes) == 798 and {r["norm_key"] for r in rows} == set(observed)
+    assert not any(f in o for f in fakes for o in observed)
+
+
+def test_candidates_count_and_list_the_ids_of_clean_parts(spark):
+    from pseudoveil.operators.free_ids import PARTS, Candidates, part_strings
+    from pseudoveil.operators.surrogates import surrogate_of
+    for t in PARTS:
+        unclean = set(sorted(part_strings(t))[::3]) if len(part_strings(t)) > 2 else set()
+        c = Candidates(t, unclean)
+        ids = [k + j for k in (0, 4 * 10 ** 6, 10 ** 9) for j in range(500)]
+        fakes = spark.createDataFrame([(i,) for i in ids], "id long").select("id", F.lower(surrogate_of(t, F.col("id"))).alias("f")).collect()
+        assert all(any(p in f for p in unclean) for i, f in fakes if c.below(i) == c.below(i + 1))
+        assert all(c.id_of(c.below(i)) == i for i in ids if c.below(i) < c.below(i + 1))
+        lo = c.below(4 * 10 ** 6)
+        listed = [r[0] for a, b, i in c.ids(lo, lo + 300) for r in spark.range(a, b).select(i.alias("i")).orderBy("i").collect()]
+        assert listed == [c.id_of(n) for n in range(lo, min(lo + 300, c.count))] and listed
