@@ -88,6 +88,7 @@ def with_ids(mapping: DataFrame) -> DataFrame:
 AHEAD = 1024               # fakes judged together at least; eight times as many each time they run out
 DRY = 1 << 17              # so many clean fakes without a free one: the type has none
 LOCAL = 1_000_000          # keys whose places in the queue the driver counts out; more of them are placed round by round
+BLOCK = 10_000             # places sent out in a row
 
 
 class _Fakes:
@@ -176,11 +177,12 @@ def _place_all(left: DataFrame, many: dict[str, int], at: dict[str, int], fakes:
             dry[t] = 0 if new.size else dry[t] + hi - lo
             free[t], to[t] = np.concatenate([free[t], new]), hi
         ahead *= 8
-    places = pa.table({"pii_type": pa.array([t for t, n in many.items() for _ in range(n)], pa.string()),
-                       "rank": np.concatenate([np.arange(n) for n in many.values()]),
-                       "id": np.concatenate([queue_places(n, at[t], free[t]) for t, n in many.items()])})
-    ids = dense_ids(left, buckets).join(left.sparkSession.createDataFrame(places), ["pii_type", "rank"])
-    return ids.join(reduce(DataFrame.unionByName, judged).drop("refused"), ["pii_type", "id"])
+    blocks = [(t, i, ids[i:i + BLOCK]) for t, n in many.items() for ids in [queue_places(n, at[t], free[t])] for i in range(0, n, BLOCK)]
+    types, firsts, ids = zip(*blocks, strict=True)
+    places = left.sparkSession.createDataFrame(pa.table({"pii_type": types, "first": firsts, "ids": pa.array(ids, pa.list_(pa.int64()))})) \
+        .select("pii_type", "first", F.posexplode("ids").alias("at", "id")).select("pii_type", (F.col("first") + F.col("at")).alias("rank"), "id")
+    placed = dense_ids(left, buckets).join(places, ["pii_type", "rank"])
+    return placed.join(reduce(DataFrame.unionByName, judged).drop("refused"), ["pii_type", "id"])
 
 
 def assign_surrogates(new: DataFrame, mapping: DataFrame, buckets: int = DEFAULT_BUCKETS,

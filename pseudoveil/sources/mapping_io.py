@@ -157,7 +157,7 @@ def load_mapping(spark: SparkSession, path: str) -> DataFrame:
             out = mapping_from_json_text(doc)
         if blanks:
             warnings.warn(f"ignored {blanks} blank replacement(s) in {path}")
-        return with_ids(out)
+        return written(with_ids(out), "loaded")          # parsed once, however often it is read
     return spark.read.schema(MAPPING_SCHEMA).parquet(path)
 
 

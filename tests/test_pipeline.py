@@ -487,3 +487,27 @@ def test_candidates_count_and_list_the_ids_of_clean_parts(spark):
         lo = c.below(4 * 10 ** 6)
         listed = [r[0] for a, b, i in c.ids(lo, lo + 300) for r in spark.range(a, b).select(i.alias("i")).orderBy("i").collect()]
         assert listed == [c.id_of(n) for n in range(lo, min(lo + 300, c.count))] and listed
+
+
+def test_a_loaded_json_mapping_is_parsed_once(spark, tmp_path):
+    m = spark.createDataFrame([("PERSON", "a b", "A B", "Rahul A. Kulkarni", None)], "pii_type string, norm_key string, surface string, replacement string, id long")
+    save_mapping(m, str(tmp_path / "m.json"), "json")
+    loaded = load_mapping(spark, str(tmp_path / "m.json"))
+    plan = loaded._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan and [r["id"] for r in loaded.collect()] == [0]
+
+
+def test_queue_places_are_those_of_a_queue():
+    import numpy as np
+
+    from pseudoveil.operators.mapping import queue_places
+    free = np.array([i for i in range(100, 4000) if i * 7919 % 11 == 3 and not 300 < i < 900])
+    queue, want, at = list(range(150)), {}, 97
+    while queue:
+        key = queue.pop(0)
+        if at in free:
+            want[key] = at
+        else:
+            queue.append(key)
+        at += 1
+    assert list(queue_places(150, 97, free)) == [want[k] for k in range(150)]
