@@ -107,7 +107,7 @@ def mobile_number(spark: SparkSession, sf_dir: str) -> DataFrame:
 from ..operators import audit as _audit  # noqa: E402
 from ..operators.findings import suppressed_values as _suppressed  # noqa: E402
 from ..operators.redact import redact_table as _redact_table  # noqa: E402
-from ..session import checkpoint_dir, spread  # noqa: E402
+from ..session import checkpoint_dir, spread, written  # noqa: E402
 from ..sources.mapping_io import load_mapping, save_mapping  # noqa: E402
 from ..operators.surrogates import surrogate_id as _surrogate_id  # noqa: E402
 from .fixtures import PII_DOC_BASE, pii_units  # noqa: E402
@@ -158,6 +158,7 @@ def suppress_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     fd = (_found(u).select(*KEY, F.explode("findings").alias("f"))
           .select(*KEY, "f.pii_type", "f.value", F.col("f.start").alias("start_pos"), F.col("f.end").alias("end_pos"))
           .withColumn("norm", _norm(F.col("value"))))
+    fd = written(fd, "detected")      # the values and the join read it
     fakes = first.new_mapping.select(_norm(F.col("replacement")).alias("fake"))
     bad = _suppressed(fd.select("norm"), fakes)
     return fd.join(bad, "norm", "left_semi").drop("norm")
